@@ -33,39 +33,44 @@ def _bin(row_id: str, digits: int) -> Column:
     return F.conv(F.substring(hash_text(row_id), 1, digits), 16, 10).cast("int")
 
 
-def _below_cut(df: DataFrame, row_id: str, quota: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
-    """``df`` with ``__in``: whether the row is among the first ``quota.k`` of its key in hash order."""
-    k = list(keys)
-    cols = [name(c) for c in k]
+def _below_cut(df: DataFrame, row_id: str, quota: DataFrame | int, keys: Sequence[str], digits: int) -> DataFrame:
+    """``df`` with ``__in``: whether the row is among the first rows of its key in hash order.
+
+    ``quota`` is the number of rows, or a table with a number ``k`` per key.
+    """
+    cols = [name(k) for k in keys]
     rows = df.withColumn("__bin", _bin(row_id, digits))
     counts = rows.groupBy(*cols, "__bin").agg(F.count(F.lit(1)).alias("__c"))
     counts = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*cols).orderBy("__bin")))
-    cuts = join_keys(counts, quota, k) if k else counts.withColumn("k", quota.select("k").scalar())
+    if isinstance(quota, int):
+        cuts = counts.withColumn("k", F.lit(quota))
+    else:
+        cuts = join_keys(counts, quota, keys)
     reached = cuts.filter("__upto >= k and __upto - __c < k")
     cut = [F.col("__bin").alias("__cut"), (F.col("k") - F.col("__upto") + F.col("__c")).alias("__rest")]
-    if k:
-        rows = join_keys(rows, reached.select(*cols, *cut), k, "left")
+    if keys:
+        rows = join_keys(rows, reached.select(*cols, *cut), keys, "left")
     else:
-        packed = reached.select(F.struct(*cut).alias("__s"))
-        rows = rows.withColumn("__s", packed.scalar()).withColumns({"__cut": F.col("__s.__cut"), "__rest": F.col("__s.__rest")}).drop("__s")
+        edge = reached.select(*cut).first() or (-1, 0)
+        rows = rows.withColumns({"__cut": F.lit(edge[0]), "__rest": F.lit(edge[1])})
     simple = rows.filter("__cut is null or __bin <> __cut").withColumn("__in", F.coalesce(F.col("__bin") < F.col("__cut"), F.lit(False)))
     order = Window.partitionBy(*cols, "__bin").orderBy(hash_text(row_id), name(row_id))
-    edge = rows.filter("__bin = __cut").withColumn("__in", F.row_number().over(order) <= F.col("__rest"))
-    return simple.unionByName(edge).drop("__bin", "__cut", "__rest")
+    edge_rows = rows.filter("__bin = __cut").withColumn("__in", F.row_number().over(order) <= F.col("__rest"))
+    return simple.unionByName(edge_rows).drop("__bin", "__cut", "__rest")
 
 
 def hash_sample(df: DataFrame, n: int, row_id: str) -> DataFrame:
     """Exactly ``n`` rows (the whole table if it has no more)."""
     require(df, row_id)
-    quota = df.agg(F.least(F.lit(n), F.count(F.lit(1))).alias("k"))
-    return _below_cut(df, row_id, quota, [], 4).filter("__in").drop("__in")
+    if df.count() <= n:
+        return df
+    return _below_cut(df, row_id, n, [], 4).filter("__in").drop("__in")
 
 
 def hash_split(df: DataFrame, row_id: str, test_share: float = 0.2) -> DataFrame:
     """All rows with ``split``: the first ``ceil(share * n)`` in hash order are the test part."""
     require(df, row_id)
-    quota = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(test_share)).alias("k"))
-    marked = _below_cut(df, row_id, quota, [], 4)
+    marked = _below_cut(df, row_id, math.ceil(df.count() * test_share), [], 4)
     return marked.withColumn("split", F.when(F.col("__in"), "test").otherwise("train")).drop("__in")
 
 
@@ -75,21 +80,20 @@ def quotas(counts: DataFrame, stratum: str, n: int) -> DataFrame:
     Remainders are ranked over their distinct values, which are few; strata that tie at the cut are
     taken in hash order. A quota never exceeds its stratum.
     """
-    total = counts.agg(F.sum("c").alias("t"))
-    shares = counts.withColumn("__exact", F.lit(n) * F.col("c") / total.scalar())
+    total = counts.agg(F.sum("c")).first()[0]
+    shares = counts.withColumn("__exact", F.lit(n) * F.col("c") / F.lit(total))
     shares = shares.withColumns({"__base": F.floor("__exact"), "__frac": F.round(F.col("__exact") - F.floor("__exact"), 9)})
-    left = F.lit(n) - shares.agg(F.sum("__base")).scalar()
-    levels = shares.groupBy("__frac").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy(F.col("__frac").desc()))
-    levels = levels.withColumn("__upto", upto).withColumn("__left", left)
-    cut = levels.filter("__upto >= __left and __upto - __c < __left")
-    edge = cut.select(F.struct("__frac", (F.col("__left") - F.col("__upto") + F.col("__c")).alias("rest")).alias("s"))
-    shares = shares.withColumn("__edge", edge.scalar())
-    above = F.coalesce(F.col("__frac") > F.col("__edge.__frac"), F.lit(False))
-    clear = shares.filter("__edge is null or __frac <> __edge.__frac").withColumn("__in", above)
-    tied = _below_cut(shares.filter("__frac = __edge.__frac"), stratum, edge.select(F.col("s.rest").alias("k")), [], 3)
+    levels = shares.groupBy("__frac").agg(F.count(F.lit(1)).alias("__c"), F.sum("__base").alias("__b"))
+    every = Window.partitionBy(F.lit(0))
+    levels = levels.withColumns({"__upto": F.sum("__c").over(every.orderBy(F.col("__frac").desc())), "__left": F.lit(n) - F.sum("__b").over(every)})
+    cut = levels.filter("__upto >= __left and __upto - __c < __left").selectExpr("__frac", "__left - __upto + __c").first()
+    if cut is None:
+        marked = shares.withColumn("__in", F.lit(False))
+    else:
+        clear = shares.filter(F.col("__frac") != cut[0]).withColumn("__in", F.col("__frac") > cut[0])
+        marked = clear.unionByName(_below_cut(shares.filter(F.col("__frac") == cut[0]), stratum, int(cut[1]), [], 3))
     k = F.least(F.col("c"), F.col("__base") + F.col("__in").cast("bigint"))
-    return clear.unionByName(tied).select(name(stratum), "c", k.alias("k"))
+    return marked.select(name(stratum), "c", k.alias("k"))
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, row_id: str, *, rare_below: int = 10) -> DataFrame:
