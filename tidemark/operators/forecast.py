@@ -309,30 +309,30 @@ def arima(series: DataFrame, time: str, value: str, horizon: int, order: tuple[i
 
 
 def arima_candidates(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, max_p: int = 3, max_q: int = 3) -> DataFrame:
-    """``keys..., p, d, q, aic`` of all orders; d is 0 where the unit-root test rejects, else 1.
+    """``keys..., ar, diff, ma, aic`` of all orders; diff is 0 where the unit-root test rejects, else 1.
 
     Every order is its own group, so the search over one series spreads over tasks too.
     """
     tests = adf_test(series, time, value, keys)
-    d = tests.select(*[name(k) for k in keys], F.when(F.col("stationary"), 0).otherwise(1).alias("d"))
-    rows = join_keys(series, d, keys) if keys else series.withColumn("d", d.scalar())
-    orders = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(max_p + 1) for q in range(max_q + 1)])
+    steps = tests.select(*[name(k) for k in keys], F.when(F.col("stationary"), 0).otherwise(1).alias("diff"))
+    rows = join_keys(series, steps, keys) if keys else series.withColumn("diff", steps.scalar())
+    orders = F.array(*[F.struct(F.lit(p).alias("ar"), F.lit(q).alias("ma")) for p in range(max_p + 1) for q in range(max_q + 1)])
     spread = rows.filter(name(value).isNotNull()).withColumn("__o", F.explode(orders))
-    spread = spread.select(*[name(k) for k in keys], name(time), name(value), "__o.p", "d", "__o.q")
+    spread = spread.select(*[name(k) for k in keys], name(time), name(value), "__o.ar", "diff", "__o.ma")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = (int(pdf["p"].iloc[0]), int(pdf["d"].iloc[0]), int(pdf["q"].iloc[0]))
+        order = (int(pdf["ar"].iloc[0]), int(pdf["diff"].iloc[0]), int(pdf["ma"].iloc[0]))
         y = pdf[value].to_numpy(float)
         aic = arima_forecast(y, order, 1)[1] if len(y) >= sum(order) + 8 else None
         return pd.DataFrame({"aic": pd.Series([aic], dtype=float)})
 
-    return per_series(spread, time, [*keys, "p", "d", "q"], run, [T.StructField("aic", T.DoubleType())])
+    return per_series(spread, time, [*keys, "ar", "diff", "ma"], run, [T.StructField("aic", T.DoubleType())])
 
 
 def auto_arima(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, max_p: int = 3, max_q: int = 3) -> DataFrame:
     """The order with the lowest AIC per key."""
     tried = arima_candidates(series, time, value, keys, max_p=max_p, max_q=max_q)
-    best = F.min_by(F.struct("p", "d", "q", "aic"), F.struct("aic", F.col("p") + F.col("q"), "p"))
+    best = F.min_by(F.struct("ar", "diff", "ma", "aic"), F.struct("aic", F.col("ar") + F.col("ma"), "ar"))
     return scored_columns(tried.filter("aic is not null").groupBy(*[name(k) for k in keys]).agg(best.alias("b")), keys)
 
 

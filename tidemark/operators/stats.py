@@ -158,7 +158,7 @@ def gram_table(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     """
     names, size = list(columns), len(columns)
     upper = np.triu_indices(size)
-    selected = rows.select(*[name(k) for k in keys], *[name(c) for c in names]).dropna(subset=names)
+    selected = rows.select(*[name(k) for k in keys], *[name(c) for c in names])
     schema = T.StructType([*key_fields(selected, keys), T.StructField("g", T.ArrayType(T.DoubleType()))])
     ids = list(keys)
 
@@ -173,6 +173,8 @@ def gram_table(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         for pdf in batches:
             for key, part in pdf.groupby(ids, dropna=False, sort=False) if ids else [((), pdf)]:
                 x = part[names].to_numpy(float)
+                # Incomplete rows leave here: a filter on this many computed columns overloads the optimizer.
+                x = x[~np.isnan(x).any(axis=1)]
                 sums[key] = sums.get(key, 0.0) + (x.T @ x)[upper]
             if len(sums) > 1000:
                 yield flush()
