@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
 from tidemark.operators.common import attach, join_keys, ordered, whole
-from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sampling import hash_sample
 from tidemark.operators.windows import flagged_runs
 from tidemark.session import cut_lineage
@@ -68,7 +67,8 @@ def isolation_forest(
 
     Trees are grown on a hash sample of at most ``trees * tree_rows`` values. On one column a forest
     is a step function, so what every task needs is one short sorted array, searched per batch. The
-    threshold is the exact score quantile over all rows.
+    threshold is the exact score quantile over all rows, read from the counts of the few distinct
+    scores a step function can have.
     """
     present = df.filter(name(value).isNotNull() & ~F.isnan(name(value)))
     picked = hash_sample(present.select(name(row_id).alias("id"), name(value).cast("double").alias("v")), trees * tree_rows, "id")
@@ -86,9 +86,19 @@ def isolation_forest(
         return pd.Series(np.where(np.isnan(x), np.nan, 2.0 ** (-depth / normal)))
 
     scored = df.withColumn("iso_score", F.nanvl(score(name(value).cast("double")), F.lit(None).cast("double")))
-    limit = quantiles(scored, "iso_score", {"q": 1.0 - contamination})
-    flag = F.col("iso_score") > limit.select("q").scalar()
-    return scored.withColumn("anomaly_iso", F.coalesce(flag.cast("int"), F.lit(0)))
+    counts = scored.filter("iso_score is not null").groupBy("iso_score").agg(F.count(F.lit(1)).alias("c")).orderBy("iso_score")
+    steps = np.array([(r["iso_score"], r["c"]) for r in counts.collect()], float)
+    limit = weighted_quantile(steps[:, 0], steps[:, 1], 1.0 - contamination)
+    return scored.withColumn("anomaly_iso", F.coalesce((F.col("iso_score") > F.lit(limit)).cast("int"), F.lit(0)))
+
+
+def weighted_quantile(values: np.ndarray, counts: np.ndarray, prob: float) -> float:
+    """Interpolated quantile of sorted distinct values with their counts."""
+    upto = np.cumsum(counts)
+    at = prob * (upto[-1] - 1)
+    low = values[np.searchsorted(upto, np.floor(at), side="right")]
+    high = values[np.searchsorted(upto, np.ceil(at), side="right")]
+    return float(low + (high - low) * (at - np.floor(at)))
 
 
 # --- residual rules ----------------------------------------------------------------------------

@@ -135,12 +135,15 @@ def shapley(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
 def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str = "features", prediction: str = "prediction") -> DataFrame:
     """``keep..., prediction, base, features array, shap array`` for every row.
 
-    The trees travel with the task; rows stream through in Arrow batches without a shuffle.
+    The trees travel with the task; rows stream through in Arrow batches. The work per row is heavy, so
+    rows are first spread evenly over all cores.
     """
     require(scored, *keep, features, prediction)
     trees = load_trees(tree_nodes(model))
     base = base_value(trees)
     rows = scored.select(*[name(c) for c in keep], name(prediction), vector_to_array(name(features)).alias("features"))
+    session = rows.sparkSession
+    rows = rows.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
     extra = [T.StructField("base", T.DoubleType()), T.StructField("shap", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*rows.schema.fields, *extra])
 

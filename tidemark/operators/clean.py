@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,13 +100,27 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns(flags)
 
 
-def one_hot_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
-    """Pipeline stages that learn the levels and encode them with the first level dropped."""
+def fit_one_hot(df: DataFrame, columns: Sequence[str], *, max_levels: int = 1000) -> tuple[list, list[str]]:
+    """Fitted stages that encode text columns without their alphabetically first level, and the vector columns.
+
+    Levels unknown to the fit become all zeros. The level lists live on the driver, so a column with
+    more than ``max_levels`` levels is refused; pool its rare levels first.
+    """
+    counts = df.agg(*[F.approx_count_distinct(name(c)).alias(c) for c in columns]).first()
+    wide = [c for c in columns if counts[c] > max_levels]
+    if wide:
+        raise ValueError(f"columns {wide} have more than {max_levels} levels; pool rare levels or leave them out")
     index = StringIndexer(
         inputCols=list(columns), outputCols=[f"{c}__ix" for c in columns], stringOrderType="alphabetDesc", handleInvalid="keep"
-    )
+    ).fit(df)
     encode = OneHotEncoder(inputCols=[f"{c}__ix" for c in columns], outputCols=[f"{c}__oh" for c in columns], dropLast=False)
-    return [index, encode], [f"{c}__oh" for c in columns]
+    stages, out = [index, encode.fit(index.transform(df))], []
+    for c, labels in zip(columns, index.labelsArray, strict=True):
+        # In descending order the first level is the last label; behind it comes the slot of unknown levels.
+        if len(labels) > 1:
+            stages.append(VectorSlicer(inputCol=f"{c}__oh", outputCol=f"{c}__hot", indices=list(range(len(labels) - 1))))
+            out.append(f"{c}__hot")
+    return stages, out
 
 
 def align_union(*parts: DataFrame, fill: float = 0.0) -> DataFrame:

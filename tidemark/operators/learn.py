@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import finite, name
-from tidemark.operators.clean import one_hot_stages
+from tidemark.operators.clean import fit_one_hot
 from tidemark.operators.common import require
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 # Name parts of calendar and of lag features.
 TIME_PARTS = ["month", "day", "week", "year", "is_"]
@@ -41,13 +42,22 @@ def fit_boosted(
 ) -> PipelineModel:
     """One distributed fit over all rows; text columns are one-hot encoded without their first level."""
     ensure_checkpoint_dir(train.sparkSession)
-    stages, encoded = one_hot_stages(texts) if texts else ([], [])
+    # Boosting reads its input once per tree level and pairs it with the running errors by position, so
+    # the rows are written once and every pass sees the same rows in the same order.
+    session = train.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]).repartition(tasks))
+    stages, encoded = fit_one_hot(base, texts) if texts else ([], [])
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
         featureSubsetStrategy=str(columns), seed=seed, checkpointInterval=10,
     )
     assembler = VectorAssembler(inputCols=[*numbers, *encoded], outputCol="features")
-    return Pipeline(stages=[*stages, assembler, learner]).fit(train)
+    ready = PipelineModel([*stages, assembler])
+    prepared = ready.transform(base).select("features", name(target)).persist(StorageLevel.MEMORY_AND_DISK)
+    model = learner.fit(prepared)
+    prepared.unpersist()
+    return PipelineModel([*ready.stages, model])
 
 
 def feature_names(scored: DataFrame, features: str = "features") -> list[str]:

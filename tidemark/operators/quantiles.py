@@ -2,22 +2,62 @@
 
 1. One map-side-combined pass takes a bounded quantile sketch per key. Its rank error is at most
    ``n / accuracy``, so values at ``p - 2/accuracy`` and ``p + 2/accuracy`` bracket the answer.
-2. One pass counts the rows below each bracket and collapses the rows inside to distinct values.
-3. Inside the bracket, equal-width bins are counted and only the bins that hold the wanted ranks
-   are ordered. Repeated values weigh one row, so a value that fills the table costs nothing.
+2. One pass counts the rows below each bracket, another collapses the rows inside to distinct
+   values. Repeated values weigh one row, so a value that fills the table costs nothing.
+3. The distinct values are ordered. Their number is checked: a large set is first counted in
+   equal-width bins and only the bins that hold the wanted ranks are ordered.
+
+The small tables between the passes are kept in the checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import attach, join_keys
+from tidemark.operators.common import join_keys
+from tidemark.session import cut_lineage
 
 BINS = 4096
+ORDER_AT_ONCE = 2_000_000
+
+
+def _brackets(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct values inside each bracket with counts, per key and probability: n, lo, hi, rows below lo)."""
+    cols, k = [name(c) for c in keys], len(probs)
+    v = F.col("__v")
+    rows = df.select(*cols, name(value).cast("double").alias("__v"))
+    rows = rows.filter(v.isNotNull() & ~F.isnan(v))
+    margin = 2.0 / accuracy
+    grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    few = F.count(v) <= 2 * accuracy
+    sketch = rows.groupBy(*cols).agg(F.count(v).alias("__n"), few.alias("few"), F.min(v).alias("a"), F.max(v).alias("b"), F.percentile_approx(v, grid, accuracy).alias("g"))
+    ends = {f"__lo{i}": F.when(F.col("few"), F.col("a")).otherwise(F.col("g")[i]) for i in range(k)}
+    ends |= {f"__hi{i}": F.when(F.col("few"), F.col("b")).otherwise(F.col("g")[i + k]) for i in range(k)}
+    sketch = sketch.select(*cols, "__n", *[c.alias(n) for n, c in ends.items()])
+    if keys:
+        sketch = cut_lineage(sketch)
+        bounded = join_keys(rows, sketch.drop("__n"), keys)
+    else:
+        found = sketch.first()
+        sketch = df.sparkSession.createDataFrame([found], sketch.schema)
+        bounded = rows.withColumns({c: F.lit(found[c]).cast("double") for c in ends})
+    below = bounded.groupBy(*cols).agg(*[F.count_if(v < F.col(f"__lo{i}")).alias(f"__c{i}") for i in range(k)])
+    meta = join_keys(sketch, below, keys) if keys else sketch.withColumns({f"__c{i}": F.lit(c) for i, c in enumerate(below.first())})
+    entries = [
+        F.struct(F.lit(i).alias("prob_id"), F.lit(float(p)).alias("prob"), F.col("__n").alias("n"), F.col(f"__lo{i}").alias("lo"), F.col(f"__hi{i}").alias("hi"), F.col(f"__c{i}").alias("below"))
+        for i, p in enumerate(probs)
+    ]
+    meta = meta.select(*cols, F.inline(F.array(*entries)))
+    inside = [v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in range(k)]
+    near = bounded.filter(reduce(lambda x, y: x | y, inside))
+    marks = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]))
+    near = near.select(*cols, F.explode(marks).alias("prob_id"), v.alias("x")).groupBy(*cols, "prob_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    return cut_lineage(near), cut_lineage(meta) if keys else meta
 
 
 def order_statistics(
@@ -28,6 +68,7 @@ def order_statistics(
     *,
     pick: str = "linear",
     accuracy: int = 2000,
+    order_at_once: int = ORDER_AT_ONCE,
 ) -> DataFrame:
     """``keys..., prob_id, prob, n, rank, value, n_below`` for every probability.
 
@@ -35,79 +76,42 @@ def order_statistics(
     ``pick='upper'`` takes the row at 1-based rank ``floor(p * n) + 1``. ``n_below`` counts the rows
     strictly below the value at ``rank``.
     """
-    rows = df.select(*[name(k) for k in keys], name(value).cast("double").alias("__v"))
-    rows = rows.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    margin = 2.0 / accuracy
-    grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    rows = attach(
-        rows,
-        {
-            "__n": F.count("__v"),
-            "__min": F.min("__v"),
-            "__max": F.max("__v"),
-            "__grid": F.percentile_approx("__v", grid, accuracy),
-        },
-        keys,
-    )
-    few = F.col("__n") <= 2 * accuracy
-    v = F.col("__v")
-    marks = []
-    for i in range(len(probs)):
-        low = F.when(few, F.col("__min")).otherwise(F.col("__grid")[i])
-        high = F.when(few, F.col("__max")).otherwise(F.col("__grid")[i + len(probs)])
-        inside = F.struct(
-            F.lit(i).alias("prob_id"), v.alias("x"), low.alias("lo"), high.alias("hi"), F.col("__n").alias("n")
-        )
-        below = F.struct(
-            F.lit(i).alias("prob_id"), F.lit(None).cast("double").alias("x"), low.alias("lo"), high.alias("hi"), F.col("__n").alias("n")
-        )
-        marks.append(F.when(v < low, below).when(v <= high, inside))
-    keyed = [name(k) for k in keys]
-    counted = (
-        rows.select(*keyed, F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .groupBy(*keyed, "m.prob_id", "m.x", "m.lo", "m.hi", "m.n")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    p = F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("prob_id") + 1)
-    n = F.col("n")
+    near, meta = _brackets(df, value, probs, keys, accuracy)
+    p, n = F.col("prob"), F.col("n")
     if pick == "linear":
         first, second = F.floor(p * (n - 1)) + 1, F.ceil(p * (n - 1)) + 1
+        weight = p * (n - 1) - F.floor(p * (n - 1))
     elif pick == "upper":
-        first = F.least(n, F.floor(p * n) + 1)
-        second = first
+        first = second = F.least(n, F.floor(p * n) + 1)
+        weight = F.lit(0.0)
     else:
         raise ValueError("pick is 'linear' or 'upper'")
-    width = F.col("hi") - F.col("lo")
-    position = F.when(width > 0, (F.col("x") - F.col("lo")) / width * BINS).otherwise(F.lit(0.0))
-    counted = counted.withColumns(
-        {
-            "prob": p,
-            "first": first,
-            "second": second,
-            "bin": F.when(F.col("x").isNull(), F.lit(-1)).otherwise(F.least(F.lit(BINS - 1), F.floor(position).cast("int"))),
-        }
-    )
     part = [*keys, "prob_id"]
-    by_bin = Window.partitionBy(*[name(k) for k in part]).orderBy("bin")
-    bins = counted.groupBy(*[name(k) for k in part], "bin", "first", "second").agg(F.sum("c").alias("c"))
-    bins = bins.withColumn("upto", F.sum("c").over(by_bin))
-    wanted = bins.filter((F.col("upto") >= F.col("first")) & (F.col("upto") - F.col("c") < F.col("second")) & (F.col("bin") >= 0))
-    wanted = wanted.select(*[name(k) for k in part], "bin", (F.col("upto") - F.col("c")).alias("before"))
-    chosen = join_keys(counted.filter("bin >= 0"), wanted, [*part, "bin"])
-    in_bin = Window.partitionBy(*[name(k) for k in part], "bin").orderBy("x")
-    upto = F.col("before") + F.sum("c").over(in_bin)
-    chosen = chosen.withColumn("upto", upto)
-    at_first = (F.col("upto") >= F.col("first")) & (F.col("upto") - F.col("c") < F.col("first"))
-    at_second = (F.col("upto") >= F.col("second")) & (F.col("upto") - F.col("c") < F.col("second"))
-    found = chosen.groupBy(*[name(k) for k in part], "prob", "n", F.col("first").alias("rank")).agg(
+    cols = [name(c) for c in part]
+    rows = join_keys(near, meta.withColumns({"first": first, "second": second}), part).withColumn("bin", F.lit(0))
+    if near.count() > order_at_once:
+        width = F.col("hi") - F.col("lo")
+        place = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / width * BINS))).otherwise(F.lit(0))
+        rows = rows.withColumn("bin", place.cast("int"))
+        bins = rows.groupBy(*cols, "bin", "first", "second", "below").agg(F.sum("c").alias("c"))
+        bins = bins.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy(*cols).orderBy("bin")))
+        wanted = bins.filter((F.col("upto") >= F.col("first")) & (F.col("upto") - F.col("c") < F.col("second")))
+        wanted = wanted.select(*cols, "bin", (F.col("upto") - F.col("c")).alias("before"))
+        rows = join_keys(rows, wanted, [*part, "bin"])
+    else:
+        rows = rows.withColumn("before", F.col("below"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*cols, "bin").orderBy("x"))
+    rows = rows.withColumn("upto", upto)
+    under = F.col("upto") - F.col("c")
+    at_first = (F.col("upto") >= F.col("first")) & (under < F.col("first"))
+    at_second = (F.col("upto") >= F.col("second")) & (under < F.col("second"))
+    found = rows.groupBy(*cols, "prob", "n", F.col("first").alias("rank")).agg(
         F.max(F.when(at_first, F.col("x"))).alias("__a"),
         F.max(F.when(at_second, F.col("x"))).alias("__b"),
-        F.max(F.when(at_first, F.col("upto") - F.col("c"))).alias("n_below"),
+        F.max(F.when(at_first, under)).alias("n_below"),
     )
-    exact = F.col("prob") * (F.col("n") - 1)
-    weight = (exact - F.floor(exact)) if pick == "linear" else F.lit(0.0)
     value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * weight
-    return found.select(*keyed, "prob_id", "prob", "n", "rank", value_at.alias("value"), "n_below")
+    return found.select(*cols, "prob", "n", "rank", value_at.alias("value"), "n_below")
 
 
 def quantiles(

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.calendar import calendar_features
 from tidemark.operators import attribution, forecast, learn, resample, sampling, windows
 from tidemark.operators.profile import rank_examples
+from tidemark.operators.stats import gram_table, solve_rows, unpack_gram
 from tidemark.plans.registry import panel, query, rounded
 from tidemark.plans.table_queries import scratch
 from tidemark.sources.files import table, write_csv
@@ -68,11 +72,6 @@ def additive_forecast_regressors(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT k, round(regr_intercept(y, x), 3) AS intercept, round(regr_slope(y, x), 4) AS slope FROM x GROUP BY k",
 )
 def linear_regression_raw(spark: SparkSession, folder: str) -> DataFrame:
-    import numpy as np
-    from pyspark.sql import types as T
-
-    from tidemark.operators.stats import gram_table, solve_rows, unpack_gram
-
     rows = table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("k"), F.lit(1.0).alias("one"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")
     )
@@ -115,9 +114,10 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with part attributes and a train/test mark by hash of the line."""
     lines = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", TARGET, "l_discount", "l_tax", "l_returnflag"])
     parts = table(spark, folder, "part", ["p_partkey", "p_size", "p_retailprice", "p_type"])
-    joined = lines.join(parts, lines.l_partkey == parts.p_partkey).drop("p_partkey")
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", TARGET, "l_discount", "l_tax", "l_returnflag")
-    return learn.prepare(sampling.hash_split(joined.withColumn("line", line), "line"), TARGET, NUMBERS)
+    marked = sampling.hash_split(lines.withColumn("line", line), "line")
+    joined = marked.join(parts, marked.l_partkey == parts.p_partkey).drop("p_partkey")
+    return learn.prepare(joined, TARGET, NUMBERS)
 
 
 def fitted(spark: SparkSession, folder: str):
@@ -149,8 +149,6 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gbt_lag_importance")
 def gbt_lag_importance(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.functions.calendar import calendar_features
-
     series = calendar_features(windows.feature_table(panel(spark, folder), "d", "v", ["k"]), "d").dropna()
     numbers, _ = learn.usable_columns(series, "v", exclude=["t"])
     rows = learn.prepare(series, "v", numbers)
@@ -171,14 +169,6 @@ def shap_values(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.long_attributions(attributed, names, ["line"])
 
 
-@query("shap_additivity", "SELECT 0 AS broken")
-def shap_additivity(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, _, _, _ = test_attributions(spark, folder)
-    total = F.aggregate("shap", F.col("base"), lambda a, b: a + b)
-    off = F.abs(total - F.col("prediction")) > 1e-6 * (1 + F.abs("prediction"))
-    return attributed.agg(F.count_if(off).cast("int").alias("broken"))
-
-
 @query("shap_global")
 def shap_global(spark: SparkSession, folder: str) -> DataFrame:
     attributed, names, _, _ = test_attributions(spark, folder)
