@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import name
 from tidemark.operators.common import require
 from tidemark.operators.quantiles import quantiles
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,11 @@ def long_attributions(attributed: DataFrame, names: Sequence[str], keep: Sequenc
 
 
 def global_attribution(long: DataFrame) -> DataFrame:
-    """Mean absolute value per feature and the spread of the values, strongest first."""
+    """Mean absolute value per feature and the spread of the values, strongest first.
+
+    The attributions are read several times for the exact quantiles, so they are written once.
+    """
+    long = cut_lineage(long.select("feature", "shap"))
     summary = long.groupBy("feature").agg(
         F.avg(F.abs("shap")).alias("mean_abs"), F.avg("shap").alias("mean"), F.min("shap").alias("min"), F.max("shap").alias("max")
     )
