@@ -161,6 +161,14 @@ def test_gaps_across_chunks_and_repeats(spark):
     assert gaps == {0.0: 1, 7200.0: 1, 255600.0: 1}
 
 
+def test_correlation_with_a_constant_or_nulls(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, None), (3.0, 5.0, 1.0)], "a double, b double, c double")
+    got = {r["column"]: r["corr"] for r in profile.correlate_target(df, "a").collect()}
+    assert got["b"] is None and got["c"] == pytest.approx(-1.0)
+    assert profile.strongest(profile.correlate_target(df, "a"), 1).count() == 1
+    assert profile.correlation_matrix(df).count() == 9
+
+
 def test_boxplot_without_key(spark):
     df = spark.createDataFrame([(float(v),) for v in [*range(1, 12), 100]], "v double")
     r = profile.boxplot(df, "v").first()

@@ -144,19 +144,24 @@ def outlier_periods(flagged: DataFrame, time: str, keys: Sequence[str] = (), *,
 
 
 def _best_splits(rows: DataFrame, time: str, segment: Sequence[str], least: int) -> DataFrame:
-    """Per segment the split with the largest drop in squared error: ``time`` of its right part, ``gain``, ``at``."""
+    """Per segment the split with the largest drop in squared error: ``time`` of its right part, ``at``, ``gain``, ``n``."""
     w = ordered(segment, time)
-    i = F.row_number().over(w)
-    left = F.sum("__x").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n, total = F.count(F.lit(1)).over(whole(segment)), F.sum("__x").over(whole(segment))
     cut = rows.select(
-        *[name(c) for c in segment], name(time), "__sigma2", "__pen", i.alias("i"), left.alias("s"), n.alias("n"), total.alias("t"), F.lead(name(time)).over(w).alias("next")
+        *[name(c) for c in segment],
+        "__sigma2",
+        "__pen",
+        F.row_number().over(w).alias("__i"),
+        F.sum("__x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__left"),
+        F.count(F.lit(1)).over(whole(segment)).alias("__n"),
+        F.sum("__x").over(whole(segment)).alias("__total"),
+        F.lead(name(time)).over(w).alias("__next"),
     )
-    cut = cut.filter((F.col("i") >= least) & (F.col("n") - F.col("i") >= least))
-    gain = F.pow("s", F.lit(2)) / F.col("i") + F.pow(F.col("t") - F.col("s"), F.lit(2)) / (F.col("n") - F.col("i")) - F.pow("t", F.lit(2)) / F.col("n")
+    i, n, left, total = F.col("__i"), F.col("__n"), F.col("__left"), F.col("__total")
+    cut = cut.filter((i >= least) & (n - i >= least))
+    gain = left * left / i + (total - left) * (total - left) / (n - i) - total * total / n
     scored = F.try_divide(gain, F.col("__sigma2"))
-    best = F.max_by(F.struct(F.col("next").alias("time"), F.col("i").alias("at"), scored.alias("gain"), F.col("n").alias("n"), F.col("__pen").alias("pen")), F.struct(gain, -F.col("i")))
-    return cut.groupBy(*[name(c) for c in segment]).agg(best.alias("b")).select(*[name(c) for c in segment], "b.*")
+    found = F.struct(F.col("__next").alias("time"), i.alias("at"), scored.alias("gain"), n.alias("n"), F.col("__pen").alias("pen"))
+    return cut.groupBy(*[name(c) for c in segment]).agg(F.max_by(found, F.struct(gain, -i)).alias("__b")).select(*[name(c) for c in segment], "__b.*")
 
 
 def change_point(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, least: int = 2) -> DataFrame:

@@ -28,8 +28,8 @@ def time_chunks(df: DataFrame, time: str, chunks: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol="__us", outputCol="__chunk").transform(rows).drop("__us")
 
 
-def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int = 64) -> DataFrame:
-    """Exact 0-based position ``t`` of every row in its series, without a window over the series."""
+def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int = 64, out: str = "position") -> DataFrame:
+    """Exact 0-based ``position`` of every row in its series, without a window over the series."""
     require(df, time, *keys)
     cols = [name(k) for k in keys]
     rows = time_chunks(df, time, chunks)
@@ -38,7 +38,7 @@ def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int
     offsets = counts.select(*cols, "__chunk", earlier.alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*cols, "__chunk").orderBy(name(time)))
     placed = join_keys(rows.withColumn("__row", inside), offsets, [*keys, "__chunk"])
-    return placed.withColumn("t", F.col("__before") + F.col("__row") - 1).drop("__before", "__row", "__chunk")
+    return placed.withColumn(out, F.col("__before") + F.col("__row") - 1).drop("__before", "__row", "__chunk")
 
 
 def over_blocks(
@@ -55,9 +55,9 @@ def over_blocks(
     """Apply ``fn(rows, keys)``, whose frames reach at most ``before`` / ``after`` rows, block by block."""
     if size < before + after:
         raise ValueError("blocks must be at least as long as the frame")
-    rows = numbered(df, time, keys, chunks=chunks)
-    own = F.floor(F.col("t") / size)
-    place = F.col("t") % size
+    rows = numbered(df, time, keys, chunks=chunks, out="__t")
+    own = F.floor(F.col("__t") / size)
+    place = F.col("__t") % size
     copies = F.array_compact(
         F.array(
             own,
@@ -66,7 +66,7 @@ def over_blocks(
         )
     )
     spread = rows.withColumn("__own", own).withColumn("__block", F.explode(copies))
-    return fn(spread, [*keys, "__block"]).filter("__block = __own").drop("__block", "__own", "t")
+    return fn(spread, [*keys, "__block"]).filter("__block = __own").drop("__block", "__own", "__t")
 
 
 def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int = 64, out: str = "expanding_mean") -> DataFrame:

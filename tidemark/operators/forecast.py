@@ -38,9 +38,9 @@ def baseline_predictions(split: DataFrame, value: str, period: int, keys: Sequen
     """Test rows of a split series with columns ``naive``, ``seasonal_naive`` and ``mean``."""
     train = F.col("split") == "train"
     every = whole(keys)
-    last = F.max_by(F.when(train, name(value)), F.when(train, F.col("t"))).over(every)
-    phase = Window.partitionBy(*[name(k) for k in keys], F.col("t") % period)
-    seasonal = F.max_by(F.when(train, name(value)), F.when(train, F.col("t"))).over(phase)
+    last = F.max_by(F.when(train, name(value)), F.when(train, F.col("position"))).over(every)
+    phase = Window.partitionBy(*[name(k) for k in keys], F.col("position") % period)
+    seasonal = F.max_by(F.when(train, name(value)), F.when(train, F.col("position"))).over(phase)
     mean = F.avg(F.when(train, name(value))).over(every)
     rows = split.withColumns({"naive": last, "seasonal_naive": seasonal, "mean": mean})
     return rows.filter(~train)
@@ -68,14 +68,14 @@ def scored_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def trend_forecast(split: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Test rows with the straight line through the training rows as ``forecast``."""
-    y, x = F.when(F.col("split") == "train", name(value)), F.when(F.col("split") == "train", F.col("t").cast("double"))
+    y, x = F.when(F.col("split") == "train", name(value)), F.when(F.col("split") == "train", F.col("position").cast("double"))
     lines = split.groupBy(*[name(k) for k in keys]).agg(F.regr_slope(y, x).alias("__a"), F.regr_intercept(y, x).alias("__b"))
     rows = split.filter("split = 'test'")
     if keys:
         rows = join_keys(rows, lines, keys)
     else:
         rows = rows.withColumn("__l", lines.select(F.struct("__a", "__b").alias("s")).scalar()).select("*", "__l.*").drop("__l")
-    return rows.withColumn("forecast", F.col("__b") + F.col("__a") * F.col("t")).drop("__a", "__b")
+    return rows.withColumn("forecast", F.col("__b") + F.col("__a") * F.col("position")).drop("__a", "__b")
 
 
 # --- regression on trend, seasons and external columns -----------------------------------------
@@ -391,7 +391,7 @@ def evaluate_models(series: DataFrame, time: str, value: str, keys: Sequence[str
     """``keys..., model, rmse, mae`` on the last 20 % (at most 30) points of each series."""
     split = split_tail(series.filter(name(value).isNotNull()), time, keys)
     train = split.filter("split = 'train'").select(*[name(k) for k in keys], name(time), name(value))
-    step = (F.col("t") - (F.col("n") - F.least(F.floor(F.col("n") * 0.2), F.lit(30))) + 1).cast("int")
+    step = (F.col("position") - (F.col("points") - F.least(F.floor(F.col("points") * 0.2), F.lit(30))) + 1).cast("int")
     test = split.filter("split = 'test'").select(*[name(k) for k in keys], name(time), name(value).alias("actual"), step.alias("step"))
     grid = test.select(*[name(k) for k in keys], "step", name(time))
     paired = join_keys(_model_forecasts(train, grid, time, value, 30, period, keys), test, [*keys, "step"])

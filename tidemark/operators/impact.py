@@ -76,8 +76,9 @@ def event_impact(series: DataFrame, time: str, value: str, event: date, keys: Se
     predicted = F.col("intercept") * F.col("post") + F.col("slope") * F.col("x_post")
     s = s.withColumn("predicted", predicted).withColumn("cumulative_effect", F.col("actual") - F.col("predicted"))
     sigma2 = F.col("syy") * (1 - F.coalesce("r2", F.lit(0.0))) / F.nullif(F.col("pre") - 2, F.lit(0))
-    gap = F.col("x_post") / F.col("post") - F.col("x_pre")
-    error = F.sqrt(sigma2 * (1 / F.col("post") + 1 / F.col("pre") + gap * gap / F.nullif(F.col("sxx"), F.lit(0.0))))
+    gap = F.try_divide(F.col("x_post"), F.col("post")) - F.col("x_pre")
+    share = F.try_divide(F.lit(1.0), F.col("post")) + F.try_divide(F.lit(1.0), F.col("pre")) + F.try_divide(gap * gap, F.col("sxx"))
+    error = F.sqrt(sigma2 * share)
     s = s.withColumns(
         {
             "average_effect": F.try_divide(F.col("cumulative_effect"), F.col("post")),

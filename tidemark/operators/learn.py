@@ -72,7 +72,7 @@ def quality(scored: DataFrame, target: str, *, split: str = "split", prediction:
     y, gap = name(target), name(target) - name(prediction)
     sums = scored.groupBy(name(split)).agg(F.count(y).alias("n"), F.sum(gap * gap).alias("sse"), F.var_pop(y).alias("v"))
     r2 = F.lit(1.0) - F.try_divide(F.col("sse"), F.col("v") * F.col("n"))
-    return sums.select(name(split), "n", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), r2.alias("r2"))
+    return sums.select(name(split), "n", F.sqrt(F.try_divide(F.col("sse"), F.col("n"))).alias("rmse"), r2.alias("r2"))
 
 
 def importance(scored: DataFrame, model: PipelineModel) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import attach, join_keys, numeric_columns, ordered, require, stack_columns
+from tidemark.operators.common import attach, join_keys, numeric_columns, require, stack_columns
 from tidemark.operators.quantiles import BINS, order_statistics, quantiles
 
 
@@ -194,7 +194,10 @@ def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float]
 
 
 def _pair_corr(a: str, b: str) -> Column:
-    return F.corr(name(a).cast("double"), name(b).cast("double"))
+    """Correlation over the rows where both are known; null when one of them is constant there."""
+    both = name(a).isNotNull() & name(b).isNotNull()
+    x, y = F.when(both, name(a).cast("double")), F.when(both, name(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlate_target(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -246,19 +249,20 @@ def interval_counts(df: DataFrame, time: str, keys: Sequence[str] = (), *, freq:
     """
     require(df, time, *keys)
     keyed = [name(k) for k in keys]
-    stamps = df.filter(name(time).isNotNull()).groupBy(*keyed, name(time).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    stamps = df.filter(name(time).isNotNull()).groupBy(*keyed, name(time).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
     unit = {"day": "day", "hour": "hour", "month": "month"}[freq]
-    stamps = stamps.withColumn("chunk", F.date_trunc(unit, "t"))
-    micros = F.unix_micros(F.col("t").cast("timestamp"))
-    inside = Window.partitionBy(*keyed, "chunk").orderBy("t")
-    within = stamps.withColumn("gap", micros - F.lag(micros).over(inside)).filter("gap is not null")
-    across = stamps.groupBy(*keyed, "chunk").agg(F.min(micros).alias("a"), F.max(micros).alias("b"))
-    across = across.withColumn("gap", F.col("a") - F.lag("b").over(Window.partitionBy(*keyed).orderBy("chunk"))).filter("gap is not null")
-    seconds = (F.col("gap") / F.lit(1e6)).alias("seconds")
+    stamps = stamps.withColumn("__chunk", F.date_trunc(unit, "__t"))
+    micros = F.unix_micros(F.col("__t").cast("timestamp"))
+    inside = Window.partitionBy(*keyed, "__chunk").orderBy("__t")
+    within = stamps.withColumn("__gap", micros - F.lag(micros).over(inside)).filter("__gap is not null")
+    across = stamps.groupBy(*keyed, "__chunk").agg(F.min(micros).alias("__a"), F.max(micros).alias("__b"))
+    before = F.lag("__b").over(Window.partitionBy(*keyed).orderBy("__chunk"))
+    across = across.withColumn("__gap", F.col("__a") - before).filter("__gap is not null")
+    seconds = (F.col("__gap") / F.lit(1e6)).alias("seconds")
     parts = [
         within.groupBy(*keyed, seconds).agg(F.count(F.lit(1)).alias("count")),
         across.groupBy(*keyed, seconds).agg(F.count(F.lit(1)).alias("count")),
-        stamps.filter("c > 1").groupBy(*keyed, F.lit(0.0).alias("seconds")).agg((F.sum("c") - F.count(F.lit(1))).alias("count")),
+        stamps.filter("__c > 1").groupBy(*keyed, F.lit(0.0).alias("seconds")).agg((F.sum("__c") - F.count(F.lit(1))).alias("count")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy(*keyed, "seconds").agg(F.sum("count").alias("count"))
 

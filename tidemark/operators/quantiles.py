@@ -76,7 +76,10 @@ def order_statistics(
     ``pick='upper'`` takes the row at 1-based rank ``floor(p * n) + 1``. ``n_below`` counts the rows
     strictly below the value at ``rank``.
     """
-    near, meta = _brackets(df, value, probs, keys, accuracy)
+    # Keys get private names inside, so that no key can clash with a working column.
+    outer, keys = list(keys), [f"__k{i}" for i in range(len(keys))]
+    df = df.select(*[name(k).alias(i) for k, i in zip(outer, keys, strict=True)], name(value).alias("__value"))
+    near, meta = _brackets(df, "__value", probs, keys, accuracy)
     p, n = F.col("prob"), F.col("n")
     if pick == "linear":
         first, second = F.floor(p * (n - 1)) + 1, F.ceil(p * (n - 1)) + 1
@@ -111,7 +114,8 @@ def order_statistics(
         F.max(F.when(at_first, under)).alias("n_below"),
     )
     value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * weight
-    return found.select(*cols, "prob", "n", "rank", value_at.alias("value"), "n_below")
+    named = [name(i).alias(k) for k, i in zip(outer, keys, strict=True)]
+    return found.select(*named, "prob_id", "prob", "n", "rank", value_at.alias("value"), "n_below")
 
 
 def quantiles(

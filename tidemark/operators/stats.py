@@ -85,8 +85,8 @@ def pacf(series: DataFrame, time: str, value: str, max_lag: int = 30, keys: Sequ
     The recursion is an array fold in Spark over ``max_lag`` numbers per key.
     """
     entries = F.array_sort(F.collect_list(F.struct("lag", "acf")))
-    rho = acf(series, time, value, max_lag, keys).groupBy(*[name(k) for k in keys]).agg(entries.alias("e"))
-    rho = rho.withColumn("r", F.transform("e", lambda s: s["acf"]))
+    rho = acf(series, time, value, max_lag, keys).groupBy(*[name(k) for k in keys]).agg(entries.alias("__e"))
+    rho = rho.withColumn("__r", F.transform("__e", lambda s: s["acf"]))
     empty = F.array().cast("array<double>")
     start = F.struct(empty.alias("phi"), F.array(F.lit(1.0)).alias("out"))
 
@@ -95,8 +95,8 @@ def pacf(series: DataFrame, time: str, value: str, max_lag: int = 30, keys: Sequ
 
     def step(state: Column, k: Column) -> Column:
         phi = state["phi"]
-        known = F.slice(F.col("r"), F.lit(2), k - 1)
-        last = F.try_divide(F.element_at(F.col("r"), k + 1) - dot(phi, F.reverse(known)), F.lit(1.0) - dot(phi, known))
+        known = F.slice(F.col("__r"), F.lit(2), k - 1)
+        last = F.try_divide(F.element_at(F.col("__r"), k + 1) - dot(phi, F.reverse(known)), F.lit(1.0) - dot(phi, known))
         updated = F.zip_with(phi, F.reverse(phi), lambda a, b: a - last * b)
         return F.struct(F.concat(updated, F.array(last)).alias("phi"), F.concat(state["out"], F.array(last)).alias("out"))
 
@@ -112,10 +112,10 @@ def auto_period(series: DataFrame, time: str, value: str, keys: Sequence[str] =
     table = acf(series, time, value, None, keys)
     w = Window.partitionBy(*[name(k) for k in keys]).orderBy("lag")
     table = table.withColumns(
-        {"prev": F.lag("acf").over(w), "next": F.lead("acf").over(w), "lags": F.count(F.lit(1)).over(whole(keys))}
+        {"__prev": F.lag("acf").over(w), "__next": F.lead("acf").over(w), "__lags": F.count(F.lit(1)).over(whole(keys))}
     )
-    peak = (F.col("acf") > threshold) & (F.col("acf") > F.col("prev")) & (F.col("acf") > F.col("next"))
-    searched = (F.col("lag") >= 2) & (F.col("lag") < F.floor(F.col("lags") / 3))
+    peak = (F.col("acf") > threshold) & (F.col("acf") > F.col("__prev")) & (F.col("acf") > F.col("__next"))
+    searched = (F.col("lag") >= 2) & (F.col("lag") < F.floor(F.col("__lags") / 3))
     first = F.min(F.when(peak & searched, F.col("lag")))
     return table.groupBy(*[name(k) for k in keys]).agg(F.coalesce(first, F.lit(default)).cast("int").alias("period"))
 
@@ -272,22 +272,22 @@ def adf_level(tests: DataFrame) -> DataFrame:
 def adf_lag0(series: DataFrame, time: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """The test without lagged differences, wholly as regression aggregates."""
     w = ordered(keys, time)
-    rows = series.withColumn("y1", F.lag(name(value)).over(w)).withColumn("dy", name(value) - F.col("y1"))
-    out = rows.filter("dy is not null").groupBy(*[name(k) for k in keys]).agg(
-        F.regr_slope("dy", "y1").alias("gamma"),
-        F.regr_syy("dy", "y1").alias("syy"),
-        F.regr_sxx("dy", "y1").alias("sxx"),
-        F.regr_r2("dy", "y1").alias("r2"),
-        F.count("dy").alias("nobs"),
+    rows = series.withColumn("__y1", F.lag(name(value)).over(w)).withColumn("__dy", name(value) - F.col("__y1"))
+    out = rows.filter("__dy is not null").groupBy(*[name(k) for k in keys]).agg(
+        F.regr_slope("__dy", "__y1").alias("gamma"),
+        F.regr_syy("__dy", "__y1").alias("syy"),
+        F.regr_sxx("__dy", "__y1").alias("sxx"),
+        F.regr_r2("__dy", "__y1").alias("r2"),
+        F.count("__dy").alias("nobs"),
     )
-    error = F.sqrt(F.col("syy") * (1 - F.col("r2")) / (F.col("nobs") - 2) / F.col("sxx"))
-    return out.select(*[name(k) for k in keys], "nobs", "gamma", (F.col("gamma") / error).alias("statistic"))
+    error = F.sqrt(F.try_divide(F.try_divide(F.col("syy") * (1 - F.col("r2")), F.col("nobs") - 2), F.col("sxx")))
+    return out.select(*[name(k) for k in keys], "nobs", "gamma", F.try_divide(F.col("gamma"), error).alias("statistic"))
 
 
 def split_half(series: DataFrame, time: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and variance of the first and the second half of each series."""
-    rows = positions(series, time, keys).withColumn("n", F.count(F.lit(1)).over(whole(keys)))
-    half = F.when(F.col("t") < F.floor(F.col("n") / 2), 1).otherwise(2)
+    rows = positions(series, time, keys, "__t").withColumn("__n", F.count(F.lit(1)).over(whole(keys)))
+    half = F.when(F.col("__t") < F.floor(F.col("__n") / 2), 1).otherwise(2)
     return rows.groupBy(*[name(k) for k in keys], half.alias("half")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(name(value)).alias("mean"), F.var_samp(name(value)).alias("variance")
     )
@@ -305,7 +305,7 @@ def decompose(series: DataFrame, time: str, value: str, period: int, keys: Seque
     """
     w = ordered(keys, time)
     v = name(value)
-    rows = positions(series, time, keys)
+    rows = positions(series, time, keys, "__t")
     half = period // 2
     full = w.rowsBetween(-half, half)
     total = F.sum(v).over(full)
@@ -315,35 +315,35 @@ def decompose(series: DataFrame, time: str, value: str, period: int, keys: Seque
     rows = rows.withColumn("trend_component", trend)
     if extrapolate:
         rows = _extrapolate(rows, period, keys)
-    rows = rows.withColumns({"__d": v - F.col("trend_component"), "__phase": F.col("t") % period})
+    rows = rows.withColumns({"__d": v - F.col("trend_component"), "__phase": F.col("__t") % period})
     means = F.avg("__d").over(whole([*keys, "__phase"]))
     rows = rows.withColumn("__mean", means)
     # Mean of the phase means: each phase counts once.
-    first = F.row_number().over(Window.partitionBy(*[name(k) for k in keys], "__phase").orderBy("t")) == 1
+    first = F.row_number().over(Window.partitionBy(*[name(k) for k in keys], "__phase").orderBy("__t")) == 1
     rows = rows.withColumn("__once", F.when(first, F.col("__mean")))
     rows = rows.withColumn("seasonal_component", F.col("__mean") - F.avg("__once").over(whole(keys)))
     rows = rows.withColumn("residual_component", v - F.col("trend_component") - F.col("seasonal_component"))
-    return rows.drop("__d", "__phase", "__mean", "__once", "t")
+    return rows.drop("__d", "__phase", "__mean", "__once", "__t")
 
 
 def _extrapolate(rows: DataFrame, period: int, keys: Sequence[str]) -> DataFrame:
     known = F.col("trend_component").isNotNull()
-    at = F.when(known, F.col("t"))
+    at = F.when(known, F.col("__t"))
     rows = rows.withColumns({"__a": F.min(at).over(whole(keys)), "__b": F.max(at).over(whole(keys))})
-    near_a = F.when(known & (F.col("t") <= F.col("__a") + period), F.col("trend_component"))
-    near_b = F.when(known & (F.col("t") >= F.col("__b") - period), F.col("trend_component"))
+    near_a = F.when(known & (F.col("__t") <= F.col("__a") + period), F.col("trend_component"))
+    near_b = F.when(known & (F.col("__t") >= F.col("__b") - period), F.col("trend_component"))
     stats = {}
     for side, y in (("a", near_a), ("b", near_b)):
-        stats[f"__s{side}"] = F.regr_slope(y, F.col("t").cast("double"))
-        stats[f"__i{side}"] = F.regr_intercept(y, F.col("t").cast("double"))
+        stats[f"__s{side}"] = F.regr_slope(y, F.col("__t").cast("double"))
+        stats[f"__i{side}"] = F.regr_intercept(y, F.col("__t").cast("double"))
     lines = rows.groupBy(*[name(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
     if keys:
         rows = join_keys(rows, lines, keys, "left")
     else:
         rows = rows.withColumn("__l", lines.select(F.struct(*stats).alias("s")).scalar()).select("*", "__l.*").drop("__l")
-    left = F.col("__ia") + F.col("__sa") * F.col("t")
-    right = F.col("__ib") + F.col("__sb") * F.col("t")
-    trend = F.when(known, F.col("trend_component")).when(F.col("t") < F.col("__a"), left).otherwise(right)
+    left = F.col("__ia") + F.col("__sa") * F.col("__t")
+    right = F.col("__ib") + F.col("__sb") * F.col("__t")
+    trend = F.when(known, F.col("trend_component")).when(F.col("__t") < F.col("__a"), left).otherwise(right)
     return rows.withColumn("trend_component", trend).drop("__a", "__b", *stats)
 
 

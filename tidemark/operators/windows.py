@@ -48,7 +48,7 @@ def short_trend(series: DataFrame, time: str, value: str, keys: Sequence[str] =
     return series.withColumn("short_trend", F.signum(change).cast("int"))
 
 
-def positions(series: DataFrame, time: str, keys: Sequence[str] = (), out: str = "t") -> DataFrame:
+def positions(series: DataFrame, time: str, keys: Sequence[str] = (), out: str = "position") -> DataFrame:
     """0-based row position within the series."""
     return series.withColumn(out, F.row_number().over(ordered(keys, time)) - 1)
 
@@ -60,7 +60,7 @@ def fourier_terms(
     waves = {}
     for p in periods:
         for k in orders:
-            angle = F.col("t") * F.lit(2.0 * math.pi * k / p)
+            angle = F.col("position") * F.lit(2.0 * math.pi * k / p)
             waves[f"sin_{p}_{k}"] = F.sin(angle)
             waves[f"cos_{p}_{k}"] = F.cos(angle)
     return out.withColumns(waves)
@@ -126,23 +126,25 @@ def holdout_size(n: Column, share: float = 0.2, at_most: int = 30) -> Column:
 
 
 def split_tail(series: DataFrame, time: str, keys: Sequence[str] = (), *, share: float = 0.2, at_most: int | None = 30) -> DataFrame:
-    """Mark the last rows of each series ``test`` and the rest ``train``; adds ``t`` and ``n``."""
+    """Mark the last rows of each series ``test`` and the rest ``train``; adds ``position`` and ``points``."""
     n = F.count(F.lit(1)).over(whole(keys))
-    out = positions(series, time, keys).withColumn("n", n)
-    size = F.floor(F.col("n") * share).cast("int")
+    out = positions(series, time, keys).withColumn("points", n)
+    size = F.floor(F.col("points") * share).cast("int")
     if at_most is not None:
         size = F.least(size, F.lit(at_most))
-    return out.withColumn("split", F.when(F.col("t") >= F.col("n") - size, "test").otherwise("train"))
+    return out.withColumn("split", F.when(F.col("position") >= F.col("points") - size, "test").otherwise("train"))
 
 
 def cv_folds(series: DataFrame, time: str, keys: Sequence[str] = (), folds: int = 3, *, constant_size: bool = False) -> DataFrame:
     """Expanding-window folds: each row once per fold it takes part in, marked train or test."""
-    rows = positions(series, time, keys).withColumn("n", F.count(F.lit(1)).over(whole(keys)))
+    rows = positions(series, time, keys).withColumn("points", F.count(F.lit(1)).over(whole(keys)))
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    m = F.floor(F.col("n") / (folds + 1))
-    start = F.col("n") - (F.lit(folds) - F.col("fold")) * m
+    m = F.floor(F.col("points") / (folds + 1))
+    start = F.col("points") - (F.lit(folds) - F.col("fold")) * m
     first = (start - m) if constant_size else F.lit(0)
-    role = F.when((F.col("t") >= start) & (F.col("t") < start + m), "test").when((F.col("t") < start) & (F.col("t") >= first), "train")
+    role = F.when((F.col("position") >= start) & (F.col("position") < start + m), "test").when(
+        (F.col("position") < start) & (F.col("position") >= first), "train"
+    )
     return rows.withColumn("role", role).filter("role is not null")
 
 

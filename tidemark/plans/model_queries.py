@@ -150,7 +150,7 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
 @query("gbt_lag_importance")
 def gbt_lag_importance(spark: SparkSession, folder: str) -> DataFrame:
     series = calendar_features(windows.feature_table(panel(spark, folder), "d", "v", ["k"]), "d").dropna()
-    numbers, _ = learn.usable_columns(series, "v", exclude=["t"])
+    numbers, _ = learn.usable_columns(series, "v", exclude=["position"])
     rows = learn.prepare(series, "v", numbers)
     model = learn.fit_boosted(rows, "v", numbers, trees=5)
     return learn.strongest_by_kind(learn.importance(model.transform(rows), model))

@@ -204,7 +204,7 @@ def short_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fourier_terms",
-    f"WITH {PANEL}, x AS (SELECT k, d, row_number() OVER w - 1 AS t FROM s {_W1}) SELECT k, d, CAST(t AS INTEGER) AS t, "
+    f"WITH {PANEL}, x AS (SELECT k, d, row_number() OVER w - 1 AS t FROM s {_W1}) SELECT k, d, CAST(t AS INTEGER) AS position, "
     + ", ".join(f"round({f}({o} * 2 * pi() * t / {p}), 6) + 0.0 AS {f}_{p}_{o}" for p in (6, 12) for o in (1, 2) for f in ("sin", "cos"))
     + " FROM x",
 )
@@ -284,7 +284,7 @@ _PLACED = "p AS (SELECT k, d, v, row_number() OVER (PARTITION BY k ORDER BY d) -
 _SPLIT = "x AS (SELECT *, CASE WHEN t >= n - least(CAST(floor(n * 0.2::DOUBLE) AS BIGINT), 30) THEN 'test' ELSE 'train' END AS split FROM p)"
 
 
-@query("train_test_tail", f"WITH {PANEL}, {_PLACED}, {_SPLIT} SELECT k, d, v, CAST(t AS INTEGER) AS t, n, split FROM x")
+@query("train_test_tail", f"WITH {PANEL}, {_PLACED}, {_SPLIT} SELECT k, d, v, CAST(t AS INTEGER) AS position, n AS points, split FROM x")
 def train_test_tail(spark: SparkSession, folder: str) -> DataFrame:
     return windows.split_tail(panel(spark, folder), "d", ["k"])
 
@@ -339,10 +339,10 @@ def blocked_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("event_id", "lag_1", "lag_7", "value_shift_m2", "rolling_mean_7"), 6, "rolling_mean_7")
 
 
-@query("blocked_positions", f"SELECT event_id, row_number() OVER ({_EV}) - 1 AS t FROM events")
+@query("blocked_positions", f"SELECT event_id, row_number() OVER ({_EV}) - 1 AS position FROM events")
 def blocked_positions(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events", ["event_id", "ts", "event_type"])
-    return blocks.numbered(events, "ts", ["event_type"]).select("event_id", F.col("t").cast("bigint").alias("t"))
+    return blocks.numbered(events, "ts", ["event_type"]).select("event_id", F.col("position").cast("bigint").alias("position"))
 
 
 @query("blocked_running_mean", f"SELECT event_id, {steady_sql(f'avg(value) OVER ({_EV})', 6)} AS expanding_mean FROM events")
