@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import tidemark.operators.quantiles
 from tidemark.functions import calendar as cal
 from tidemark.functions.predicates import conditions
 from tidemark.operators import clean, joins, profile, sampling, schema
@@ -91,8 +92,10 @@ def test_detect_dates_by_name_or_value(spark):
 
 
 @pytest.mark.parametrize("pick", ["linear", "upper"])
-@pytest.mark.parametrize("limit", [2_000_000, 10])
-def test_quantiles_against_numpy(spark, pick, limit):
+@pytest.mark.parametrize("limit,sampled", [(2_000_000, 20_000_000), (10, 20_000_000), (2_000_000, 10_000)])
+def test_quantiles_against_numpy(spark, pick, limit, sampled, monkeypatch):
+    # A far too small sample: brackets miss their ranks and the full sketch has to step in.
+    monkeypatch.setattr(tidemark.operators.quantiles, "SAMPLE_LEAST", 100)
     rng = np.random.default_rng(3)
     shapes = {
         "flat": rng.uniform(-5, 5, 9000), "heavy": rng.standard_cauchy(7000), "tied": np.where(rng.uniform(size=6000) < 0.7, 0.0, rng.normal(size=6000)),
@@ -100,7 +103,7 @@ def test_quantiles_against_numpy(spark, pick, limit):
     }
     pdf = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in shapes.items()])
     probs = [0.0, 0.1, 0.5, 0.8, 0.975, 1.0]
-    got = order_statistics(spark.createDataFrame(pdf), "v", probs, ["k"], pick=pick, accuracy=200, order_at_once=limit).collect()
+    got = order_statistics(spark.createDataFrame(pdf), "v", probs, ["k"], pick=pick, accuracy=200, order_at_once=limit, sample_above=sampled).collect()
     assert len(got) == len(shapes) * len(probs)
     for r in got:
         v = np.sort(shapes[r["k"]])

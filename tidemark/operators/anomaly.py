@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import attach, join_keys, ordered, whole
+from tidemark.operators.common import attach_series, join_keys, ordered, whole
 from tidemark.operators.sampling import hash_sample
 from tidemark.operators.windows import flagged_runs
 from tidemark.session import cut_lineage
@@ -106,7 +106,7 @@ def weighted_quantile(values: np.ndarray, counts: np.ndarray, prob: float) -> fl
 
 def residual_flags(components: DataFrame, keys: Sequence[str] = (), *, width: float = 2.5, out: str = "anomaly_residual") -> DataFrame:
     """0/1 flag for residuals beyond ``width`` sample deviations of their series."""
-    rows = attach(components, {"__s": F.stddev_samp("residual_component")}, keys)
+    rows = attach_series(components, {"__s": F.stddev_samp("residual_component")}, keys)
     flag = F.abs("residual_component") > width * F.col("__s")
     return rows.withColumn(out, F.coalesce(flag.cast("int"), F.lit(0))).drop("__s")
 
@@ -119,7 +119,7 @@ def deviations(components: DataFrame, value: str, keys: Sequence[str] = (), *, l
     """Expected value (trend + seasonal), deviation, its z-score and ``is_outlier_period``."""
     rows = components.withColumn("expected_value", F.col("trend_component") + F.col("seasonal_component"))
     rows = rows.withColumn("deviation", name(value) - F.col("expected_value"))
-    rows = attach(rows, {"__m": F.avg("deviation"), "__s": F.stddev_samp("deviation")}, keys)
+    rows = attach_series(rows, {"__m": F.avg("deviation"), "__s": F.stddev_samp("deviation")}, keys)
     rows = rows.withColumn("deviation_zscore", F.try_divide(F.col("deviation") - F.col("__m"), F.col("__s")))
     flag = F.coalesce((F.abs("deviation_zscore") > limit).cast("int"), F.lit(0))
     return rows.withColumn("is_outlier_period", flag).drop("__m", "__s")
@@ -171,7 +171,7 @@ def change_point(series: DataFrame, time: str, value: str, keys: Sequence[str] =
 
 
 def _standardised(series: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    rows = attach(series.filter(name(value).isNotNull()), {"__m": F.avg(name(value)), "__v": F.var_pop(name(value))}, keys)
+    rows = attach_series(series.filter(name(value).isNotNull()), {"__m": F.avg(name(value)), "__v": F.var_pop(name(value))}, keys)
     x = (name(value) - F.col("__m")) / F.sqrt(F.nullif(F.col("__v"), F.lit(0.0)))
     return rows.withColumns({"__x": F.coalesce(x, F.lit(0.0)), "__sigma2": F.lit(1.0)}).drop("__m", "__v")
 
@@ -187,7 +187,7 @@ def change_points(
     its time. Penalty values are not comparable with those of kernel cost functions.
     """
     rows = _standardised(series, value, keys).select(*[name(k) for k in keys], name(time), "__x", "__sigma2")
-    rows = attach(rows, {"__n": F.count(F.lit(1))}, keys)
+    rows = attach_series(rows, {"__n": F.count(F.lit(1))}, keys)
     charge = 3.0 * F.ln("__n") if penalty is None else F.lit(penalty)
     rows = cut_lineage(rows.withColumn("__pen", charge).drop("__n"))
     found = None

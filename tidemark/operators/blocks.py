@@ -8,6 +8,7 @@ inside the blocks. Timestamps must be unique per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -17,18 +18,33 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import name
 from tidemark.operators.common import join_keys, require
 
+CHUNK_ROWS = 1_000_000
+MAX_CHUNKS = 10_000
 
-def time_chunks(df: DataFrame, time: str, chunks: int) -> DataFrame:
-    """Add ``__chunk``: about equally full time ranges, from a bounded sketch of the time column."""
+
+def time_chunks(df: DataFrame, time: str, chunks: int | None = None) -> DataFrame:
+    """Add ``__chunk``: time ranges with about equally many rows.
+
+    The cuts come from a sample of a few hundred rows per chunk; they only balance the work, results
+    do not depend on them. Their number follows the row count unless given.
+    """
     micros = F.unix_micros(name(time).cast("timestamp")).cast("double")
     rows = df.filter(name(time).isNotNull()).withColumn("__us", micros)
-    grid = [i / chunks for i in range(1, chunks)]
-    cuts = rows.agg(F.percentile_approx("__us", grid, 20 * chunks).alias("c")).first()["c"] or []
+    n = rows.count()
+    chunks = chunks or min(MAX_CHUNKS, max(1, math.ceil(n / CHUNK_ROWS)))
+    cuts: list[float] = []
+    if chunks > 1:
+        share = 200 * chunks / max(n, 1)
+        picked = rows.sample(share, seed=42) if share < 0.5 else rows
+        grid = [i / chunks for i in range(1, chunks)]
+        cuts = picked.agg(F.percentile_approx("__us", grid, 4 * chunks).alias("c")).first()["c"] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if len(splits) == 2:
+        return rows.drop("__us").withColumn("__chunk", F.lit(0.0))
     return Bucketizer(splits=splits, inputCol="__us", outputCol="__chunk").transform(rows).drop("__us")
 
 
-def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int = 64, out: str = "position") -> DataFrame:
+def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int | None = None, out: str = "position") -> DataFrame:
     """Exact 0-based ``position`` of every row in its series, without a window over the series."""
     require(df, time, *keys)
     cols = [name(k) for k in keys]
@@ -50,7 +66,7 @@ def over_blocks(
     after: int = 0,
     keys: Sequence[str] = (),
     size: int = 100_000,
-    chunks: int = 64,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Apply ``fn(rows, keys)``, whose frames reach at most ``before`` / ``after`` rows, block by block."""
     if size < before + after:
@@ -69,7 +85,7 @@ def over_blocks(
     return fn(spread, [*keys, "__block"]).filter("__block = __own").drop("__block", "__own", "__t")
 
 
-def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int = 64, out: str = "expanding_mean") -> DataFrame:
+def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int | None = None, out: str = "expanding_mean") -> DataFrame:
     """Expanding mean of raw rows: chunk totals give each chunk its start, rows add the rest."""
     cols = [name(k) for k in keys]
     rows = time_chunks(df, time, chunks)
@@ -85,7 +101,7 @@ def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (),
     return joined.withColumn(out, mean).drop("__s", "__c", "__s0", "__c0", "__chunk")
 
 
-def carry_forward(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int = 64, out: str | None = None) -> DataFrame:
+def carry_forward(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int | None = None, out: str | None = None) -> DataFrame:
     """Forward fill of raw rows: the last known value of earlier chunks is handed to the next ones."""
     cols = [name(k) for k in keys]
     rows = time_chunks(df, time, chunks)

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 
 from tidemark.functions.calendar import period_start
 from tidemark.functions.scalars import name
+from tidemark.session import cut_lineage
+
+# Rows of a per-key table that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 100_000
 
 AGGREGATES = {
     "sum": F.sum,
@@ -59,21 +63,35 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def attach(df: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
-    """Add per-key aggregates of ``source`` (default ``df``) as columns.
+def small(table: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """Store a per-key table and mark it for broadcast if its counted rows are few; else Spark decides.
 
-    Without keys the aggregates are one scalar subquery, so no row of ``df`` moves. With keys they
-    are aggregated map-side first and joined back, so a hot key costs one small row, not a window.
+    Joining the raw table with a broadcast side moves none of its rows, however hot a key is.
+    """
+    stored = cut_lineage(table)
+    return F.broadcast(stored) if stored.count() <= at_most else stored
+
+
+def attach(df: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Add per-key aggregates of the rows as columns, for raw tables.
+
+    Without keys the aggregates are one scalar subquery. With keys they are aggregated map-side,
+    stored, and joined back, broadcast if there are few keys. Rows never gather by key in a window.
     """
-    source = df if source is None else source
     if keys:
-        table = source.groupBy(*[name(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
-        return join_keys(df, table, keys, "left")
-    packed = source.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("__stats"))
+        table = df.groupBy(*[name(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
+        return join_keys(df, small(table), keys, "left")
+    packed = df.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("__stats"))
     out = df.withColumn("__stats", packed.scalar())
     return out.withColumns({n: F.col(f"__stats.`{n}`") for n in stats}).drop("__stats")
 
 
+def attach_series(series: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """The same for a series table, whose keys are short: windows that share the shuffle of their neighbours."""
+    every = whole(keys)
+    return series.withColumns({n: c.over(every) for n, c in stats.items()})
+
+
 def to_series(
     df: DataFrame,
     *,
@@ -100,15 +118,15 @@ def to_series(
 
 
 def bounded(series: DataFrame, keys: Sequence[str], max_points: int) -> DataFrame:
-    """Stop with a clear error before a series of more than ``max_points`` rows reaches one task.
+    """Stop with a clear error before a series of more than ``max_points`` rows reaches Python.
 
-    The counts are a map-side aggregate; the check is a filter on them that the join carries along.
+    The count is a spilling window on the partitioning the grouped step needs anyway.
     """
     limit = F.assert_true(
         F.col("__points") <= max_points,
         F.lit(f"a series has more than {max_points} points; aggregate it to a coarser period first"),
     )
-    checked = attach(series, {"__points": F.count(F.lit(1))}, keys)
+    checked = attach_series(series, {"__points": F.count(F.lit(1))}, keys)
     return checked.filter(limit.isNull()).drop("__points")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
+from tidemark.operators.blocks import time_chunks
 from tidemark.operators.common import attach, join_keys, numeric_columns, require, stack_columns
 from tidemark.operators.quantiles import BINS, order_statistics, quantiles
 
@@ -178,7 +179,10 @@ def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float]
     """
     spots = order_statistics(df, value, probs, pick="upper")
     spots = spots.select("prob_id", "prob", F.col("value").alias("__v"), (F.col("rank") - F.col("n_below")).alias("__k"))
-    ties = df.withColumn("__v", name(value).cast("double")).join(spots, "__v")
+    found = spots.collect()
+    few = F.broadcast(df.sparkSession.createDataFrame(found, spots.schema))
+    equal = df.withColumn("__v", name(value).cast("double")).filter(F.col("__v").isin([r["__v"] for r in found]))
+    ties = equal.join(few, "__v")
     u = name(unique).cast("double")
     ties = attach(ties, {"__lo": F.min(u), "__hi": F.max(u)}, ["prob_id"])
     width = F.col("__hi") - F.col("__lo")
@@ -240,18 +244,17 @@ def regression_lines(df: DataFrame, target: str, features: Sequence[str]) -> Dat
     return df.agg(F.array(*[line(c) for c in features]).alias("s")).select(F.inline("s"))
 
 
-def interval_counts(df: DataFrame, time: str, keys: Sequence[str] = (), *, freq: str = "day") -> DataFrame:
+def interval_counts(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int | None = None) -> DataFrame:
     """``keys..., seconds, count`` of the gaps between consecutive timestamps of each key.
 
-    Works on raw rows in two levels: gaps inside a calendar chunk come from a window over the
-    distinct timestamps of that chunk, gaps across chunks from the first and last timestamp of each
-    chunk. Repeated timestamps are counted as zero gaps without being moved.
+    Works on raw rows in two levels: gaps inside a time chunk come from a window over the distinct
+    timestamps of that chunk, gaps across chunks from the first and last timestamp of each chunk.
+    Chunks hold about equally many rows. Repeated timestamps are counted as zero gaps on the way.
     """
     require(df, time, *keys)
     keyed = [name(k) for k in keys]
-    stamps = df.filter(name(time).isNotNull()).groupBy(*keyed, name(time).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
-    unit = {"day": "day", "hour": "hour", "month": "month"}[freq]
-    stamps = stamps.withColumn("__chunk", F.date_trunc(unit, "__t"))
+    rows = time_chunks(df.select(*keyed, name(time)), time, chunks)
+    stamps = rows.groupBy(*keyed, "__chunk", name(time).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
     micros = F.unix_micros(F.col("__t").cast("timestamp"))
     inside = Window.partitionBy(*keyed, "__chunk").orderBy("__t")
     within = stamps.withColumn("__gap", micros - F.lag(micros).over(inside)).filter("__gap is not null")
@@ -267,9 +270,9 @@ def interval_counts(df: DataFrame, time: str, keys: Sequence[str] = (), *, freq:
     return reduce(DataFrame.unionByName, parts).groupBy(*keyed, "seconds").agg(F.sum("count").alias("count"))
 
 
-def infer_frequency(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunk: str = "day") -> DataFrame:
+def infer_frequency(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int | None = None) -> DataFrame:
     """The most frequent gap per key, its count, the sum and number of gaps, and a readable name."""
-    gaps = interval_counts(df, time, keys, freq=chunk)
+    gaps = interval_counts(df, time, keys, chunks=chunks)
     out = gaps.groupBy(*[name(k) for k in keys]).agg(
         F.max_by("seconds", F.struct(F.col("count"), -F.col("seconds"))).alias("seconds"),
         F.max("count").alias("count"),

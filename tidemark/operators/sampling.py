@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import join_keys, numeric_columns, require
+from tidemark.operators.common import join_keys, numeric_columns, require, small
 from tidemark.session import cut_lineage
 
 # Fixed value: the name rare levels are pooled under.
@@ -45,11 +45,11 @@ def _below_cut(df: DataFrame, row_id: str, quota: DataFrame | int, keys: Sequenc
     if isinstance(quota, int):
         cuts = counts.withColumn("k", F.lit(quota))
     else:
-        cuts = join_keys(counts, quota, keys)
+        cuts = join_keys(counts, small(quota), keys)
     reached = cuts.filter("__upto >= k and __upto - __c < k")
     cut = [F.col("__bin").alias("__cut"), (F.col("k") - F.col("__upto") + F.col("__c")).alias("__rest")]
     if keys:
-        rows = join_keys(rows, reached.select(*cols, *cut), keys, "left")
+        rows = join_keys(rows, small(reached.select(*cols, *cut)), keys, "left")
     else:
         edge = reached.select(*cut).first() or (-1, 0)
         rows = rows.withColumns({"__cut": F.lit(edge[0]), "__rest": F.lit(edge[1])})
@@ -64,13 +64,13 @@ def hash_sample(df: DataFrame, n: int, row_id: str) -> DataFrame:
     require(df, row_id)
     if df.count() <= n:
         return df
-    return _below_cut(df, row_id, n, [], 4).filter("__in").drop("__in")
+    return _below_cut(df, row_id, n, [], 5).filter("__in").drop("__in")
 
 
 def hash_split(df: DataFrame, row_id: str, test_share: float = 0.2) -> DataFrame:
     """All rows with ``split``: the first ``ceil(share * n)`` in hash order are the test part."""
     require(df, row_id)
-    marked = _below_cut(df, row_id, math.ceil(df.count() * test_share), [], 4)
+    marked = _below_cut(df, row_id, math.ceil(df.count() * test_share), [], 5)
     return marked.withColumn("split", F.when(F.col("__in"), "test").otherwise("train")).drop("__in")
 
 
@@ -107,8 +107,8 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, row_id: str, *, rare_
     pooled = F.when(F.col("c") < rare_below, F.lit(RARE)).otherwise(F.col("__level").cast("string"))
     levels = cut_lineage(levels.withColumn("__stratum", pooled))
     counts = levels.groupBy("__stratum").agg(F.sum("c").alias("c"))
-    quota = cut_lineage(quotas(counts, "__stratum", n))
-    rows = join_keys(df.withColumn("__level", name(stratum)), levels.drop("c"), ["__level"]).drop("__level")
+    quota = quotas(counts, "__stratum", n)
+    rows = join_keys(df.withColumn("__level", name(stratum)), small(levels.drop("c")), ["__level"]).drop("__level")
     return _below_cut(rows, row_id, quota.drop("c"), ["__stratum"], 3).filter("__in").drop("__in", "__stratum")
 
 

@@ -45,7 +45,7 @@ def analyze(
         "series": series,
         "summary": profile.describe(series, value),
         "missing": profile.missing_values(series),
-        "frequency": profile.infer_frequency(series, time, keys, chunk="month"),
+        "frequency": profile.infer_frequency(series, time, keys),
         "by_month": patterns.mean_by_part(series, time, value, "month", keys=keys),
         "by_weekday": patterns.mean_by_part(series, time, value, "day_of_week", keys=keys),
         "by_year": patterns.mean_by_part(series, time, value, "year", keys=keys),

@@ -565,7 +565,7 @@ _FREQUENCY = (
 )
 def infer_frequency(spark: SparkSession, folder: str) -> DataFrame:
     days = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    return profile.infer_frequency(days, "d", chunk="month")
+    return profile.infer_frequency(days, "d")
 
 
 @query(
