@@ -118,10 +118,13 @@ def test_quantiles_without_rows_or_with_null_keys(spark):
     assert [r["m"] for r in quantiles(df.limit(0), "v", {"m": 0.5}).collect()] in ([], [None])
 
 
-def test_rank_examples_with_a_hot_value(spark):
+@pytest.mark.parametrize("limit", [2_000_000, 100])
+def test_rank_examples_with_a_hot_value(spark, limit):
     df = spark.range(5000).withColumn("v", F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id").cast("double")))
     pdf = df.toPandas().sort_values(["v", "id"]).reset_index(drop=True)
-    for r in profile.rank_examples(df, "v", "id").collect():
+    rows = profile.rank_examples(df, "v", "id", order_at_once=limit).collect()
+    assert len(rows) == 3
+    for r in rows:
         assert r["id"] == pdf["id"][int(r["prob"] * 5000)]
 
 

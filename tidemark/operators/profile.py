@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
 from tidemark.operators.blocks import time_chunks
-from tidemark.operators.common import attach, join_keys, numeric_columns, require, stack_columns
-from tidemark.operators.quantiles import BINS, order_statistics, quantiles
+from tidemark.operators.common import attach, join_keys, numeric_columns, require, small, stack_columns
+from tidemark.operators.quantiles import BINS, ORDER_AT_ONCE, order_statistics, quantiles
 
 
 def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -171,28 +171,33 @@ def boxplot(df: DataFrame, value: str, keys: Sequence[str] = (), *, approx: bool
     )
 
 
-def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float] = (0.1, 0.5, 0.9), *, order_at_once: int = ORDER_AT_ONCE) -> DataFrame:
     """Whole rows at 1-based rank ``int(p * n) + 1`` in (value, unique) order, marked in ``prob``.
 
-    Rows that tie with the value at a rank are ranked by the ``unique`` number in two levels
-    (bins first, then rows of one bin), so a value shared by much of the table stays cheap.
+    Rows that tie with the value at a rank are ranked by the ``unique`` number. Their number is
+    checked first: many ties are counted in bins, and only the bin that holds the rank is ordered.
     """
     spots = order_statistics(df, value, probs, pick="upper")
     spots = spots.select("prob_id", "prob", F.col("value").alias("__v"), (F.col("rank") - F.col("n_below")).alias("__k"))
     found = spots.collect()
     few = F.broadcast(df.sparkSession.createDataFrame(found, spots.schema))
+    u = name(unique).cast("double")
     equal = df.withColumn("__v", name(value).cast("double")).filter(F.col("__v").isin([r["__v"] for r in found]))
     ties = equal.join(few, "__v")
-    u = name(unique).cast("double")
-    ties = attach(ties, {"__lo": F.min(u), "__hi": F.max(u)}, ["prob_id"])
-    width = F.col("__hi") - F.col("__lo")
-    slot = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((u - F.col("__lo")) / width * BINS).cast("int"))).otherwise(F.lit(0))
-    ties = ties.withColumn("__bin", slot)
-    bins = ties.groupBy("prob_id", "__k", "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy("prob_id").orderBy("__bin"))
-    bins = bins.withColumn("__upto", upto).filter("__upto >= __k and __upto - __c < __k")
-    bins = bins.select("prob_id", "__bin", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__nth"))
-    last = join_keys(ties, bins, ["prob_id", "__bin"])
+    ends = ties.groupBy("prob_id").agg(F.min(u).alias("__lo"), F.max(u).alias("__hi"), F.count(F.lit(1)).alias("__c"))
+    ends = F.broadcast(df.sparkSession.createDataFrame(ends.collect(), ends.schema))
+    ties = ties.join(ends, "prob_id").withColumn("__bin", F.lit(0))
+    if ends.filter(F.col("__c") > order_at_once).isEmpty():
+        last = ties.withColumn("__nth", F.col("__k"))
+    else:
+        width = F.col("__hi") - F.col("__lo")
+        slot = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((u - F.col("__lo")) / width * BINS).cast("int"))).otherwise(F.lit(0))
+        ties = ties.withColumn("__bin", slot)
+        bins = ties.groupBy("prob_id", "__k", "__bin").agg(F.count(F.lit(1)).alias("__c"))
+        upto = F.sum("__c").over(Window.partitionBy("prob_id").orderBy("__bin"))
+        bins = bins.withColumn("__upto", upto).filter("__upto >= __k and __upto - __c < __k")
+        bins = bins.select("prob_id", "__bin", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__nth"))
+        last = join_keys(ties, small(bins), ["prob_id", "__bin"])
     nth = F.row_number().over(Window.partitionBy("prob_id", "__bin").orderBy(name(unique)))
     return last.withColumn("__row", nth).filter("__row = __nth").select("prob", *[name(c) for c in df.columns])
 
