@@ -114,7 +114,7 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with part attributes and a train/test mark by hash of the line."""
     lines = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", TARGET, "l_discount", "l_tax", "l_returnflag"])
     parts = table(spark, folder, "part", ["p_partkey", "p_size", "p_retailprice", "p_type"])
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", TARGET, "l_discount", "l_tax", "l_returnflag")
+    line = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", TARGET, "l_discount", "l_tax", "l_returnflag")
     marked = sampling.hash_split(lines.withColumn("line", line), "line")
     joined = marked.join(parts, marked.l_partkey == parts.p_partkey).drop("p_partkey")
     return learn.prepare(joined, TARGET, NUMBERS)
@@ -178,7 +178,7 @@ def shap_global(spark: SparkSession, folder: str) -> DataFrame:
 @query("shap_examples")
 def shap_examples(spark: SparkSession, folder: str) -> DataFrame:
     attributed, names, scored, _ = test_attributions(spark, folder)
-    ranked = scored.select("line", "prediction", F.xxhash64("line").alias("tie"))
+    ranked = scored.select("line", "prediction", F.col("line").alias("tie"))
     examples = rank_examples(ranked, "prediction", "tie")
     return attribution.explain_rows(attribution.long_attributions(attributed, names, ["line"]), examples, ["line"])
 
