@@ -389,7 +389,9 @@ def _model_forecasts(series: DataFrame, grid: DataFrame, time: str, value: str,
 
 def evaluate_models(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, period: int = 12) -> DataFrame:
     """``keys..., model, rmse, mae`` on the last 20 % (at most 30) points of each series."""
-    split = split_tail(series.filter(name(value).isNotNull()), time, keys)
+    # Every model reads the series again; store it once.
+    series = cut_lineage(series.filter(name(value).isNotNull()).select(*[name(k) for k in keys], name(time), name(value)))
+    split = split_tail(series, time, keys)
     train = split.filter("split = 'train'").select(*[name(k) for k in keys], name(time), name(value))
     step = (F.col("position") - (F.col("points") - F.least(F.floor(F.col("points") * 0.2), F.lit(30))) + 1).cast("int")
     test = split.filter("split = 'test'").select(*[name(k) for k in keys], name(time), name(value).alias("actual"), step.alias("step"))
@@ -401,6 +403,7 @@ def evaluate_models(series: DataFrame, time: str, value: str, keys: Sequence[str
 
 def forecast_best(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, periods: int = 12, period: int = 12, freq: str = "day") -> DataFrame:
     """Choose per key the model with the lowest hold-out error, refit on everything, predict ahead."""
+    series = cut_lineage(series.select(*[name(k) for k in keys], name(time), name(value)))
     chosen = best_model(evaluate_models(series, time, value, keys, period=period), keys)
     grid = future_grid(series, time, periods, keys, freq)
     ahead = _model_forecasts(series, grid, time, value, periods, period, keys)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -262,17 +261,20 @@ def interval_counts(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunk
     stamps = rows.groupBy(*keyed, "__chunk", name(time).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
     micros = F.unix_micros(F.col("__t").cast("timestamp"))
     inside = Window.partitionBy(*keyed, "__chunk").orderBy("__t")
-    within = stamps.withColumn("__gap", micros - F.lag(micros).over(inside)).filter("__gap is not null")
-    across = stamps.groupBy(*keyed, "__chunk").agg(F.min(micros).alias("__a"), F.max(micros).alias("__b"))
+    gap = (micros - F.lag(micros).over(inside)) / F.lit(1e6)
+    steps = F.array_compact(
+        F.array(
+            F.when(gap.isNotNull(), F.struct(gap.alias("seconds"), F.lit(1).cast("bigint").alias("count"))),
+            F.when(F.col("__c") > 1, F.struct(F.lit(0.0).alias("seconds"), (F.col("__c") - 1).alias("count"))),
+        )
+    )
+    within = stamps.select(*keyed, steps.alias("__s")).select(*keyed, F.inline("__s"))
+    raw = F.unix_micros(name(time).cast("timestamp"))
+    across = rows.groupBy(*keyed, "__chunk").agg(F.min(raw).alias("__a"), F.max(raw).alias("__b"))
     before = F.lag("__b").over(Window.partitionBy(*keyed).orderBy("__chunk"))
-    across = across.withColumn("__gap", F.col("__a") - before).filter("__gap is not null")
-    seconds = (F.col("__gap") / F.lit(1e6)).alias("seconds")
-    parts = [
-        within.groupBy(*keyed, seconds).agg(F.count(F.lit(1)).alias("count")),
-        across.groupBy(*keyed, seconds).agg(F.count(F.lit(1)).alias("count")),
-        stamps.filter("__c > 1").groupBy(*keyed, F.lit(0.0).alias("seconds")).agg((F.sum("__c") - F.count(F.lit(1))).alias("count")),
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keyed, "seconds").agg(F.sum("count").alias("count"))
+    across = across.select(*keyed, ((F.col("__a") - before) / F.lit(1e6)).alias("seconds"), F.lit(1).cast("bigint").alias("count"))
+    steps = within.unionByName(across.filter("seconds is not null"))
+    return steps.groupBy(*keyed, "seconds").agg(F.sum("count").alias("count"))
 
 
 def infer_frequency(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int | None = None) -> DataFrame:
