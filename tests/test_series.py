@@ -309,6 +309,9 @@ def test_event_impact_sees_a_jump(spark):
     enough = by_key(impact.event_windows(df, "d", START + timedelta(days=195), ["k"]), "sufficient")
     assert enough == {"jump": False, "none": False}
     assert impact.snap_event(df, "d", date(2030, 1, 1)) == START + timedelta(days=199)
+    assert impact.snap_event(df, "d", START, strict=True) == START
+    with pytest.raises(ValueError, match="no observation"):
+        impact.snap_event(df, "d", date(2030, 1, 1), strict=True)
 
 
 # --- streams -----------------------------------------------------------------------------------

@@ -120,13 +120,15 @@ def to_series(
 def bounded(series: DataFrame, keys: Sequence[str], max_points: int) -> DataFrame:
     """Stop with a clear error before a series of more than ``max_points`` rows reaches Python.
 
-    The count is a spilling window on the partitioning the grouped step needs anyway.
+    With keys the count is a spilling window on the partitioning the grouped step needs anyway;
+    without keys it is a scalar subquery, known before any row moves.
     """
     limit = F.assert_true(
         F.col("__points") <= max_points,
         F.lit(f"a series has more than {max_points} points; aggregate it to a coarser period first"),
     )
-    checked = attach_series(series, {"__points": F.count(F.lit(1))}, keys)
+    points = {"__points": F.count(F.lit(1))}
+    checked = attach_series(series, points, keys) if keys else attach(series, points)
     return checked.filter(limit.isNull()).drop("__points")
 
 

@@ -14,13 +14,19 @@ from tidemark.operators.common import require
 from tidemark.operators.joins import nearest_dates
 
 
-def snap_event(series: DataFrame, time: str, event: date) -> date | None:
-    """The observed date nearest to the event (one number comes back to the driver)."""
+def snap_event(series: DataFrame, time: str, event: date, *, strict: bool = False) -> date | None:
+    """The observed date nearest to the event; ``strict`` accepts only the date itself."""
     row = nearest_dates(series, time, [event]).first()
-    return row["nearest"] if row else None
+    nearest = row["nearest"] if row else None
+    if strict and nearest != event:
+        raise ValueError(f"no observation on {event}; the nearest one is on {nearest}")
+    return nearest
 
 
-def event_windows(series: DataFrame, time: str, event: date, keys: Sequence[str] = ()) -> DataFrame:
+def event_windows(
+    series: DataFrame, time: str, event: date, keys: Sequence[str] = (), *,
+    least: tuple[int, int] = (30, 10), shares: tuple[float, float] = (0.3, 0.1),
+) -> DataFrame:
     """Points before and from the event on, the recommended minimum of each, and whether it is met."""
     require(series, time, *keys)
     before = name(time) < F.lit(event)
@@ -29,8 +35,8 @@ def event_windows(series: DataFrame, time: str, event: date, keys: Sequence[str]
     )
     out = out.withColumns(
         {
-            "min_pre": F.greatest(F.lit(30), F.floor(F.col("n") * 0.3)).cast("bigint"),
-            "min_post": F.greatest(F.lit(10), F.floor(F.col("n") * 0.1)).cast("bigint"),
+            "min_pre": F.greatest(F.lit(least[0]), F.floor(F.col("n") * shares[0])).cast("bigint"),
+            "min_post": F.greatest(F.lit(least[1]), F.floor(F.col("n") * shares[1])).cast("bigint"),
         }
     )
     return out.withColumn("sufficient", (F.col("pre") >= F.col("min_pre")) & (F.col("post") >= F.col("min_post")))

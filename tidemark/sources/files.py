@@ -55,13 +55,12 @@ def table(spark: SparkSession, folder: str, table_name: str, columns: Sequence[s
 def store(df: DataFrame, path: str, *, time: str | None = None, freq: str = "month", mode: str = "overwrite") -> None:
     """Normalise and write as Parquet; with ``time`` the files are partitioned by period.
 
-    Rows are first spread by period and a hash of the time, so one busy period is written by many
-    tasks and a quiet one by few.
+    Rows are rebalanced by period first: Spark splits a busy period over many tasks and lets quiet
+    ones share a task, so files come out of about equal size.
     """
     clean = normalize_for_storage(df)
     if time is None:
         clean.write.mode(mode).parquet(path)
         return
     marked = clean.withColumn("period", period_start(name(time), freq).cast("string"))
-    spread = marked.repartition(F.col("period"), F.xxhash64(name(time)) % 8)
-    spread.write.mode(mode).partitionBy("period").parquet(path)
+    marked.hint("rebalance", F.col("period")).write.mode(mode).partitionBy("period").parquet(path)
