@@ -62,9 +62,9 @@ _DAYS = "['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(d)]"
 
 
 def _pattern(key: str, parts: list[str], select: str, group: str) -> None:
-    @query(key, f"WITH {DAILY} SELECT {select}, round(avg(v), 4) AS mean, count(v) AS count FROM s GROUP BY {group}")
+    @query(key, f"WITH {DAILY} SELECT {select}, {steady_sql('avg(v)', 4)} AS mean, count(v) AS count FROM s GROUP BY {group}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(patterns.mean_by_part(daily(spark, folder), "d", "v", *parts), 4, "mean")
+        return steady(patterns.mean_by_part(daily(spark, folder), "d", "v", *parts), 4, "mean")
 
 
 _Y, _M, _W = "CAST(year(d) AS INTEGER) AS year", "CAST(month(d) AS INTEGER) AS month", "CAST(isodow(d) - 1 AS INTEGER) AS day_of_week"
@@ -82,11 +82,11 @@ _pattern("pattern_year_dow", ["year", "day_of_week"], f"{_Y}, {_W}, any_value({_
 @query(
     "pivot_dow_month",
     f"WITH {DAILY} SELECT CAST(isodow(d) - 1 AS INTEGER) AS day_of_week, "
-    + ", ".join(f"round(avg(v) FILTER (month(d) = {m}), 4) AS m{m}" for m in range(1, 13))
+    + ", ".join(f"{steady_sql(f'avg(v) FILTER (month(d) = {m})', 4)} AS m{m}" for m in range(1, 13))
     + " FROM s GROUP BY 1",
 )
 def pivot_dow_month(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(patterns.pivot_weekday_month(daily(spark, folder), "d", "v"), 4, *[f"m{m}" for m in range(1, 13)])
+    return steady(patterns.pivot_weekday_month(daily(spark, folder), "d", "v"), 4, *[f"m{m}" for m in range(1, 13)])
 
 
 @query("seasonal_plot", f"WITH {DAILY} SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, d, v FROM s")
