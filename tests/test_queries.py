@@ -5,7 +5,6 @@ from compare import check, connection
 
 import __spark_entry__ as entry
 
-SLOW = {"cluster_sample"}
 WITH_SQL = sorted(entry.oracle_sql())
 ROWS_ONLY = ["adf_test", "stl_decomposition", "holt_winters", "arima_111", "additive_forecast", "event_verdict", "decompose_extrapolated"]
 

@@ -121,10 +121,6 @@ def smooth_centered(series: DataFrame, time: str, value: str, size: int = 7, key
     return series.withColumn(out or f"{value}_smoothed", F.when(v == 0, F.lit(0.0)).otherwise(F.coalesce(mean, F.lit(0.0))))
 
 
-def holdout_size(n: Column, share: float = 0.2, at_most: int = 30) -> Column:
-    return F.least(F.floor(n * share), F.lit(at_most)).cast("int")
-
-
 def split_tail(series: DataFrame, time: str, keys: Sequence[str] = (), *, share: float = 0.2, at_most: int | None = 30) -> DataFrame:
     """Mark the last rows of each series ``test`` and the rest ``train``; adds ``position`` and ``points``."""
     n = F.count(F.lit(1)).over(whole(keys))

@@ -107,7 +107,7 @@ TARGET = "l_extendedprice"
 NUMBERS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TEXTS = ["l_returnflag", "p_type"]
 TREES = 10
-_fitted: dict[tuple[str, str], object] = {}
+_fitted: dict[tuple[str, str], tuple] = {}
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,10 +123,10 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
 def fitted(spark: SparkSession, folder: str):
     """(wide table, model), fitted once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
-    rows = wide(spark, folder)
     if key not in _fitted:
-        _fitted[key] = learn.fit_boosted(rows.filter("split = 'train'"), TARGET, NUMBERS, TEXTS, trees=TREES)
-    return rows, _fitted[key]
+        rows = wide(spark, folder)
+        _fitted[key] = rows, learn.fit_boosted(rows.filter("split = 'train'"), TARGET, NUMBERS, TEXTS, trees=TREES)
+    return _fitted[key]
 
 
 @query("gbt_predict")
@@ -156,7 +156,7 @@ def gbt_lag_importance(spark: SparkSession, folder: str) -> DataFrame:
     return learn.strongest_by_kind(learn.importance(model.transform(rows), model))
 
 
-def test_attributions(spark: SparkSession, folder: str):
+def attributed_rows(spark: SparkSession, folder: str):
     rows, model = fitted(spark, folder)
     scored = model.transform(rows.filter("split = 'test'"))
     names = learn.feature_names(scored)
@@ -165,19 +165,19 @@ def test_attributions(spark: SparkSession, folder: str):
 
 @query("shap_values")
 def shap_values(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, names, _, _ = test_attributions(spark, folder)
+    attributed, names, _, _ = attributed_rows(spark, folder)
     return attribution.long_attributions(attributed, names, ["line"])
 
 
 @query("shap_global")
 def shap_global(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, names, _, _ = test_attributions(spark, folder)
+    attributed, names, _, _ = attributed_rows(spark, folder)
     return attribution.global_attribution(attribution.long_attributions(attributed, names, ["line"]))
 
 
 @query("shap_examples")
 def shap_examples(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, names, scored, _ = test_attributions(spark, folder)
+    attributed, names, scored, _ = attributed_rows(spark, folder)
     ranked = scored.select("line", "prediction", F.col("line").alias("tie"))
     examples = rank_examples(ranked, "prediction", "tie")
     return attribution.explain_rows(attribution.long_attributions(attributed, names, ["line"]), examples, ["line"])
@@ -185,7 +185,7 @@ def shap_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("shap_dependence")
 def shap_dependence(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, names, scored, model = test_attributions(spark, folder)
+    attributed, names, scored, model = attributed_rows(spark, folder)
     return learn.dependence(attribution.long_attributions(attributed, names, ["line"]), learn.importance(scored, model))
 
 
