@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, mixing, quality, url_filter
+from tidemark.llm import html_text, mixing, packing, quality, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -29,6 +29,20 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Sequences of 2048 tokens; the tokenizer's files lie on every machine."""
+    import public_tokenizers
+
+    files = {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    return packing.pack_documents(docs, capacity=2048, end_id=0, pattern=public_tokenizers.PATTERN, **files)
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    out = packed(read(spark, folder, "documents", "doc_id", "text"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs, share=1.5, weights=(5.0, 2.0, 1.0), limit=2)
 
