@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, mixing, packing, quality, url_filter
+from tidemark.llm import html_text, mixing, packing, quality, simhash, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -92,6 +92,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return out.drop("entry")
 
 
+@query("op7_simhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), shingle=4, seed=42, radius=4)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.judge(read(spark, folder, "documents", "doc_id", "text", "source"))
