@@ -39,6 +39,8 @@ NOISE = frozenset(
     "complementary search copyright legal".split()
 )
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
+# Votes of at most so many (host, path) pairs are broadcast to the pages.
+BROADCAST_VOTES = 100_000
 SPACE = re.compile(r"\s+")
 
 
@@ -136,31 +138,34 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     ignored. Votes are aggregated map-side, so a hot host costs one row per task and path.
     """
     base = pages.select(named(id_col).alias("id"), named(url_col).alias("url"), named(html_col).alias("html"))
+    base = base.withColumn("host", host_of(F.col("url")))
 
-    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for id_, url, source in zip(f["id"], f["url"], f["html"], strict=True):
-                found = blocks_of(source) if isinstance(source, str) else []
-                rows.append((id_, url, [{"path": p, "text": t} for p, t, _ in found], [{"path": p, "score": s} for p, s in scored(found)]))
-            yield pd.DataFrame(rows, columns=["id", "url", "blocks", "paths"])
+            best = [(h, s[0][0]) for h, source in zip(f["host"], f["html"], strict=True) if (s := scored(blocks_of(source or "")))]
+            yield pd.DataFrame(best, columns=["host", "path"])
 
-    kinds = dict(base.dtypes)
-    parsed = base.mapInPandas(
-        candidates, f"id {kinds['id']}, url {kinds['url']}, blocks array<struct<path:string,text:string>>, paths array<struct<path:string,score:double>>"
-    ).withColumn("host", host_of(F.col("url")))
-    parsed = cut_lineage(parsed)
-    voted = parsed.select("host", F.get("paths", F.lit(0)).alias("best")).filter("best.score > 0")
+    votes = base.select("host", "html").mapInPandas(vote, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     # A path with one vote cannot beat a page's own best, so the list per host holds shared paths only.
-    votes = voted.groupBy("host", F.col("best.path").alias("path")).agg(F.count(F.lit(1)).alias("votes")).filter("votes > 1")
+    votes = cut_lineage(votes.filter("votes > 1"))
     ranked = votes.groupBy("host").agg(F.reverse(F.sort_array(F.collect_list(F.struct("votes", "path")))).alias("ranked"))
-    joined = parsed.join(ranked, "host", "left")
-    own = F.transform("paths", lambda p: p["path"])
-    winner = F.get(F.filter(F.transform("ranked", lambda r: r["path"]), lambda p: F.array_contains(own, p)), F.lit(0))
-    joined = joined.withColumn("container", F.coalesce(winner, F.get("paths", F.lit(0))["path"]))
-    inside = F.filter("blocks", lambda b: (b["path"] == F.col("container")) | b["path"].startswith(F.concat("container", F.lit("/"))))
-    text = F.array_join(F.transform(F.when(F.col("container").isNull(), F.col("blocks")).otherwise(inside), lambda b: b["text"]), " ")
-    joined = joined.withColumn("text", F.coalesce(text, F.lit("")))
-    return joined.select(
-        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "container"
-    )
+    ranked = ranked.select("host", F.transform("ranked", lambda r: r["path"]).alias("ranked"))
+    # Pages do not move by host unless there are very many hosts.
+    ranked = F.broadcast(ranked) if votes.count() <= BROADCAST_VOTES else ranked
+
+    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for source, paths in zip(f["html"], f["ranked"], strict=True):
+                blocks = blocks_of(source or "")
+                own = scored(blocks)
+                known = {p for p, _ in own}
+                container = next((p for p in (paths if paths is not None else ()) if p in known), own[0][0] if own else "")
+                inside = [t for p, t, _ in blocks if not container or p == container or p.startswith(container + "/")]
+                rows.append((" ".join(inside), container))
+            yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": [t for t, _ in rows], "container": [c for _, c in rows]})
+
+    kinds = dict(base.dtypes)
+    joined = base.join(ranked, "host", "left").select("id", "url", "html", "ranked")
+    found = joined.mapInPandas(extract, f"id {kinds['id']}, url {kinds['url']}, text string, container string")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "container")
