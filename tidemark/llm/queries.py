@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, mixing, packing, quality, simhash, url_filter
+from tidemark.llm import html_text, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -43,6 +43,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup.dedup_passages(read(spark, folder, "documents", "doc_id", "text"), length=35)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(read(spark, folder, "documents", "doc_id", "text"), length=50)
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs, share=1.5, weights=(5.0, 2.0, 1.0), limit=2)
 
