@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import embedding_dedup, html_text, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -72,6 +72,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(read(spark, folder, "embeddings", "vec_id", "embedding", "label"), cosine=0.98)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 def listed_urls(spark: SparkSession) -> DataFrame:
     """The rules and the listed canonical URLs of the query."""
     domains = [("block", f"{name}.example.{zone}", "/", False) for name in LISTED_NAMES for zone in LISTED_ZONES]
