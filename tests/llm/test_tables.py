@@ -7,7 +7,7 @@ from compare import check, connection
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.llm import html_text, mixing, quality, url_filter
+from tidemark.llm import html_text, line_dedup, mixing, quality, url_filter
 from tidemark.llm.queries import listed_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, `a.b` string"
@@ -22,7 +22,7 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
-@pytest.mark.parametrize("name", ["op6_url_filter"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op6_url_filter"])
 def test_sql(spark, folder, name):
     problem, _, _ = check(spark, connection(folder), name, entry.queries()[name], entry.oracle_sql()[name], folder)
     assert problem is None
@@ -152,3 +152,35 @@ def test_other_layouts(spark):
     want = [(i, article) for i in range(4)] + [(9, ""), (10, ""), (11, "plain <text>"), (11, "plain <text>"), (None, "cut off")]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert html_text.extract_main(pages.limit(0)).count() == 0
+
+
+def plain_lines(rows, least):
+    """rows: (id, text), each row a document of its own; which lines of each stay."""
+    seen, out = set(), []
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        lines = (rows[i][1] or "").split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        gone = set()
+        for p in range(len(at) - least + 1):
+            run = tuple(lines[k].strip(" \t\r\x0b\x0c") for k in at[p : p + least])
+            if run in seen:
+                gone.update(at[p : p + least])
+            seen.add(run)
+        out.append((rows[i][0], None if rows[i][1] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_line_runs(spark, least):
+    rng = np.random.default_rng(least)
+    rows = [(int(i) if i else None, "\n".join(str(rng.choice(["a", " a ", "b", "c\r", "", "d"])) for _ in range(rng.integers(0, 14)))) for i in range(60)]
+    docs = spark.createDataFrame([(*r, None, None, None, None, None) for r in rows], DOCS)
+    got = line_dedup.dedup_lines(docs, least_lines=least).collect()
+    assert sorted([(r.doc_id, r.l_text, r.l_removed) for r in got], key=str) == plain_lines(rows, least)
+
+
+def test_lines_odd(spark):
+    docs = odd_docs(spark)
+    got = {(r.doc_id, r.l_text, r.l_removed, r.l_lines) for r in line_dedup.dedup_lines(docs).collect()}
+    assert (1, None, 0, 0) in got and (3, "one two\nthree", 0, 2) in got and len(got) == 7
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, html_text, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -78,6 +78,43 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("id", "vec_id")
 
 
+@query(
+    "op5_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, generate_subscripts(x, 1) - 1 AS ln, unnest(x) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+    ),
+    full_lines AS (
+        SELECT doc_id, ln, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s,
+               row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS place
+        FROM lines WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
+    ),
+    pairs AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY place) AS s2 FROM full_lines),
+    later AS (
+        SELECT doc_id, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, place) AS n FROM pairs WHERE s2 IS NOT NULL
+        ) WHERE n > 1
+    ),
+    gone AS (SELECT doc_id, place FROM later UNION SELECT doc_id, place + 1 FROM later),
+    marked AS (SELECT g.doc_id, f.ln, g.place, g.place - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.place) AS island
+               FROM gone g JOIN full_lines f ON g.doc_id = f.doc_id AND g.place = f.place),
+    kept AS (
+        SELECT l.doc_id, count(*) AS n_lines, count(m.ln) AS n_removed, count(DISTINCT m.island) AS n_runs,
+               coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE m.ln IS NULL), '') AS kept
+        FROM lines l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.ln = m.ln GROUP BY 1
+    )
+    SELECT doc_id, n_lines, n_removed, n_runs, sha256(kept) AS kept_sha256 FROM kept
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, folder, "documents", "doc_id", "text"), least_lines=2)
+    return out.select(
+        "doc_id", F.col("l_lines").alias("n_lines"), F.col("l_removed").alias("n_removed"), F.col("l_runs").alias("n_runs"),
+        F.sha2("l_text", 256).alias("kept_sha256"),
+    )
+
+
 def listed_urls(spark: SparkSession) -> DataFrame:
     """The rules and the listed canonical URLs of the query."""
     domains = [("block", f"{name}.example.{zone}", "/", False) for name in LISTED_NAMES for zone in LISTED_ZONES]
