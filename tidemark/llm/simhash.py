@@ -22,9 +22,9 @@ from tidemark.llm.shared import components, cut_lineage, local_roots, named, rag
 from tidemark.llm.texts import SLICE_BYTES
 
 # A bucket of more fingerprints is dealt over tiles, and every two of its tiles meet.
-TILE = 2048
+TILE = 1 << 13
 # Rows of a comparison task; fingerprints expected per bucket by chance; comparisons of a fingerprint with a word at a time.
-PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 64, 1 << 17, 1024
+PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 LANE_LIMIT = 255
@@ -76,7 +76,7 @@ def with_fingerprint(docs: DataFrame, *, id_col: str, text_col: str, shingle: in
 def tables_for(rows: int, radius: int, bits: int = 64) -> list[list[tuple[int, int]]]:
     """Choices of bit ranges: two fingerprints within the radius agree on all ranges of at least one choice.
 
-    More blocks make the agreeing part longer; the fewest are taken that leave about BUCKET_ROWS random rows in a bucket.
+    More blocks make the agreeing part longer; the fewest are taken that leave at most BUCKET_ROWS random rows in a bucket.
     """
     for same in range(1, 6):
         edges = np.linspace(0, bits, radius + same + 1).astype(int)
