@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import name
+
 # Labels used by every month / weekday report.
 MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 DAY_LABELS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
@@ -57,7 +59,7 @@ def _flag(condition: Column) -> Column:
 
 def calendar_features(df: DataFrame, time: str) -> DataFrame:
     """The 14 calendar columns of the analysis dialect (Monday = 0, ISO weeks)."""
-    day = F.to_date(F.col(time))
+    day = F.to_date(name(time))
     month = F.month(day)
     last = F.last_day(day)
     return df.withColumns(
@@ -86,7 +88,7 @@ def calendar_features_sunday(df: DataFrame, time: str) -> DataFrame:
     A value that is not a date gives nulls. The week number keeps the time of day, as the dashboard
     formula does, so a Saturday afternoon already counts to the following week.
     """
-    stamp = F.col(time).cast("timestamp_ntz")
+    stamp = name(time).cast("timestamp_ntz")
     day = F.to_date(stamp)
     new_year = F.trunc(day, "year")
     seconds = F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)

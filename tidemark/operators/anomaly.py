@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -177,37 +178,32 @@ def _standardised(series: DataFrame, value: str, keys: Sequence[str]) -> DataFra
 
 
 def change_points(
-    series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, penalty: float | None = None, least: int = 2, levels: int = 12
+    series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, penalty: float | None = None, least: int = 2
 ) -> DataFrame:
     """All mean shifts by binary segmentation: ``keys..., time, gain, level``.
 
-    Each level looks for one more split in every segment of all series in one job, until none gains
-    more than the penalty (default ``3 ln n`` on the standardised series). Between levels only the
-    accepted splits are kept, in the checkpoint folder; a row's segment is the number of splits up to
-    its time. Penalty values are not comparable with those of kernel cost functions.
+    Each level looks for one more split in every open segment of all series in one job, until no segment
+    gains more than the penalty (default ``3 ln n`` on the standardised series). A row carries the start of its
+    segment; only rows of segments that were split go on to the next level. Penalty values are not
+    comparable with those of kernel cost functions.
     """
     rows = _standardised(series, value, keys).select(*[name(k) for k in keys], name(time), "__x", "__sigma2")
     rows = attach_series(rows, {"__n": F.count(F.lit(1))}, keys)
     charge = 3.0 * F.ln("__n") if penalty is None else F.lit(penalty)
-    rows = cut_lineage(rows.withColumn("__pen", charge).drop("__n"))
+    kind = series.schema[time].dataType
+    open_ = cut_lineage(rows.withColumns({"__pen": charge, "__seg": F.lit(None).cast(kind)}).drop("__n"))
+    columns = [*[name(k) for k in keys], F.col("time").alias(time), "gain", "level"]
     found = None
-    for level in range(1, levels + 1):
-        if found is None:
-            placed = rows.withColumn("__seg", F.lit(0))
-        else:
-            cuts = found.groupBy(*[name(k) for k in keys]).agg(F.collect_list(name(time)).alias("__cuts"))
-            placed = join_keys(rows, cuts, keys) if keys else rows.withColumn("__cuts", cuts.scalar())
-            earlier = F.size(F.filter("__cuts", lambda c: c <= name(time)))
-            placed = placed.withColumn("__seg", earlier).drop("__cuts")
-        best = _best_splits(placed, time, [*keys, "__seg"], least).filter(F.col("gain") > F.col("pen"))
-        best = best.select(*[name(k) for k in keys], F.col("time").alias(time), "gain", F.lit(level).alias("level"))
-        best = cut_lineage(best)
+    for level in itertools.count(1):
+        best = _best_splits(open_, time, [*keys, "__seg"], least).filter(F.col("gain") > F.col("pen"))
+        best = cut_lineage(best.withColumn("level", F.lit(level)))
+        found = best.select(*columns) if found is None else found.unionByName(best.select(*columns))
         if best.isEmpty():
-            break
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return rows.select(*[name(k) for k in keys], name(time), F.lit(0.0).alias("gain"), F.lit(0).alias("level")).limit(0)
-    return found
+            return found
+        cuts = best.select(*[name(k) for k in keys], "__seg", F.col("time").alias("__cut"))
+        split = join_keys(open_, cuts, [*keys, "__seg"])
+        right = F.when(name(time) >= F.col("__cut"), F.col("__cut")).otherwise(F.col("__seg"))
+        open_ = cut_lineage(split.withColumn("__seg", right).drop("__cut"))
 
 
 def flag_change_points(series: DataFrame, points: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,8 @@
 A plain window puts all rows of a key into one task. Here rows get an exact position from block
 counts, blocks of equal row count are formed from the positions, and the rows near a block's edge
 are copied into the neighbour, so any window function with a fixed frame gives the same result
-inside the blocks. Timestamps must be unique per key.
+inside the blocks. Timestamps must be unique per key; rows without one have no place in the order, so they
+are kept with a null result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from tidemark.functions.scalars import name
 from tidemark.operators.common import join_keys, require
 
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 10_000
+
+
+def with_untimed(out: DataFrame, df: DataFrame, time: str) -> DataFrame:
+    """``out`` and the rows of ``df`` without a time, with nulls in the columns that were added."""
+    return out.unionByName(df.filter(name(time).isNull()), allowMissingColumns=True)
 
 
 def time_chunks(df: DataFrame, time: str, chunks: int | None = None) -> DataFrame:
@@ -31,7 +36,7 @@ def time_chunks(df: DataFrame, time: str, chunks: int | None = None) -> DataFram
     micros = F.unix_micros(name(time).cast("timestamp")).cast("double")
     rows = df.filter(name(time).isNotNull()).withColumn("__us", micros)
     n = rows.count()
-    chunks = chunks or min(MAX_CHUNKS, max(1, math.ceil(n / CHUNK_ROWS)))
+    chunks = chunks or max(1, math.ceil(n / CHUNK_ROWS))
     cuts: list[float] = []
     if chunks > 1:
         share = 200 * chunks / max(n, 1)
@@ -54,7 +59,8 @@ def numbered(df: DataFrame, time: str, keys: Sequence[str] = (), *, chunks: int
     offsets = counts.select(*cols, "__chunk", earlier.alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*cols, "__chunk").orderBy(name(time)))
     placed = join_keys(rows.withColumn("__row", inside), offsets, [*keys, "__chunk"])
-    return placed.withColumn(out, F.col("__before") + F.col("__row") - 1).drop("__before", "__row", "__chunk")
+    placed = placed.withColumn(out, F.col("__before") + F.col("__row") - 1).drop("__before", "__row", "__chunk")
+    return with_untimed(placed, df, time)
 
 
 def over_blocks(
@@ -71,7 +77,7 @@ def over_blocks(
     """Apply ``fn(rows, keys)``, whose frames reach at most ``before`` / ``after`` rows, block by block."""
     if size < before + after:
         raise ValueError("blocks must be at least as long as the frame")
-    rows = numbered(df, time, keys, chunks=chunks, out="__t")
+    rows = numbered(df.filter(name(time).isNotNull()), time, keys, chunks=chunks, out="__t")
     own = F.floor(F.col("__t") / size)
     place = F.col("__t") % size
     copies = F.array_compact(
@@ -82,7 +88,7 @@ def over_blocks(
         )
     )
     spread = rows.withColumn("__own", own).withColumn("__block", F.explode(copies))
-    return fn(spread, [*keys, "__block"]).filter("__block = __own").drop("__block", "__own", "__t")
+    return with_untimed(fn(spread, [*keys, "__block"]).filter("__block = __own").drop("__block", "__own", "__t"), df, time)
 
 
 def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int | None = None, out: str = "expanding_mean") -> DataFrame:
@@ -98,11 +104,11 @@ def running_mean(df: DataFrame, time: str, value: str, keys: Sequence[str] = (),
     part = rows.withColumns({"__s": F.coalesce(F.sum(name(value)).over(frame), F.lit(0.0)), "__c": F.count(name(value)).over(frame)})
     joined = join_keys(part, starts, [*keys, "__chunk"])
     mean = F.try_divide(F.col("__s0") + F.col("__s"), (F.col("__c0") + F.col("__c")).cast("double"))
-    return joined.withColumn(out, mean).drop("__s", "__c", "__s0", "__c0", "__chunk")
+    return with_untimed(joined.withColumn(out, mean).drop("__s", "__c", "__s0", "__c0", "__chunk"), df, time)
 
 
 def carry_forward(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, chunks: int | None = None, out: str | None = None) -> DataFrame:
-    """Forward fill of raw rows: the last known value of earlier chunks is handed to the next ones."""
+    """Forward fill of raw rows (rows without a time keep their own value): the last known value of earlier chunks is handed to the next ones."""
     cols = [name(k) for k in keys]
     rows = time_chunks(df, time, chunks)
     known = F.when(name(value).isNotNull(), name(time))
@@ -112,4 +118,4 @@ def carry_forward(df: DataFrame, time: str, value: str, keys: Sequence[str] = ()
     frame = Window.partitionBy(*cols, "__chunk").orderBy(name(time)).rowsBetween(Window.unboundedPreceding, 0)
     part = rows.withColumn("__v", F.last(name(value), ignorenulls=True).over(frame))
     joined = join_keys(part, starts, [*keys, "__chunk"])
-    return joined.withColumn(out or value, F.coalesce("__v", "__v0")).drop("__v", "__v0", "__chunk")
+    return with_untimed(joined.withColumn(out or value, F.coalesce("__v", "__v0")).drop("__v", "__v0", "__chunk"), df, time)

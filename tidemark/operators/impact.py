@@ -100,10 +100,6 @@ def event_impact(series: DataFrame, time: str, value: str, event: date, keys: Se
 
 def verdict(impact: DataFrame, target: str) -> DataFrame:
     """A sentence per row of :func:`event_impact`."""
-    direction = F.when(F.col("relative_effect") > 0, "positive").otherwise("negative")
-    clear = F.when(F.col("p_value") < 0.05, "statistically significant").otherwise("not statistically significant")
-    text = F.format_string(
-        f"The event had a %s impact of %.2f%% on {target}, which is %s (p = %.4f).",
-        direction, F.abs("relative_effect") * 100, clear, F.col("p_value"),
-    )
-    return impact.withColumn("verdict", text)
+    change = F.format_string("%s %+.2f%% against expectation", F.lit(target), F.col("relative_effect") * 100)
+    doubt = F.when(F.col("p_value") < 0.05, "beyond chance at 5%").otherwise("within chance at 5%")
+    return impact.withColumn("verdict", F.format_string("%s; %s, p=%.4f", change, doubt, F.col("p_value")))

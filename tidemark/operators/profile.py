@@ -130,7 +130,7 @@ def time_span(df: DataFrame, time: str) -> DataFrame:
 
 
 def percent_change_ends(series: DataFrame, time: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Change in percent from the first to the last positive value; 100 when there was none before."""
+    """Change in percent from the first to the last positive value; null without a positive value."""
     v, t = name(value), name(time)
     up = F.when(v > 0, t)
     out = series.groupBy(*[name(k) for k in keys]).agg(
@@ -141,11 +141,16 @@ def percent_change_ends(series: DataFrame, time: str, value: str, keys: Sequence
 
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 30) -> DataFrame:
-    """Counts per key in ``bins`` equal classes between the smallest and largest value of the table."""
+    """Counts per key in ``bins`` equal classes between the smallest and largest finite value of the table.
+
+    Class 0 holds minus infinity, class ``bins + 1`` infinity and NaN.
+    """
     v = name(value).cast("double")
-    rows = attach(df.filter(v.isNotNull()), {"__lo": F.min(v), "__hi": F.max(v)})
+    finite = F.when((F.abs(v) < float("inf")) & ~F.isnan(v), v)
+    rows = attach(df.filter(v.isNotNull()), {"__lo": F.min(finite), "__hi": F.max(finite)})
     width = F.col("__hi") - F.col("__lo")
     bucket = F.when(width > 0, F.least(F.lit(bins), F.floor(F.lit(float(bins)) * (v - F.col("__lo")) / width) + 1)).otherwise(F.lit(1))
+    bucket = F.when(v == float("-inf"), F.lit(0)).when((v == float("inf")) | F.isnan(v), F.lit(bins + 1)).otherwise(bucket)
     return rows.groupBy(*[name(k) for k in keys], bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 
 

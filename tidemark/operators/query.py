@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import conditions
@@ -32,6 +32,21 @@ def sort_rows(df: DataFrame, by: str, *, descending: bool = False, unique: Seque
     return df.orderBy(first, *[name(c).asc_nulls_last() for c in unique])
 
 
+def _behind(columns: Sequence[str], values: Sequence[Any], falling: Sequence[bool]) -> Column:
+    """Rows that sort after the given values; nulls are last in both directions."""
+    behind, same = F.lit(False), F.lit(True)
+    for column, value, down in zip(columns, values, falling, strict=True):
+        c = name(column)
+        if value is not None:
+            behind = behind | (same & (c.isNull() | (c < F.lit(value) if down else c > F.lit(value))))
+        same = same & c.eqNullSafe(F.lit(value))
+    first = name(columns[0])
+    if values[0] is None:
+        return first.isNull() & behind
+    # The bound on the first column alone is what the scan can use.
+    return (first.isNull() | (first <= F.lit(values[0]) if falling[0] else first >= F.lit(values[0]))) & behind
+
+
 def page(
     df: DataFrame,
     by: str,
@@ -44,12 +59,15 @@ def page(
 ) -> DataFrame:
     """One page of a sorted table.
 
-    ``after`` continues behind the last value of the previous page of a unique ``by`` column. It is
-    a pushed-down filter, so a deep page costs no more than the first; ``offset`` has to rank all
-    rows before the page.
+    ``after`` continues behind a row: its values of ``by`` and all ``unique`` columns, in this order (a single
+    value without ``unique``, which then must be free of ties). Null values are part of the order. It is a
+    filter that reaches the scan, so a deep page costs no more than the first; ``offset`` has to rank all rows before.
     """
     if after is not None:
-        df = df.filter(name(by) < F.lit(after) if descending else name(by) > F.lit(after))
+        values = list(after) if isinstance(after, (list, tuple)) else [after]
+        if len(values) != 1 + len(unique):
+            raise ValueError("a page continues behind one value of the sort column and of each unique column")
+        df = df.filter(_behind([by, *unique], values, [descending, *[False] * len(unique)]))
     out = sort_rows(df, by, descending=descending, unique=unique)
     return (out.offset(offset) if offset else out).limit(limit)
 

@@ -17,6 +17,7 @@ STEPS = {
     "week": "INTERVAL 7 DAY",
     "iso_week": "INTERVAL 7 DAY",
     "month": "INTERVAL 1 MONTH",
+    "month_end": "INTERVAL 1 MONTH",
     "quarter": "INTERVAL 3 MONTH",
     "year": "INTERVAL 1 YEAR",
 }
@@ -47,6 +48,9 @@ def resample_days(
 
 
 def _steps(first: Column, last: Column, freq: str) -> Column:
+    if freq == "month_end":
+        # Steps from a short month would miss the ends of longer ones.
+        return F.transform(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr(STEPS[freq])), F.last_day)
     return F.sequence(first, last, F.expr(STEPS[freq]))
 
 
@@ -69,6 +73,7 @@ def future_grid(series: DataFrame, time: str, periods: int, keys: Sequence[str]
         "week": F.date_add("__b", F.col("step") * 7),
         "iso_week": F.date_add("__b", F.col("step") * 7),
         "month": F.add_months("__b", F.col("step")),
+        "month_end": F.last_day(F.add_months("__b", F.col("step"))),
         "quarter": F.add_months("__b", F.col("step") * 3),
         "year": F.add_months("__b", F.col("step") * 12),
     }[freq]

@@ -131,7 +131,7 @@ def cluster_sample(df: DataFrame, n: int, row_id: str, columns: Sequence[str] |
         Imputer(strategy="mean", inputCols=[f"__n_{i}" for i in range(len(columns))], outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="__raw"),
         StandardScaler(withMean=True, withStd=True, inputCol="__raw", outputCol="__x"),
-        KMeans(k=clusters, seed=seed, featuresCol="__x", predictionCol="__cluster", maxIter=10),
+        KMeans(k=clusters, seed=seed, featuresCol="__x", predictionCol="__cluster", maxIter=300),
     ]
     fitted = Pipeline(stages=steps).fit(typed)
     labelled = fitted.transform(typed).select(*[name(c) for c in df.columns], "__cluster")

@@ -20,7 +20,7 @@ from tidemark.operators.common import bounded, join_keys, ordered, whole
 from tidemark.operators.windows import positions
 
 MAX_POINTS = 1_000_000
-WINDOW_LAGS = 60
+LAG_BLOCK = 60
 
 
 def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -43,40 +43,37 @@ def per_series(series: DataFrame, time: str, keys: Sequence[str], fn, fields: li
 # --- autocorrelation ---------------------------------------------------------------------------
 
 
-def _acf_windows(rows: DataFrame, time: str, value: str, max_lag: int, keys: Sequence[str]) -> DataFrame:
-    w = ordered(keys, time)
-    x = name(value) - F.avg(name(value)).over(whole(keys))
-    centred = rows.select(*[name(k) for k in keys], name(time), x.alias("__x"))
-    lagged = centred.withColumns({f"__x{k}": F.lag("__x", k).over(w) for k in range(1, max_lag + 1)})
-    products = [F.sum(F.col("__x") * F.col("__x" if k == 0 else f"__x{k}")) for k in range(max_lag + 1)]
-    summed = lagged.groupBy(*[name(k) for k in keys]).agg(F.array(*[F.coalesce(p, F.lit(0.0)) for p in products]).alias("__p"))
-    lag = summed.select(*[name(k) for k in keys], F.col("__p")[0].alias("__0"), F.posexplode("__p").alias("lag", "__c"))
-    return lag.select(*[name(k) for k in keys], "lag", F.try_divide(F.col("__c"), F.col("__0")).alias("acf"))
-
-
 def acf(series: DataFrame, time: str, value: str, max_lag: int | None = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """``keys..., lag, acf`` for lags 0 to ``max_lag`` (half the series when None).
+    """``keys..., lag, acf`` for lags 0 to ``max_lag`` (half the series when None), at most the series' length less one.
 
-    Few lags are window columns summed in one aggregate; many lags take a Fourier transform per
-    series, which needs n log n steps instead of n per lag.
+    Lags are cut into blocks of LAG_BLOCK. For each block every point meets those at the block's offset and
+    the next LAG_BLOCK - 1 ones, so blocks spread over tasks and no task sees all products of a series.
     """
+    every, cols = whole(keys), [name(k) for k in keys]
     rows = series.filter(name(value).isNotNull())
-    if max_lag is not None and max_lag <= WINDOW_LAGS:
-        return _acf_windows(rows, time, value, max_lag, keys)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        x = x - x.mean()
-        n = len(x)
-        top = n // 2 if max_lag is None else min(max_lag, n - 1)
-        spectrum = np.fft.rfft(x, 2 * n)
-        products = np.fft.irfft(spectrum * spectrum.conj(), 2 * n)[: top + 1]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rho = products / products[0] if products[0] > 0 else np.full(top + 1, np.nan)
-        return pd.DataFrame({"lag": np.arange(top + 1, dtype="int32"), "acf": rho})
-
-    fields = [T.StructField("lag", T.IntegerType()), T.StructField("acf", T.DoubleType())]
-    return per_series(rows, time, keys, transform, fields)
+    points = F.count(F.lit(1)).over(every)
+    top = F.floor(points / 2) if max_lag is None else F.least(F.lit(max_lag), points - 1)
+    placed = rows.select(
+        *cols, (F.row_number().over(ordered(keys, time)) - 1).alias("__t"), (name(value) - F.avg(name(value)).over(every)).alias("__x"),
+        top.cast("int").alias("__top"),
+    )
+    blocks = F.sequence(F.lit(0), F.floor(F.col("__top") / LAG_BLOCK).cast("int"))
+    spread = placed.withColumn("__b", F.explode(blocks))
+    # A point enters a block as the earlier one of its pairs, and moved back by the block's offset as the later one.
+    roles = F.array(
+        F.struct(F.col("__t").alias("t"), F.col("__x").alias("x"), F.lit(None).cast("double").alias("y")),
+        F.struct((F.col("__t") - F.col("__b") * LAG_BLOCK).alias("t"), F.lit(None).cast("double").alias("x"), F.col("__x").alias("y")),
+    )
+    spread = spread.select(*cols, "__b", "__top", F.explode(roles).alias("__r"))
+    met = spread.groupBy(*cols, "__b", "__top", F.col("__r.t").alias("__t")).agg(F.max("__r.x").alias("__x"), F.max("__r.y").alias("__y"))
+    ahead = Window.partitionBy(*cols, "__b").orderBy("__t")
+    met = met.withColumns({f"__y{k}": F.lead("__y", k).over(ahead) for k in range(LAG_BLOCK)})
+    sums = [F.coalesce(F.sum(F.col("__x") * F.col(f"__y{k}")), F.lit(0.0)) for k in range(LAG_BLOCK)]
+    summed = met.groupBy(*cols, "__b", "__top").agg(F.array(*sums).alias("__p"))
+    lags = summed.select(*cols, "__b", "__top", F.posexplode("__p").alias("__k", "__c"))
+    lags = lags.withColumn("lag", (F.col("__b") * LAG_BLOCK + F.col("__k")).cast("int")).filter("lag <= __top")
+    zero = F.first(F.when(F.col("lag") == 0, F.col("__c")), ignorenulls=True).over(every)
+    return lags.select(*cols, "lag", F.try_divide(F.col("__c"), zero).alias("acf"))
 
 
 def pacf(series: DataFrame, time: str, value: str, max_lag: int = 30, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +40,19 @@ def auto_arima(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.auto_arima(monthly_panel(spark, folder), "d", "v", ["k"])
 
 
-START, SPAN = date(1995, 1, 1), 2404
+def covered_time(series: DataFrame) -> dict:
+    """First date and length in days of a series, in one aggregate."""
+    first, last = series.agg(F.min("d"), F.max("d")).first()
+    return {"start": first, "span_days": (last - first).days + 1}
 
 
 @query("additive_forecast")
 def additive_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    split = windows.split_tail(panel(spark, folder), "d", ["k"])
-    fit = forecast.fit_additive(split.filter("split = 'train'"), "d", "v", ["k"], start=START, span_days=SPAN)
+    series = panel(spark, folder)
+    span, split = covered_time(series), windows.split_tail(series, "d", ["k"])
+    fit = forecast.fit_additive(split.filter("split = 'train'"), "d", "v", ["k"], **span)
     test = split.filter("split = 'test'").select("k", "d", "v")
-    return forecast.predict_additive(test, fit, "d", ["k"], start=START, span_days=SPAN)
+    return forecast.predict_additive(test, fit, "d", ["k"], **span)
 
 
 @query("additive_forecast_regressors")
@@ -60,7 +62,7 @@ def additive_forecast_regressors(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("n"), F.avg("o_custkey").alias("customer")
     )
     split = windows.split_tail(daily, "d", ["k"])
-    shape = {"start": START, "span_days": SPAN, "regressors": ["n", "customer"]}
+    shape = {**covered_time(daily), "regressors": ["n", "customer"]}
     fit = forecast.fit_additive(split.filter("split = 'train'"), "d", "v", ["k"], **shape)
     test = split.filter("split = 'test'").select("k", "d", "v", "n", "customer")
     return forecast.predict_additive(test, fit, "d", ["k"], **shape)
@@ -98,7 +100,7 @@ def forecast_best(spark: SparkSession, folder: str) -> DataFrame:
 def lookback_forecast(spark: SparkSession, folder: str) -> DataFrame:
     series = panel(spark, folder)
     model = forecast.fit_lookback(series, "d", "v", 52, ["k"])
-    return forecast.lookback_forecast(series, model, "d", "v", 6, 52, ["k"])
+    return forecast.lookback_forecast(series, model, "d", "v", 12, 52, ["k"])
 
 
 # --- boosted trees -----------------------------------------------------------------------------
@@ -107,7 +109,7 @@ TARGET = "l_extendedprice"
 NUMBERS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TEXTS = ["l_returnflag", "p_type"]
 TREES = 10
-_fitted: dict[tuple[str, str], tuple] = {}
+_fitted: dict[tuple[str, ...], tuple] = {}
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,11 +122,19 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
     return learn.prepare(joined, TARGET, NUMBERS)
 
 
+def _state_of(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """Name, length and time of change of the files that a table is read from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in rows.inputFiles()]
+    found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found)
+
+
 def fitted(spark: SparkSession, folder: str):
-    """(wide table, model), fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder)
+    """(wide table, model), fitted once per session and state of the files it is fitted on."""
+    rows = wide(spark, folder)
+    key = (spark.sparkContext.applicationId, *_state_of(spark, rows))
     if key not in _fitted:
-        rows = wide(spark, folder)
         _fitted[key] = rows, learn.fit_boosted(rows.filter("split = 'train'"), TARGET, NUMBERS, TEXTS, trees=TREES)
     return _fitted[key]
 

@@ -335,20 +335,20 @@ def blocked_windows(spark: SparkSession, folder: str) -> DataFrame:
         return windows.shifted(out, "ts", ["value"], [-2], keys)
 
     events = table(spark, folder, "events", ["event_id", "ts", "event_type", "value"])
-    out = blocks.over_blocks(events, "ts", features, before=7, after=2, keys=["event_type"], size=5000)
+    out = blocks.over_blocks(events, "ts", features, before=7, after=2, keys=["event_type"], size=5000, chunks=16)
     return rounded(out.select("event_id", "lag_1", "lag_7", "value_shift_m2", "rolling_mean_7"), 6, "rolling_mean_7")
 
 
 @query("blocked_positions", f"SELECT event_id, row_number() OVER ({_EV}) - 1 AS position FROM events")
 def blocked_positions(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events", ["event_id", "ts", "event_type"])
-    return blocks.numbered(events, "ts", ["event_type"]).select("event_id", F.col("position").cast("bigint").alias("position"))
+    return blocks.numbered(events, "ts", ["event_type"], chunks=16).select("event_id", F.col("position").cast("bigint").alias("position"))
 
 
 @query("blocked_running_mean", f"SELECT event_id, {steady_sql(f'avg(value) OVER ({_EV})', 6)} AS expanding_mean FROM events")
 def blocked_running_mean(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events", ["event_id", "ts", "event_type", "value"])
-    return steady(blocks.running_mean(events, "ts", "value", ["event_type"]).select("event_id", "expanding_mean"), 6, "expanding_mean")
+    return steady(blocks.running_mean(events, "ts", "value", ["event_type"], chunks=16).select("event_id", "expanding_mean"), 6, "expanding_mean")
 
 
 @query(
@@ -358,7 +358,7 @@ def blocked_running_mean(spark: SparkSession, folder: str) -> DataFrame:
 def blocked_ffill(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events", ["event_id", "ts", "event_type", "value"])
     events = events.withColumn("value", F.when(F.col("value") > 40, F.col("value")))
-    return blocks.carry_forward(events, "ts", "value", ["event_type"], out="filled").select("event_id", "filled")
+    return blocks.carry_forward(events, "ts", "value", ["event_type"], chunks=16, out="filled").select("event_id", "filled")
 
 
 # --- statistics --------------------------------------------------------------------------------
@@ -387,26 +387,22 @@ def acf_long(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.acf(daily(spark, folder), "d", "v", None), 6, "acf")
 
 
-_WEEKLY = (
-    "s AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, round(sum(l_quantity) * (1 + 0.3 * sin(2 * pi() * month(date_trunc('month', l_shipdate)) / 12)), 2) AS v FROM lineitem GROUP BY date_trunc('month', l_shipdate))"
-)
+_MONTHLY = "s AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1)"
 
 
-def seasonal_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly quantities with a yearly wave laid over them: ``d, v``."""
+def monthly_quantity(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantity shipped per month: ``d, v``."""
     rows = table(spark, folder, "lineitem", ["l_shipdate", "l_quantity"]).withColumnsRenamed({"l_shipdate": "d", "l_quantity": "v"})
-    monthly = to_series(rows, time="d", value="v", freq="month")
-    sin, _ = cal.cyclical(F.month("d"), 12)
-    return monthly.withColumn("v", F.round(F.col("v") * (1 + 0.3 * sin), 2))
+    return to_series(rows, time="d", value="v", freq="month", digits=2)
 
 
 @query(
     "auto_period",
-    f"WITH {_WEEKLY}, {_ALL_LAGS}, q AS (SELECT lag, acf, lag(acf) OVER (ORDER BY lag) AS a, lead(acf) OVER (ORDER BY lag) AS b, count(*) OVER () AS n FROM f) "
+    f"WITH {_MONTHLY}, {_ALL_LAGS}, q AS (SELECT lag, acf, lag(acf) OVER (ORDER BY lag) AS a, lead(acf) OVER (ORDER BY lag) AS b, count(*) OVER () AS n FROM f) "
     "SELECT coalesce(min(lag) FILTER (acf > 0.5 AND acf > a AND acf > b AND lag >= 2 AND lag < n // 3), 12) AS period FROM q",
 )
 def auto_period(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.auto_period(seasonal_months(spark, folder), "d", "v")
+    return stats.auto_period(monthly_quantity(spark, folder), "d", "v")
 
 
 @query(

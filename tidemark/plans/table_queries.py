@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +15,14 @@ from tidemark.operators import clean, joins, patterns, profile, sampling, schema
 from tidemark.operators import query as q
 from tidemark.operators.common import aggregate
 from tidemark.plans.registry import longs, query, rounded
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import catalog, files
 from tidemark.sources.files import table
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a round trip, in the shared folder of the cluster where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, f"tidemark-{os.urandom(8).hex()}")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder for a round trip, in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{os.urandom(8).hex()}"
 
 
 # --- sources and sinks -------------------------------------------------------------------------
@@ -289,6 +286,18 @@ def page_after(spark: SparkSession, folder: str) -> DataFrame:
     return q.page(table(spark, folder, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey", after=5000)
 
 
+@query(
+    "page_after_ties",
+    "SELECT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, nullif(l_quantity, 50) AS n FROM lineitem) "
+    "WHERE n < 7 OR n IS NULL OR (n = 7 AND (l_orderkey > 300 OR (l_orderkey = 300 AND l_linenumber > 1))) ORDER BY n DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 5000",
+)
+def page_after_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """A page behind a row whose sort value many rows share."""
+    rows = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
+    rows = rows.select("l_orderkey", "l_linenumber", F.nullif("l_quantity", F.lit(50)).alias("n"))
+    return q.page(rows, "n", descending=True, unique=["l_orderkey", "l_linenumber"], after=(7, 300, 1), limit=5000)
+
+
 @query(
     "topk_abs",
     "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 10",
@@ -565,7 +574,7 @@ _FREQUENCY = (
 )
 def infer_frequency(spark: SparkSession, folder: str) -> DataFrame:
     days = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    return profile.infer_frequency(days, "d")
+    return profile.infer_frequency(days, "d", chunks=16)
 
 
 @query(
@@ -573,7 +582,7 @@ def infer_frequency(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_GAPS} SELECT event_type, count(*) AS gaps, round(sum(g) / 1e6, 3) AS total_seconds, round(max(g) / 1e6, 3) AS longest FROM g WHERE g IS NOT NULL GROUP BY 1",
 )
 def event_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    gaps = profile.interval_counts(table(spark, folder, "events"), "ts", ["event_type"])
+    gaps = profile.interval_counts(table(spark, folder, "events"), "ts", ["event_type"], chunks=16)
     out = gaps.groupBy("event_type").agg(
         F.sum("count").alias("gaps"), F.sum(F.col("seconds") * F.col("count")).alias("total_seconds"), F.max("seconds").alias("longest")
     )
