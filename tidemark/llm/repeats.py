@@ -29,7 +29,7 @@ from tidemark.llm.shared import cut_lineage, mix64, named, ragged_ranges
 from tidemark.llm.texts import BYTE_CODES, IS_SPACE, SpanHash, joined, words
 
 # Raw text per bucket and per part of the exchange, texts per pack (a stretch worked on at once), and least numbers.
-BUCKET_BYTES, PART_BYTES, PACK_BYTES, LEAST_BUCKETS, LEAST_PARTS = 4 << 20, 32 << 20, 1 << 19, 16, 32
+BUCKET_BYTES, PART_BYTES, PACK_BYTES, LEAST_BUCKETS, LEAST_PARTS = 2 << 20, 16 << 20, 1 << 18, 16, 32
 PLACE = np.uint64((1 << 24) - 1)
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST = np.int64(2**63 - 1)
@@ -343,6 +343,16 @@ class Finder:
         yield from marks.items()
 
 
+def twice(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur at least twice."""
+    order = np.sort(keys)
+    shared = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(shared):
+        return np.zeros(len(keys), bool)
+    del order
+    return shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys
+
+
 SENT = "kind int, part int, bucket bigint, n int, a binary, b binary, c binary"
 ANSWER = "bucket bigint, kind int, part int, n int, bits binary"
 
@@ -363,9 +373,7 @@ def answer(earlier: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for kind, frame in every.groupby("kind"):
             frame = frame.sort_values("bucket")
             if kind == ANCHORS:
-                key = _unpack(frame["a"], frame["n"], np.uint32)
-                keys = distinct(np.zeros(len(key), np.int8), key)
-                out += split(kind, frame, (keys.count > 1)[keys.of_row])
+                out += split(kind, frame, twice(_unpack(frame["a"], frame["n"], np.uint32)))
             elif kind == MIXED:
                 key, low, gap = _unpack(frame["a"], frame["n"], np.uint32), _unpack(frame["b"], frame["n"], np.uint64), _unpack(frame["c"], frame["n"], np.uint64)
                 keys = distinct(np.zeros(len(key), np.int8), key)
@@ -391,6 +399,21 @@ def answer(earlier: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return one
 
 
+def stored_by(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """The rows stored by ``key``; later groupings by it find them in place.
+
+    A stored table keeps its partitioning only if it was planned as a whole, so adaptive planning, which has
+    nothing to decide here, is off for this one step.
+    """
+    conf = rows.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(rows.repartition(partitions, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """``bucket, blob``: all texts as compressed blobs, dealt by bucket and stored; later joins by bucket need not move them."""
     id_ = named(id_col)
@@ -414,7 +437,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame
                 out.append(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
-    return cut_lineage(rows.mapInArrow(blobs, "bucket bigint, blob binary").repartition(max(1, buckets // 4), "bucket"))
+    return stored_by(rows.mapInArrow(blobs, "bucket bigint, blob binary"), "bucket", max(1, buckets // 8))
 
 
 def find_repeats(
