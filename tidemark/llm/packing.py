@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ PART_TOKENS, PART_PIECES = 1 << 24, 200_000
 # Sequences are exchanged again only while a round saves at least this share of them.
 LEAST_GAIN = 0.001
 # Encodings of so many different words are kept per Python worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 # A blank between two characters that are no white space ends a token in every text.
 CLEAN_BLANK = re.compile(r"(?<=\S) (?=\S)")
 UNCLEAN = re.compile(r" \s|\s ")
@@ -63,13 +64,13 @@ class Encoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.ids, self.sizes = [], []
+        self.ids, self.sizes = array("I"), array("q")
 
     def __missing__(self, word: str) -> int:
         ids = self._encode(word)
-        self.ids.append(np.array(ids, np.uint32))
+        self.ids.extend(ids)
+        self[word] = number = len(self.sizes)
         self.sizes.append(len(ids))
-        self[word] = number = len(self.ids) - 1
         return number
 
     def _encode(self, word: str) -> list[int]:
@@ -97,8 +98,7 @@ class Encoder(dict):
             counts.append(len(words))
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        sizes = np.array(self.sizes, np.int64)
-        table = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
+        sizes, table = np.array(self.sizes, np.int64), np.array(self.ids, np.uint32)
         starts = np.cumsum(sizes) - sizes
         out = table[ragged_ranges(starts[numbers], sizes[numbers])] if len(numbers) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(sizes[numbers])]) if len(numbers) else np.zeros(1, np.int64)
