@@ -113,10 +113,9 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, row_id: str, *, rare_
 
 
 def cluster_sample(df: DataFrame, n: int, row_id: str, columns: Sequence[str] | None = None, *, seed: int = 42) -> DataFrame:
-    """About ``n`` rows spread over k-means clusters of the standardised numeric columns.
+    """Exactly ``n`` rows spread over k-means clusters of the standardised numeric columns by their share.
 
-    Missing numbers are replaced by the column mean; every cluster gives at least one row, and more
-    than ``n`` rows are cut back to exactly ``n`` in hash order. Small tables come back whole.
+    Missing numbers are replaced by the column mean. Tables of at most ``n`` rows come back whole.
     """
     columns = list(columns or [c for c in numeric_columns(df) if c != row_id])
     size = df.count()
@@ -136,6 +135,5 @@ def cluster_sample(df: DataFrame, n: int, row_id: str, columns: Sequence[str] |
     fitted = Pipeline(stages=steps).fit(typed)
     labelled = fitted.transform(typed).select(*[name(c) for c in df.columns], "__cluster")
     counts = labelled.groupBy("__cluster").agg(F.count(F.lit(1)).alias("c"))
-    quota = counts.select("__cluster", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("c") / F.lit(size))).cast("bigint").alias("k"))
-    sample = _below_cut(labelled, row_id, quota, ["__cluster"], 3).filter("__in").drop("__in", "__cluster")
-    return hash_sample(sample, n, row_id)
+    quota = quotas(counts, "__cluster", n).drop("c")
+    return _below_cut(labelled, row_id, quota, ["__cluster"], 3).filter("__in").drop("__in", "__cluster")

@@ -108,7 +108,7 @@ def lookback_forecast(spark: SparkSession, folder: str) -> DataFrame:
 TARGET = "l_extendedprice"
 NUMBERS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TEXTS = ["l_returnflag", "p_type"]
-TREES = 10
+TREES = 100
 _fitted: dict[tuple[str, ...], tuple] = {}
 
 
@@ -162,10 +162,16 @@ def gbt_lag_importance(spark: SparkSession, folder: str) -> DataFrame:
     series = calendar_features(windows.feature_table(panel(spark, folder), "d", "v", ["k"]), "d").dropna()
     numbers, _ = learn.usable_columns(series, "v", exclude=["position"])
     rows = learn.prepare(series, "v", numbers)
-    model = learn.fit_boosted(rows, "v", numbers, trees=5)
+    model = learn.fit_boosted(rows, "v", numbers, trees=TREES)
     return learn.strongest_by_kind(learn.importance(model.transform(rows), model))
 
 
+@query("gbt_importance_sum", "SELECT 1.0::DOUBLE AS total")
+def gbt_importance_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances are shares of one."""
+    return gbt_importance(spark, folder).agg(F.round(F.sum("importance"), 9).alias("total"))
+
+
 def attributed_rows(spark: SparkSession, folder: str):
     rows, model = fitted(spark, folder)
     scored = model.transform(rows.filter("split = 'test'"))

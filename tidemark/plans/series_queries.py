@@ -636,19 +636,33 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return impact.event_windows(panel(spark, folder), "d", EVENT, ["k"])
 
 
+_TAIL = "1.0 / (1.0 + 0.3275911 * z)"
+_IMPACT = (
+    f"{PANEL}, x AS (SELECT k, d >= DATE '2000-06-01' AS post, (d - DATE '2000-06-01')::DOUBLE AS t, v FROM s), l AS (SELECT k, regr_slope(v, t) AS a, regr_intercept(v, t) AS b, regr_r2(v, t) AS r2, "
+    "regr_syy(v, t) AS syy, regr_sxx(v, t) AS sxx, avg(t) AS xp, count(*) AS pre FROM x WHERE NOT post GROUP BY k), p AS (SELECT x.k, count(*) AS post, sum(v) AS actual, sum(b + a * t) AS predicted, avg(t) AS xq FROM x JOIN l ON l.k = x.k WHERE x.post GROUP BY x.k), "
+    "e AS (SELECT p.k, pre, post, actual, predicted, (actual - predicted) / post AS average_effect, actual - predicted AS cumulative_effect, (actual - predicted) / predicted AS relative_effect, "
+    "sqrt(syy * (1 - r2) / (pre - 2) * (1.0 / post + 1.0 / pre + (xq - xp) * (xq - xp) / sxx)) AS standard_error FROM p JOIN l ON l.k = p.k), "
+    "z AS (SELECT *, abs(average_effect / standard_error) / sqrt(2.0) AS z FROM e), "
+    f"i AS (SELECT * EXCLUDE (z), ((((1.061405429 * ({_TAIL}) - 1.453152027) * ({_TAIL}) + 1.421413741) * ({_TAIL}) - 0.284496736) * ({_TAIL}) + 0.254829592) * ({_TAIL}) * exp(-z * z) AS p_value FROM z)"
+)
+
+
 @query(
     "event_impact",
-    f"WITH {PANEL}, x AS (SELECT k, d >= DATE '2000-06-01' AS post, (d - DATE '2000-06-01')::DOUBLE AS t, v FROM s), l AS (SELECT k, regr_slope(v, t) AS a, regr_intercept(v, t) AS b, regr_r2(v, t) AS r2, "
-    "regr_syy(v, t) AS syy, regr_sxx(v, t) AS sxx, avg(t) AS xp, count(*) AS pre FROM x WHERE NOT post GROUP BY k), p AS (SELECT x.k, count(*) AS post, sum(v) AS actual, sum(b + a * t) AS predicted, avg(t) AS xq FROM x JOIN l ON l.k = x.k WHERE x.post GROUP BY x.k) "
-    "SELECT p.k, pre, post, round(actual, 2) AS actual, round(predicted, 2) AS predicted, round((actual - predicted) / post, 4) AS average_effect, round(actual - predicted, 2) AS cumulative_effect, "
-    "round((actual - predicted) / predicted, 6) AS relative_effect, round(sqrt(syy * (1 - r2) / (pre - 2) * (1.0 / post + 1.0 / pre + (xq - xp) * (xq - xp) / sxx)), 4) AS standard_error FROM p JOIN l ON l.k = p.k",
+    f"WITH {_IMPACT} SELECT k, pre, post, round(actual, 2) AS actual, round(predicted, 2) AS predicted, round(average_effect, 4) AS average_effect, round(cumulative_effect, 2) AS cumulative_effect, "
+    "round(relative_effect, 6) AS relative_effect, round(standard_error, 4) AS standard_error, round(p_value, 8) AS p_value FROM i",
 )
 def event_impact(spark: SparkSession, folder: str) -> DataFrame:
-    out = impact.event_impact(panel(spark, folder), "d", "v", EVENT, ["k"]).drop("p_value")
-    out = rounded(out, 2, "actual", "predicted", "cumulative_effect")
+    out = impact.event_impact(panel(spark, folder), "d", "v", EVENT, ["k"])
+    out = rounded(rounded(out, 2, "actual", "predicted", "cumulative_effect"), 8, "p_value")
     return rounded(rounded(out, 4, "average_effect", "standard_error"), 6, "relative_effect")
 
 
-@query("event_verdict")
+@query(
+    "event_verdict",
+    f"WITH {_IMPACT} SELECT k, round(relative_effect, 6) AS relative_effect, round(p_value, 8) AS p_value, printf('order value %+.2f%% against expectation; %s, p=%.4f', relative_effect * 100, "
+    "CASE WHEN p_value < 0.05 THEN 'beyond chance at 5%' ELSE 'within chance at 5%' END, p_value) AS verdict FROM i",
+)
 def event_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    return impact.verdict(impact.event_impact(panel(spark, folder), "d", "v", EVENT, ["k"]), "order value").select("k", "relative_effect", "p_value", "verdict")
+    out = impact.verdict(impact.event_impact(panel(spark, folder), "d", "v", EVENT, ["k"]), "order value")
+    return rounded(rounded(out.select("k", "relative_effect", "p_value", "verdict"), 6, "relative_effect"), 8, "p_value")

@@ -739,6 +739,17 @@ def cluster_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.cluster_sample(rows, 100, "p_partkey")
 
 
+@query(
+    "cluster_sample_size",
+    "SELECT CAST(least(100, count(*)) AS BIGINT) AS rows, CAST(least(100, count(*)) AS BIGINT) AS ids, 0::BIGINT AS strangers FROM part",
+)
+def cluster_sample_size(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample is exactly as large as asked for, without repeats and only of given rows."""
+    sample, parts = cluster_sample(spark, folder), table(spark, folder, "part", ["p_partkey", "p_size", "p_retailprice"])
+    known = sample.select("p_partkey").join(parts.select("p_partkey"), "p_partkey").count()
+    return sample.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("p_partkey").alias("ids"), (F.count(F.lit(1)) - known).alias("strangers"))
+
+
 # --- joins -------------------------------------------------------------------------------------
 
 
