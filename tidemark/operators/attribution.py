@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import require
+from tidemark.operators.common import require, tasks_for
 from tidemark.operators.quantiles import quantiles
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
@@ -142,8 +142,7 @@ def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str
     trees = load_trees(tree_nodes(model))
     base = base_value(trees)
     rows = scored.select(*[name(c) for c in keep], name(prediction), vector_to_array(name(features)).alias("features"))
-    session = rows.sparkSession
-    rows = rows.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.repartition(tasks_for(scored, 100_000))
     extra = [T.StructField("base", T.DoubleType()), T.StructField("shap", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*rows.schema.fields, *extra])
 

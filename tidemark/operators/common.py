@@ -72,6 +72,13 @@ def small(table: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= at_most else stored
 
 
+def tasks_for(df: DataFrame, rows_per_task: int = 1_000_000) -> int:
+    """Partitions for work that is heavy per row: all cores are busy, and no task has more rows than that on average."""
+    session = df.sparkSession
+    least = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-df.count() // rows_per_task))
+
+
 def attach(df: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """Add per-key aggregates of the rows as columns, for raw tables.
 

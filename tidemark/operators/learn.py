@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import finite, name
 from tidemark.operators.clean import fit_one_hot
-from tidemark.operators.common import require
+from tidemark.operators.common import require, tasks_for
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 # Name parts of calendar and of lag features.
@@ -44,9 +44,7 @@ def fit_boosted(
     ensure_checkpoint_dir(train.sparkSession)
     # Boosting reads its input once per tree level and pairs it with the running errors by position, so
     # the rows are written once and every pass sees the same rows in the same order.
-    session = train.sparkSession
-    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]).repartition(tasks))
+    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]).repartition(tasks_for(train)))
     stages, encoded = fit_one_hot(base, texts) if texts else ([], [])
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows,

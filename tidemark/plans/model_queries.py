@@ -193,10 +193,22 @@ def shap_global(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("shap_examples")
 def shap_examples(spark: SparkSession, folder: str) -> DataFrame:
-    attributed, names, scored, _ = attributed_rows(spark, folder)
-    ranked = scored.select("line", "prediction", F.col("line").alias("tie"))
-    examples = rank_examples(ranked, "prediction", "tie")
-    return attribution.explain_rows(attribution.long_attributions(attributed, names, ["line"]), examples, ["line"])
+    rows, model = fitted(spark, folder)
+    scored = model.transform(rows.filter("split = 'test'"))
+    examples = rank_examples(scored.select("line", "prediction", F.col("line").alias("tie")), "prediction", "tie")
+    # A handful of lines is shown, and only they are attributed.
+    shown = scored.join(F.broadcast(examples.select("line").distinct()), "line", "left_semi")
+    attributed = attribution.attributions(shown, model.stages[-1], ["line"])
+    return attribution.explain_rows(attribution.long_attributions(attributed, learn.feature_names(scored), ["line"]), examples, ["line"])
+
+
+@query("shap_additivity", "SELECT CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS rows, 0::BIGINT AS off FROM lineitem")
+def shap_additivity(spark: SparkSession, folder: str) -> DataFrame:
+    """Base value and attributions of every test row add up to its prediction."""
+    attributed, _, _, _ = attributed_rows(spark, folder)
+    total = F.aggregate("shap", F.col("base"), lambda a, b: a + b)
+    gap = F.abs(total - F.col("prediction")) > 1e-6 * (1 + F.abs("prediction"))
+    return attributed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(gap).alias("off"))
 
 
 @query("shap_dependence")
