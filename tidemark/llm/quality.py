@@ -8,7 +8,6 @@ document that is left with too little of itself is rejected.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +49,11 @@ def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offset
     return per_text(covered, offsets)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def text_counts(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def text_counts(texts: pa.Array) -> pa.Array:
     """The counts of whole texts; a null text has none of anything."""
-    column = pa.array(texts, pa.large_string(), from_pandas=True)
-    batch = pa.RecordBatch.from_arrays([column], names=["text"])
     parts = []
-    for piece in row_batches([batch], "text", SLICE_BYTES):
+    for piece in row_batches([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", SLICE_BYTES):
         data, at = joined(piece.column(0))
         starts, ends, of = words(data, at)
         parts.append([
@@ -67,7 +64,7 @@ def text_counts(texts: pd.Series) -> pd.DataFrame:
             _repeat_words(data, starts, ends, of),
         ])
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(COUNTS)
-    return pd.DataFrame(dict(zip(COUNTS, columns, strict=True)))
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS)
 
 
 def line_key(line: Column) -> Column:

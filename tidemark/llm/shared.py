@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def row_batches(batches: Iterable[pa.RecordBatch], column: str, at_most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about ``at_most`` bytes; one longer text is a slice of its own."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, first = np.cumsum(sizes), 0
         while first < batch.num_rows:
             before = ends[first - 1] if first else 0

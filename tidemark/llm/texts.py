@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.shared import mix64
 
-# A few megabytes of text at a time bound a task's memory, however many rows a batch has.
-SLICE_BYTES = 2 << 20
+# So much text at a time bounds a task's memory, however many rows a batch has.
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -42,7 +43,7 @@ class SpanHash:
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and the ``n + 1`` offsets of the texts; a null text is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or offsets[-1] == offsets[0]:
