@@ -269,6 +269,10 @@ def test_catalog_and_retention(spark, tmp_path):
     assert (entry["row_count"], entry["column_count"], entry["columns"]) == (7, 1, ["id"])
     assert catalog.exists(spark, path, "one") and not catalog.exists(spark, path, "two")
     assert catalog.column_names(spark, path, "one").first()["column"] == "id"
+    data = tmp_path / "data"
+    spark.range(3).write.parquet(str(data))
+    catalog.unregister(spark, path, "one", str(data))
+    assert not catalog.exists(spark, path, "one") and not data.exists()
     df = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 3)], "t timestamp_ntz")
     catalog.retain(df, "t", timedelta(days=1), str(tmp_path / "kept"))
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 2

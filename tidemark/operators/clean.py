@@ -106,7 +106,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], *, max_levels: int = 1000
     Levels unknown to the fit become all zeros. The level lists live on the driver, so a column with
     more than ``max_levels`` levels is refused; pool its rare levels first.
     """
-    counts = df.agg(*[F.approx_count_distinct(name(c)).alias(c) for c in columns]).first()
+    counts = df.agg(*[F.count_distinct(name(c)).alias(c) for c in columns]).first()
     wide = [c for c in columns if counts[c] > max_levels]
     if wide:
         raise ValueError(f"columns {wide} have more than {max_levels} levels; pool rare levels or leave them out")

@@ -401,8 +401,11 @@ def evaluate_models(series: DataFrame, time: str, value: str, keys: Sequence[str
     return paired.groupBy(*[name(k) for k in keys], "model").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"))
 
 
-def forecast_best(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, periods: int = 12, period: int = 12, freq: str = "day") -> DataFrame:
-    """Choose per key the model with the lowest hold-out error, refit on everything, predict ahead."""
+def forecast_best(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, periods: int = 12, period: int = 12, freq: str | None = None) -> DataFrame:
+    """Choose per key the model with the lowest hold-out error, refit on everything, predict ahead.
+
+    Without ``freq`` the dates ahead follow each key's most frequent gap.
+    """
     series = cut_lineage(series.select(*[name(k) for k in keys], name(time), name(value)))
     chosen = best_model(evaluate_models(series, time, value, keys, period=period), keys)
     grid = future_grid(series, time, periods, keys, freq)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import period_start
 from tidemark.functions.scalars import name
-from tidemark.operators.common import aggregate, attach, join_keys, require
+from tidemark.operators.common import aggregate, attach, join_keys, ordered, require
 
 STEPS = {
     "hour": "INTERVAL 1 HOUR",
@@ -62,8 +62,23 @@ def regular_grid(series: DataFrame, time: str, keys: Sequence[str] = (), freq: s
     return join_keys(grid, series, [*keys, time], "left")
 
 
-def future_grid(series: DataFrame, time: str, periods: int, keys: Sequence[str] = (), freq: str = "day") -> DataFrame:
-    """The next ``periods`` periods after the last one: ``keys..., step, time``."""
+def _steps_ahead(series: DataFrame, time: str, periods: int, keys: Sequence[str]) -> DataFrame:
+    """The next dates by each key's most frequent gap; gaps of a calendar month, quarter or year step by months."""
+    cols = [name(k) for k in keys]
+    day = F.to_date(name(time))
+    gap = F.datediff(day, F.lag(day).over(ordered(keys, time)))
+    counted = series.select(*cols, day.alias("__d"), gap.alias("__g")).groupBy(*cols, "__g").agg(F.count("__g").alias("__n"), F.max("__d").alias("__m"))
+    last = counted.groupBy(*cols).agg(F.max_by("__g", F.struct("__n", -F.col("__g"))).alias("__g"), F.max("__m").alias("__b"))
+    out = last.select(*cols, "__b", F.coalesce("__g", F.lit(1)).alias("__g"), F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    months = F.when(F.col("__g").between(28, 31), 1).when(F.col("__g").between(90, 92), 3).when(F.col("__g").between(365, 366), 12)
+    ahead = F.coalesce(F.add_months("__b", months * F.col("step")), F.date_add("__b", (F.col("__g") * F.col("step")).cast("int")))
+    return out.select(*cols, "step", ahead.alias(time))
+
+
+def future_grid(series: DataFrame, time: str, periods: int, keys: Sequence[str] = (), freq: str | None = "day") -> DataFrame:
+    """The next ``periods`` periods after the last one: ``keys..., step, time``; ``freq=None`` infers dates from each key's gaps."""
+    if freq is None:
+        return _steps_ahead(series, time, periods, keys)
     last = series.groupBy(*[name(k) for k in keys]).agg(F.max(name(time)).alias("__b"))
     ahead = F.sequence(F.lit(1), F.lit(periods))
     out = last.select(*[name(k) for k in keys], "__b", F.explode(ahead).alias("step"))

@@ -156,6 +156,17 @@ def future_grid(spark: SparkSession, folder: str) -> DataFrame:
     return resample.future_grid(panel(spark, folder), "d", 12, ["k"], "day")
 
 
+@query(
+    "future_grid_inferred",
+    f"WITH {PANEL}, w AS (SELECT k, max(CAST(date_trunc('week', d) AS DATE)) AS b FROM s GROUP BY k), n AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS step) "
+    "SELECT k, step, b + 7 * step AS d FROM w, n",
+)
+def future_grid_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly values go on weekly without being told."""
+    weekly = resample.resample(panel(spark, folder), "d", ["v"], "iso_week", keys=["k"]).withColumnRenamed("period", "d")
+    return resample.future_grid(weekly, "d", 12, ["k"], None)
+
+
 # --- windows -----------------------------------------------------------------------------------
 
 _W1 = "WINDOW w AS (PARTITION BY k ORDER BY d)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from datetime import date, datetime, timedelta
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -681,6 +683,28 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     return clean.one_hot(rows, "l_returnflag", ["A", "N", "R"]).drop("l_returnflag")
 
 
+@query(
+    "one_hot_fitted",
+    "WITH f AS (SELECT l_returnflag AS flag, row_number() OVER (ORDER BY l_returnflag DESC) AS r, count(*) OVER () AS n FROM lineitem GROUP BY 1) "
+    "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN r = n THEN 0 ELSE r END AS BIGINT) AS slot, n - 1 AS slots FROM lineitem JOIN f ON l_returnflag = flag",
+)
+def one_hot_fitted(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot that each flag has in the fitted encoding, 0 for the level that is left out."""
+    rows = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"])
+    stages, (encoded,) = clean.fit_one_hot(rows, ["l_returnflag"])
+    flagged = PipelineModel(stages).transform(rows).select("l_orderkey", "l_linenumber", vector_to_array(encoded).alias("hot"))
+    return flagged.select("l_orderkey", "l_linenumber", F.array_position("hot", 1.0).alias("slot"), F.size("hot").cast("bigint").alias("slots"))
+
+
+@query(
+    "column_types",
+    "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS column, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+    "WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS dtype FROM (DESCRIBE orders)",
+)
+def column_types(spark: SparkSession, folder: str) -> DataFrame:
+    return schema.column_types(table(spark, folder, "orders"))
+
+
 @query(
     "align_union",
     "SELECT o_orderkey AS id, o_totalprice AS price, 0.0::DOUBLE AS balance FROM orders UNION ALL SELECT c_custkey, 0.0, c_acctbal FROM customer",

@@ -40,7 +40,22 @@ def lookup(spark: SparkSession, catalog_path: str, dataset_id: str | None = None
         entries = entries.filter(F.col("dataset_id") == dataset_id)
     fields = [c for c in entries.columns if c != "dataset_id"]
     newest = F.max_by(F.struct(*fields), F.col("timestamp")).alias("e")
-    return entries.groupBy("dataset_id").agg(newest).select("dataset_id", "e.*")
+    return entries.groupBy("dataset_id").agg(newest).select("dataset_id", "e.*").filter("columns IS NOT NULL")
+
+
+def unregister(spark: SparkSession, catalog_path: str, dataset_id: str, data_path: str | None = None) -> None:
+    """Take a dataset out of the catalogue by an entry without columns, and delete its files if a path is given.
+
+    Catalogue files are only ever added to, so readers never meet a half-written state.
+    """
+    entry = spark.range(1).select(
+        F.lit(dataset_id).alias("dataset_id"), F.lit(None).cast("string").alias("filename"), F.current_timestamp().alias("timestamp"),
+        F.lit(None).cast("bigint").alias("row_count"), F.lit(None).cast("int").alias("column_count"), F.lit(None).cast("array<string>").alias("columns"),
+    )
+    entry.write.mode("append").parquet(catalog_path)
+    if data_path is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def exists(spark: SparkSession, catalog_path: str, dataset_id: str) -> bool:
