@@ -69,6 +69,11 @@ def test_infinities_have_classes_of_their_own(spark):
     assert got == {0: 1, 1: 1, 2: 2, 3: 2}
 
 
+def test_both_zeros_are_one_value(spark):
+    table = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "v double")
+    assert profile.profile_columns(table).first()["unique_count"] == 2
+
+
 def test_verdict_names_size_and_doubt(spark):
     table = spark.createDataFrame([(0.125, 0.01), (-0.5, 0.2)], "relative_effect double, p_value double")
     text = [r.verdict for r in impact.verdict(table, "sales").collect()]

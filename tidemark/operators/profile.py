@@ -72,7 +72,9 @@ def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
     table = wide.select(F.inline("s"))
     if approx:
         return table
-    pairs = stack_columns(df, [], df.columns, "column", "v", "string").filter(F.col("v").isNotNull())
+    # Adding zero makes the two zeros of floating-point columns one value.
+    signless = {f.name: name(f.name) + F.lit(0.0).cast(f.dataType) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    pairs = stack_columns(df.withColumns(signless), [], df.columns, "column", "v", "string").filter(F.col("v").isNotNull())
     distinct = pairs.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("u"))
     table = join_keys(table, distinct, ["column"], "left")
     if numbers:
