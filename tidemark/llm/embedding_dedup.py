@@ -129,7 +129,8 @@ def near_duplicates(
         roots = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         classes = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         classes = cut_lineage(classes.select("label", "v", "n", "least", "links", "root"))
-        smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
+        # Stored, so that a group of very many vectors can be split in the join.
+        smallest = cut_lineage(classes.groupBy("root").agg(F.min("least").alias("component")))
         classes = classes.join(smallest, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     else:
         classes = spark.createDataFrame([], base.select("label", "v", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")).schema)

@@ -205,7 +205,8 @@ def near_duplicates(
     linked = link(classes, radius)
     grouped = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     grouped = cut_lineage(grouped)
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that a group of very many fingerprints can be split in the join.
+    least = cut_lineage(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     return slim.join(grouped.join(least, "root").select("fp", "component_id"), "fp").select("id", "text_hash", "fp", "component_id")
 
 
