@@ -116,7 +116,6 @@ def near_duplicates(
     base = vectors.select(named(id_col).alias("id"), named(label_col).alias("label"), named(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    # The vector itself is the key; a hash of it spreads the work of finding equal ones.
     base = base.withColumn("valid", valid)
     classes = base.filter("valid").groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
