@@ -139,7 +139,7 @@ def test_pages(spark, folder):
 
 
 PAGE = """<html><head><title>no</title></head><body><header class=top>no</header><div class="sidebar left">no</div><div id="cookie-notice">no</div>
-<div class="post-body3"><h2>Head &amp; more</h2><p>First   <a href=x>linked</a> &eacute;<br>text</p><script>if(a<b){x="</p>"}</script><div class="ad-box">no <b>no</b></div>
+<div class="post-body3 has-sidebar"><h2>Head &amp; more</h2><p>First   <a href=x>linked</a> &eacute;<br>text</p><script>if(a<b){x="</p>"}</script><div class="ad-box">no <b>no</b></div>
 <ul><li>one<li>two</ul><form><p>no</p></form><blockquote>quote</blockquote></div><div class="comments"><p>%s</p></div><footer>no</footer></body></html>"""
 
 

@@ -41,6 +41,7 @@ NOISE = frozenset(
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
 # Votes of at most so many (host, path) pairs are broadcast to the pages.
 BROADCAST_VOTES = 100_000
+LAYOUT = re.compile(r"(?:no|has|with|without|is)[-_]", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -50,7 +51,9 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
         return tag, tag in NEVER
     step, noise = tag, tag in NEVER
     for kind, *values in ATTRIBUTE.findall(attributes):
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
+        # A name like has-sidebar says what is around the element, not what it is.
+        named_ = " ".join(v for v in "".join(values).split() if not LAYOUT.match(v))
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named_).lower())
         noise = noise or (tag not in ("html", "body", "article", "main") and not NOISE.isdisjoint(words))
         if kind.lower() == "class" and words:
             step += "." + "-".join(words)
