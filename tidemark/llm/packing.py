@@ -28,7 +28,7 @@ PART_TOKENS, PART_PIECES = 1 << 24, 200_000
 # Sequences are exchanged again only while a round saves at least this share of them.
 LEAST_GAIN = 0.001
 # Encodings of so many different words are kept per Python worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 # A blank between two characters that are no white space ends a token in every text.
 CLEAN_BLANK = re.compile(r"(?<=\S) (?=\S)")
 UNCLEAN = re.compile(r" \s|\s ")
@@ -64,15 +64,22 @@ class Encoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.ids, self.sizes = array("I"), array("q")
+        self.ids, self.starts = array("I"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
-        ids = self._encode(word)
-        self.ids.extend(ids)
-        self[word] = number = len(self.sizes)
-        self.sizes.append(len(ids))
+        self.ids.extend(self._with_stop(word) or self._encode(word))
+        self[word] = number = len(self.starts) - 1
+        self.starts.append(len(self.ids))
         return number
 
+    def _with_stop(self, word: str) -> array | None:
+        """Letters and a full stop or comma are tokens of their own, so a known word's ids can be used again."""
+        body = word[:-1]
+        number = self.get(body) if word[-1] in ".," else None
+        if number is None or not body.lstrip(" ").isalpha() or max(body) >= "\u0250":
+            return None
+        return self.ids[self.starts[number] : self.starts[number + 1]] + array("I", self._encode(word[-1]))
+
     def _encode(self, word: str) -> list[int]:
         if self.fast is None or any(s in word for s in self.special):
             return self.full.encode(word, add_special_tokens=False).ids
@@ -98,10 +105,12 @@ class Encoder(dict):
             counts.append(len(words))
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        sizes, table = np.array(self.sizes, np.int64), np.array(self.ids, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        out = table[ragged_ranges(starts[numbers], sizes[numbers])] if len(numbers) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(sizes[numbers])]) if len(numbers) else np.zeros(1, np.int64)
+        # Views end before the arrays grow again.
+        starts, table = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        sizes = starts[numbers + 1] - starts[numbers]
+        out = table[ragged_ranges(starts[numbers], sizes)] if len(numbers) else np.zeros(0, np.uint32)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        del starts, table
         return out, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
@@ -130,7 +139,7 @@ def pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, ranks, pattern)
-        for batch in row_batches(batches, "text", SLICE_BYTES):
+        for batch in row_batches(batches, "text", 4 * SLICE_BYTES):
             flat, ends = coder.encode(batch.column("text").to_pylist())
             rows, of = [], []
             for i in range(batch.num_rows):
