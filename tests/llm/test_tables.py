@@ -184,3 +184,18 @@ def test_lines_odd(spark):
     got = {(r.doc_id, r.l_text, r.l_removed, r.l_lines) for r in line_dedup.dedup_lines(docs).collect()}
     assert (1, None, 0, 0) in got and (3, "one two\nthree", 0, 2) in got and len(got) == 7
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+NESTED = """<html><body><nav>menu</nav><article><h1>Head %d</h1><p>lead</p><div class=body><p>%s</p></div></article><div class=x><h2>%s</h2></div></body></html>"""
+DIVS = """<html><body><nav>menu</nav><div class=post><h1>Head %d</h1><p>lead</p><div class=body><p>%s</p></div></div></body></html>"""
+FORM = """<html><body><form action=x><nav>menu</nav><div class="%s"><header>no</header><h1>Head %d</h1><p>%s</p><div class=ad>no</div></div></form></body></html>"""
+
+
+def test_text_beside_the_widest_container_and_inside_wrappers(spark):
+    long = "many words " * 40
+    rows = [(i, f"http://n.example/{i}", NESTED % (i, long, "elsewhere")) for i in range(3)]
+    rows += [(10 + i, f"http://d.example/{i}", DIVS % (i, long)) for i in range(3)]
+    rows += [(20 + i, f"http://f.example/{i}", FORM % ("menu-open", i, long)) for i in range(3)]
+    rows += [(30 + i, f"http://g.example/{i}", FORM % ("page-header-fixed", i, long)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Head {i % 10}{' lead' if i < 20 else ''} {long.strip()}" for i, _, _ in rows}

@@ -60,15 +60,29 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     return step, noise
 
 
+# Words of an element that is not the wrapper of a page, however much of its text it holds; the share of a wrapper, in percent.
+TALK = frozenset("comment comments disqus reply replies respond".split())
+WRAPPER_PERCENT = 95
+
+
 def blocks_of(source: str) -> list[tuple[str, str, int]]:
+    """The text blocks of a page, see `_parsed`; forms and elements named like boilerplate that hold the whole page are none."""
+    blocks, wrappers = _parsed(source, frozenset())
+    return _parsed(source, wrappers)[0] if wrappers else blocks
+
+
+def _parsed(source: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
     """The text blocks of a page in page order: path of the containers around it, text, characters inside links.
 
     Scripts, styles, menus and other boilerplate elements are left out; references are decoded and
     white space is one blank. Unclosed elements end where the next of their kind begins; a closing
-    tag without its opening is ignored.
+    tag without its opening is ignored. ``wrappers`` are places of elements that are no boilerplate; also
+    returned are the places of all others with nearly all text of the page, boilerplate included, in them.
     """
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, noise, places of possible wrappers around
+    held: dict[int, int] = {}
+    total = 0
     words: list[str] = []
     links = at = 0
 
@@ -77,14 +91,23 @@ def blocks_of(source: str) -> list[tuple[str, str, int]]:
         if words:
             text = SPACE.sub(" ", html.unescape("".join(words))).strip()
             if text:
-                out.append((next((p for t, p, _ in reversed(stack) if t in CONTAINER), ""), text, links))
+                out.append((next((p for t, p, *_ in reversed(stack) if t in CONTAINER), ""), text, links))
             words.clear()
         links = 0
 
+    def count(text: str) -> None:
+        nonlocal total
+        size = len(text.strip())
+        total += size
+        for place in stack[-1][3] if stack else ():
+            held[place] = held.get(place, 0) + size
+
     while m := MARKUP.search(source, at):
-        if m.start() > at and not (stack and stack[-1][2]):
-            words.append(source[at:m.start()])
-            links += (m.start() - at) * any(t == "a" for t, _, _ in stack)
+        if m.start() > at:
+            count(source[at:m.start()])
+            if not (stack and stack[-1][2]):
+                words.append(source[at:m.start()])
+                links += (m.start() - at) * any(t == "a" for t, *_ in stack)
         at = m.end()
         if m[2] is None:
             continue
@@ -111,12 +134,36 @@ def blocks_of(source: str) -> list[tuple[str, str, int]]:
                     del stack[i:]
                     break
             step, noise = _described(tag, m[3])
-            over = stack[-1] if stack else ("", "", False)
-            stack.append((tag, f"{over[1]}/{step}" if tag in CONTAINER else over[1], noise or over[2]))
-    if at < len(source) and not (stack and stack[-1][2]):
-        words.append(source[at:])
+            over = stack[-1] if stack else ("", "", False, ())
+            around = over[3]
+            if m.start() in wrappers:
+                noise = False
+            elif noise and (tag == "form" or tag not in NEVER) and TALK.isdisjoint(re.findall("[a-z]+", m[3].lower())):
+                around = (*around, m.start())
+            stack.append((tag, f"{over[1]}/{step}" if tag in CONTAINER else over[1], noise or over[2], around))
+    if at < len(source):
+        count(source[at:])
+        if not (stack and stack[-1][2]):
+            words.append(source[at:])
     flush()
-    return out
+    return out, frozenset(place for place, size in held.items() if 100 * size >= WRAPPER_PERCENT * total > 0)
+
+
+def main_blocks(blocks: list[tuple[str, str, int]], container: str) -> tuple[list[str], str]:
+    """The texts that belong to a container, and the container itself or the article around it.
+
+    All of the outermost article around it belongs to it, or else of the main element. Without either, what stands
+    directly in the elements around it does (a heading, a lead), unless it is all links.
+    """
+    steps = container.split("/")
+    for tag in ("article", "main"):
+        at = next((i for i, step in enumerate(steps) if step.partition(".")[0] == tag), None)
+        if at is not None:
+            container = "/".join(steps[: at + 1])
+            return [t for p, t, _ in blocks if p == container or p.startswith(container + "/")], container
+    around = {"/".join(steps[:i]) for i in range(2, len(steps))}
+    inside = [t for p, t, n in blocks if not container or p == container or p.startswith(container + "/") or (p in around and len(t) > 2 * n)]
+    return inside, container
 
 
 def scored(blocks: list[tuple[str, str, int]]) -> list[tuple[str, float]]:
@@ -164,7 +211,7 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
                 own = scored(blocks)
                 known = {p for p, _ in own}
                 container = next((p for p in (paths if paths is not None else ()) if p in known), own[0][0] if own else "")
-                inside = [t for p, t, _ in blocks if not container or p == container or p.startswith(container + "/")]
+                inside, container = main_blocks(blocks, container)
                 rows.append((" ".join(inside), container))
             yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": [t for t, _ in rows], "container": [c for _, c in rows]})
 
