@@ -15,9 +15,9 @@ from tidemark.llm import line_dedup, quality, queries, simhash
 from tidemark.llm.shared import named
 from tidemark.session import ensure_checkpoint_dir
 
-# Near-duplicates of the corpus: five-word shingles, and the bits in which fingerprints of texts with a shingle
-# similarity of 0.8 differ on average (similarity 0.8 of sets is a cosine of 0.89, an angle of 27 of 180 degrees).
-SHINGLE, RADIUS = 5, 10
+# Near-duplicates of the corpus: five-word shingles; the bits in which the fingerprints of candidates may differ (texts with a
+# shingle similarity of 0.8 differ in 9.6 on average); and the similarity in percent, of the sets themselves, that links two texts.
+SHINGLE, RADIUS, PERCENT = 5, 12, 80
 
 
 def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -38,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs, shingle=SHINGLE, radius=RADIUS)
+    return simhash.keep_one(docs, shingle=SHINGLE, radius=RADIUS, percent=PERCENT)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

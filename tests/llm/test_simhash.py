@@ -87,3 +87,55 @@ def test_bit_sliced_distances():
         want = {(i, j) for lo, hi in zip(runs[:-1], runs[1:]) for i in range(lo, hi) for j in range(i + 1, hi) if int(fps[i] ^ fps[j]).bit_count() <= radius}
         assert set(zip(a.tolist(), b.tolist())) == want
     del rng
+
+
+def edited_docs(seed=7):
+    """Texts of one, of few and of many changed words: groups of like texts, chains, and unlike ones."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(25):
+            copy = words.copy()
+            for at in rng.choice(80, rng.integers(0, 4), replace=False):
+                copy[at] = f"x{rng.integers(0, 1 << 30)}"
+            out.append(" ".join(copy))
+            words = copy if rng.random() < 0.3 else words
+    return out + ["", " \n ", "one", "ONE", "two words", None]
+
+
+def similar_roots(texts, fps, radius, shingle=5):
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in brute.words(t)]
+        sets.append({" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {" ".join(w)} if w else set())
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if (sets[i] == sets[j] or (fps[i] ^ fps[j]).bit_count() <= radius) and alike(sets[i], sets[j])]
+    return brute.roots(len(sets), links)
+
+
+def test_links_are_verified_against_brute_force(spark, monkeypatch):
+    texts = edited_docs()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fps = [int(f) for f in simhash.fingerprints(texts, 5, 42)]
+    monkeypatch.setattr(simhash, "TILE", 100)
+    # A radius that makes nearly all pairs of one origin candidates, and some of others.
+    want = similar_roots(texts, fps, 24)
+    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5, radius=24).collect()]
+    assert sorted(got) == sorted(set(want)) and 6 < len(got) < len(texts)
+
+
+def test_next_candidates_name_every_pair():
+    fps = np.sort(np.concatenate([random_fps(200, 5), np.uint64(7 << 40) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
+    runs, label = np.array([0, 1, 90, 90, len(fps)]), np.arange(len(fps)) // 2
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, simhash.near_in_runs(fps, runs, 4))) if label[i] != label[j]}
+    after, named = np.full(len(fps), -1), set()
+    while True:
+        a, b, more = simhash.next_near(fps, label, after, runs, 4, 3)
+        named |= set(zip(a.tolist(), b.tolist()))
+        after = np.full(len(fps), 1 << 40)
+        after[more] = -1
+        np.maximum.at(after, a[more[a]], b[more[a]])
+        if not more.any():
+            break
+    assert named == want

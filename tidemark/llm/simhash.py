@@ -9,7 +9,7 @@ fingerprint to 64 others at once in carry-save counters, and words in which all
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -30,25 +30,34 @@ LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.u
 LANE_LIMIT = 255
 
 
+def shingle_digests(text: str | None, shingle: int, seed: int) -> list[bytes]:
+    """The XXH64 hashes of a text's word shingles, lower-cased in A-Z, one per place; a shorter text is one shingle."""
+    hash_ = xxhash.xxh64_digest
+    found = text.encode().lower().split() if text else []
+    if len(found) <= shingle:
+        return [hash_(b" ".join(found), seed)] if found else []
+    line = b" ".join(found)
+    starts = np.cumsum([0] + [len(w) + 1 for w in found])
+    return [hash_(line[a:b], seed) for a, b in zip(starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist(), strict=True)]
+
+
+def shingle_set(digests: list[bytes]) -> np.ndarray:
+    """The distinct shingles of a text in ascending order."""
+    return np.unique(np.frombuffer(b"".join(digests), np.int64))
+
+
 def fingerprints(texts: list[str | None], shingle: int, seed: int) -> np.ndarray:
     """The majority bits of the XXH64 hashes of each text's word shingles, lower-cased in A-Z."""
-    digests, counts = [], []
-    hash_ = xxhash.xxh64_digest
-    for text in texts:
-        found = text.encode().lower().split() if text else []
-        if len(found) <= shingle:
-            digests += [hash_(b" ".join(found), seed)] if found else []
-            counts.append(bool(found))
-            continue
-        line = b" ".join(found)
-        starts = np.cumsum([0] + [len(w) + 1 for w in found])
-        counts.append(len(found) - shingle + 1)
-        digests += [hash_(line[a:b], seed) for a, b in zip(starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist(), strict=True)]
-    counts = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority([shingle_digests(text, shingle, seed) for text in texts])
+
+
+def majority(digests: list[list[bytes]]) -> np.ndarray:
+    """The majority bits of each list of hashes; zero for an empty one."""
+    counts = np.array([len(d) for d in digests], np.int64)
+    out = np.zeros(len(digests), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        lanes = LANES[np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)]
+        lanes = LANES[np.frombuffer(b"".join(chain.from_iterable(digests)), np.uint8).reshape(-1, 8)]
         first = (np.cumsum(counts) - counts)[some]
         groups = -(-counts[some] // LANE_LIMIT)
         at = ragged_ranges(np.zeros(len(some), np.int64), groups) * LANE_LIMIT + np.repeat(first, groups)
@@ -96,8 +105,31 @@ def _planes(fps: np.ndarray, block: np.ndarray, lane: np.ndarray, blocks: int) -
     return np.packbits(grid, axis=2, bitorder="little").view("<u8")[:, :, 0], np.packbits(used, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def near_in_runs(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius among rows of the same run; ``runs`` holds the ``n + 1`` run offsets."""
+def _within(planes, used, flips, row_at, row: np.ndarray, blk: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius of each ``row`` and the 64 rows of the block beside it, in this order."""
+    over = ~used[blk]
+    counter = [np.zeros(len(row), np.uint64) for _ in range((radius + 1).bit_length())]
+    for p in range(64):
+        # Ones where the bit differs; adding them ripples through the counters of all 64 lanes.
+        carry = planes[p][blk] ^ (np.uint64(0) - flips[p][row])
+        for i, c in enumerate(counter):
+            counter[i], carry = c ^ carry, c & carry
+        full = ~over
+        for i, c in enumerate(counter):
+            full &= c if (radius + 1) >> i & 1 else ~c
+        over |= full
+        if p % 8 == 7:
+            live = ~over != 0
+            if not live.all():
+                row, blk, over = row[live], blk[live], over[live]
+                counter = [c[live] for c in counter]
+    near = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    i, k = np.nonzero(near)
+    return row[i], row_at[blk[i], k]
+
+
+def _laid_out(fps: np.ndarray, runs: np.ndarray) -> tuple:
+    """Rows of runs in blocks of 64: planes, used lanes, flips, row at (block, lane), block of a row, blocks of its run from there on."""
     sizes = np.diff(runs)
     words = -(-sizes // 64)
     of_run = np.repeat(np.arange(len(sizes)), sizes)
@@ -107,34 +139,21 @@ def near_in_runs(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.nda
     row_at = np.full((int(words.sum()), 64), -1, np.int64)
     row_at[block, lane] = np.arange(len(fps))
     planes, used = _planes(fps, block, lane, len(row_at))
+    flips = (fps[None, :] >> np.arange(63, -1, -1, dtype=np.uint64)[:, None]) & np.uint64(1)
     # A row meets the blocks of its run from its own block on.
-    ahead = first_word[of_run] + words[of_run] - block
+    return planes, used, flips, row_at, block, first_word[of_run] + words[of_run] - block
+
+
+def near_in_runs(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius among rows of the same run; ``runs`` holds the ``n + 1`` run offsets."""
+    planes, used, flips, row_at, block, ahead = _laid_out(fps, runs)
     found_a, found_b = [], []
     begin = np.cumsum(ahead) - ahead
-    flips = (fps[None, :] >> np.arange(63, -1, -1, dtype=np.uint64)[:, None]) & np.uint64(1)
     for low in range(0, int(ahead.sum()), AT_ONCE):
         at = np.arange(low, min(low + AT_ONCE, int(ahead.sum())))
         row = np.searchsorted(begin, at, "right") - 1
         blk = block[row] + at - begin[row]
-        over = ~used[blk]
-        counter = [np.zeros(len(at), np.uint64) for _ in range((radius + 1).bit_length())]
-        for p in range(64):
-            # Ones where the bit differs; adding them ripples through the counters of all 64 lanes.
-            carry = planes[p][blk] ^ (np.uint64(0) - flips[p][row])
-            for i, c in enumerate(counter):
-                counter[i], carry = c ^ carry, c & carry
-            full = ~over
-            for i, c in enumerate(counter):
-                full &= c if (radius + 1) >> i & 1 else ~c
-            over |= full
-            if p % 8 == 7:
-                live = ~over != 0
-                if not live.all():
-                    row, blk, over = row[live], blk[live], over[live]
-                    counter = [c[live] for c in counter]
-        near = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        i, k = np.nonzero(near)
-        a, b = row[i], row_at[blk[i], k]
+        a, b = _within(planes, used, flips, row_at, row, blk, radius)
         later = b > a
         found_a.append(a[later])
         found_b.append(b[later])
@@ -142,6 +161,34 @@ def near_in_runs(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
 
+def next_near(fps: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the next ``most`` rows of its run within the radius that have another label and lie behind row ``after``.
+
+    Index pairs, and the rows that have more of them. Rows whose ``after`` lies behind the run ask for none.
+    """
+    planes, used, flips, row_at, block, ahead = _laid_out(fps, runs)
+    got, more = np.zeros(len(fps), np.int64), np.zeros(len(fps), bool)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    end = np.repeat(runs[1:], np.diff(runs))
+    open_ = np.flatnonzero(after < end)
+    step = 0
+    while len(open_ := open_[(ahead[open_] > step) & ~more[open_]]):
+        for low in range(0, len(open_), AT_ONCE):
+            row = open_[low : low + AT_ONCE]
+            a, b = _within(planes, used, flips, row_at, row, block[row] + step, radius)
+            take = (b > a) & (b > after[a]) & (label[a] != label[b])
+            a, b = a[take], b[take]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+            rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) + got[a]
+            more[a[rank >= most]] = True
+            a, b = a[rank < most], b[rank < most]
+            got += np.bincount(a, minlength=len(fps)) if len(a) else 0
+            found_a.append(a)
+            found_b.append(b)
+        step += 1
+    return np.concatenate(found_a), np.concatenate(found_b), more
+
+
 def near_edges(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the near fingerprints of each bucket: each to the first of its local component."""
     order = np.lexsort((fps, bucket))
@@ -166,6 +213,17 @@ def near_edges(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.nda
 
 def link(classes: DataFrame, radius: int) -> DataFrame:
     """``node, root`` for the distinct fingerprints ``fp`` that are linked to another one."""
+    dealt = bucketed(classes, radius, "fp")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = near_edges(frame["fp"].to_numpy(np.int64).view(np.uint64), frame["bucket"].to_numpy(np.int64), radius)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return components(dealt.groupBy("part").applyInPandas(compare, "a bigint, b bigint"))
+
+
+def bucketed(classes: DataFrame, radius: int, *columns: str) -> DataFrame:
+    """``columns, bucket, part``: two rows with fingerprints within the radius meet in at least one bucket."""
     rows = classes.count()
     tables = tables_for(rows, radius)
     keys = []
@@ -173,22 +231,16 @@ def link(classes: DataFrame, radius: int) -> DataFrame:
         mask = sum(((1 << (b - a)) - 1) << a for a, b in ranges)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(number).alias("table"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
-    placed = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.table", "k.key")
+    placed = classes.select(*columns, F.explode(F.array(*keys)).alias("k")).select(*columns, "k.table", "k.key")
     counts = placed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
     crowded = cut_lineage(counts.filter(F.col("n") > TILE).select("table", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
     tiled = placed.join(crowded, ["table", "key"], "left") if not crowded.isEmpty() else placed.withColumn("tiles", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, own) * 1_000_000 + F.greatest(t, own))
-    tiled = tiled.select("fp", "table", "key", F.explode(F.coalesce(meets, F.array(F.lit(-1)))).alias("tile"))
+    tiled = tiled.select(*columns, "table", "key", F.explode(F.coalesce(meets, F.array(F.lit(-1)))).alias("tile"))
     tiled = tiled.withColumn("bucket", F.xxhash64("table", "key", "tile"))
     parts = max(1, rows * len(tables) // PART_ROWS)
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = near_edges(frame["fp"].to_numpy(np.int64).view(np.uint64), frame["bucket"].to_numpy(np.int64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    dealt = tiled.select("fp", "bucket", F.pmod("bucket", F.lit(parts)).alias("part"))
-    return components(dealt.groupBy("part").applyInPandas(compare, "a bigint, b bigint"))
+    return tiled.select(*columns, "bucket", F.pmod("bucket", F.lit(parts)).alias("part"))
 
 
 def near_duplicates(
@@ -210,13 +262,115 @@ def near_duplicates(
     return slim.join(grouped.join(least, "root").select("fp", "component_id"), "fp").select("id", "text_hash", "fp", "component_id")
 
 
+def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``id, text_hash, fp, node, n``: the fingerprint, and the name and size of the set of shingles."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches, "text", SLICE_BYTES):
+            digests = [shingle_digests(text, shingle, seed) for text in batch.column("text").to_pylist()]
+            sets = [shingle_set(d) for d in digests]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(majority(digests).view(np.int64)), pa.array(names.view(np.int64)), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "fp", "node", "n"])
+
+    slim = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("text_hash"))
+    return slim.mapInArrow(compute, f"id {kind}, text_hash bigint, fp bigint, node bigint, n bigint")
+
+
+def sets_of(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``node, shingles`` of the rows ``node, text``."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches, "text", SLICE_BYTES):
+            sets = [shingle_set(shingle_digests(text, shingle, seed)) for text in batch.column("text").to_pylist()]
+            offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+
+    return texts.mapInArrow(compute, "node bigint, shingles array<bigint>")
+
+
+def similar_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, radius: int = 12, percent: int = 80
+) -> DataFrame:
+    """One row per document: ``id, text_hash, root``; documents of one root are linked by pairs of similar texts.
+
+    Fingerprints within the radius are candidates only: a pair is a link if its sets of word shingles have at least ``percent``
+    of their union in common. Texts of one set of shingles are one node. In a round every node names its next few
+    candidates per bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates
+    go on behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
+    """
+    slim = cut_lineage(with_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
+    nodes = cut_lineage(slim.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash")))
+    dealt = cut_lineage(bucketed(nodes, radius, "fp", "node", "n"))
+    state, links, roots, most = dealt.withColumns({"label": F.col("node"), "after": F.lit(-1).cast("long")}), None, None, 1
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bucket", "fp", "node"], ignore_index=True)
+        bucket, fps, node, size = (frame[c].to_numpy(np.int64) for c in ("bucket", "fp", "node", "n"))
+        runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        words, first, out = np.cumsum(-(-np.diff(runs) // 64)), 0, []
+        start = np.repeat(runs[:-1], np.diff(runs))
+        after = start + frame["after"].to_numpy(np.int64)
+        while first < len(runs) - 1:
+            done = words[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(words, done + BLOCKS_AT_ONCE, "right")))
+            low, high = runs[first], runs[last]
+            part = slice(low, high)
+            a, b, more = next_near(fps[part].view(np.uint64), frame["label"].to_numpy(np.int64)[part], after[part] - low, runs[first : last + 1] - low, radius, most)
+            a, b = a + low, b + low
+            # Sets of too unlike sizes cannot be similar.
+            fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            out.append(pd.DataFrame({"a": node[a[fits]], "b": node[b[fits]], "bucket": 0, "after": -1}).drop_duplicates())
+            # The last candidate of a row that has more is where it goes on.
+            final = np.full(high - low, -1, np.int64)
+            np.maximum.at(final, a - low, b)
+            on = np.flatnonzero(more)
+            out.append(pd.DataFrame({"a": node[low + on], "b": node[low + on], "bucket": bucket[low + on], "after": (final - start[part])[on]}))
+            first = last
+        return pd.concat(out)
+
+    while True:
+        found = state.groupBy("part").applyInPandas(compare, "a bigint, b bigint, bucket bigint, after bigint")
+        found = cut_lineage(found)
+        pairs = cut_lineage(found.filter("after < 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        good = cut_lineage(similar_pairs(pairs, nodes, docs.select(named(text_col).alias("text")), shingle, seed, percent))
+        links = good if links is None else links.union(good)
+        more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
+        roots = cut_lineage(components(links))
+        if more.isEmpty():
+            break
+        most *= 8
+        again = dealt.join(more.select("bucket").distinct(), "bucket", "left_semi").join(more, ["node", "bucket"], "left")
+        again = again.join(roots.withColumnRenamed("root", "label"), "node", "left")
+        # Rows that have named all their candidates are only met by others.
+        state = again.withColumns({"label": F.coalesce("label", "node"), "after": F.coalesce("after", F.lit(1 << 40))})
+    # Stored, so that a group of very many nodes can be split in the join.
+    rooted = cut_lineage(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return slim.join(rooted, "node").select("id", "text_hash", "root")
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    found = texts.withColumn("text_hash", F.xxhash64("text")).join(cut_lineage(wanted), "text_hash").select("node", "text")
+    sets = cut_lineage(sets_of(found, shingle, seed).dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of ``docs`` without all but one (that of the smallest id) of each near-duplicate group."""
-    found = cut_lineage(near_duplicates(docs, id_col=id_col, text_col=text_col, **how))
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    once = stay.distinct()
-    rows = docs.join(once, named(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(named(text_col)) == F.col("__hash")), "left_semi")
-    if stay.count() == found.select("component_id").distinct().count():
-        return rows
-    # Ids that repeat: one row of each is enough.
-    return rows.dropDuplicates([id_col])
+    """The documents of ``docs`` without all but one (that of the smallest id) of each group of `similar_groups`.
+
+    Null ids come last; ids that repeat name different documents if their texts differ.
+    """
+    found = cut_lineage(similar_groups(docs, id_col=id_col, text_col=text_col, **how))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("least")
+    stay = cut_lineage(found.groupBy("root").agg(least).select("root", F.col("least.id").alias("__id"), F.col("least.text_hash").alias("__hash")))
+    rows = docs.join(stay.withColumnRenamed("root", "__root"), named(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(named(text_col)) == F.col("__hash")))
+    twice = found.join(stay, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).count() > stay.count()
+    # Rows equal in id and text are one document.
+    rows = rows.dropDuplicates(["__root"]) if twice else rows
+    return rows.select(*[named(c) for c in docs.columns])
