@@ -18,6 +18,8 @@ from tidemark.session import ensure_checkpoint_dir
 # Near-duplicates of the corpus: five-word shingles; the bits in which the fingerprints of candidates may differ (texts with a
 # shingle similarity of 0.8 differ in 9.6 on average); and the similarity in percent, of the sets themselves, that links two texts.
 SHINGLE, RADIUS, PERCENT = 5, 12, 80
+# A line of so many words is deleted when it repeats, shorter ones only with a line beside them: a passage, not a heading.
+LONG_LINE = 50
 
 
 def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -32,8 +34,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line runs that stand earlier in the corpus."""
-    return _with_text(line_dedup.dedup_lines(docs, least_lines=2), docs.columns, "l_text")
+    """All documents, without the line runs, and the single long lines, that stand earlier in the corpus."""
+    return _with_text(line_dedup.dedup_lines(docs, least_lines=2, long_words=LONG_LINE), docs.columns, "l_text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,6 +186,17 @@ def test_lines_odd(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_single_long_lines_go(spark):
+    long, short = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(49))
+    texts = [long, f"a\n{long}\nb", f" {long} ", f"{short}\nc\n{long}\n{long}\nd", short, f"{short}\ne"]
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.l_text, r.l_removed, r.l_runs) for r in line_dedup.dedup_lines(docs, long_words=50).collect()}
+    assert got == {0: (long, 0, 0), 1: ("a\nb", 1, 1), 2: ("", 1, 1), 3: (f"{short}\nc\nd", 2, 1), 4: (short, 0, 0), 5: (f"{short}\ne", 0, 0)}
+    from corpus_pipeline import line_stage
+
+    assert {r.doc_id: r.text for r in line_stage(spark, docs, "").collect()} == {i: t for i, (t, _, _) in got.items()}
+
+
 NESTED = """<html><body><nav>menu</nav><article><h1>Head %d</h1><p>lead</p><div class=body><p>%s</p></div></article><div class=x><h2>%s</h2></div></body></html>"""
 DIVS = """<html><body><nav>menu</nav><div class=post><h1>Head %d</h1><p>lead</p><div class=body><p>%s</p></div></div></body></html>"""
 FORM = """<html><body><form action=x><nav>menu</nav><div class="%s"><header>no</header><h1>Head %d</h1><p>%s</p><div class=ad>no</div></div></form></body></html>"""
