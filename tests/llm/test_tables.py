@@ -210,3 +210,12 @@ def test_text_beside_the_widest_container_and_inside_wrappers(spark):
     rows += [(30 + i, f"http://g.example/{i}", FORM % ("page-header-fixed", i, long)) for i in range(3)]
     got = {r.page_id: r.text for r in html_text.extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"Head {i % 10}{' lead' if i < 20 else ''} {long.strip()}" for i, _, _ in rows}
+
+
+def test_near_copies_count_once(spark):
+    lines = [" ".join(f"l{j}w{i}" for i in range(20)) for j in range(8)]
+    rows = [(d, "\n".join([*lines, f"copy {d}"]), "en", "h", 0, 0, "") for d in range(40)]
+    rows += [(100 + d, "Top\nHeader Line\n" + " ".join(f"d{d}w{i}" for i in range(60)), "en", "h", 0, 0, "") for d in range(60)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.q_kept for r in out.values()) and out[7].q_text == out[7].text
+    assert all("Top" not in out[100 + d].q_text and "Header" not in out[100 + d].q_text for d in range(60))

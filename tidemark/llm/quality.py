@@ -1,7 +1,7 @@
 """Quality rules: counts per document, and lines that too many documents of a host share.
 
 Normalised lines are hashed and counted by the distinct documents of a host that hold them (documents
-with the same text count once). Lines above the host's limit are boilerplate and are removed; a
+with the same text, and those in a group of near copies, count once). Lines above the host's limit are boilerplate and are removed; a
 document that is left with too little of itself is rejected.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import simhash
 from tidemark.llm.shared import MIX_A, MIX_B, cut_lineage, mix64, named, row_batches, word_number
 from tidemark.llm.texts import BYTE_CODES, IS_SPACE, SLICE_BYTES, SpanHash, joined, per_text, words
 
@@ -75,7 +76,8 @@ def line_key(line: Column) -> Column:
 def frequent_lines(docs: DataFrame, *, text_col: str, host_col: str, share: float, at_least: int) -> DataFrame:
     """``host, lines``: hashes of the lines held by more documents of the host than its limit.
 
-    The limit is ``share`` of the host's distinct documents, ``at_least`` at the least. At most
+    The limit is ``share`` of the host's distinct texts, ``at_least`` at the least. Near copies, as linked by
+    `simhash.similar_groups`, are one holder of a line, so that a text with many of them is not its own boilerplate. At most
     1 / share times the lines of an average document can be above it, which bounds the list. Null hosts are one host.
     """
     lines = docs.select(named(host_col).alias("host"), named(text_col).alias("text")).filter("text IS NOT NULL")
@@ -87,7 +89,22 @@ def frequent_lines(docs: DataFrame, *, text_col: str, host_col: str, share: floa
     # Lines below every limit leave before they meet the sizes.
     counts = counts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > at_least)
     above = counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).filter(F.col("held") > F.col("docs") * share)
-    return above.groupBy(F.col("c.host").alias("host")).agg(F.collect_list("line").alias("lines"))
+    above = cut_lineage(above.select("c.host", "line", (F.col("docs") * share).alias("limit")))
+    if above.isEmpty():
+        return above.groupBy("host").agg(F.collect_list("line").alias("lines"))
+    # Only holders of a line above the limit are compared with each other: near copies can but take lines off the list.
+    per_host = above.groupBy(F.col("host").alias("a_host")).agg(F.collect_list(F.struct("line", "limit")).alias("above"))
+    per_host = F.broadcast(per_host) if sizes.count() <= BROADCAST_HOSTS else per_host
+    held = lines.join(per_host, F.col("host").eqNullSafe(F.col("a_host")))
+    held = held.select("host", "doc", F.filter("above", lambda x: F.array_contains("lines", x["line"])).alias("above")).filter(F.size("above") > 0)
+    held = cut_lineage(held)
+    texts = docs.select(named(text_col).alias("text")).withColumn("doc", F.xxhash64("text"))
+    texts = texts.join(held.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    groups = simhash.similar_groups(texts, id_col="doc").select(F.col("id").alias("doc"), "root")
+    again = held.join(groups, "doc").select("host", "root", F.explode("above").alias("a")).select("host", "root", "a.line", "a.limit").distinct()
+    again = again.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"), F.first("limit").alias("limit"))
+    again = again.filter((F.col("held") > at_least) & (F.col("held") > F.col("limit")))
+    return again.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def judge(
