@@ -139,3 +139,9 @@ def test_next_candidates_name_every_pair():
         if not more.any():
             break
     assert named == want
+
+
+def test_one_row_per_group_not_per_id(spark):
+    rows = [(1, "alpha beta gamma"), (1, "quite another text here"), (None, "first without id"), (None, "second of them all"), (None, "first without id"), (2, "first  WITHOUT id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted([tuple(r) for r in kept], key=str) == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)
