@@ -54,3 +54,11 @@ def test_entry(spark, folder):
     df = entry.entry(spark)
     assert df.columns == ["o_orderdate", "o_totalprice"]
     assert df.count() > 0
+
+
+def test_auto_arima_takes_the_daily_panel(spark, folder, monkeypatch):
+    from tidemark.operators import forecast
+    from tidemark.plans.registry import panel
+
+    monkeypatch.setattr(forecast, "auto_arima", lambda series, *_: series)
+    assert entry.queries()["auto_arima"](spark, folder).count() == panel(spark, folder).count()

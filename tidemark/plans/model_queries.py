@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.calendar import calendar_features
-from tidemark.operators import attribution, forecast, learn, resample, sampling, windows
+from tidemark.operators import attribution, forecast, learn, sampling, windows
 from tidemark.operators.profile import rank_examples
 from tidemark.operators.stats import gram_table, solve_rows, unpack_gram
 from tidemark.plans.registry import panel, query, rounded
@@ -19,12 +19,6 @@ from tidemark.streaming import jobs
 # --- panel forecasts ---------------------------------------------------------------------------
 
 
-def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Order value per priority and month: ``k, d, v``."""
-    monthly = resample.resample(panel(spark, folder), "d", ["v"], "month", keys=["k"])
-    return monthly.select("k", F.col("period").alias("d"), F.col("v_sum").alias("v"))
-
-
 @query("holt_winters")
 def holt_winters(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.holt_winters(panel(spark, folder), "d", "v", 12, 12, ["k"])
@@ -37,7 +31,7 @@ def arima_111(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("auto_arima")
 def auto_arima(spark: SparkSession, folder: str) -> DataFrame:
-    return forecast.auto_arima(monthly_panel(spark, folder), "d", "v", ["k"])
+    return forecast.auto_arima(panel(spark, folder), "d", "v", ["k"])
 
 
 def covered_time(series: DataFrame) -> dict:
