@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from test_tables import odd_docs
+from test_corpus_tables import odd_docs
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry

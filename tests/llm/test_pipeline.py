@@ -3,7 +3,7 @@
 import brute
 import numpy as np
 from test_packing import expected, whole
-from test_tables import odd_docs
+from test_corpus_tables import odd_docs
 
 import __spark_entry__ as entry
 import corpus_pipeline

@@ -6,7 +6,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
-from test_tables import DOCS, odd_docs
+from test_corpus_tables import DOCS, odd_docs
 
 from tidemark.llm import repeats, substring_dedup, suffix_dedup
 
