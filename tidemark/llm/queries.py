@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -166,3 +166,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main(read(spark, folder, "pages", "page_id", "url", "html")).drop("container")
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(read(spark, folder, "documents", "doc_id", "text"), ranks=ranks, pattern=public_tokenizers.PATTERN)
+    out = bpe.decode(out, ranks=ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
