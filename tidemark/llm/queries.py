@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import bisector_clusters, bpe, embedding_dedup, filter_audit, html_text, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.shared import read
 
 QUERIES: dict = {}
@@ -176,3 +176,94 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.encode(read(spark, folder, "documents", "doc_id", "text"), ranks=ranks, pattern=public_tokenizers.PATTERN)
     out = bpe.decode(out, ranks=ranks)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+               list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    m AS (
+        SELECT part, list_filter([
+                 CASE WHEN len(w) < 100 THEN 'A' END,
+                 CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+                 CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+                 CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                 CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END], lambda x: x IS NOT NULL) AS fails,
+               doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+        FROM d
+    ),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+    l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ),
+    steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+    s AS (
+        SELECT c.*, filter_order, step, filter_order[step] AS f, list_has_any(fails, string_split(filter_order[:step - 1], '')) AND step > 1 AS early
+        FROM c, steps
+    ),
+    out AS (
+        SELECT part, filter_order, step, f,
+               sum(CASE WHEN NOT early AND NOT list_contains(fails, f) THEN n ELSE 0 END)::BIGINT AS kept,
+               sum(CASE WHEN NOT early AND list_contains(fails, f) THEN n ELSE 0 END)::BIGINT AS removed,
+               sum(CASE WHEN early AND list_contains(fails, f) THEN n ELSE 0 END)::BIGINT AS redundant,
+               sum(CASE WHEN fails = [f] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+               sum(CASE WHEN NOT early AND list_contains(fails, f) THEN good ELSE 0 END)::BIGINT AS good_lost,
+               sum(CASE WHEN NOT early AND list_contains(fails, f) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM s GROUP BY ALL
+    )
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+    FROM out
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    words, distinct, upper, chars, symbols = (F.col(c) for c in filter_audit.MEASURES)
+    filters = {"A": words < 100, "B": 100 * distinct < 80 * words, "C": 100 * upper > 10 * chars, "D": symbols > 0}
+    docs, labels = read(spark, folder, "documents", "doc_id", "text", "lang"), read(spark, folder, "labels", "doc_id", "quality", "toxic")
+    return filter_audit.audit(docs, labels, filters)
+
+
+def _clusters_sql(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    """Every round as a table of (centroid, dimension, value), from the one before."""
+    assign = """
+        SELECT vec_id, arg_min(num, (d, num)) AS num, min(d) AS d FROM (
+            SELECT v.vec_id, c.num, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{0} c ON v.i = c.i GROUP BY 1, 2
+        ) GROUP BY 1"""
+    text = f"""
+    WITH kept AS (
+        SELECT vec_id, embedding FROM embeddings
+        WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {size}
+    ),
+    v AS MATERIALIZED (
+        SELECT vec_id, i, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, embedding, unnest(range(1, {size + 1})) AS i FROM kept)
+    ),
+    starts AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS num FROM kept ORDER BY num LIMIT {k}),
+    c0 AS MATERIALIZED (SELECT num, i, x FROM v JOIN starts USING (vec_id)),"""
+    for n in range(rounds):
+        text += f"""
+    m{n} AS MATERIALIZED (
+        SELECT num, i, ((s - ((s % n) + n) % n) / n)::BIGINT AS x FROM (
+            SELECT a.num, v.i, sum(v.x)::BIGINT AS s, count(*) AS n FROM v JOIN ({assign.format(n)}) a ON v.vec_id = a.vec_id GROUP BY 1, 2
+        )
+    ),
+    c{n + 1} AS MATERIALIZED (SELECT num, i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (num, i)),"""
+    return text + f"""
+    a AS MATERIALIZED ({assign.format(rounds)}),
+    h AS (SELECT num, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+    SELECT vec_id, num::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY num)::BIGINT AS cluster_inertia,
+           sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+    FROM a JOIN h USING (num)
+    """
+
+
+@query("op13_bisector_clusters", _clusters_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    out = bisector_clusters.cluster(read(spark, folder, "embeddings", "vec_id", "embedding"), k=8, rounds=10, seed=3)
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return out.withColumn("centroid_sha256", digest).drop("centroid")
