@@ -9,7 +9,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-import tidemark.operators.quantiles
 from tidemark.functions import calendar as cal
 from tidemark.functions.predicates import conditions
 from tidemark.operators import clean, joins, profile, sampling, schema
@@ -92,10 +91,7 @@ def test_detect_dates_by_name_or_value(spark):
 
 
 @pytest.mark.parametrize("pick", ["linear", "upper"])
-@pytest.mark.parametrize("limit,sampled", [(2_000_000, 20_000_000), (10, 20_000_000), (2_000_000, 10_000)])
-def test_quantiles_against_numpy(spark, pick, limit, sampled, monkeypatch):
-    # A far too small sample: brackets miss their ranks and the full sketch has to step in.
-    monkeypatch.setattr(tidemark.operators.quantiles, "SAMPLE_LEAST", 100)
+def test_quantiles_against_numpy(spark, pick):
     rng = np.random.default_rng(3)
     shapes = {
         "flat": rng.uniform(-5, 5, 9000), "heavy": rng.standard_cauchy(7000), "tied": np.where(rng.uniform(size=6000) < 0.7, 0.0, rng.normal(size=6000)),
@@ -103,7 +99,7 @@ def test_quantiles_against_numpy(spark, pick, limit, sampled, monkeypatch):
     }
     pdf = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in shapes.items()])
     probs = [0.0, 0.1, 0.5, 0.8, 0.975, 1.0]
-    got = order_statistics(spark.createDataFrame(pdf), "v", probs, ["k"], pick=pick, accuracy=200, order_at_once=limit, sample_above=sampled).collect()
+    got = order_statistics(spark.createDataFrame(pdf), "v", probs, ["k"], pick=pick).collect()
     assert len(got) == len(shapes) * len(probs)
     for r in got:
         v = np.sort(shapes[r["k"]])
@@ -118,11 +114,49 @@ def test_quantiles_without_rows_or_with_null_keys(spark):
     assert [r["m"] for r in quantiles(df.limit(0), "v", {"m": 0.5}).collect()] in ([], [None])
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 100])
-def test_rank_examples_with_a_hot_value(spark, limit):
+def test_quantiles_keep_their_types(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big,), (big,), (big,), (-(2**63),), (2**63 - 1,), (None,)], "v bigint")
+    assert [r["m"] for r in quantiles(df, "v", {"m": 0.5}).collect()] == [big]
+    assert [(r["a"], r["b"]) for r in quantiles(df, "v", {"a": 0.0, "b": 1.0}, pick="upper").collect()] == [(-(2**63), 2**63 - 1)]
+    row = profile.describe_population(df.filter("v > 0 and v < 9007199254740994"), "v").first()
+    assert (row["count"], row["median"], row["min"], row["max"]) == (3, big, big, big)
+    inf = float("inf")
+    odd = spark.createDataFrame([(x,) for x in (-inf, -1e308, -0.0, 0.0, 5e-324, 1e-300, 1e308, inf, inf, float("nan"), None)], "v double")
+    got = order_statistics(odd, "v", [i / 9 + 1e-9 for i in range(9)], pick="upper").orderBy("prob_id").collect()
+    assert [r["value"] for r in got] == [-inf, -1e308, 0.0, 0.0, 5e-324, 1e-300, 1e308, inf, inf] and [r["n_below"] for r in got] == [0, 1, 2, 2, 4, 5, 6, 7, 7]
+    close = spark.range(3000).select((F.lit(1.0) + F.col("id") * F.lit(2.0**-52)).alias("v"))
+    assert [r["m"] for r in quantiles(close, "v", {"m": 1500 / 2999}).collect()] == [1.0 + 1500 * 2.0**-52]
+    typed = spark.createDataFrame([("2020-01-05", "1.25"), ("2020-01-01", "-7.50"), ("2020-03-01", "99.99")], "d string, m string")
+    typed = typed.select(F.to_date("d").alias("d"), F.col("m").cast("decimal(12,2)").alias("m"), F.to_timestamp("d").alias("t"), F.col("m").cast("float").alias("f"))
+    for c, want in (("d", "2020-01-05"), ("m", "1.25"), ("t", "2020-01-05 00:00:00"), ("f", "1.25")):
+        assert [str(r["q"]) for r in quantiles(typed, c, {"q": 0.5}, pick="upper").collect()] == [want]
+
+
+def test_a_selection_reads_its_table_three_times_at_most(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=40_000), np.full(360_000, 0.25), rng.standard_cauchy(20_000) * 1e9])
+    spark.createDataFrame(pd.DataFrame({"v": values})).write.parquet(f"{tmp_path}/t")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    table = spark.read.parquet(f"{tmp_path}/t")
+    row = profile.describe(table.select(counted.asNondeterministic()("v").alias("v")), "v").first()
+    assert seen.value <= 3 * len(values)
+    want = pd.Series(values).describe()
+    for c, w in (("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("min", "min"), ("max", "max")):
+        assert row[c] == want[w]
+    assert row["mean"] == pytest.approx(want["mean"]) and row["std"] == pytest.approx(want["std"]) and row["count"] == len(values)
+
+
+def test_rank_examples_with_a_hot_value(spark):
     df = spark.range(5000).withColumn("v", F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id").cast("double")))
     pdf = df.toPandas().sort_values(["v", "id"]).reset_index(drop=True)
-    rows = profile.rank_examples(df, "v", "id", order_at_once=limit).collect()
+    rows = profile.rank_examples(df, "v", "id").collect()
     assert len(rows) == 3
     for r in rows:
         assert r["id"] == pdf["id"][int(r["prob"] * 5000)]

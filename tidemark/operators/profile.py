@@ -12,42 +12,45 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import name
 from tidemark.operators.blocks import time_chunks
 from tidemark.operators.common import attach, join_keys, numeric_columns, require, small, stack_columns
-from tidemark.operators.quantiles import BINS, ORDER_AT_ONCE, order_statistics, quantiles
+from tidemark.operators.quantiles import number_of, order_statistics, quantiles, ranks, select_ranks
 
 
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns of two one-row summaries next to each other."""
-    packed = right.select(F.struct(*[name(c) for c in right.columns]).alias("__s"))
-    out = left.withColumn("__s", packed.scalar())
-    return out.select(*[name(c) for c in left.columns], *[F.col(f"__s.`{c}`") for c in right.columns])
+def _whole_column(df: DataFrame, value: str, probs: dict[str, float], pick: str) -> DataFrame:
+    """One row: ``n``, the summary ``stats``, ``min``, ``max`` and the named quantiles, all from the passes of the selection."""
+    require(df, value)
+    x, d, restore = number_of(df.schema[value])
+    rows = df.select(x.alias("x"), d.alias("d"), name(value).cast("double").alias("v"))
+    out = order_statistics(df, value, list(probs.values()), pick=pick, found=lambda wanted: select_ranks(rows, [], wanted, summary=True))
+    picks = [F.max(F.when(F.col("prob_id") == i, F.col("value"))).alias(c) for i, c in enumerate(probs)]
+    ends = [F.first(restore(F.col(f"stats.x{e}"), F.col(f"stats.d{e}"))).alias(c) for e, c in (("a", "min"), ("b", "max"))]
+    return out.agg(F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.first("stats").alias("stats"), *ends, *picks)
 
 
 def describe(df: DataFrame, value: str, *, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles and max of one column (sample standard deviation)."""
+    """count, mean, std, min, quartiles and max of one column (sample standard deviation); NaN is missing."""
     require(df, value)
     v = name(value)
-    basic = df.agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    quarters = quantiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, approx=approx)
-    return _beside(basic, quarters)
+    if approx:
+        basic = df.agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.percentile_approx(v.cast("double"), [0.25, 0.5, 0.75], 10000).alias("q"),
+        )
+        return basic.select("count", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)])
+    table = _whole_column(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "linear")
+    return table.select(F.col("n").alias("count"), F.col("stats.mean").alias("mean"), F.col("stats.std_samp").alias("std"), "min", "max", "q25", "q50", "q75")
 
 
 def describe_population(df: DataFrame, value: str) -> DataFrame:
-    """The dashboard dialect: nulls dropped, upper median, population standard deviation."""
-    require(df, value)
-    v = name(value)
-    basic = df.agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std_dev")
-    )
-    return _beside(basic, quantiles(df, value, {"median": 0.5}, pick="upper"))
+    """The dashboard dialect: nulls dropped, upper median in the column's own type, population standard deviation."""
+    table = _whole_column(df, value, {"median": 0.5}, "upper")
+    return table.select(F.col("n").alias("count"), F.col("stats.mean").alias("mean"), "min", "max", F.col("stats.std_pop").alias("std_dev"), "median")
 
 
 def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row per column: type, counts, distinct values and, for numbers, min/max/mean/median/std.
 
-    Distinct values are counted on pre-aggregated (column, value) pairs, so a column with few values
-    or one hot value moves few rows. ``approx`` uses sketches and one pass.
+    Distinct values are counted in each column's own type, so a column with few values or one hot value moves few rows; medians of all
+    columns come from common passes of the selection. ``approx`` uses sketches and one pass.
     """
     numbers = numeric_columns(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -74,21 +77,37 @@ def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
         return table
     # Adding zero makes the two zeros of floating-point columns one value.
     signless = {f.name: name(f.name) + F.lit(0.0).cast(f.dataType) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    pairs = stack_columns(df.withColumns(signless), [], df.columns, "column", "v", "string").filter(F.col("v").isNotNull())
-    distinct = pairs.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("u"))
+    counts = [F.struct(F.lit(c).alias("column"), F.count_distinct(signless.get(c, name(c))).alias("u")) for c in df.columns]
+    distinct = df.agg(F.array(*counts).alias("s")).select(F.inline("s"))
     table = join_keys(table, distinct, ["column"], "left")
-    if numbers:
-        long = stack_columns(df, [], numbers, "column", "v", "double")
-        medians = quantiles(long, "v", {"m": 0.5}, ["column"])
-        table = join_keys(table, medians, ["column"], "left")
-    else:
-        table = table.withColumn("m", F.lit(None).cast("double"))
+    table = join_keys(table, column_medians(df, numbers), ["column"], "left") if numbers else table.withColumn("m", F.lit(None).cast("double"))
     return table.select(
         "column", "dtype", "count", "null_count", F.coalesce("u", F.lit(0)).cast("bigint").alias("unique_count"),
         "min", "max", "mean", F.col("m").alias("median"), "std",
     )
 
 
+def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, m``: medians of several number columns, selected together in their own types and printed as doubles."""
+    entries, units = [], []
+    for c in columns:
+        x, d, _ = number_of(df.schema[c])
+        entries.append(F.struct(F.lit(c).alias("column"), x.alias("x"), d.alias("d")))
+        kind = df.schema[c].dataType
+        units += [F.lit(c), F.lit(kind.scale if isinstance(kind, T.DecimalType) else 0)]
+    rows = df.select(F.inline(F.array(*entries)))
+    found = select_ranks(rows, ["column"], lambda n: F.array(*[r.cast("long") for r in ranks(F.lit(0.5), n, "linear")[:2]]))
+    first, second, _ = ranks(F.lit(0.5), F.col("n"), "linear")
+
+    def at(rank: Column) -> Column:
+        return F.try_element_at(F.filter("hits", lambda h: h["rank"] == rank), F.lit(1))
+
+    found = found.withColumns({"a": at(first), "b": at(second), "unit": F.element_at(F.create_map(*units), F.col("column"))})
+    whole = ((F.col("a.x").cast("decimal(20,0)") + F.col("b.x").cast("decimal(20,0)")) / 2).cast("double") / F.pow(F.lit(10.0), "unit")
+    middle = F.when(F.col("a.d") == F.col("b.d"), F.col("a.d")).otherwise(F.col("a.d") + (F.col("b.d") - F.col("a.d")) * 0.5)
+    return found.select("column", F.coalesce(whole, middle).alias("m"))
+
+
 def missing_values(df: DataFrame, *, empty_is_missing: bool = True) -> DataFrame:
     """``column, missing``: nulls and, unless switched off, empty strings."""
 
@@ -177,35 +196,28 @@ def boxplot(df: DataFrame, value: str, keys: Sequence[str] = (), *, approx: bool
     )
 
 
-def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float] = (0.1, 0.5, 0.9), *, order_at_once: int = ORDER_AT_ONCE) -> DataFrame:
+def rank_examples(df: DataFrame, value: str, unique: str, probs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Whole rows at 1-based rank ``int(p * n) + 1`` in (value, unique) order, marked in ``prob``.
 
-    Rows that tie with the value at a rank are ranked by the ``unique`` number. Their number is
-    checked first: many ties are counted in bins, and only the bin that holds the rank is ordered.
+    Rows that tie with the value at a rank are ranked by the ``unique`` number, by the same selection inside the ties.
     """
     spots = order_statistics(df, value, probs, pick="upper")
-    spots = spots.select("prob_id", "prob", F.col("value").alias("__v"), (F.col("rank") - F.col("n_below")).alias("__k"))
+    spots = spots.select(F.col("prob_id").alias("__id"), F.col("prob").alias("__p"), F.col("value").alias("__v"), (F.col("rank") - F.col("n_below")).alias("__k"))
     found = spots.collect()
     few = F.broadcast(df.sparkSession.createDataFrame(found, spots.schema))
-    u = name(unique).cast("double")
-    equal = df.withColumn("__v", name(value).cast("double")).filter(F.col("__v").isin([r["__v"] for r in found]))
-    ties = equal.join(few, "__v")
-    ends = ties.groupBy("prob_id").agg(F.min(u).alias("__lo"), F.max(u).alias("__hi"), F.count(F.lit(1)).alias("__c"))
-    ends = F.broadcast(df.sparkSession.createDataFrame(ends.collect(), ends.schema))
-    ties = ties.join(ends, "prob_id").withColumn("__bin", F.lit(0))
-    if ends.filter(F.col("__c") > order_at_once).isEmpty():
-        last = ties.withColumn("__nth", F.col("__k"))
-    else:
-        width = F.col("__hi") - F.col("__lo")
-        slot = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((u - F.col("__lo")) / width * BINS).cast("int"))).otherwise(F.lit(0))
-        ties = ties.withColumn("__bin", slot)
-        bins = ties.groupBy("prob_id", "__k", "__bin").agg(F.count(F.lit(1)).alias("__c"))
-        upto = F.sum("__c").over(Window.partitionBy("prob_id").orderBy("__bin"))
-        bins = bins.withColumn("__upto", upto).filter("__upto >= __k and __upto - __c < __k")
-        bins = bins.select("prob_id", "__bin", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__nth"))
-        last = join_keys(ties, small(bins), ["prob_id", "__bin"])
-    nth = F.row_number().over(Window.partitionBy("prob_id", "__bin").orderBy(name(unique)))
-    return last.withColumn("__row", nth).filter("__row = __nth").select("prob", *[name(c) for c in df.columns])
+    # Rows of the few values only; equal zeros meet in the join as well.
+    equal = df.filter(name(value).isin([r["__v"] for r in found]))
+    plain = name(value) + F.lit(0.0).cast(df.schema[value].dataType) if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)) else name(value)
+    ties = equal.withColumn("__v", plain).join(few, "__v")
+    x, d, restore = number_of(df.schema[unique])
+    places = ties.select("__id", "__k", x.alias("x"), d.alias("d")) if found else None
+    if places is None:
+        return df.limit(0).select(F.lit(0.0).alias("prob"), *[name(c) for c in df.columns])
+    keyed = select_ranks(places.withColumn("__key", F.struct("__id", "__k")).select("__key", "x", "d"), ["__key"], lambda n: F.array(F.col("__key.__k")))
+    at = F.try_element_at("hits", F.lit(1))
+    nth = keyed.select(F.col("__key.__id").alias("__id"), restore(at["x"], at["d"]).alias("__u"))
+    nth = F.broadcast(df.sparkSession.createDataFrame(nth.collect(), nth.schema))
+    return ties.join(nth, "__id").filter(name(unique) == F.col("__u")).select(F.col("__p").alias("prob"), *[name(c) for c in df.columns])
 
 
 def _pair_corr(a: str, b: str) -> Column:
