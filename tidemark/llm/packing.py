@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut_lineage, named, ragged_ranges, row_batches
+from tidemark.llm.shared import cut_lineage, named, row_batches
 from tidemark.llm.texts import SLICE_BYTES
 
 # A partition of the packing holds about so many tokens and so many pieces at most.
 PART_TOKENS, PART_PIECES = 1 << 24, 200_000
 # Sequences are exchanged again only while a round saves at least this share of them.
 LEAST_GAIN = 0.001
-# Encodings of so many different words are kept per Python worker.
-KEPT_WORDS = 500_000
-# A blank between two characters that are no white space ends a token in every text.
+# A longer text is encoded in parts; a blank between two characters that are no white space ends a token in every text.
+PART_CHARS = 1 << 20
 CLEAN_BLANK = re.compile(r"(?<=\S) (?=\S)")
-UNCLEAN = re.compile(r" \s|\s ")
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-class Encoder(dict):
-    """Token ids of texts, word by word; maps a word to the number of its encoding.
+class Encoder:
+    """Token ids of whole texts, from the vocabulary's ranks where there are any.
 
-    Byte-level BPE never joins text across a single blank between two words, so a text's ids are those
-    of its words, each with the blank before it. Unknown words are encoded from the vocabulary's ranks; those
-    that hold a special token's text, and the first ones of a worker as a check, by the tokenizer file itself.
+    Texts that hold a special token's text, and the first ones of a worker as a check, go through the tokenizer file itself.
     """
 
-    CHECKED = 256
+    CHECKED, CHECKED_CHARS = 32, 4096
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.full = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.fast = None
@@ -60,58 +54,29 @@ class Encoder(dict):
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.checked = 0
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.ids, self.starts = array("I"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        self.ids.extend(self._with_stop(word) or self._encode(word))
-        self[word] = number = len(self.starts) - 1
-        self.starts.append(len(self.ids))
-        return number
-
-    def _with_stop(self, word: str) -> array | None:
-        """Letters and a full stop or comma are tokens of their own, so a known word's ids can be used again."""
-        body = word[:-1]
-        number = self.get(body) if word[-1] in ".," else None
-        if number is None or not body.lstrip(" ").isalpha() or max(body) >= "\u0250":
-            return None
-        return self.ids[self.starts[number] : self.starts[number + 1]] + array("I", self._encode(word[-1]))
-
-    def _encode(self, word: str) -> list[int]:
-        if self.fast is None or any(s in word for s in self.special):
-            return self.full.encode(word, add_special_tokens=False).ids
-        ids = self.fast(word)
-        if self.checked < self.CHECKED:
+
+    def _part(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = self.fast(text)
+        if self.checked < self.CHECKED and len(text) <= self.CHECKED_CHARS:
             self.checked += 1
-            if ids != self.full.encode(word, add_special_tokens=False).ids:
-                raise ValueError(f"the ranks do not belong to the tokenizer: {word!r}")
-        return ids
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the ``n + 1`` offsets of the texts; a null text has none."""
-        if len(self) > KEPT_WORDS:
-            self._reset()
-        numbers, counts = [], []
-        for text in texts:
-            words = []
-            if text:
-                words = CLEAN_BLANK.split(text) if UNCLEAN.search(text) else text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                if not words[0]:
-                    del words[0]
-            counts.append(len(words))
-            numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        # Views end before the arrays grow again.
-        starts, table = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
-        sizes = starts[numbers + 1] - starts[numbers]
-        out = table[ragged_ranges(starts[numbers], sizes)] if len(numbers) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        del starts, table
-        return out, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+            if ids != self.full.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"the ranks do not belong to the tokenizer: {text!r}")
+        return np.array(ids, "<u4")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text; a null text has none."""
+        if not text:
+            return np.zeros(0, "<u4")
+        parts, at = [], 0
+        while len(text) - at > PART_CHARS:
+            found = CLEAN_BLANK.search(text, at + PART_CHARS)
+            if found is None:
+                break
+            parts.append(self._part(text[at : found.start()]))
+            at = found.start()
+        return np.concatenate([*parts, self._part(text[at:] if at else text)])
 
 
 def encoder(tokenizer: str, ranks: str | None, pattern: str | None) -> Encoder:
@@ -140,14 +105,13 @@ def pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, ranks, pattern)
         for batch in row_batches(batches, "text", 4 * SLICE_BYTES):
-            flat, ends = coder.encode(batch.column("text").to_pylist())
             rows, of = [], []
-            for i in range(batch.num_rows):
-                ids = np.append(flat[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.append(coder.encode(text), np.uint32(end_id)).astype("<u4", copy=False)
                 for n, (start, size) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + size]
                     of.append(i)
-                    rows.append((n, start, size, zlib.crc32(part.tobytes()), part) if with_ids else (n, start, size, zlib.crc32(part.tobytes())))
+                    rows.append((n, start, size, zlib.crc32(part), part) if with_ids else (n, start, size, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             arrays = [batch.column("id").take(pa.array(of, pa.int64()))] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
