@@ -27,7 +27,7 @@ IS_UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
 IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#$%&*|"])
 # The counting filter has so many counters per row, each text adds to so many of them, all within one block.
 COUNTERS, PROBES, BLOCK = 32, 3, 512
-# Tables of numbers with at most so many rows are broadcast: some 24 MB.
+# Tables of numbers with at most so many rows, or so many numbers in lists, are broadcast: some 24 MB.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -65,14 +65,15 @@ def possible_repeats(names: DataFrame, rows: int) -> DataFrame:
     blocks = max(1, -(-rows * COUNTERS // BLOCK))
     counts = names.select(F.explode(cells(F.col("h"), blocks)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = counts.groupBy(F.expr(f"cell div {BLOCK}").alias("block")).agg(F.collect_set("cell").alias("crowded"))
-    crowded = sized(cut_lineage(crowded))
+    crowded = sized(cut_lineage(crowded), F.size("crowded"))
     asked = names.withColumn("block", F.pmod("h", F.lit(blocks))).join(crowded, "block")
     return asked.filter(F.forall(cells(F.col("h"), blocks), lambda c: F.array_contains("crowded", c))).select("h").distinct()
 
 
-def sized(stored: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its rows are few."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+def sized(stored: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A stored table, marked for broadcast if its rows (or the sum of their weights) are few."""
+    size = stored.count() if weight is None else stored.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(stored) if size <= BROADCAST_ROWS else stored
 
 
 def first_ids(docs: DataFrame, facts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
