@@ -3,10 +3,11 @@
 import brute
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from test_corpus_tables import odd_docs
 
 import __spark_entry__ as entry
-from tidemark.llm import simhash
+from tidemark.llm import shared, simhash
 
 
 def plain(text):
@@ -118,10 +119,12 @@ def test_links_are_verified_against_brute_force(spark, monkeypatch):
     texts = edited_docs()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     fps = [int(f) for f in simhash.fingerprints(texts, 5, 42)]
-    monkeypatch.setattr(simhash, "TILE", 100)
-    # A radius that makes nearly all pairs of one origin candidates, and some of others.
-    want = similar_roots(texts, fps, 24)
-    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5, radius=24).collect()]
+    monkeypatch.setattr(simhash, "TILE", 20)
+    monkeypatch.setattr(simhash, "FIRST_CANDIDATES", 1)
+    # All pairs are compared, however far apart their fingerprints are.
+    want = similar_roots(texts, fps, 64)
+    assert want != similar_roots(texts, fps, 12)
+    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5).collect()]
     assert sorted(got) == sorted(set(want)) and 6 < len(got) < len(texts)
 
 
@@ -141,6 +144,40 @@ def test_next_candidates_name_every_pair():
     assert named == want
 
 
+def test_components_are_contracted_until_one_task_can_finish(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (220, 2))] + [(1000 + i, 1001 + i) for i in range(300)]
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    want = brute.roots(1400, links)
+    for most in (1_000_000, 40):
+        monkeypatch.setattr(shared, "LOCAL_EDGES", most)
+        got = {r.node: r.root for r in shared.components(table).collect()}
+        assert got.keys() == {i for two in links if two[0] != two[1] for i in two}
+        assert all((got[a] == got[b]) == (want[a] == want[b]) for a in list(got)[:60] for b in got)
+    assert shared.components(table.limit(0)).count() == 0
+
+
+def test_rare_shingles_meet(spark):
+    """Every pair of similar sets has a candidate, also with hot shingles and empty sets."""
+    rng = np.random.default_rng(10)
+    sets = {}
+    for i in range(120):
+        base = set(range(100 * (i % 8), 100 * (i % 8) + 40)) | set(range(5000, 5030))
+        for x in rng.choice(sorted(base), 8, replace=False):
+            base.discard(int(x))
+        sets[i] = sorted(base | {int(x) for x in rng.integers(10_000, 99_999, 4)})
+    sets[500], sets[501] = [], []
+    table = spark.createDataFrame([(i, [x * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for x in s]) for i, s in sets.items()], "node bigint, shingles array<bigint>")
+    table = table.withColumn("shingles", F.array_sort("shingles"))
+    buckets = {}
+    for r in simhash.sharing(table, 80).collect():
+        buckets.setdefault(r.node, set()).add(r.bucket)
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y)):
+                assert buckets[i] & buckets[j]
+
+
 def test_one_row_per_group_not_per_id(spark):
     rows = [(1, "alpha beta gamma"), (1, "quite another text here"), (None, "first without id"), (None, "second of them all"), (None, "first without id"), (2, "first  WITHOUT id")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from tidemark.session import cut_lineage
 
 # ASCII white space, the separators of words everywhere in this folder (also what bytes.split() splits at).
 WORD = r"[^\x20\x09-\x0D]+"
+# Graphs of so many edges are finished by one task.
+LOCAL_EDGES = 1_000_000
 # Odd constants of a well-known 64-bit mixing function.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -82,17 +85,28 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """``node, root`` of at most LOCAL_EDGES edges, found by one task."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(frame[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        return pd.DataFrame({"node": nodes, "root": nodes[local_roots(len(nodes), a, b)]})
+
+    return edges.groupBy(F.lit(0).alias("all")).applyInPandas(join, "node bigint, root bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: columns ``node, root`` for every node of the edges ``a, b`` (longs).
 
     Each round every node joins the neighbour (or itself) whose hash of this round is smallest, and
     the graph is contracted along these choices; a constant share of the nodes vanishes per round,
-    on long chains too. A hub is aggregated map-side and its join is split by Spark's skew handling.
-    Roots are arbitrary members. No edges give an empty table.
+    on long chains too. A hub is aggregated map-side and its join is split by Spark's skew handling. A graph of
+    at most LOCAL_EDGES edges (some 16 MB) is finished by one task. Roots are arbitrary members. No edges give an empty table.
     """
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, chosen = cut_lineage(edges), []
-    while not left.isEmpty():
+    while left.count() > LOCAL_EDGES:
         seed = F.lit(len(chosen))
         both = left.union(left.select("b", "a")).toDF("node", "other")
         best = both.groupBy("node").agg(F.min(F.struct(F.xxhash64(seed, "other").alias("h"), F.col("other").alias("id"))).alias("best"))
@@ -101,8 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
         chosen.append(step)
         ends = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").filter("x <> y")
         left = cut_lineage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if not chosen:
-        return left.toDF("node", "root")
+    chosen.append(cut_lineage(_finish(left)))
     out = chosen[0]
     for step in chosen[1:]:
         out = out.join(step.toDF("root", "__next"), "root", "left").select("node", F.coalesce("__next", "root").alias("root"))

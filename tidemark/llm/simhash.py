@@ -25,6 +25,8 @@ from tidemark.llm.texts import SLICE_BYTES
 TILE = 1 << 13
 # Rows of a comparison task; fingerprints expected per bucket by chance; comparisons of a fingerprint with a word at a time.
 PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
+# Candidates that a row names first, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
+FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 4, 16, 1_000_000
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 LANE_LIMIT = 255
@@ -232,15 +234,21 @@ def bucketed(classes: DataFrame, radius: int, *columns: str) -> DataFrame:
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(number).alias("table"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     placed = classes.select(*columns, F.explode(F.array(*keys)).alias("k")).select(*columns, "k.table", "k.key")
-    counts = placed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
-    crowded = cut_lineage(counts.filter(F.col("n") > TILE).select("table", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    tiled = placed.join(crowded, ["table", "key"], "left") if not crowded.isEmpty() else placed.withColumn("tiles", F.lit(None).cast("int"))
+    counts = placed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("rows"))
+    crowded = cut_lineage(counts.filter(F.col("rows") > TILE))
+    known = placed.join(crowded, ["table", "key"], "left") if not crowded.isEmpty() else placed.withColumn("rows", F.lit(0).cast("long"))
+    return tiled(known, rows * len(tables), *columns)
+
+
+def tiled(known: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``columns, bucket, part`` of rows ``columns, table, key, rows``: keys of many ``rows`` are dealt over tiles, every two of which meet."""
+    tiles = F.when(F.col("rows") > TILE, F.ceil(F.col("rows") / TILE).cast("int"))
+    known = known.withColumn("tiles", tiles)
     own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, own) * 1_000_000 + F.greatest(t, own))
-    tiled = tiled.select(*columns, "table", "key", F.explode(F.coalesce(meets, F.array(F.lit(-1)))).alias("tile"))
-    tiled = tiled.withColumn("bucket", F.xxhash64("table", "key", "tile"))
-    parts = max(1, rows * len(tables) // PART_ROWS)
-    return tiled.select(*columns, "bucket", F.pmod("bucket", F.lit(parts)).alias("part"))
+    spread = known.select(*columns, "table", "key", F.explode(F.coalesce(meets, F.array(F.lit(-1)))).alias("tile"))
+    spread = spread.withColumn("bucket", F.xxhash64("table", "key", "tile"))
+    return spread.select(*columns, "bucket", F.pmod("bucket", F.lit(max(1, rows // PART_ROWS))).alias("part"))
 
 
 def near_duplicates(
@@ -279,86 +287,190 @@ def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed
 
 
 def sets_of(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``node, shingles`` of the rows ``node, text``."""
+    """``node, shingles`` of the rows ``node, text``; the shingles in ascending order."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches, "text", SLICE_BYTES):
             sets = [shingle_set(shingle_digests(text, shingle, seed)) for text in batch.column("text").to_pylist()]
-            offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], names=["node", "shingles"])
 
     return texts.mapInArrow(compute, "node bigint, shingles array<bigint>")
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def shingle_weights(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, counted in cells: a table of fixed size. It only orders shingles, so sharing a cell does no harm."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            held += np.bincount(_cells(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=len(held))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["cell", "n"])
+
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    for row in sets.select("shingles").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[row["cell"]] = row["n"]
+    return out
+
+
+def prefixes(sets: DataFrame, weights: np.ndarray, percent: int) -> DataFrame:
+    """``node, n, key``: the rarest shingles of each set, so many that two sets of the wanted similarity share one of them.
+
+    Of two such sets, each holds at least ``percent`` of the other's shingles, so that among the first ``n - ceil(percent n) + 1`` in one
+    order of all shingles there is a common one. A set without shingles has the key of empty sets.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            sizes = np.diff(ends)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, weights[_cells(flat)], owner))
+            place = np.arange(len(flat)) - np.repeat(ends[:-1], sizes)
+            first = sizes - -(-percent * sizes // 100) + 1
+            take = place < np.repeat(first, sizes)
+            empty = np.flatnonzero(sizes == 0)
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [np.append(node[owner[take]], node[empty]), np.append(sizes[owner[take]], sizes[empty]), np.append(flat[order][take], empty * 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "key"])
+
+    return sets.mapInArrow(compute, "node bigint, n bigint, key bigint")
+
+
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored table of numbers, marked for broadcast if its rows are few."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, n, bucket, part``: two sets of the wanted similarity meet in a bucket of at most two tiles' rows."""
+    placed = cut_lineage(prefixes(sets, shingle_weights(sets), percent).withColumn("table", F.lit(0)).distinct())
+    counts = sized(cut_lineage(placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")))
+    met = placed.join(counts, "key")
+    return tiled(met, counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "node", "n")
+
+
+def next_other(size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the next ``most`` rows of its run with another label behind row ``after``, while their sizes allow the similarity.
+
+    Rows of a run are in ascending order of size. Index pairs, and the rows that have more of them.
+    """
+    got, more = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    end = np.repeat(runs[1:], np.diff(runs))
+    # Runs of one label have nothing left to ask.
+    mixed = np.add.reduceat((label != label[np.repeat(runs[:-1], np.diff(runs))]).astype(np.int64), runs[:-1]) > 0 if len(size) else np.zeros(0, bool)
+    row = np.flatnonzero(np.repeat(mixed, np.diff(runs)))
+    other = np.maximum(row, after[row]) + 1
+    while len(row):
+        live = other < end[row]
+        row, other = row[live], other[live]
+        live = 100 * size[row] >= percent * size[other]
+        row, other = row[live], other[live]
+        hit = label[row] != label[other]
+        over = hit & (got[row] >= most)
+        more[row[over]] = True
+        take = hit & ~over
+        found_a.append(row[take])
+        found_b.append(other[take])
+        got[row[take]] += 1
+        row, other = row[~over], other[~over] + 1
+    return np.concatenate(found_a), np.concatenate(found_b), more
+
+
 def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, radius: int = 12, percent: int = 80
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, radius: int = 4, percent: int = 80
 ) -> DataFrame:
     """One row per document: ``id, text_hash, root``; documents of one root are linked by pairs of similar texts.
 
-    Fingerprints within the radius are candidates only: a pair is a link if its sets of word shingles have at least ``percent``
-    of their union in common. Texts of one set of shingles are one node. In a round every node names its next few
-    candidates per bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates
-    go on behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
+    A pair is a link if its sets of word shingles have at least ``percent`` of their union in common; texts of one set are one
+    node. Fingerprints within the radius are the first candidates and join most groups. Then all nodes that share one of their rarest
+    shingles are candidates, which no similar pair escapes. In a round every node names its next few candidates per
+    bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates go on
+    behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
     """
     slim = cut_lineage(with_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
-    nodes = cut_lineage(slim.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash")))
-    dealt = cut_lineage(bucketed(nodes, radius, "fp", "node", "n"))
-    state, links, roots, most = dealt.withColumns({"label": F.col("node"), "after": F.lit(-1).cast("long")}), None, None, 1
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bucket", "fp", "node"], ignore_index=True)
+    nodes = cut_lineage(slim.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("one")))
+    # One document of each node; rows equal in id and text make the same set again.
+    wanted = sized(cut_lineage(nodes.select("node", F.col("one.text_hash").alias("text_hash"), F.col("one.id").alias("one_id"))))
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & F.col("id").eqNullSafe(F.col("one_id"))).select("node", "text")
+    sets = cut_lineage(sets_of(texts, shingle, seed))
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
         bucket, fps, node, size = (frame[c].to_numpy(np.int64) for c in ("bucket", "fp", "node", "n"))
+        order = np.lexsort((node, fps, bucket))
+        bucket, fps, node, size = bucket[order], fps[order], node[order], size[order]
         runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         words, first, out = np.cumsum(-(-np.diff(runs) // 64)), 0, []
-        start = np.repeat(runs[:-1], np.diff(runs))
-        after = start + frame["after"].to_numpy(np.int64)
         while first < len(runs) - 1:
             done = words[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(words, done + BLOCKS_AT_ONCE, "right")))
             low, high = runs[first], runs[last]
-            part = slice(low, high)
-            a, b, more = next_near(fps[part].view(np.uint64), frame["label"].to_numpy(np.int64)[part], after[part] - low, runs[first : last + 1] - low, radius, most)
+            part, none = slice(low, high), np.full(high - low, -1)
+            a, b, _ = next_near(fps[part].view(np.uint64), node[part], none, runs[first : last + 1] - low, radius, FIRST_CANDIDATES)
             a, b = a + low, b + low
-            # Sets of too unlike sizes cannot be similar.
             fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            out.append(pd.DataFrame({"a": node[a[fits]], "b": node[b[fits]], "bucket": 0, "after": -1}).drop_duplicates())
-            # The last candidate of a row that has more is where it goes on.
-            final = np.full(high - low, -1, np.int64)
-            np.maximum.at(final, a - low, b)
-            on = np.flatnonzero(more)
-            out.append(pd.DataFrame({"a": node[low + on], "b": node[low + on], "bucket": bucket[low + on], "after": (final - start[part])[on]}))
+            out.append(pd.DataFrame({"a": node[a[fits]], "b": node[b[fits]]}).drop_duplicates())
             first = last
         return pd.concat(out)
 
+    found = bucketed(nodes, radius, "fp", "node", "n").groupBy("part").applyInPandas(near, "a bigint, b bigint")
+    links = cut_lineage(similar_pairs(found, sets, percent))
+    dealt, most = cut_lineage(sharing(sets, percent)), FIRST_CANDIDATES
+    roots = cut_lineage(components(links))
+    state = dealt.withColumn("after", F.lit(-1).cast("long"))
     while True:
-        found = state.groupBy("part").applyInPandas(compare, "a bigint, b bigint, bucket bigint, after bigint")
-        found = cut_lineage(found)
-        pairs = cut_lineage(found.filter("after < 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = cut_lineage(similar_pairs(pairs, nodes, docs.select(named(text_col).alias("text")), shingle, seed, percent))
-        links = good if links is None else links.union(good)
-        more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
+
+        def share(frame: pd.DataFrame) -> pd.DataFrame:
+            bucket, node, size, label, after = (frame[c].to_numpy(np.int64) for c in ("bucket", "node", "n", "label", "after"))
+            order = np.lexsort((node, size, bucket))
+            bucket, node, size, label, after = bucket[order], node[order], size[order], label[order], after[order]
+            runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            start = np.repeat(runs[:-1], np.diff(runs))
+            a, b, more = next_other(size, label, start + after, runs, most, percent)
+            pairs = pd.DataFrame({"a": node[a], "b": node[b], "bucket": 0, "after": -1}).drop_duplicates()
+            # The last candidate of a row that has more is where it goes on.
+            final = np.full(len(node), -1, np.int64)
+            np.maximum.at(final, a, b)
+            on = np.flatnonzero(more)
+            return pd.concat([pairs, pd.DataFrame({"a": node[on], "b": node[on], "bucket": bucket[on], "after": (final - start)[on]})])
+
+        labelled = state.join(sized(roots).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
+        good = cut_lineage(similar_pairs(found.filter("after < 0"), sets, percent))
+        links = links.union(good)
         roots = cut_lineage(components(links))
+        more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
             break
         most *= 8
         again = dealt.join(more.select("bucket").distinct(), "bucket", "left_semi").join(more, ["node", "bucket"], "left")
-        again = again.join(roots.withColumnRenamed("root", "label"), "node", "left")
         # Rows that have named all their candidates are only met by others.
-        state = again.withColumns({"label": F.coalesce("label", "node"), "after": F.coalesce("after", F.lit(1 << 40))})
+        state = again.withColumn("after", F.coalesce("after", F.lit(1 << 40)))
     # Stored, so that a group of very many nodes can be split in the join.
     rooted = cut_lineage(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     return slim.join(rooted, "node").select("id", "text_hash", "root")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-    found = texts.withColumn("text_hash", F.xxhash64("text")).join(cut_lineage(wanted), "text_hash").select("node", "text")
-    sets = cut_lineage(sets_of(found, shingle, seed).dropDuplicates(["node"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    pairs = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = cut_lineage(sets.join(sized(asked), "node", "left_semi"))
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
