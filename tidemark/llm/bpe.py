@@ -4,7 +4,7 @@ A sequence of tokens is the encoding of its bytes if and only if every token, an
 encoding of their own bytes: merges inside two neighbours happen in the same order alone as among others. So encodings
 form a language that an automaton with the last token as its state accepts, and each prefix of a text has just one
 encoding. Several ways to go on are open at a time, one per place where the token that is being read may have begun;
-the deterministic state is the last token that is certain with the bytes after it. Tokens are emitted as soon as
+the deterministic state is the set of them with what each has read. Tokens are emitted as soon as
 all open ways share them, at most the length of the longest token later. States and moves are made when first met.
 """
 
@@ -14,6 +14,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import named, ragged_ranges, row_batches
 from tidemark.llm.texts import SLICE_BYTES
 
-# So many moves and so many pieces are kept per Python worker; what goes beyond starts anew, with the same results.
-KEPT_MOVES, KEPT_PIECES = 750_000, 500_000
+# So many states and so many pieces are kept per Python worker; results do not depend on it.
+KEPT_STATES, KEPT_PIECES = 100_000, 300_000
 # Longer pieces are not kept, and longer texts are cut into matches a part at a time.
 KEPT_BYTES, PART_CHARS, DECODE_TOKENS = 64, 1 << 20, 1 << 20
 # An id outside the vocabulary decodes to the replacement character.
@@ -77,88 +78,92 @@ class Merges:
         return ids
 
 
+class State:
+    """The open ways and the moves made so far.
+
+    A way is the place in the tree of tokens that the token being read has come to, the token before it (-1 at the start), and
+    the tokens before it that are not certain yet.
+    """
+
+    __slots__ = ("moves", "ways")
+
+    def __init__(self, ways: tuple) -> None:
+        self.ways, self.moves = ways, {}
+
+
 class Transducer:
-    """Bytes in, token ids out. A state is the last certain token and the bytes read after it."""
+    """Bytes in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT_MOVES) -> None:
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT_STATES) -> None:
         self.ranks, self.merges, self.kept = ranks, Merges(ranks), kept
-        self.begun = {token[:i] for token in ranks for i in range(len(token))}
+        # The tree of tokens: a number per beginning, the token that ends there, whether tokens go on from there.
+        self.tree: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
+        for token, number in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                after = self.tree.get(node << 8 | byte)
+                if after is None:
+                    after = self.tree[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                node = after
+            self.token_at[node] = number
+        self.tokens = {number: token for token, number in ranks.items()}
         self.alone: dict[int, bool] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
-        self._start()
-
-    def _start(self) -> None:
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.numbered(b"", b"", (), (0,))
-
-    def numbered(self, last: bytes, rest: bytes, sizes: tuple[int, ...], open_: tuple[int, ...]) -> int:
-        """The state with these bytes after the last certain token.
-
-        ``sizes``: length of the token that ends at each byte, 0 for none; ``open_``: places where the token that is being read may begin.
-        """
-        number = self.numbers.get((last, rest))
-        if number is None:
-            number = self.numbers[last, rest] = len(self.states)
-            self.states.append((last, rest, sizes, open_))
-        return number
+        self.beside: dict[int, bool] = {}
+        ways = ((0, -1, ()),)
+        self.start = State(ways)
+        self.states = {ways: self.start}
 
-    def _fits(self, before: bytes, token: bytes) -> bool:
+    def _fits(self, before: int, token: int) -> bool:
         """Whether the token may stand behind another one (or first), that is, whether merging gives just these two."""
-        number = self.ranks.get(token)
-        if number is None:
-            return False
-        alone = self.alone.get(number)
+        alone = self.alone.get(token)
         if alone is None:
-            alone = self.alone[number] = self.merges(token) == [number]
-        if not alone or not before:
+            alone = self.alone[token] = self.merges(self.tokens[token]) == [token]
+        if not alone or before < 0:
             return alone
-        two = (self.ranks[before], number)
-        beside = self.beside.get(two)
+        if (before, token) in self.merges.pairs:
+            return False
+        key = before << 32 | token
+        beside = self.beside.get(key)
         if beside is None:
-            if len(self.beside) >= self.kept:
+            if len(self.beside) >= 4 * self.kept:
                 self.beside.clear()
-            beside = self.beside[two] = self.merges(before + token) == list(two)
+            beside = self.beside[key] = self.merges(self.tokens[before] + self.tokens[token]) == [before, token]
         return beside
 
-    def _chain(self, end: int, sizes: tuple[int, ...]) -> list[int]:
-        """The token ends on the way to a place, last one first."""
-        out = []
-        while end:
-            out.append(end)
-            end -= sizes[end - 1]
-        return out
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, rest, sizes, ways = self.states[state]
-        rest += bytes([byte])
-        n, size, open_ = len(rest), 0, []
-        for begin in ways:
-            token = rest[begin:]
-            if not size and token in self.ranks and self._fits(rest[begin - sizes[begin - 1] : begin] if begin else last, token):
-                size = n - begin
-            if token in self.begun:
-                open_.append(begin)
-        sizes += (size,)
-        if size:
-            open_.append(n)
+    def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        ended, open_, tree, token_at = None, [], self.tree, self.token_at
+        for node, before, pending in state.ways:
+            node = tree.get(node << 8 | byte)
+            if node is None:
+                continue
+            token = token_at[node]
+            if token >= 0 and ended is None and self._fits(before, token):
+                ended = (0, token, (*pending, token))
+            if self.inner[node]:
+                open_.append((node, before, pending))
+        if ended is not None:
+            open_.append(ended)
         # What all open ways share is certain.
-        shared = self._chain(open_[0], sizes)
-        for begin in open_[1:]:
-            chain = self._chain(begin, sizes)
-            shared = [e for e in shared if e in chain]
-        emitted = ()
-        if shared:
-            certain = shared[0]
-            emitted = tuple(self.ranks[rest[e - sizes[e - 1] : e]] for e in reversed(self._chain(certain, sizes)))
-            last, rest = rest[certain - sizes[certain - 1] : certain], rest[certain:]
-            # Places whose way does not lead over the certain one are no longer reached, and no open way needs them.
-            sizes, open_ = sizes[certain:], [e - certain for e in open_]
-        if len(self.moves) >= self.kept:
-            self._start()
-            return self.numbered(last, rest, sizes, tuple(open_)), emitted
-        self.moves[state << 8 | byte] = found = self.numbered(last, rest, sizes, tuple(open_)), emitted
+        emitted = open_[0][2]
+        if emitted and len(open_) > 1:
+            for _, _, pending in open_[1:]:
+                if pending[: len(emitted)] != emitted:
+                    emitted = tuple(t for t, _ in takewhile(lambda two: two[0] == two[1], zip(emitted, pending, strict=False)))
+        if emitted:
+            n = len(emitted)
+            open_ = [(node, before, pending[n:]) for node, before, pending in open_]
+        ways = tuple(open_)
+        after = self.states.get(ways)
+        if after is None:
+            after = State(ways)
+            # The first states stay, those met after them are made again whenever they are needed.
+            if len(self.states) < self.kept:
+                self.states[ways] = after
+        found = state.moves[byte] = after, emitted
         return found
 
     def __call__(self, data: bytes) -> list[int]:
@@ -166,17 +171,13 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        out, state, moves = [], 0, self.moves
+        out, state = [], self.start
         for byte in data:
-            found = moves.get(state << 8 | byte)
-            if found is None:
-                found = self._move(state, byte)
-                moves = self.moves
-            state, emitted = found
+            state, emitted = state.moves.get(byte) or self._move(state, byte)
             if emitted:
                 out += emitted
-        _, rest, sizes, _ = self.states[state]
-        return out + [self.ranks[rest[e - sizes[e - 1] : e]] for e in self._chain(len(rest), sizes)[::-1]]
+        # The way that ends with the last byte is the last one of the state.
+        return out + list(state.ways[-1][2])
 
 
 class Coder(dict):
