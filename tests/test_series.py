@@ -139,6 +139,54 @@ def test_adf_tells_walks_from_noise(seeded):
     assert out["noise"] == (True, "1%") and out["ar"] == (True, "1%") and out["walk"][0] is False
 
 
+def plain_adf(y, max_lag=None):
+    """(statistic, lags, observations) by fitting every model to its rows."""
+    y = np.array([v for v in y if v is not None and not np.isnan(v)])
+    n = len(y)
+    if n < 8 or y.min() == y.max():
+        return None, 0, n
+    top = min(int(np.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag, n // 2 - 3)
+    level = (y - y.mean()) / y.std()
+    steps = np.diff(level)
+
+    def fit(lags, skip, columns=None):
+        past = [steps[skip - i : len(steps) - i] for i in range(1, lags + 1)]
+        x, dy = np.stack([np.ones(len(steps) - skip), level[skip:-1], *past], axis=1)[:, :columns], steps[skip:]
+        inverse = np.linalg.pinv(x.T @ x)
+        beta = inverse @ x.T @ dy
+        rss = ((dy - x @ beta) ** 2).sum()
+        return beta, rss, inverse, len(dy)
+
+    scores = []
+    for p in range(top + 1):
+        _, rss, _, m = fit(top, top, p + 2)
+        scores.append((m * np.log(rss / m) + 2 * (p + 2), p))
+    lags = min(scores)[1]
+    beta, rss, inverse, m = fit(lags, lags)
+    return beta[1] / np.sqrt(rss / (m - lags - 2) * inverse[1, 1]), lags, m
+
+
+def test_adf_against_single_fits(spark):
+    rng = np.random.default_rng(12)
+    noise = rng.normal(size=400)
+    ar = [0.0, 0.0, 0.0]
+    for e in rng.normal(size=300):
+        ar.append(0.5 * ar[-1] - 0.4 * ar[-2] + 0.3 * ar[-3] + e)
+    shapes = {"walk": noise.cumsum(), "noise": noise, "ar": np.array(ar), "short": noise[:9], "seven": noise[:7], "flat": np.full(50, 2.0), "holes": np.where(np.arange(400) % 9 == 0, np.nan, noise)}
+    rows = [(k, i, float(v)) for k, y in shapes.items() for i, v in enumerate(y)] + [("none", 0, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, d int, v double")
+    for max_lag in (None, 0, 1, 4):
+        got = {r.k: r for r in stats.adf_test(df, "d", "v", ["k"], max_lag=max_lag).collect()}
+        assert got.keys() == shapes.keys() | {None}
+        for k, y in shapes.items():
+            tau, lags, n = plain_adf(y, max_lag)
+            assert (got[k].lags, got[k].nobs) == (lags, n), k
+            assert got[k].statistic == (pytest.approx(tau, rel=1e-6) if tau is not None else None)
+    alone = stats.adf_test(df.filter("k = 'ar'"), "d", "v").first()
+    assert alone.statistic == pytest.approx(plain_adf(shapes["ar"])[0], rel=1e-6)
+    assert stats.adf_test(df.limit(0), "d", "v", ["k"]).count() == 0
+
+
 def test_adf_lag0_is_the_special_case(seeded):
     full = by_key(stats.adf_test(seeded, "d", "v", ["k"], max_lag=0), "statistic", "nobs")
     short = by_key(stats.adf_lag0(seeded, "d", "v", ["k"]), "statistic", "nobs")

@@ -46,7 +46,7 @@ def per_series(series: DataFrame, time: str, keys: Sequence[str], fn, fields: li
 def acf(series: DataFrame, time: str, value: str, max_lag: int | None = 30, keys: Sequence[str] = ()) -> DataFrame:
     """``keys..., lag, acf`` for lags 0 to ``max_lag`` (half the series when None), at most the series' length less one.
 
-    Lags are cut into blocks of LAG_BLOCK. For each block every point meets those at the block's offset and
+    Up to LAG_BLOCK lags every point looks that far ahead in one window. More are cut into blocks: for each block every point meets those at the block's offset and
     the next LAG_BLOCK - 1 ones, so blocks spread over tasks and no task sees all products of a series.
     """
     every, cols = whole(keys), [name(k) for k in keys]
@@ -57,18 +57,23 @@ def acf(series: DataFrame, time: str, value: str, max_lag: int | None = 30, keys
         *cols, (F.row_number().over(ordered(keys, time)) - 1).alias("__t"), (name(value) - F.avg(name(value)).over(every)).alias("__x"),
         top.cast("int").alias("__top"),
     )
-    blocks = F.sequence(F.lit(0), F.floor(F.col("__top") / LAG_BLOCK).cast("int"))
-    spread = placed.withColumn("__b", F.explode(blocks))
-    # A point enters a block as the earlier one of its pairs, and moved back by the block's offset as the later one.
-    roles = F.array(
-        F.struct(F.col("__t").alias("t"), F.col("__x").alias("x"), F.lit(None).cast("double").alias("y")),
-        F.struct((F.col("__t") - F.col("__b") * LAG_BLOCK).alias("t"), F.lit(None).cast("double").alias("x"), F.col("__x").alias("y")),
-    )
-    spread = spread.select(*cols, "__b", "__top", F.explode(roles).alias("__r"))
-    met = spread.groupBy(*cols, "__b", "__top", F.col("__r.t").alias("__t")).agg(F.max("__r.x").alias("__x"), F.max("__r.y").alias("__y"))
+    width = LAG_BLOCK
+    if max_lag is not None and max_lag < LAG_BLOCK:
+        width = max_lag + 1
+        met = placed.select(*cols, F.lit(0).alias("__b"), "__top", "__t", "__x", F.col("__x").alias("__y"))
+    else:
+        blocks = F.sequence(F.lit(0), F.floor(F.col("__top") / LAG_BLOCK).cast("int"))
+        spread = placed.withColumn("__b", F.explode(blocks))
+        # A point enters a block as the earlier one of its pairs, and moved back by the block's offset as the later one.
+        roles = F.array(
+            F.struct(F.col("__t").alias("t"), F.col("__x").alias("x"), F.lit(None).cast("double").alias("y")),
+            F.struct((F.col("__t") - F.col("__b") * LAG_BLOCK).alias("t"), F.lit(None).cast("double").alias("x"), F.col("__x").alias("y")),
+        )
+        spread = spread.select(*cols, "__b", "__top", F.explode(roles).alias("__r"))
+        met = spread.groupBy(*cols, "__b", "__top", F.col("__r.t").alias("__t")).agg(F.max("__r.x").alias("__x"), F.max("__r.y").alias("__y"))
     ahead = Window.partitionBy(*cols, "__b").orderBy("__t")
-    met = met.withColumns({f"__y{k}": F.lead("__y", k).over(ahead) for k in range(LAG_BLOCK)})
-    sums = [F.coalesce(F.sum(F.col("__x") * F.col(f"__y{k}")), F.lit(0.0)) for k in range(LAG_BLOCK)]
+    met = met.withColumns({f"__y{k}": F.lead("__y", k).over(ahead) for k in range(width)})
+    sums = [F.coalesce(F.sum(F.col("__x") * F.col(f"__y{k}")), F.lit(0.0)) for k in range(width)]
     summed = met.groupBy(*cols, "__b", "__top").agg(F.array(*sums).alias("__p"))
     lags = summed.select(*cols, "__b", "__top", F.posexplode("__p").alias("__k", "__c"))
     lags = lags.withColumn("lag", (F.col("__b") * LAG_BLOCK + F.col("__k")).cast("int")).filter("lag <= __top")
@@ -147,11 +152,16 @@ def adf_critical(level: str, n: int) -> float:
     return sum(c / n**i for i, c in enumerate(ADF_CRITICAL[level]))
 
 
+def array_total(arrays: Column) -> Column:
+    """The sum of a list of equally long arrays."""
+    return F.aggregate(F.slice(arrays, 2, F.greatest(F.size(arrays) - 1, F.lit(0))), arrays[0], lambda s, g: F.zip_with(s, g, lambda a, b: a + b))
+
+
 def gram_table(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """X'X of the columns per key as one array (upper triangle), for raw rows of any number.
 
-    Each task multiplies its Arrow batches and hands on sums per key; the cells are then added up by
-    an ordinary aggregate with map-side combine. Whole rows never move.
+    Each task multiplies its Arrow batches and hands on one array per key; the arrays of a 64th of the tasks are added up
+    first, then the sums of all of them. Whole rows never move.
     """
     names, size = list(columns), len(columns)
     upper = np.triu_indices(size)
@@ -178,10 +188,10 @@ def gram_table(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         if sums:
             yield flush()
 
-    cells = selected.mapInPandas(partial, schema).select(*[name(k) for k in keys], F.posexplode("g").alias("i", "c"))
-    totals = cells.groupBy(*[name(k) for k in keys], "i").agg(F.sum("c").alias("c"))
-    whole_array = F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"])
-    return totals.groupBy(*[name(k) for k in keys]).agg(whole_array.alias("gram"))
+    parts = selected.mapInPandas(partial, schema).withColumn("__task", F.pmod(F.spark_partition_id(), F.lit(64)))
+    cols = [name(k) for k in keys]
+    some = parts.groupBy(*cols, "__task").agg(F.collect_list("g").alias("g")).withColumn("g", array_total(F.col("g")))
+    return some.groupBy(*cols).agg(F.collect_list("g").alias("g")).select(*cols, array_total(F.col("g")).alias("gram")).filter("gram IS NOT NULL")
 
 
 def unpack_gram(flat: np.ndarray, size: int) -> np.ndarray:
@@ -203,56 +213,86 @@ def solve_rows(table: DataFrame, keys: Sequence[str], fields: list[T.StructField
     return table.mapInPandas(run, schema)
 
 
-def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Coefficients, residual sum of squares and inverse of X'X."""
-    inverse = np.linalg.pinv(x.T @ x, hermitian=True)
-    beta = inverse @ (x.T @ y)
-    gap = y - x @ beta
-    return beta, float(gap @ gap), inverse
-
+def _nested(a: np.ndarray, b: np.ndarray, yy: float) -> np.ndarray:
+    """Residual sums of squares with the first 1, 2, ... columns, from the normal equations of all."""
+    try:
+        return yy - np.cumsum(np.linalg.solve(np.linalg.cholesky(a), b) ** 2)
+    except np.linalg.LinAlgError:
+        return np.array([yy - b[:p] @ np.linalg.pinv(a[:p, :p], hermitian=True) @ b[:p] for p in range(1, len(b) + 1)])
 
-def adf_statistic(y: np.ndarray, max_lag: int | None = None) -> tuple[float, int, int]:
-    """(statistic, lags, observations); lags by AIC on shared rows, then refitted on all usable rows."""
-    n = len(y)
-    if n < 8 or y.min() == y.max():
-        return float("nan"), 0, n
-    top = min(math.ceil(12 * (n / 100) ** 0.25) if max_lag is None else max_lag, n // 2 - 3)
-    level = (y - y.mean()) / y.std()
-    steps = np.diff(level)
 
-    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        past = [steps[skip - i : len(steps) - i] for i in range(1, lags + 1)]
-        return np.stack([np.ones(len(steps) - skip), level[skip:-1], *past], axis=1), steps[skip:]
+def adf_from_gram(gram: np.ndarray, edges: list, top: int) -> tuple[float, int, int]:
+    """(statistic, lags, observations) from X'X of ``1, level, differences at lag 1.., difference`` over the rows with ``top`` lags.
 
-    x, dy = design(top, top)
-    scores = [(len(dy) * math.log(max(_ols(x[:, : p + 2], dy)[1], 1e-300) / len(dy)) + 2 * (p + 2), p) for p in range(top + 1)]
-    lags = min(scores)[1]
-    x, dy = design(lags, lags)
-    beta, rss, inverse = _ols(x, dy)
-    variance = rss / (len(dy) - lags - 2) * inverse[1, 1]
-    return (float(beta[1] / math.sqrt(variance)) if variance > 0 else float("nan")), lags, len(dy)
+    ``edges``: the ``top`` rows before those, (number, columns without the 1), which take part once fewer lags are chosen.
+    """
+    n, y = round(gram[0, 0]), len(gram) - 1
+    rss = _nested(gram[: top + 2, : top + 2], gram[: top + 2, y], gram[y, y])[1:]
+    lags = int(np.argmin(n * np.log(np.maximum(rss, 1e-300) / n) + 2 * np.arange(2, top + 3)))
+    pick = [*range(lags + 2), y]
+    chosen = gram[np.ix_(pick, pick)]
+    for number, values in edges:
+        if number >= lags:
+            row = np.array([1.0, *values[: lags + 1], values[-1]], float)
+            chosen = chosen + np.outer(row, row)
+            n += 1
+    inverse = np.linalg.pinv(chosen[:-1, :-1], hermitian=True)
+    beta = inverse @ chosen[:-1, -1]
+    variance = (chosen[-1, -1] - beta @ chosen[:-1, -1]) / (n - lags - 2) * inverse[1, 1]
+    return (float(beta[1] / math.sqrt(variance)) if variance > 0 else float("nan")), lags, n
 
 
 def adf_test(series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant, one series per group.
+    """Augmented Dickey-Fuller test with a constant.
 
-    ``keys..., statistic, p_value, lags, nobs, crit_1, crit_5, crit_10, stationary``. Lags compete by
-    AIC up to ``12 (n / 100)^(1/4)``.
+    ``keys..., statistic, p_value, lags, nobs, crit_1, crit_5, crit_10, stationary``. Lags compete by AIC up to
+    ``12 (n / 100)^(1/4)`` on shared rows; the chosen ones are fitted to all rows that have them. A series of fewer than 8 points or of
+    one value has no statistic. One window makes the lag columns of all models, one aggregate their cross products: the
+    nested models are leading blocks of that one matrix, so Python sees a small matrix per key and never a series.
     """
+    every, w, cols = whole(keys), ordered(keys, time), [name(k) for k in keys]
+    rows = series.filter(name(value).isNotNull() & ~F.isnan(name(value).cast("double")))
+    longest = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = math.ceil(12 * (longest / 100) ** 0.25) if max_lag is None else max_lag
+    width = max(0, min(wanted, longest // 2 - 3))
+    n = F.count(F.lit(1)).over(every)
+    own = F.ceil(12 * F.pow(n / 100, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    v = name(value).cast("double")
+    rows = rows.select(
+        *cols, name(time).alias("__time"), n.alias("__n"), F.least(own, F.floor(n / 2) - 3).cast("int").alias("__top"),
+        F.try_divide(v - F.avg(v).over(every), F.stddev_pop(v).over(every)).alias("__level"), (F.max(v).over(every) > F.min(v).over(every)).alias("__moves"),
+    )
+    w = ordered(keys, "__time")
+    rows = rows.withColumns({"__before": F.lag("__level").over(w), "__s": F.row_number().over(w) - 2})
+    rows = rows.withColumn("__step", F.col("__level") - F.col("__before"))
+    past = {f"__d{i}": F.when(F.col("__top") >= i, F.lag("__step", i).over(w)).otherwise(F.lit(0.0)) for i in range(1, width + 1)}
+    usable = (F.col("__n") >= 8) & F.col("__moves")
+    # The rows before the shared ones have no 1, which keeps them out of the matrix.
+    rows = rows.withColumns({**past, "__one": F.when(usable & (F.col("__s") >= F.col("__top")), F.lit(1.0))})
+    design = ["__before", *past, "__step"]
+    edge = usable & F.col("__s").between(0, F.col("__top") - 1)
+    table = rows.groupBy(*cols).agg(
+        F.first("__n").alias("n"), F.first("__top").alias("top"), F.array_sort(F.collect_list(F.when(edge, F.struct("__s", F.array(*design))))).alias("edges")
+    )
+    table = join_keys(table, gram_table(rows, ["__one", *design], keys), keys, "left") if keys else table.withColumn(
+        "gram", gram_table(rows, ["__one", *design]).select("gram").scalar()
+    )
     fields = [T.StructField("statistic", T.DoubleType()), T.StructField("p_value", T.DoubleType())]
     fields += [T.StructField("lags", T.IntegerType()), T.StructField("nobs", T.LongType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("crit_1", "crit_5", "crit_10")]
     fields += [T.StructField("stationary", T.BooleanType())]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tau, lags, n = adf_statistic(pdf[value].to_numpy(float), max_lag)
+    def solve(row: dict) -> list:
+        tau, lags, count = float("nan"), 0, int(row["n"])
+        # Series without a statistic have no complete row.
+        if row["gram"] is not None and row["gram"][0] > 0:
+            edges = [(e["__s"], e["col2"]) if isinstance(e, dict) else tuple(e) for e in row["edges"]]
+            tau, lags, count = adf_from_gram(unpack_gram(np.array(row["gram"], float), width + 3), edges, int(row["top"]))
         known = tau == tau
         prob = adf_p_value(tau) if known else None
-        limits = [adf_critical(level, n) for level in ADF_CRITICAL]
-        row = [tau if known else None, prob, lags, n, *limits, prob < 0.05 if known else None]
-        return pd.DataFrame([row], columns=[f.name for f in fields])
+        return [tau if known else None, prob, lags, count, *[adf_critical(level, count) for level in ADF_CRITICAL], prob < 0.05 if known else None]
 
-    return per_series(series.filter(name(value).isNotNull()), time, keys, run, fields)
+    return solve_rows(table.filter("n > 0"), keys, fields, solve)
 
 
 def adf_level(tests: DataFrame) -> DataFrame:

@@ -443,6 +443,36 @@ def adf_test(spark: SparkSession, folder: str) -> DataFrame:
     return stats.adf_level(stats.adf_test(panel(spark, folder), "d", "v", ["k"]))
 
 
+# At most one lagged difference, by normal equations of centred sums; AIC on the rows that have the lag.
+_ADF1 = (
+    f"WITH {PANEL}, z AS (SELECT k, d, (v - avg(v) OVER p) / stddev_pop(v) OVER p AS y FROM s WINDOW p AS (PARTITION BY k)), "
+    "x AS (SELECT k, d, lag(y) OVER w AS l, y - lag(y) OVER w AS dy FROM z WINDOW w AS (PARTITION BY k ORDER BY d)), "
+    "x1 AS (SELECT *, lag(dy) OVER (PARTITION BY k ORDER BY d) AS d1 FROM x), "
+    "a AS (SELECT k, count(*) AS n0, regr_sxx(dy, l) AS ll, regr_syy(dy, l) AS yy, regr_sxy(dy, l) AS ly FROM x1 WHERE dy IS NOT NULL GROUP BY k), "
+    "b AS (SELECT k, count(*) AS n, regr_sxx(dy, l) AS ll, regr_syy(dy, l) AS yy, regr_sxy(dy, l) AS ly, regr_syy(d1, l) AS dd, regr_sxy(d1, l) AS ld, regr_sxy(dy, d1) AS dy1 "
+    "FROM x1 WHERE d1 IS NOT NULL GROUP BY k), "
+    "c AS (SELECT *, ll * dd - ld * ld AS det, (dd * ly - ld * dy1) / (ll * dd - ld * ld) AS g1, (ll * dy1 - ld * ly) / (ll * dd - ld * ld) AS b1 FROM b), "
+    "e AS (SELECT *, yy - g1 * ly - b1 * dy1 AS rss1, yy - ly * ly / ll AS rss0 FROM c), "
+    "f AS (SELECT *, CASE WHEN n * ln(rss1 / n) + 6 < n * ln(rss0 / n) + 4 THEN 1 ELSE 0 END AS lags FROM e), "
+    "g AS (SELECT f.k, lags, CASE WHEN lags = 1 THEN n ELSE n0 END AS nobs, CASE WHEN lags = 1 THEN g1 / sqrt(rss1 / (n - 3) * dd / det) "
+    "ELSE a.ly / a.ll / sqrt((a.yy - a.ly * a.ly / a.ll) / (n0 - 2) / a.ll) END AS statistic FROM f JOIN a ON a.k = f.k), "
+    "h AS (SELECT *, " + ", ".join(
+        f"{' + '.join(f'({c!r})::DOUBLE / nobs ** {i}' for i, c in enumerate(stats.ADF_CRITICAL[level]))} AS crit_{level[:-1]}" for level in stats.ADF_CRITICAL
+    ) + " FROM g) "
+)
+
+
+@query("adf_one_lag", _ADF1 + "SELECT k, lags, nobs, round(statistic, 4) AS statistic, round(crit_1, 6) AS crit_1, round(crit_5, 6) AS crit_5, round(crit_10, 6) AS crit_10 FROM h")
+def adf_one_lag(spark: SparkSession, folder: str) -> DataFrame:
+    out = stats.adf_test(panel(spark, folder), "d", "v", ["k"], max_lag=1).select("k", "lags", "nobs", "statistic", "crit_1", "crit_5", "crit_10")
+    return rounded(rounded(out, 4, "statistic"), 6, "crit_1", "crit_5", "crit_10")
+
+
+@query("adf_level", _ADF1 + "SELECT k, CASE WHEN statistic <= crit_1 THEN '1%' WHEN statistic <= crit_5 THEN '5%' WHEN statistic <= crit_10 THEN '10%' ELSE 'none' END AS level FROM h")
+def adf_level(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.adf_level(stats.adf_test(panel(spark, folder), "d", "v", ["k"], max_lag=1)).select("k", "level")
+
+
 @query(
     "split_half_stats",
     f"WITH {PANEL}, {_PLACED} SELECT k, CASE WHEN t < n // 2 THEN 1 ELSE 2 END AS half, count(*) AS n, round(avg(v), 4) AS mean, round(var_samp(v), 0) AS variance FROM p GROUP BY 1, 2",
