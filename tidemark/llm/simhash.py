@@ -26,7 +26,9 @@ TILE = 1 << 13
 # Rows of a comparison task; fingerprints expected per bucket by chance; comparisons of a fingerprint with a word at a time.
 PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
 # Candidates that a row names first, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
-FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 4, 16, 1_000_000
+FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 1_000_000
+# Sets that meet in a task to find the first links.
+TILE_SETS = 512
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 LANE_LIMIT = 255
@@ -354,7 +356,8 @@ def sized(stored: DataFrame) -> DataFrame:
 
 def sharing(sets: DataFrame, percent: int) -> DataFrame:
     """``node, n, bucket, part``: two sets of the wanted similarity meet in a bucket of at most two tiles' rows."""
-    placed = cut_lineage(prefixes(sets, shingle_weights(sets), percent).withColumn("table", F.lit(0)).distinct())
+    # Made twice rather than stored: most of these shingles occur in one set only.
+    placed = prefixes(sets, shingle_weights(sets), percent).withColumn("table", F.lit(0))
     counts = sized(cut_lineage(placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")))
     met = placed.join(counts, "key")
     return tiled(met, counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "node", "n")
@@ -426,7 +429,7 @@ def similar_groups(
         return pd.concat(out)
 
     found = bucketed(nodes, radius, "fp", "node", "n").groupBy("part").applyInPandas(near, "a bigint, b bigint")
-    links = cut_lineage(similar_pairs(found, sets, percent))
+    links = cut_lineage(first_links(found, sets, percent))
     dealt, most = cut_lineage(sharing(sets, percent)), FIRST_CANDIDATES
     roots = cut_lineage(components(links))
     state = dealt.withColumn("after", F.lit(-1).cast("long"))
@@ -465,14 +468,45 @@ def similar_groups(
 
 def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
-    pairs = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    held = cut_lineage(sets.join(sized(asked), "node", "left_semi"))
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    pairs = sized(cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    # Few pairs go to the sets; one of the two sets of each pair moves.
+    both = sets.toDF("a", "x").join(pairs, "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def first_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the candidates ``a, b`` that join most groups: each set moves once, however many candidates it has.
+
+    Sets whose candidates hang together meet, TILE_SETS of them at a time. The first open one is compared with all others there, those similar
+    to it are linked to it, and so on with what is left. Links of other pairs are found later.
+    """
+    roots = cut_lineage(components(found))
+    tiles = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE_SETS).alias("tiles"))
+    placed = roots.join(tiles, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"))
+    met = sets.join(sized(cut_lineage(placed)), "node")
+
+    def stars(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        begin, open_, a, b = np.cumsum(sizes) - sizes, np.ones(len(nodes), bool), [], []
+        for i in range(len(nodes)):
+            if open_[i]:
+                open_[i] = False
+                own = flat[begin[i] : begin[i] + sizes[i]]
+                spot = np.searchsorted(own, flat)
+                common = np.bincount(owner[(spot < len(own)) & (own[np.minimum(spot, len(own) - 1)] == flat)] if len(own) else [], minlength=len(nodes))
+                near = np.flatnonzero(open_ & (100 * common >= percent * (sizes + sizes[i] - common)))
+                open_[near] = False
+                a.append(nodes[near])
+                b.append(np.full(len(near), nodes[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return met.groupBy("tile").applyInArrow(stars, "a bigint, b bigint")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents of ``docs`` without all but one (that of the smallest id) of each group of `similar_groups`.
 
