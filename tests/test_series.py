@@ -400,3 +400,42 @@ def test_analysis_runs_every_step(spark):
         rows = table.count()
         assert rows > 0 or step in ("outlier_periods", "change_points"), step
     assert math.isclose(out["summary"].first()["count"], 300)
+
+
+def test_counterfactual_is_least_squares(spark):
+    rng = np.random.default_rng(31)
+    start, event = date(2020, 1, 1), date(2020, 10, 1)
+    rows = []
+    for k, jump in (("up", 5.0), ("none", 0.0), (None, -3.0)):
+        for i in range(400):
+            d = start + timedelta(days=i)
+            rows.append((k, d, 10 + 0.02 * i + (d.weekday() == 6) * 4 + jump * (d >= event) + float(rng.normal())))
+    rows += [("late", date(2021, 1, 1) + timedelta(days=i), 1.0) for i in range(5)] + [("early", start, 1.0), ("up", None, 3.0), ("up", start, None)]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    design = impact.weekday_design(event)
+    out = {r.k: r for r in impact.counterfactual(df, "d", "v", event, ["k"], design=design).collect()}
+    assert out.keys() == {"up", "none", None, "late", "early"}
+    assert (out["late"].pre, out["late"].post, out["late"].predicted) == (0, 5, None) and (out["early"].pre, out["early"].post) == (1, 0)
+    assert out["up"].average_effect == pytest.approx(5, abs=0.5) and out["up"].p_value < 0.001 and out["none"].p_value > 0.01
+    mine = [(d, v) for k, d, v in rows if k == "up" and d and v is not None]
+    x = np.array([[(d - event).days / 365.25, *[float(d.weekday() == i) for i in range(7)]] for d, _ in mine])
+    y, pre = np.array([v for _, v in mine]), np.array([d < event for d, _ in mine])
+    beta, rss, *_ = np.linalg.lstsq(x[pre], y[pre], rcond=None)
+    total = x[~pre].sum(axis=0)
+    error = np.sqrt(rss[0] / (pre.sum() - 8) * ((~pre).sum() + total @ np.linalg.inv(x[pre].T @ x[pre]) @ total)) / (~pre).sum()
+    assert out["up"].predicted == pytest.approx(total @ beta) and out["up"].standard_error == pytest.approx(error)
+    fit = impact.counterfactual(df.filter("k = 'up'"), "d", "v", event, design=design)
+    each = impact.effect_on_rows(df.filter("k = 'up'"), fit, "d", "v", event, design=design).orderBy("d").collect()
+    assert [r.effect for r in each] == pytest.approx((y - x @ beta)[~pre].tolist()) and each[-1].cumulative_effect == pytest.approx(out["up"].cumulative_effect)
+
+
+def test_counterfactual_with_the_forecast_design(spark):
+    start, event = date(2018, 1, 1), date(2020, 1, 1)
+    rows = [(start + timedelta(days=i), 100 + 10 * float(np.sin(2 * np.pi * i / 365.25)) + 0.01 * i + (7.0 if i >= 730 else 0.0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "d date, v double")
+
+    def design(time):
+        return forecast.seasonal_design(time, start, 900, knots=0, yearly=3, weekly=1)
+
+    row = impact.counterfactual(df, "d", "v", event, design=design, ridge={"c_trend": 1e-6}).first()
+    assert row.average_effect == pytest.approx(7.0, abs=0.05)

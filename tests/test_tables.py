@@ -338,3 +338,28 @@ def test_point_limit(spark):
         bounded(df, ["k"], 9).collect()
     with pytest.raises(PySparkException, match="more than 9 points"):
         bounded(df, [], 9).groupBy("k").count().collect()
+
+
+def test_nearest_rows_against_all_pairs(spark):
+    rng = np.random.default_rng(20)
+    base = pd.Timestamp("2020-01-01")
+
+    def rows(n, hot):
+        keys = [None if x < 0.05 else "hot" if x < hot else f"k{int(x * 40)}" for x in rng.uniform(size=n)]
+        return [(k, None if rng.random() < 0.03 else base + pd.Timedelta(minutes=int(m)), int(i)) for i, (k, m) in enumerate(zip(keys, rng.integers(0, 900, n)))]
+
+    left, right = rows(400, 0.4), rows(150, 0.4)
+    schema = "k string, t timestamp, `a.b` int"
+    one = spark.createDataFrame([(k, None if t is None else t.to_pydatetime(), i) for k, t, i in left] + [("nowhere", base.to_pydatetime(), 1)] * 2, schema)
+    two = spark.createDataFrame([(k, None if t is None else t.to_pydatetime(), i) for k, t, i in right], schema)
+    for chunks in (1, 7, 40):
+        got = joins.nearest_rows(one, two, "t", "t", ["k"], chunks=chunks).collect()
+        assert len(got) == len(left) + 2
+        for r in got:
+            near = [(abs((t.to_pydatetime() - r["t"]).total_seconds()), t.to_pydatetime(), i) for k, t, i in right if r["t"] is not None and t is not None and k == r["k"]]
+            want = min(near, default=(None, None, None))
+            assert (r["nearest_seconds"], r["nearest_t"], r["nearest_a.b"]) == want
+    assert joins.nearest_rows(one, two.limit(0), "t", "t", ["k"]).filter("nearest_t is not null").count() == 0
+    assert joins.nearest_rows(one.limit(0), two, "t", "t").count() == 0
+    alone = joins.nearest_rows(one, two, "t", "t", chunks=5).filter("t is not null and nearest_t is null").count()
+    assert alone == 0

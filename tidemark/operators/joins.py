@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
+from tidemark.operators.blocks import time_chunks, with_untimed
 from tidemark.operators.common import join_keys, require
 
 
@@ -46,3 +47,56 @@ def nearest_dates(series: DataFrame, time: str, events: Sequence[date], keys: Se
     grouped = series.groupBy(*[name(k) for k in keys]).agg(hits.alias("__hits"))
     out = grouped.select(*[name(k) for k in keys], F.inline("__hits"))
     return out.withColumn("days_off", F.abs(F.datediff("nearest", "event_date")))
+
+
+def nearest_rows(
+    left: DataFrame, right: DataFrame, time: str, right_time: str, keys: Sequence[str] = (), *, prefix: str = "nearest_", chunks: int | None = None
+) -> DataFrame:
+    """Each row of ``left`` with the columns of the row of ``right`` that is nearest in time and has the same key, named with ``prefix``.
+
+    ``<prefix>seconds`` is the distance. On ties the earlier one wins; of several at one moment that with the smallest columns. Null keys are a
+    key; rows without a time, or whose key does not occur on the right, get nulls. Repeated rows stay.
+
+    Both sides may be large: they are united and sorted in chunks of time with about equally many rows, so a hot key is spread over all
+    chunks. A row meets the last and next known one of its chunk; where it has none, those of the chunks before and
+    after are handed over, one per key and chunk. No row meets more than two others, and nothing is joined by ranges.
+    """
+    require(left, time, *keys)
+    require(right, right_time, *keys)
+    ids, cols = [f"k{i}" for i in range(len(keys))], right.columns
+
+    def micros(column: str):
+        return F.unix_micros(name(column).cast("timestamp"))
+
+    both = [name(k).alias(i) for k, i in zip(keys, ids, strict=True)]
+    mine = left.filter(name(time).isNotNull()).select(*both, micros(time).alias("us"), F.struct(*[name(c) for c in left.columns]).alias("row"))
+    known = right.filter(name(right_time).isNotNull()).select(*both, micros(right_time).alias("us"), F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("hit"))
+    # One row per key and moment.
+    known = known.groupBy(*ids, "us").agg(F.min("hit").alias("hit"))
+    united = mine.unionByName(known, allowMissingColumns=True)
+    placed = time_chunks(united.withColumn("at", F.timestamp_micros("us")), "at", chunks).drop("at")
+    here = F.when(F.col("hit").isNotNull(), F.struct("us", "hit"))
+    placed = placed.withColumn("here", here)
+    ends = placed.filter("hit is not null").groupBy(*ids, "__chunk").agg(F.max_by("here", "us").alias("last"), F.min_by("here", "us").alias("first"))
+    spots = placed.select(*ids, "__chunk").distinct().join(ends.withColumnsRenamed({i: f"r_{i}" for i in [*ids, "__chunk"]}), [
+        *[F.col(i).eqNullSafe(F.col(f"r_{i}")) for i in ids], F.col("__chunk") == F.col("r___chunk")], "left")
+    order = Window.partitionBy(*ids).orderBy("__chunk")
+    handed = spots.select(
+        *ids, "__chunk", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"),
+        F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("from_after"),
+    )
+    inside = Window.partitionBy(*ids, "__chunk").orderBy("us", F.col("hit").isNull())
+    met = placed.withColumns({
+        "before": F.last("here", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("here", True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+    }).filter("row is not null")
+    met = join_keys(met, handed, [*ids, "__chunk"], "left")
+    met = met.withColumns({"before": F.coalesce("before", "from_before"), "after": F.coalesce("after", "from_after")})
+    back, ahead = F.col("us") - F.col("before.us"), F.col("after.us") - F.col("us")
+    pick = F.when(F.col("after").isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after"))
+    met = met.withColumn("pick", pick)
+    found = met.select(
+        *[F.col("row").getField(c).alias(c) for c in left.columns], *[F.col("pick.hit").getField(f"c{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)],
+        (F.abs(F.col("pick.us") - F.col("us")) / F.lit(1e6)).alias(f"{prefix}seconds"),
+    )
+    return with_untimed(found, left, time)

@@ -707,3 +707,35 @@ def event_impact(spark: SparkSession, folder: str) -> DataFrame:
 def event_verdict(spark: SparkSession, folder: str) -> DataFrame:
     out = impact.verdict(impact.event_impact(panel(spark, folder), "d", "v", EVENT, ["k"]), "order value")
     return rounded(rounded(out.select("k", "relative_effect", "p_value", "verdict"), 6, "relative_effect"), 8, "p_value")
+
+
+# A line and a level per weekday before the event: the slope comes from deviations from the weekdays' means.
+_WEEKDAYS = (
+    f"{PANEL}, x AS (SELECT k, d, isodow(d) AS w, d >= DATE '2000-06-01' AS post, (d - DATE '2000-06-01') / 365.25::DOUBLE AS t, v FROM s), "
+    "m AS (SELECT k, w, count(*) AS n, avg(t) AS mt, avg(v) AS mv FROM x WHERE NOT post GROUP BY 1, 2), "
+    "q AS (SELECT x.k, count(*) AS pre, sum((t - mt) * (v - mv)) / sum((t - mt) * (t - mt)) AS slope, sum((t - mt) * (t - mt)) AS sxx, "
+    "sum((v - mv) * (v - mv)) - sum((t - mt) * (v - mv)) * sum((t - mt) * (v - mv)) / sum((t - mt) * (t - mt)) AS rss FROM x JOIN m ON m.k = x.k AND m.w = x.w WHERE NOT post GROUP BY 1), "
+    "e AS (SELECT x.k, x.d, x.v, mv + slope * (t - mt) AS predicted FROM x JOIN m ON m.k = x.k AND m.w = x.w JOIN q ON q.k = x.k WHERE post)"
+)
+
+
+@query(
+    "impact_seasonal",
+    f"WITH {_WEEKDAYS}, c AS (SELECT x.k, x.w, count(*) AS c, sum(t) AS st FROM x WHERE post GROUP BY 1, 2), "
+    "u AS (SELECT c.k, sum(c * c / n) AS a, sum(st - c * mt) AS b, sum(c) AS post FROM c JOIN m ON m.k = c.k AND m.w = c.w GROUP BY 1), "
+    "f AS (SELECT k, sum(v) AS actual, sum(predicted) AS predicted FROM e GROUP BY 1) "
+    "SELECT f.k, pre, post::BIGINT AS post, round(actual, 2) AS actual, round(predicted, 2) AS predicted, round((actual - predicted) / post, 4) AS average_effect, "
+    "round(sqrt(rss / (pre - 8) * (post + a + b * b / sxx)) / post, 4) AS standard_error FROM f JOIN q ON q.k = f.k JOIN u ON u.k = f.k",
+)
+def impact_seasonal(spark: SparkSession, folder: str) -> DataFrame:
+    out = impact.counterfactual(panel(spark, folder), "d", "v", EVENT, ["k"], design=impact.weekday_design(EVENT))
+    out = out.select("k", "pre", "post", "actual", "predicted", "average_effect", "standard_error")
+    return rounded(rounded(out, 2, "actual", "predicted"), 4, "average_effect", "standard_error")
+
+
+@query("impact_rows", f"WITH {_WEEKDAYS} SELECT k, d, v, round(predicted, 3) AS predicted, round(v - predicted, 3) AS effect, round(sum(v - predicted) OVER (PARTITION BY k ORDER BY d), 2) AS cumulative_effect FROM e")
+def impact_rows(spark: SparkSession, folder: str) -> DataFrame:
+    series, design = panel(spark, folder), impact.weekday_design(EVENT)
+    fit = impact.counterfactual(series, "d", "v", EVENT, ["k"], design=design)
+    out = impact.effect_on_rows(series, fit, "d", "v", EVENT, ["k"], design=design)
+    return rounded(rounded(out, 3, "predicted", "effect"), 2, "cumulative_effect")

@@ -808,3 +808,32 @@ def fact_dim_join(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_date(spark: SparkSession, folder: str) -> DataFrame:
     events = [date(1994, 6, 1), date(1998, 7, 4), date(2002, 1, 1)]
     return joins.nearest_dates(table(spark, folder, "orders", ["o_orderdate"]), "o_orderdate", events)
+
+
+@query(
+    "nearest_lookup",
+    "WITH o AS (SELECT o_orderkey, o_orderpriority AS k, o_orderdate AS t FROM orders), r AS (SELECT o_orderpriority AS k, o_orderdate AS t, min(o_orderkey) AS big FROM orders WHERE o_totalprice > 400000 GROUP BY 1, 2), "
+    "b AS (SELECT o.*, r.t AS bt, r.big AS bb FROM o ASOF LEFT JOIN r ON o.k = r.k AND o.t >= r.t), a AS (SELECT o.o_orderkey, r.t AS nt, r.big AS ab FROM o ASOF LEFT JOIN r ON o.k = r.k AND o.t <= r.t) "
+    "SELECT b.o_orderkey, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN bb ELSE ab END AS nearest_big, "
+    "(86400 * CASE WHEN nt IS NULL OR t - bt <= nt - t THEN date_diff('day', bt, t) ELSE date_diff('day', t, nt) END)::DOUBLE AS nearest_seconds FROM b JOIN a ON a.o_orderkey = b.o_orderkey",
+)
+def nearest_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """For every order the nearest large order of its priority; equally near ones are frequent."""
+    orders = table(spark, folder, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice"]).withColumnsRenamed({"o_orderpriority": "k", "o_orderdate": "t"})
+    large = orders.filter("o_totalprice > 400000").select("k", "t", F.col("o_orderkey").alias("big"))
+    return joins.nearest_rows(orders, large, "t", "t", ["k"], chunks=8).select("o_orderkey", "nearest_big", "nearest_seconds")
+
+
+_EVENT_SIDES = "l AS (SELECT event_id, user_id AS k, ts AS t FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id AS k, ts AS t, event_id AS hit FROM events WHERE event_type = 'purchase')"
+
+
+@query(
+    "nearest_event",
+    f"WITH {_EVENT_SIDES}, b AS (SELECT l.*, r.t AS bt, hit AS bh FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.t >= r.t), a AS (SELECT l.event_id, r.t AS nt, hit AS ah FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.t <= r.t) "
+    "SELECT b.event_id, CASE WHEN bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t) THEN bh ELSE ah END AS nearest_hit FROM b JOIN a ON a.event_id = b.event_id",
+)
+def nearest_event(spark: SparkSession, folder: str) -> DataFrame:
+    """For every other event the purchase of the same user that is nearest in time."""
+    events = table(spark, folder, "events", ["event_id", "ts", "user_id", "event_type"])
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("hit"))
+    return joins.nearest_rows(events.filter("event_type <> 'purchase'"), bought, "ts", "ts", ["user_id"], chunks=8).select("event_id", "nearest_hit")
