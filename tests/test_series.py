@@ -439,3 +439,34 @@ def test_counterfactual_with_the_forecast_design(spark):
 
     row = impact.counterfactual(df, "d", "v", event, design=design, ridge={"c_trend": 1e-6}).first()
     assert row.average_effect == pytest.approx(7.0, abs=0.05)
+
+
+def test_long_autocorrelations_of_many_lengths(spark):
+    rng = np.random.default_rng(40)
+    shapes = {"one": 1, "two": 2, "odd": 333, "long": 20_000, None: 700}
+    values = {k: rng.normal(size=n).cumsum() for k, n in shapes.items()} | {"flat": np.full(90, 3.0)}
+    pdf = pd.DataFrame([(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v)], columns=["k", "d", "v"])
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("odd", -5, None), ("void", 1, None)], "k string, d bigint, v double"))
+    for max_lag in (None, 100, 5):
+        got = {}
+        for r in stats.acf(df, "d", "v", max_lag, ["k"]).collect():
+            got.setdefault(r.k, {})[r.lag] = r.acf
+        assert got.keys() == values.keys()
+        for k, v in values.items():
+            n = len(v)
+            top = n // 2 if max_lag is None else min(max_lag, n - 1)
+            assert sorted(got[k]) == list(range(top + 1))
+            x = v - v.mean()
+            for lag in {0, 1, top // 3, top} & set(range(top + 1)):
+                want = float(x[lag:] @ x[: n - lag] / (x @ x)) if x @ x > 0 else None
+                assert got[k][lag] == (None if want is None else pytest.approx(want, abs=1e-9))
+    alone = stats.acf(df.filter("k = 'long'"), "d", "v", None)
+    assert alone.count() == 10_001 and stats.acf(df.limit(0), "d", "v", None, ["k"]).count() == 0
+
+
+def test_a_million_points_to_half_their_lags(spark):
+    n = 1_000_000
+    df = spark.range(n).select("id", (F.sin(F.col("id") * 2 * math.pi / 1000) + F.rand(5) * 0.1).alias("v"))
+    got = {r.lag: r.acf for r in stats.acf(df, "id", "v", None).filter("lag in (0, 500, 1000, 250000, 500000)").collect()}
+    assert got[0] == 1.0 and got[500] == pytest.approx(-1.0, abs=0.01) and got[1000] == pytest.approx(1.0, abs=0.01)
+    assert got[250_000] == pytest.approx(0.75, abs=0.01) and got[500_000] == pytest.approx(0.5, abs=0.01)

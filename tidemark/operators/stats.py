@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
 from tidemark.operators.common import bounded, join_keys, ordered, whole
+from tidemark.operators.spectrum import autocovariance
 from tidemark.operators.windows import positions
 
 MAX_POINTS = 1_000_000
-LAG_BLOCK = 60
+# So many lags need the power spectrum.
+SHORT = 60
 
 
 def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -46,39 +48,21 @@ def per_series(series: DataFrame, time: str, keys: Sequence[str], fn, fields: li
 def acf(series: DataFrame, time: str, value: str, max_lag: int | None = 30, keys: Sequence[str] = ()) -> DataFrame:
     """``keys..., lag, acf`` for lags 0 to ``max_lag`` (half the series when None), at most the series' length less one.
 
-    Up to LAG_BLOCK lags every point looks that far ahead in one window. More are cut into blocks: for each block every point meets those at the block's offset and
-    the next LAG_BLOCK - 1 ones, so blocks spread over tasks and no task sees all products of a series.
+    For fewer than SHORT lags every point meets the next ones in one window; more come from the power spectrum, see `spectrum`, at
+    n log n operations instead of n times the lags. A constant series has no autocorrelation.
     """
     every, cols = whole(keys), [name(k) for k in keys]
-    rows = series.filter(name(value).isNotNull())
-    points = F.count(F.lit(1)).over(every)
-    top = F.floor(points / 2) if max_lag is None else F.least(F.lit(max_lag), points - 1)
-    placed = rows.select(
-        *cols, (F.row_number().over(ordered(keys, time)) - 1).alias("__t"), (name(value) - F.avg(name(value)).over(every)).alias("__x"),
-        top.cast("int").alias("__top"),
-    )
-    width = LAG_BLOCK
-    if max_lag is not None and max_lag < LAG_BLOCK:
-        width = max_lag + 1
-        met = placed.select(*cols, F.lit(0).alias("__b"), "__top", "__t", "__x", F.col("__x").alias("__y"))
-    else:
-        blocks = F.sequence(F.lit(0), F.floor(F.col("__top") / LAG_BLOCK).cast("int"))
-        spread = placed.withColumn("__b", F.explode(blocks))
-        # A point enters a block as the earlier one of its pairs, and moved back by the block's offset as the later one.
-        roles = F.array(
-            F.struct(F.col("__t").alias("t"), F.col("__x").alias("x"), F.lit(None).cast("double").alias("y")),
-            F.struct((F.col("__t") - F.col("__b") * LAG_BLOCK).alias("t"), F.lit(None).cast("double").alias("x"), F.col("__x").alias("y")),
-        )
-        spread = spread.select(*cols, "__b", "__top", F.explode(roles).alias("__r"))
-        met = spread.groupBy(*cols, "__b", "__top", F.col("__r.t").alias("__t")).agg(F.max("__r.x").alias("__x"), F.max("__r.y").alias("__y"))
-    ahead = Window.partitionBy(*cols, "__b").orderBy("__t")
-    met = met.withColumns({f"__y{k}": F.lead("__y", k).over(ahead) for k in range(width)})
-    sums = [F.coalesce(F.sum(F.col("__x") * F.col(f"__y{k}")), F.lit(0.0)) for k in range(width)]
-    summed = met.groupBy(*cols, "__b", "__top").agg(F.array(*sums).alias("__p"))
-    lags = summed.select(*cols, "__b", "__top", F.posexplode("__p").alias("__k", "__c"))
-    lags = lags.withColumn("lag", (F.col("__b") * LAG_BLOCK + F.col("__k")).cast("int")).filter("lag <= __top")
-    zero = F.first(F.when(F.col("lag") == 0, F.col("__c")), ignorenulls=True).over(every)
-    return lags.select(*cols, "lag", F.try_divide(F.col("__c"), zero).alias("acf"))
+    if max_lag is None or max_lag >= SHORT:
+        sums = autocovariance(series, time, value, max_lag, keys)
+        return sums.select(*cols, "lag", F.when(F.col("lag") == 0, F.try_divide("c0", "c0")).otherwise(F.try_divide("c", "c0")).alias("acf"))
+    v = name(value).cast("double")
+    placed = series.filter(v.isNotNull()).select(*cols, name(time).alias("__t"), (v - F.avg(v).over(every)).alias("__x"))
+    ahead = ordered(keys, "__t")
+    met = placed.withColumns({f"__y{k}": F.lead("__x", k).over(ahead) for k in range(1, max_lag + 1)})
+    sums = [F.sum(F.col("__x") * F.col("__x"))] + [F.coalesce(F.sum(F.col("__x") * F.col(f"__y{k}")), F.lit(0.0)) for k in range(1, max_lag + 1)]
+    summed = met.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"), F.array(*sums).alias("__p"))
+    lags = summed.filter("__n > 0").select(*cols, "__n", F.col("__p")[0].alias("__zero"), F.posexplode("__p").alias("lag", "__c"))
+    return lags.filter("lag < __n").select(*cols, "lag", F.try_divide(F.col("__c"), F.col("__zero")).alias("acf"))
 
 
 def pacf(series: DataFrame, time: str, value: str, max_lag: int = 30, keys: Sequence[str] = ()) -> DataFrame:
