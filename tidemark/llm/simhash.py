@@ -451,9 +451,7 @@ def similar_groups(
 
         labelled = state.join(sized(roots).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
-        good = cut_lineage(similar_pairs(found.filter("after < 0"), sets, percent))
-        links = links.union(good)
-        roots = cut_lineage(components(links))
+        links, roots = join_groups(found.filter("after < 0").select("a", "b"), links, roots, sets, percent)
         more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
             break
@@ -467,14 +465,37 @@ def similar_groups(
 
 
 def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
-    pairs = sized(cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
+    pairs = sized(found)
     # Few pairs go to the sets; one of the two sets of each pair moves.
     both = sets.toDF("a", "x").join(pairs, "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def join_groups(found: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links with those among the candidates ``found``, as far as they join groups, and the groups.
+
+    Of the candidates between two groups a few are compared first. Most groups that belong together are joined by them, so that their
+    other candidates need not be compared; what is left goes on, eight times as many at a time, until every candidate has been
+    compared or lies within a group.
+    """
+    open_, few = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), 1
+    while True:
+        label = sized(roots)
+        open_ = open_.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+        open_ = open_.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la <> lb")
+        open_ = cut_lineage(open_.select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")))
+        if open_.isEmpty():
+            return links, roots
+        lot = F.xxhash64("a", "b")
+        asked = open_.groupBy("la", "lb", F.pmod(lot, F.lit(few)).alias("place")).agg(F.min(F.struct(lot.alias("lot"), "a", "b")).alias("m"))
+        asked = cut_lineage(asked.select("m.a", "m.b"))
+        links = links.union(cut_lineage(similar_pairs(asked, sets, percent)))
+        roots = cut_lineage(components(links))
+        open_, few = open_.select("a", "b").join(sized(asked), ["a", "b"], "left_anti"), few * 8
+
+
 def first_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the candidates ``a, b`` that join most groups: each set moves once, however many candidates it has.
 
