@@ -161,8 +161,9 @@ class Transducer:
         if after is None:
             after = State(ways)
             # The first states stay, those met after them are made again whenever they are needed.
-            if len(self.states) < self.kept:
-                self.states[ways] = after
+            if len(self.states) >= self.kept:
+                return after, emitted
+            self.states[ways] = after
         found = state.moves[byte] = after, emitted
         return found
 
