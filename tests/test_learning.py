@@ -1,5 +1,6 @@
 """Boosted trees and their attribution."""
 
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -89,16 +90,29 @@ def test_values_against_the_definition(fitted):
             assert got[i, f] == pytest.approx(want, abs=1e-9)
 
 
+def test_leaf_tables_are_the_polynomials(fitted):
+    _, model, scored = fitted
+    trees = attribution.load_trees(attribution.tree_nodes(model.stages[-1]))
+    x = np.array([list(r["features"].toArray()) for r in scored.select("features").limit(300).collect()])
+    bare = [replace(t, leaves=tuple(replace(leaf, table=None) for leaf in t.leaves)) for t in trees]
+    assert np.allclose(attribution.shapley(x, trees), attribution.shapley(x, bare), atol=1e-12)
+
+
 def test_global_and_single_row_reports(fitted):
     _, model, scored = fitted
     names = learn.feature_names(scored)
-    long = attribution.long_attributions(attribution.attributions(scored, model.stages[-1], ["id"]), names, ["id"]).cache()
-    ranking = attribution.global_attribution(long).collect()
+    attributed = attribution.attributions(scored, model.stages[-1], ["id"]).cache()
+    long = attribution.long_attributions(attributed, names, ["id"])
+    ranking = attribution.global_attribution(attributed, names).collect()
+    values = np.array([r["shap"] for r in attributed.collect()])
+    for r in ranking:
+        v = values[:, names.index(r["feature"])]
+        assert r["mean_abs"] == pytest.approx(np.abs(v).mean()) and r["q25"] == pytest.approx(np.quantile(v, 0.25)) and r["q95"] == pytest.approx(np.quantile(v, 0.95))
     assert [r["mean_abs"] for r in ranking] == sorted((r["mean_abs"] for r in ranking), reverse=True)
     assert {r["feature"] for r in ranking[-2:]} == {"x3", "g__hot_v"}
     examples = scored.orderBy("prediction").limit(1).select("id", F.lit(0.1).alias("prob"))
     assert attribution.explain_rows(long, examples, ["id"]).count() == 5
-    assert learn.dependence(long, learn.importance(scored, model), 2).select("feature").distinct().count() == 2
+    assert learn.dependence(attributed, names, ["id"], learn.importance(scored, model), 2).select("feature").distinct().count() == 2
 
 
 def test_top_features_by_kind(spark):

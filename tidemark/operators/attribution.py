@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -20,15 +20,25 @@ from tidemark.operators.quantiles import quantiles
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 
+# A leaf with more features has no table.
+WIDEST_TABLE = 10
+# Rows whose patterns are looked up at a time.
+AT_ONCE = 8192
+
+
 @dataclass(frozen=True)
 class Leaf:
-    """A leaf with the splits that lead to it, one entry per feature: (splits passed, share of rows)."""
+    """A leaf with the splits that lead to it, one entry per feature: (splits passed, share of rows).
+
+    A row passes the splits of each feature or not: ``table[pattern, k]`` is what the leaf gives to its k-th feature then.
+    """
 
     value: float
     share: float
     features: tuple[int, ...]
     splits: tuple[tuple[tuple[int, bool], ...], ...]
     shares: tuple[float, ...]
+    table: np.ndarray | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -79,13 +89,16 @@ def _tree(nodes: dict) -> Tree:
             grouped: dict[int, list] = {}
             for split, left, share in path:
                 grouped.setdefault(nodes[inner[split]]["feature"], []).append((split, left, share))
+            value, shares, d = r["prediction"] * r["weight"], tuple(math.prod(s for *_, s in v) for v in grouped.values()), len(grouped)
+            patterns = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float) if d <= WIDEST_TABLE else None
             leaves.append(
                 Leaf(
-                    r["prediction"] * r["weight"],
+                    value,
                     math.prod(s for *_, s in path),
                     tuple(grouped),
                     tuple(tuple((s, g) for s, g, _ in v) for v in grouped.values()),
-                    tuple(math.prod(s for *_, s in v) for v in grouped.values()),
+                    shares,
+                    leaf_shares(patterns, value, shares) if patterns is not None else None,
                 )
             )
             return
@@ -105,33 +118,53 @@ def base_value(trees: Sequence[Tree]) -> float:
     return sum(leaf.value * leaf.share for t in trees for leaf in t.leaves)
 
 
-def shapley(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
-    """Exact path-dependent Shapley values of a batch of rows.
+def leaf_shares(inside: np.ndarray, value: float, shares: Sequence[float]) -> np.ndarray:
+    """Exact path-dependent Shapley values of one leaf: rows x features, from which features' splits each row passes (1 or 0).
 
-    The value of a leaf under a feature subset is a product over the features on its path, so the
+    The value of the leaf under a feature subset is a product over the features on its path, so the
     weighted sum over subsets is read off the coefficients of a polynomial with one factor per feature.
     """
-    out = np.zeros(x.shape)
-    for t in trees:
-        goes_left = [
-            np.isin(x[:, f], cut) if cat else x[:, f] <= cut[0] for f, cut, cat in zip(t.features, t.cuts, t.categorical, strict=True)
-        ]
-        for leaf in t.leaves:
-            d = len(leaf.features)
-            inside = [np.logical_and.reduce([goes_left[s] == left for s, left in splits]).astype(float) for splits in leaf.splits]
-            for k, f in enumerate(leaf.features):
-                poly = [np.ones(len(x))]
-                for j in range(d):
-                    if j != k:
-                        zero, one = leaf.shares[j], inside[j]
-                        poly = [
-                            (poly[m] * zero if m < len(poly) else 0.0) + (poly[m - 1] * one if m else 0.0) for m in range(len(poly) + 1)
-                        ]
-                weight = sum(math.factorial(m) * math.factorial(d - 1 - m) / math.factorial(d) * c for m, c in enumerate(poly))
-                out[:, f] += leaf.value * (inside[k] - leaf.shares[k]) * weight
+    d, out = len(shares), np.zeros(inside.shape)
+    for k in range(d):
+        poly = [np.ones(len(inside))]
+        for j in range(d):
+            if j != k:
+                zero, one = shares[j], inside[:, j]
+                poly = [(poly[m] * zero if m < len(poly) else 0.0) + (poly[m - 1] * one if m else 0.0) for m in range(len(poly) + 1)]
+        weight = sum(math.factorial(m) * math.factorial(d - 1 - m) / math.factorial(d) * c for m, c in enumerate(poly))
+        out[:, k] = value * (inside[:, k] - shares[k]) * weight
     return out
 
 
+def shapley(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
+    """Shapley values of a batch of rows: each leaf's table is made once, rows only look up their pattern."""
+    out = np.zeros((x.shape[1], len(x)))
+    for low in range(0, len(x), AT_ONCE):
+        rows = x[low : low + AT_ONCE]
+        columns, part = np.ascontiguousarray(rows.T), out[:, low : low + AT_ONCE]
+        for t in trees:
+            left = [np.isin(columns[f], cut) if cat else columns[f] <= cut[0] for f, cut, cat in zip(t.features, t.cuts, t.categorical, strict=True)]
+            sides = {(i, side): (g if side else ~g).view(np.uint8) for i, g in enumerate(left) for side in (True, False)}
+            passed: dict[tuple, np.ndarray] = {}
+            for leaf in t.leaves:
+                inside = []
+                for splits in leaf.splits:
+                    if splits not in passed:
+                        passed[splits] = sides[splits[0]] if len(splits) == 1 else np.bitwise_and.reduce([sides[s] for s in splits])
+                    inside.append(passed[splits])
+                if leaf.table is None:
+                    found = leaf_shares(np.stack(inside, axis=1).astype(float), leaf.value, leaf.shares)
+                    for k, f in enumerate(leaf.features):
+                        part[f] += found[:, k]
+                elif inside:
+                    pattern = inside[0].astype(np.int64)
+                    for k, bit in enumerate(inside[1:], 1):
+                        pattern |= bit.astype(np.int64) << k
+                    for k, f in enumerate(leaf.features):
+                        part[f] += leaf.table[:, k].take(pattern)
+    return out.T
+
+
 def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str = "features", prediction: str = "prediction") -> DataFrame:
     """``keep..., prediction, base, features array, shap array`` for every row.
 
@@ -155,20 +188,23 @@ def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str
     return rows.mapInPandas(run, schema)
 
 
-def long_attributions(attributed: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per (row, feature): ``keep..., feature, feature_value, shap``."""
-    label = F.array(*[F.lit(n) for n in names])
-    zipped = F.arrays_zip(label.alias("n"), F.col("features").alias("v"), F.col("shap").alias("s"))
-    rows = attributed.select(*[name(c) for c in keep], F.explode(zipped).alias("z"))
-    return rows.select(*[name(c) for c in keep], F.col("z.n").alias("feature"), F.col("z.v").alias("feature_value"), F.col("z.s").alias("shap"))
+def long_attributions(attributed: DataFrame, names: Sequence[str], keep: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
+    """One row per (row, feature): ``keep..., feature, feature_value, shap``, of the features ``only`` if given."""
+    entries = [
+        F.struct(F.lit(n).alias("feature"), F.col("features")[i].alias("feature_value"), F.col("shap")[i].alias("shap"))
+        for i, n in enumerate(names) if only is None or n in only
+    ]
+    return attributed.select(*[name(c) for c in keep], F.inline(F.array(*entries)))
 
 
-def global_attribution(long: DataFrame) -> DataFrame:
+def global_attribution(attributed: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean absolute value per feature and the spread of the values, strongest first.
 
-    The attributions are read several times for the exact quantiles, so they are written once.
+    Only the array of each row is written; all figures and the passes of the exact quantiles read it from there.
     """
-    long = cut_lineage(long.select("feature", "shap"))
+    stored = cut_lineage(attributed.select("shap"))
+    entries = [F.struct(F.lit(n).alias("feature"), F.col("shap")[i].alias("shap")) for i, n in enumerate(names)]
+    long = stored.select(F.inline(F.array(*entries)))
     summary = long.groupBy("feature").agg(
         F.avg(F.abs("shap")).alias("mean_abs"), F.avg("shap").alias("mean"), F.min("shap").alias("min"), F.max("shap").alias("max")
     )

@@ -339,14 +339,14 @@ def auto_arima(series: DataFrame, time: str, value: str, keys: Sequence[str] = (
 # --- regression on look-back windows -----------------------------------------------------------
 
 
-def fit_lookback(series: DataFrame, time: str, value: str, size: int = 52, keys: Sequence[str] = (), *, trees: bool = False):
+def fit_lookback(series: DataFrame, time: str, value: str, size: int = 52, keys: Sequence[str] = (), *, trees: bool = False, rounds: int = 100):
     """A regression of the next value on the last ``size`` values, fitted on all series together."""
     ensure_checkpoint_dir(series.sparkSession)
     rows = lookback(series.filter(name(value).isNotNull()), time, value, size, keys)
     columns = [f"x_{i}" for i in range(size)]
     flat = rows.select(*[F.col("x")[i].alias(c) for i, c in enumerate(columns)], name(value).cast("double").alias("y"))
     learner = (
-        GBTRegressor(featuresCol="f", labelCol="y", maxIter=20, maxDepth=4, seed=42, checkpointInterval=10)
+        GBTRegressor(featuresCol="f", labelCol="y", maxIter=rounds, maxDepth=5, seed=42, checkpointInterval=10)
         if trees
         else LinearRegression(featuresCol="f", labelCol="y", regParam=0.0, solver="normal")
     )

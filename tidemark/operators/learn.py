@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import finite, name
+from tidemark.operators.attribution import long_attributions
 from tidemark.operators.clean import fit_one_hot
 from tidemark.operators.common import require, tasks_for
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
@@ -93,10 +94,10 @@ def strongest_by_kind(importances: DataFrame, k: int = 5) -> DataFrame:
     return top(TIME_PARTS, "time").unionByName(top(LAG_PARTS, "lag"))
 
 
-def dependence(long: DataFrame, importances: DataFrame, k: int = 5) -> DataFrame:
-    """Feature value against attribution for the k most important features."""
+def dependence(attributed: DataFrame, names: Sequence[str], keep: Sequence[str], importances: DataFrame, k: int = 5) -> DataFrame:
+    """Feature value against attribution for the k most important features; no other feature becomes a row."""
     top = [r["feature"] for r in importances.limit(k).collect()]
-    return long.filter(F.col("feature").isin(top))
+    return long_attributions(attributed, names, keep, only=top)
 
 
 def linear_fit(df: DataFrame, target: str, feature: str, *, split: str = "split") -> DataFrame:

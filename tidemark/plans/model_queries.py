@@ -182,7 +182,7 @@ def shap_values(spark: SparkSession, folder: str) -> DataFrame:
 @query("shap_global")
 def shap_global(spark: SparkSession, folder: str) -> DataFrame:
     attributed, names, _, _ = attributed_rows(spark, folder)
-    return attribution.global_attribution(attribution.long_attributions(attributed, names, ["line"]))
+    return attribution.global_attribution(attributed, names)
 
 
 @query("shap_examples")
@@ -208,7 +208,7 @@ def shap_additivity(spark: SparkSession, folder: str) -> DataFrame:
 @query("shap_dependence")
 def shap_dependence(spark: SparkSession, folder: str) -> DataFrame:
     attributed, names, scored, model = attributed_rows(spark, folder)
-    return learn.dependence(attribution.long_attributions(attributed, names, ["line"]), learn.importance(scored, model))
+    return learn.dependence(attributed, names, ["line"], learn.importance(scored, model))
 
 
 _LINE = (
