@@ -124,7 +124,18 @@ def test_links_are_verified_against_brute_force(spark, monkeypatch):
     # All pairs are compared, however far apart their fingerprints are.
     want = similar_roots(texts, fps, 64)
     assert want != similar_roots(texts, fps, 12)
-    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5).collect()]
+    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5, exact=True).collect()]
+    assert sorted(got) == sorted(set(want)) and 6 < len(got) < len(texts)
+
+
+def test_candidates_within_the_radius_are_all_compared(spark, monkeypatch):
+    texts = edited_docs()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fps = [int(f) for f in simhash.fingerprints(texts, 5, 42)]
+    monkeypatch.setattr(simhash, "TILE", 100)
+    # A radius that makes nearly all pairs of one origin candidates, and some of others.
+    want = similar_roots(texts, fps, 24)
+    got = [r.doc_id for r in simhash.keep_one(docs, shingle=5, radius=24).collect()]
     assert sorted(got) == sorted(set(want)) and 6 < len(got) < len(texts)
 
 

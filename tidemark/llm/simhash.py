@@ -8,7 +8,7 @@ fingerprint to 64 others at once in carry-save counters, and words in which all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ TILE = 1 << 13
 # Rows of a comparison task; fingerprints expected per bucket by chance; comparisons of a fingerprint with a word at a time.
 PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
 # Candidates that a row names first, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
-FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 1_000_000
+FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 2, 16, 1_000_000
 # Sets that meet in a task to find the first links.
 TILE_SETS = 512
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
@@ -392,15 +392,16 @@ def next_other(size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.
 
 
 def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, radius: int = 4, percent: int = 80
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, radius: int = 12, percent: int = 80,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per document: ``id, text_hash, root``; documents of one root are linked by pairs of similar texts.
 
     A pair is a link if its sets of word shingles have at least ``percent`` of their union in common; texts of one set are one
-    node. Fingerprints within the radius are the first candidates and join most groups. Then all nodes that share one of their rarest
-    shingles are candidates, which no similar pair escapes. In a round every node names its next few candidates per
-    bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates go on
-    behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
+    node. Candidates are all pairs whose fingerprints lie within the radius; with ``exact`` also all pairs that share one of their rarest
+    shingles, which no similar pair escapes. In a round every node names its next few candidates per bucket that are not in its
+    group yet, these are compared, and groups are joined; nodes with more candidates go on behind the last one, so a
+    group of many near copies is joined without all its pairs, and no candidate is left out.
     """
     slim = cut_lineage(with_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
     nodes = cut_lineage(slim.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("one")))
@@ -410,58 +411,74 @@ def similar_groups(
     texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & F.col("id").eqNullSafe(F.col("one_id"))).select("node", "text")
     sets = cut_lineage(sets_of(texts, shingle, seed))
 
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, fps, node, size = (frame[c].to_numpy(np.int64) for c in ("bucket", "fp", "node", "n"))
-        order = np.lexsort((node, fps, bucket))
-        bucket, fps, node, size = bucket[order], fps[order], node[order], size[order]
+    def near(bucket: np.ndarray, frame: pd.DataFrame, label: np.ndarray, after: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        words, first, out = np.cumsum(-(-np.diff(runs) // 64)), 0, []
+        fps, size = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.int64)
+        start = np.repeat(runs[:-1], np.diff(runs))
+        words, first, out, on = np.cumsum(-(-np.diff(runs) // 64)), 0, [], []
         while first < len(runs) - 1:
             done = words[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(words, done + BLOCKS_AT_ONCE, "right")))
             low, high = runs[first], runs[last]
-            part, none = slice(low, high), np.full(high - low, -1)
-            a, b, _ = next_near(fps[part].view(np.uint64), node[part], none, runs[first : last + 1] - low, radius, FIRST_CANDIDATES)
-            a, b = a + low, b + low
-            fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            out.append(pd.DataFrame({"a": node[a[fits]], "b": node[b[fits]]}).drop_duplicates())
+            part = slice(low, high)
+            a, b, more = next_near(fps[part], label[part], (start + after)[part] - low, runs[first : last + 1] - low, radius, most)
+            out.append(np.stack([a + low, b + low]))
+            on.append(more)
             first = last
-        return pd.concat(out)
+        a, b = np.concatenate(out, axis=1)
+        # Sets of too unlike sizes cannot be similar, but they count as named.
+        return a, b, np.concatenate(on), 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
 
-    found = bucketed(nodes, radius, "fp", "node", "n").groupBy("part").applyInPandas(near, "a bigint, b bigint")
-    links = cut_lineage(first_links(found, sets, percent))
-    dealt, most = cut_lineage(sharing(sets, percent)), FIRST_CANDIDATES
-    roots = cut_lineage(components(links))
-    state = dealt.withColumn("after", F.lit(-1).cast("long"))
-    while True:
+    def share(bucket: np.ndarray, frame: pd.DataFrame, label: np.ndarray, after: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        start = np.repeat(runs[:-1], np.diff(runs))
+        a, b, more = next_other(frame["n"].to_numpy(np.int64), label, start + after, runs, most, percent)
+        return a, b, more, np.ones(len(a), bool)
+
+    dealt = cut_lineage(bucketed(nodes, radius, "fp", "node", "n"))
+    first = name_candidates(dealt.withColumns({"label": F.col("node"), "after": F.lit(-1).cast("long")}), near, ["fp"], FIRST_CANDIDATES)
+    links = cut_lineage(first_links(first.filter("after < 0").select("a", "b"), sets, percent))
+    links, roots = all_candidates(dealt, near, ["fp"], links, sets, percent)
+    if exact:
+        links, roots = all_candidates(cut_lineage(sharing(sets, percent)), share, ["n"], links, sets, percent)
+    # Stored, so that a group of very many nodes can be split in the join.
+    rooted = cut_lineage(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return slim.join(rooted, "node").select("id", "text_hash", "root")
+
+
+def name_candidates(state: DataFrame, search: Callable, order: list[str], most: int) -> DataFrame:
+    """``a, b, bucket, after``: candidates (``after`` is -1), and the nodes ``a`` that have more of them in a bucket, behind place ``after``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bucket", *order, "node"], ignore_index=True)
+        bucket, node, label, after = (frame[c].to_numpy(np.int64) for c in ("bucket", "node", "label", "after"))
+        a, b, more, fits = search(bucket, frame, label, after, most)
+        pairs = pd.DataFrame({"a": node[a[fits]], "b": node[b[fits]], "bucket": 0, "after": -1}).drop_duplicates()
+        # The last candidate of a row that has more is where it goes on.
+        final = np.full(len(node), -1, np.int64)
+        np.maximum.at(final, a, b)
+        start = np.maximum.accumulate(np.where(np.append(True, bucket[1:] != bucket[:-1]), np.arange(len(bucket)), 0))
+        on = np.flatnonzero(more)
+        return pd.concat([pairs, pd.DataFrame({"a": node[on], "b": node[on], "bucket": bucket[on], "after": (final - start)[on]})])
 
-        def share(frame: pd.DataFrame) -> pd.DataFrame:
-            bucket, node, size, label, after = (frame[c].to_numpy(np.int64) for c in ("bucket", "node", "n", "label", "after"))
-            order = np.lexsort((node, size, bucket))
-            bucket, node, size, label, after = bucket[order], node[order], size[order], label[order], after[order]
-            runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            start = np.repeat(runs[:-1], np.diff(runs))
-            a, b, more = next_other(size, label, start + after, runs, most, percent)
-            pairs = pd.DataFrame({"a": node[a], "b": node[b], "bucket": 0, "after": -1}).drop_duplicates()
-            # The last candidate of a row that has more is where it goes on.
-            final = np.full(len(node), -1, np.int64)
-            np.maximum.at(final, a, b)
-            on = np.flatnonzero(more)
-            return pd.concat([pairs, pd.DataFrame({"a": node[on], "b": node[on], "bucket": bucket[on], "after": (final - start)[on]})])
+    return cut_lineage(state.groupBy("part").applyInPandas(run, "a bigint, b bigint, bucket bigint, after bigint"))
 
+
+def all_candidates(dealt: DataFrame, search: Callable, order: list[str], links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links and groups once every candidate of every bucket of ``dealt`` has been compared or lies within a group."""
+    roots, most = cut_lineage(components(links)), FIRST_CANDIDATES
+    state = dealt.withColumn("after", F.lit(-1).cast("long"))
+    while True:
         labelled = state.join(sized(roots).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
+        found = name_candidates(labelled, search, order, most)
         links, roots = join_groups(found.filter("after < 0").select("a", "b"), links, roots, sets, percent)
         more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
-            break
+            return links, roots
         most *= 8
         again = dealt.join(more.select("bucket").distinct(), "bucket", "left_semi").join(more, ["node", "bucket"], "left")
         # Rows that have named all their candidates are only met by others.
         state = again.withColumn("after", F.coalesce("after", F.lit(1 << 40)))
-    # Stored, so that a group of very many nodes can be split in the join.
-    rooted = cut_lineage(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return slim.join(rooted, "node").select("id", "text_hash", "root")
 
 
 def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
