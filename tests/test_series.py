@@ -470,3 +470,33 @@ def test_a_million_points_to_half_their_lags(spark):
     got = {r.lag: r.acf for r in stats.acf(df, "id", "v", None).filter("lag in (0, 500, 1000, 250000, 500000)").collect()}
     assert got[0] == 1.0 and got[500] == pytest.approx(-1.0, abs=0.01) and got[1000] == pytest.approx(1.0, abs=0.01)
     assert got[250_000] == pytest.approx(0.75, abs=0.01) and got[500_000] == pytest.approx(0.5, abs=0.01)
+
+
+def test_late_rows_and_replays_correct_standing_totals(spark, tmp_path):
+    base = str(tmp_path)
+    schema = "k string, t timestamp, v double"
+    day = datetime(2024, 5, 1)
+    parts = [
+        [("a", day, 1.0), ("a", day + timedelta(days=9), 2.0), (None, day, 5.0)],
+        [("a", day + timedelta(hours=3), 10.0), ("b", day - timedelta(days=400), 7.0), ("b", None, 9.0)],
+        [("a", day, 100.0)],
+    ]
+    with pytest.raises(ValueError, match="no totals"):
+        jobs.read_totals(spark, base + "/totals")
+
+    def totals():
+        return {(r["k"], r["period"].date() if isinstance(r["period"], datetime) else r["period"]): (r["total"], r["count"]) for r in jobs.read_totals(spark, base + "/totals").collect()}
+
+    want = {}
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(base + "/in")
+        jobs.standing_totals(jobs.watch_parquet(spark, base + "/in", schema), base + "/totals", base + "/state", "t", "v", ["k"]).awaitTermination()
+        for k, t, v in rows:
+            if t is not None:
+                s, c = want.get((k, t.date()), (0.0, 0))
+                want[k, t.date()] = (s + v, c + 1)
+        assert totals() == want
+        jobs.keep_partials(spark.createDataFrame(rows, schema), i, base + "/totals", "t", "v", ["k"])
+        assert totals() == want
+        jobs.compact_totals(spark, base + "/totals")
+        assert totals() == want

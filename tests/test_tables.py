@@ -363,3 +363,48 @@ def test_nearest_rows_against_all_pairs(spark):
     assert joins.nearest_rows(one.limit(0), two, "t", "t").count() == 0
     alone = joins.nearest_rows(one, two, "t", "t", chunks=5).filter("t is not null and nearest_t is null").count()
     assert alone == 0
+
+
+def test_correlations_of_four_hundred_columns(spark):
+    rng = np.random.default_rng(50)
+    x = rng.normal(size=(300, 400)) + 1e6
+    x[:, 1] = x[:, 0] * 2 + 1
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7] = 12.3
+    pdf = pd.DataFrame(x, columns=[f"c.{i}" for i in range(400)])
+    pdf["c.3"] = None
+    pdf["c.3"] = pdf["c.3"].astype(float)
+    got = profile.correlation_matrix(spark.createDataFrame(pdf)).toPandas().pivot(index="x", columns="y", values="corr").loc[pdf.columns, pdf.columns].to_numpy(float)
+    want = pdf.corr().to_numpy()
+    want[7] = want[:, 7] = np.nan
+    np.fill_diagonal(want, 1.0)
+    want[3, 3] = np.nan
+    assert np.allclose(got, want, atol=1e-8, equal_nan=True)
+    empty = profile.correlation_matrix(spark.createDataFrame([], "`a.b` double, c int")).collect()
+    assert len(empty) == 4 and {r["corr"] for r in empty} == {None}
+
+
+def test_expiry_drops_folders_and_leaves_the_rest(spark, tmp_path):
+    path = str(tmp_path / "by_day")
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=5 * i)) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, t timestamp")
+    assert catalog.expire(spark, path, "t", timedelta(days=3)) == {"dropped": [], "rewritten": []}
+    catalog.append_by_period(df.filter("id < 20"), path, "t")
+    catalog.append_by_period(df.filter("id >= 20 or id is null"), path, "t")
+
+    def seen():
+        return {f: (f.stat().st_mtime_ns, f.stat().st_ino) for f in tmp_path.glob("by_day/period=*/*.parquet")}
+
+    before = seen()
+    newest = max(t for _, t in rows if t)
+    done = catalog.expire(spark, path, "t", timedelta(days=3, hours=4))
+    limit = newest - timedelta(days=3, hours=4)
+    border = limit.date().isoformat()
+    assert done["rewritten"] == [border] and done["dropped"] == sorted({t.date().isoformat() for _, t in rows if t and t.date() < limit.date()})
+    kept = {f: v for f, v in before.items() if f.parent.name.partition("=")[2] > border}
+    assert kept and all(seen()[f] == v for f, v in kept.items())
+    left = spark.read.parquet(path)
+    assert {r["id"] for r in left.collect()} == {i for i, t in rows if t is None or t >= limit}
+    noted = {r["period"]: r["rows"] for r in catalog.manifest(spark, path).collect()}
+    assert noted == {r["period"]: r["count"] for r in left.withColumn("period", F.col("period").cast("string")).groupBy("period").count().collect()}
+    assert catalog.expire(spark, path, "t", timedelta(days=3, hours=4)) == {"dropped": [], "rewritten": []}

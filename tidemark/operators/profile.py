@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from tidemark.functions.scalars import name
 from tidemark.operators.blocks import time_chunks
 from tidemark.operators.common import attach, join_keys, numeric_columns, require, small, stack_columns
 from tidemark.operators.quantiles import number_of, order_statistics, quantiles, ranks, select_ranks
+from tidemark.operators.stats import array_total
 
 
 def _whole_column(df: DataFrame, value: str, probs: dict[str, float], pick: str) -> DataFrame:
@@ -243,13 +245,54 @@ def strongest(correlations: DataFrame, k: int = 10) -> DataFrame:
     return ranked.filter(F.col("__r") <= k).drop("__r")
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a, g``: per column number the sums over the rows where both it and each other column are known.
+
+    ``g`` holds, one after the other for all columns b: rows, sum of a, sum of b, sum of a^2, sum of b^2, sum of a b, of values less a
+    fixed shift near their mean. Each task multiplies its Arrow batches with the tables of known places, so that
+    hundreds of columns take one scan, and hands on one array per column.
+    """
+    m = len(columns)
+    values = df.select(*[name(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # Any shift is right; one near the mean keeps the digits of columns that vary little.
+    near = values.limit(1000).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in values.columns]).first()
+    shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in near])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m, 6, m))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            squares = x * x
+            for i, product in enumerate((known.T @ known, x.T @ known, known.T @ x, squares.T @ known, known.T @ squares, x.T @ x)):
+                total[:, i] += product
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(m), pa.int32()), pa.array(list(total.reshape(m, 6 * m)), pa.list_(pa.float64()))], names=["a", "g"]
+        )
+
+    parts = values.mapInArrow(add, "a int, g array<double>").withColumn("task", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = parts.groupBy("a", "task").agg(F.collect_list("g").alias("g")).select("a", array_total(F.col("g")).alias("g"))
+    return some.groupBy("a").agg(F.collect_list("g").alias("g")).select("a", array_total(F.col("g")).alias("g"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``x, y, corr`` for all ordered pairs, computed in one aggregate without moving rows."""
+    """``x, y, corr`` for all ordered pairs, over the rows where both are known, in one scan however many columns there are.
+
+    Null when one of them is constant there. A column with itself has 1, if it is known twice. NaN is unknown.
+    """
     columns = list(columns or numeric_columns(df))
-    pairs = [(a, b, _pair_corr(a, b)) for a, b in combinations(columns, 2)]
-    entries = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), c.alias("corr")) for a, b, c in pairs for x, y in ((a, b), (b, a))]
-    entries += [F.struct(F.lit(a).alias("x"), F.lit(a).alias("y"), F.when(F.count(name(a)) > 1, F.lit(1.0)).alias("corr")) for a in columns]
-    return df.agg(F.array(*entries).alias("s")).select(F.inline("s"))
+    m = len(columns)
+    sums = pair_sums(df, columns)
+    labels = F.array(*[F.lit(c) for c in columns])
+    pairs = sums.select("a", "g", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b"))
+    n, sa, sb, saa, sbb, sab = (F.col("g")[F.col("b") + i * m] for i in range(6))
+    va, vb = saa - sa * sa / n, sbb - sb * sb / n
+    # A constant leaves rounding behind, not zero.
+    varies = (va > 1e-12 * saa) & (vb > 1e-12 * sbb)
+    corr = F.when((n > 0) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (sab - sa * sb / n) / F.sqrt(va * vb))))
+    itself = F.when(n > 1, F.lit(1.0))
+    return pairs.select(labels[F.col("a")].alias("x"), labels[F.col("b")].alias("y"), F.when(F.col("a") == F.col("b"), itself).otherwise(corr).alias("corr"))
 
 
 def regression_lines(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:

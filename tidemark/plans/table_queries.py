@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.ml import PipelineModel
@@ -93,6 +94,18 @@ def retention_filter(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.retained(table(spark, folder, "events", ["event_id", "ts", "value"]), "ts", timedelta(days=7))
 
 
+@query(
+    "expire_periods",
+    "SELECT event_id, ts, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
+)
+def expire_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Events kept in a folder per day, of which the old ones are dropped and one is rewritten."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    catalog.append_by_period(table(spark, folder, "events", ["event_id", "ts", "value"]), path, "ts")
+    catalog.expire(spark, path, "ts", timedelta(days=7))
+    return spark.read.parquet(path).drop(catalog.PERIOD)
+
+
 # --- columns -----------------------------------------------------------------------------------
 
 
@@ -548,6 +561,22 @@ def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.correlation_matrix(table(spark, folder, "lineitem"), _NUM), 6, "corr")
 
 
+_HOLES = {"a": "nullif(l_quantity, 7)", "b": "nullif(l_discount, 0)", "c": "nullif(l_tax, 0)", "d": "l_extendedprice", "e": "CASE WHEN l_linenumber > 2 THEN l_linenumber END", "f": "l_quantity * 0 + 3"}
+
+
+@query(
+    "corr_matrix_holes",
+    "WITH h AS (SELECT " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in _HOLES.items()) + " FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, {'1.0::DOUBLE' if x == y else 'NULL::DOUBLE' if 'f' in (x, y) else f'(SELECT round(corr({x}, {y}), 6) FROM h)'} AS corr"
+        for x in _HOLES for y in _HOLES
+    ),
+)
+def corr_matrix_holes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair over the rows where both columns are known; one column is constant."""
+    rows = table(spark, folder, "lineitem").select(*[F.expr(e).cast("double").alias(c) for c, e in _HOLES.items()])
+    return rounded(profile.correlation_matrix(rows), 6, "corr")
+
+
 @query(
     "regr_line",
     " UNION ALL ".join(

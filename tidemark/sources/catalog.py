@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import period_start
 from tidemark.functions.scalars import name
+from tidemark.operators.common import require
 
 CATALOG_SCHEMA = "dataset_id string, filename string, timestamp timestamp, row_count bigint, column_count int, columns array<string>"
 
@@ -76,3 +78,90 @@ def retained(df: DataFrame, time: str, ttl: timedelta) -> DataFrame:
 def retain(df: DataFrame, time: str, ttl: timedelta, path: str) -> None:
     """Write the rows that stay to a new folder; the caller swaps folders when the job has succeeded."""
     retained(df, time, ttl).write.mode("errorifexists").parquet(path)
+
+
+# --- expiry by period --------------------------------------------------------------------------
+
+# Where a table by period keeps the ends of each folder; readers skip names that begin so.
+MANIFEST = "_manifest"
+PERIOD = "period"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path class, the file system of the path and the path itself."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = kind(path)
+    return kind, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def period_folders(spark: SparkSession, path: str) -> list[str]:
+    """The values of the period that have a folder."""
+    _, system, place = _files(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(place) if f.isDirectory()] if system.exists(place) else []
+    return sorted(n.partition("=")[2] for n in names if n.startswith(f"{PERIOD}="))
+
+
+def append_by_period(df: DataFrame, path: str, time: str, freq: str = "day") -> None:
+    """Append rows to a table with a folder per period, and note the ends of the folders that grew. Rows without a time go to a folder of their own."""
+    require(df, time)
+    spark = df.sparkSession
+    before = manifest(spark, path)
+    rows = df.withColumn(PERIOD, F.coalesce(F.to_date(period_start(name(time), freq)).cast("string"), F.lit("none")))
+    rows.write.mode("append").partitionBy(PERIOD).parquet(path)
+    grown = rows.groupBy(PERIOD).agg(F.min(name(time)).cast("timestamp").alias("oldest"), F.max(name(time)).cast("timestamp").alias("newest"), F.count(F.lit(1)).alias("rows"))
+    both = grown if before is None else before.unionByName(grown)
+    _write_manifest(both.groupBy(PERIOD).agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.sum("rows").alias("rows")), path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """``period, oldest, newest, rows`` of the folders, as last noted; None where nothing has been."""
+    _, system, place = _files(spark, f"{path}/{MANIFEST}")
+    versions = sorted(int(f.getPath().getName()) for f in system.listStatus(place)) if system.exists(place) else []
+    return spark.read.parquet(f"{path}/{MANIFEST}/{versions[-1]}") if versions else None
+
+
+def _write_manifest(table: DataFrame, path: str) -> None:
+    """A new version beside the old one, which goes once the new one is complete."""
+    spark = table.sparkSession
+    kind, system, place = _files(spark, f"{path}/{MANIFEST}")
+    old = sorted(int(f.getPath().getName()) for f in system.listStatus(place)) if system.exists(place) else []
+    version = old[-1] + 1 if old else 0
+    # One small row per folder.
+    table.coalesce(1).write.parquet(f"{path}/{MANIFEST}/{version}")
+    for v in old:
+        system.delete(kind(f"{path}/{MANIFEST}/{v}"), True)
+
+
+def expire(spark: SparkSession, path: str, time: str, ttl: timedelta) -> dict[str, list[str]]:
+    """Drop the rows older than ``ttl`` before the newest one: ``{"dropped": periods, "rewritten": periods}``.
+
+    Folders whose newest row is too old are dropped whole, without being read. Only the folder that the limit runs through is
+    rewritten, into a new folder that takes its place when it is complete. All other folders, and rows without a time, are untouched.
+    """
+    known = manifest(spark, path)
+    done: dict[str, list[str]] = {"dropped": [], "rewritten": []}
+    if known is None:
+        return done
+    limits = known.agg((F.max("newest") - F.lit(ttl)).alias("limit"))
+    judged = known.withColumn("limit", limits.scalar()).filter("oldest < limit")
+    kind, system, _ = _files(spark, path)
+    # One row per folder that is touched.
+    for row in judged.withColumn("gone", F.col("newest") < F.col("limit")).collect():
+        folder = f"{path}/{PERIOD}={row[PERIOD]}"
+        if row["gone"]:
+            system.delete(kind(folder), True)
+            done["dropped"].append(row[PERIOD])
+            continue
+        spare = f"{path}/_spare-{row[PERIOD]}"
+        spark.read.parquet(folder).filter(name(time).cast("timestamp") >= F.lit(row["limit"])).write.mode("overwrite").parquet(spare)
+        system.delete(kind(folder), True)
+        system.rename(kind(spare), kind(folder))
+        done["rewritten"].append(row[PERIOD])
+    if done["dropped"] or done["rewritten"]:
+        left = known.filter(~F.col(PERIOD).isin(done["dropped"] + done["rewritten"]))
+        if done["rewritten"]:
+            again = spark.read.parquet(*[f"{path}/{PERIOD}={p}" for p in done["rewritten"]]).withColumn(PERIOD, F.lit(done["rewritten"][0]))
+            again = again.groupBy(PERIOD).agg(F.min(name(time)).cast("timestamp").alias("oldest"), F.max(name(time)).cast("timestamp").alias("newest"), F.count(F.lit(1)).alias("rows"))
+            left = left.unionByName(again)
+        _write_manifest(left, path)
+    return {k: sorted(v) for k, v in done.items()}

@@ -50,3 +50,71 @@ def write_totals(totals: DataFrame, target: str, checkpoint: str) -> StreamingQu
     """Append closed windows as Parquet until all available input is read; open ones wait for the next run."""
     writer = totals.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
+
+
+# --- totals that late rows correct -------------------------------------------------------------
+
+
+def keep_partials(batch: DataFrame, batch_id: int, target: str, time: str, value: str, keys: Sequence[str] = (), *, freq: str = "day") -> None:
+    """The sums of one batch per key and period, in a folder of the batch's own: a replayed batch replaces itself."""
+    sums = batch.filter(name(time).isNotNull()).groupBy(*[name(k) for k in keys], period_start(name(time), freq).alias("period")).agg(
+        F.sum(name(value)).alias("total"), F.count(F.lit(1)).alias("count")
+    )
+    sums.write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
+
+
+def standing_totals(
+    stream: DataFrame, target: str, checkpoint: str, time: str, value: str, keys: Sequence[str] = (), *, freq: str = "day"
+) -> StreamingQuery:
+    """Totals per key and period that stand at any time and are corrected by rows however late; read them with :func:`read_totals`.
+
+    No watermark closes a period and no state is kept: every batch leaves its own mergeable sums, one row per key and
+    period it touched. All available input is read, then the query stops.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        keep_partials(batch, batch_id, target, time, value, keys, freq=freq)
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _parts(spark: SparkSession, path: str, label: str) -> list[int]:
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = kind(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{label}="))
+
+
+def _sources(spark: SparkSession, target: str) -> tuple[list[int], list[int]]:
+    """The newest base, as the last batch it holds, and the batches behind it."""
+    bases = _parts(spark, f"{target}/base", "upto")[-1:]
+    return bases, [b for b in _parts(spark, f"{target}/partials", "batch_id") if not bases or b > bases[0]]
+
+
+def read_totals(spark: SparkSession, target: str) -> DataFrame:
+    """``keys..., period, total, count`` over all batches so far."""
+    bases, batches = _sources(spark, target)
+    paths = [f"{target}/base/upto={b}" for b in bases] + [f"{target}/partials/batch_id={b}" for b in batches]
+    if not paths:
+        raise ValueError(f"no totals at {target}")
+    rows = spark.read.parquet(*paths)
+    keys = [c for c in rows.columns if c not in ("total", "count")]
+    return rows.groupBy(*[name(k) for k in keys]).agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
+
+
+def compact_totals(spark: SparkSession, target: str) -> None:
+    """Put all but the newest batch, which may be replayed, into one base; the parts it replaces stay until the next time."""
+    bases, batches = _sources(spark, target)
+    if len(batches) < 2:
+        return
+    older = spark.read.parquet(*[f"{target}/base/upto={b}" for b in bases], *[f"{target}/partials/batch_id={b}" for b in batches[:-1]])
+    keys = [c for c in older.columns if c not in ("total", "count")]
+    merged = older.groupBy(*[name(k) for k in keys]).agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
+    merged.write.mode("overwrite").parquet(f"{target}/base/upto={batches[-2]}")
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = kind(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # What the base before this one had replaced is read by no one any more.
+    for b in _parts(spark, f"{target}/partials", "batch_id"):
+        if bases and b <= bases[0]:
+            system.delete(kind(f"{target}/partials/batch_id={b}"), True)
