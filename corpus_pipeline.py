@@ -15,9 +15,9 @@ from tidemark.llm import line_dedup, quality, queries, simhash
 from tidemark.llm.shared import named
 from tidemark.session import ensure_checkpoint_dir
 
-# Near-duplicates of the corpus: five-word shingles; the bits in which the fingerprints of first candidates may differ; and the
-# similarity in percent, of the sets themselves, that links two texts. Pairs whose fingerprints lie farther apart are found by rare shingles.
-SHINGLE, RADIUS, PERCENT = 5, 4, 80
+# Near-duplicates of the corpus: five-word shingles; the bits in which the fingerprints of candidates may differ; and the
+# similarity in percent, of the sets themselves, that links two texts.
+SHINGLE, RADIUS, PERCENT = 5, 12, 80
 # A line of so many words is deleted when it repeats, shorter ones only with a line beside them: a passage, not a heading.
 LONG_LINE = 50
 
