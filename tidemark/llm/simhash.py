@@ -467,8 +467,9 @@ def similar_groups(
 def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
     pairs = sized(found)
-    # Few pairs go to the sets; one of the two sets of each pair moves.
-    both = sets.toDF("a", "x").join(pairs, "a").join(sets.toDF("b", "y"), "b")
+    # Few pairs go to the sets; only sets that some pair asks for move.
+    asked = sized(cut_lineage(pairs.select(F.col("b").alias("node")).distinct()))
+    both = sets.toDF("a", "x").join(pairs, "a").join(sets.join(asked, "node", "left_semi").toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
