@@ -397,8 +397,8 @@ def test_expiry_drops_folders_and_leaves_the_rest(spark, tmp_path):
 
     before = seen()
     newest = max(t for _, t in rows if t)
-    done = catalog.expire(spark, path, "t", timedelta(days=3, hours=4))
-    limit = newest - timedelta(days=3, hours=4)
+    done = catalog.expire(spark, path, "t", timedelta(days=3))
+    limit = newest - timedelta(days=3)
     border = limit.date().isoformat()
     assert done["rewritten"] == [border] and done["dropped"] == sorted({t.date().isoformat() for _, t in rows if t and t.date() < limit.date()})
     kept = {f: v for f, v in before.items() if f.parent.name.partition("=")[2] > border}
@@ -407,4 +407,4 @@ def test_expiry_drops_folders_and_leaves_the_rest(spark, tmp_path):
     assert {r["id"] for r in left.collect()} == {i for i, t in rows if t is None or t >= limit}
     noted = {r["period"]: r["rows"] for r in catalog.manifest(spark, path).collect()}
     assert noted == {r["period"]: r["count"] for r in left.withColumn("period", F.col("period").cast("string")).groupBy("period").count().collect()}
-    assert catalog.expire(spark, path, "t", timedelta(days=3, hours=4)) == {"dropped": [], "rewritten": []}
+    assert catalog.expire(spark, path, "t", timedelta(days=3)) == {"dropped": [], "rewritten": []}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
 from tidemark.operators.blocks import time_chunks
-from tidemark.operators.common import attach, join_keys, numeric_columns, require, small, stack_columns
+from tidemark.operators.common import attach, join_keys, numeric_columns, require
 from tidemark.operators.quantiles import number_of, order_statistics, quantiles, ranks, select_ranks
 from tidemark.operators.stats import array_total
 
