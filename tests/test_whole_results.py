@@ -20,6 +20,33 @@ def test_every_step_of_a_long_staircase_is_found(spark):
     assert anomaly.change_points(spark.createDataFrame(rows[:0], "d date, v double"), "d", "v").count() == 0
 
 
+def plain_change_points(x, penalty, least=2):
+    c, found, open_ = np.concatenate([[0.0], np.cumsum((x - x.mean()) / x.std())]), set(), [(0, len(x))]
+    while open_:
+        lo, hi = open_.pop()
+        at = np.arange(lo + least, hi - least + 1)
+        if len(at):
+            gain = (c[at] - c[lo]) ** 2 / (at - lo) + (c[hi] - c[at]) ** 2 / (hi - at) - (c[hi] - c[lo]) ** 2 / (hi - lo)
+            best = int(at[gain.argmax()])
+            if gain.max() > penalty:
+                found.add(best)
+                open_ += [(lo, best), (best, hi)]
+    return found
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_change_points_do_not_depend_on_chunks(spark, chunks):
+    rng = np.random.default_rng(8)
+    series = {k: np.concatenate([rng.normal(m, 1, rng.integers(10, 60)) for m in rng.integers(-4, 5, 12)]) for k in ("a", None)}
+    start = date(2020, 1, 1)
+    rows = [(k, start + timedelta(days=i), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    # Rows without a time or a value take no part.
+    rows += [("a", None, 1000.0), ("a", date(2019, 1, 1), None), ("b", date(2019, 1, 1), None)]
+    out = anomaly.change_points(spark.createDataFrame(rows, "k string, d date, v double"), "d", "v", ["k"], penalty=4.0, chunks=chunks).collect()
+    got = {k: {(r["d"] - start).days for r in out if r["k"] == k} for k in series}
+    assert got == {k: plain_change_points(x, 4.0) for k, x in series.items()} and len(out) == sum(map(len, got.values()))
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_pages_add_up_with_ties_and_nulls(spark, descending):
     values = [(1, 1), (2, 2), (2, 3), (3, 4), (None, 5), (None, 6), (None, None)]

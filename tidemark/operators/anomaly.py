@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import attach_series, join_keys, ordered, whole
+from tidemark.operators.blocks import time_chunks
+from tidemark.operators.common import BROADCAST_ROWS, attach, attach_series, join_keys, ordered, whole
 from tidemark.operators.sampling import hash_sample
 from tidemark.operators.windows import flagged_runs
 from tidemark.session import cut_lineage
@@ -177,33 +178,64 @@ def _standardised(series: DataFrame, value: str, keys: Sequence[str]) -> DataFra
     return rows.withColumns({"__x": F.coalesce(x, F.lit(0.0)), "__sigma2": F.lit(1.0)}).drop("__m", "__v")
 
 
+def _prefix_sums(rows: DataFrame, time: str, value: str, keys: Sequence[str], chunks: int | None) -> DataFrame:
+    """``keys..., time, __i, __c``: position (from 1) and running sum; chunk totals give each chunk its start, rows add the rest."""
+    cols = [name(k) for k in keys]
+    part = time_chunks(rows, time, chunks)
+    totals = part.groupBy(*cols, "__chunk").agg(F.sum(name(value)).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*cols).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*cols, "__chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("__s", "__n")])
+    frame = ordered([*keys, "__chunk"], time).rowsBetween(Window.unboundedPreceding, 0)
+    part = part.select(*cols, name(time), "__chunk", F.sum(name(value)).over(frame).alias("__s"), F.count(F.lit(1)).over(frame).alias("__n"))
+    placed = join_keys(part, starts, [*keys, "__chunk"])
+    return placed.select(*cols, name(time), (F.col("__n0") + F.col("__n")).alias("__i"), (F.col("__s0") + F.col("__s")).alias("__c"))
+
+
+# Levels of the search between two stored copies of the open rows.
+STORE_EVERY = 4
+
+
 def change_points(
-    series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, penalty: float | None = None, least: int = 2
+    series: DataFrame, time: str, value: str, keys: Sequence[str] = (), *, penalty: float | None = None, least: int = 2, chunks: int | None = None
 ) -> DataFrame:
     """All mean shifts by binary segmentation: ``keys..., time, gain, level``.
 
     Each level looks for one more split in every open segment of all series in one job, until no segment
-    gains more than the penalty (default ``3 ln n`` on the standardised series). A row carries the start of its
-    segment; only rows of segments that were split go on to the next level. Penalty values are not
-    comparable with those of kernel cost functions.
+    gains more than the penalty (default ``3 ln n`` on the standardised series). Positions and running sums are made once, in time
+    chunks, so a raw series may be of any length; with them a row knows the gain of a split behind it from the ends of its segment, and a
+    level is an ordinary aggregate that is combined before it moves. Only rows of segments that were split go on. Rows without a time or
+    value take no part; times are unique per series. Penalty values are not comparable with those of kernel cost functions.
     """
-    rows = _standardised(series, value, keys).select(*[name(k) for k in keys], name(time), "__x", "__sigma2")
-    rows = attach_series(rows, {"__n": F.count(F.lit(1))}, keys)
-    charge = 3.0 * F.ln("__n") if penalty is None else F.lit(penalty)
-    kind = series.schema[time].dataType
-    open_ = cut_lineage(rows.withColumns({"__pen": charge, "__seg": F.lit(None).cast(kind)}).drop("__n"))
-    columns = [*[name(k) for k in keys], F.col("time").alias(time), "gain", "level"]
+    cols = [name(k) for k in keys]
+    known = series.filter(name(value).isNotNull() & name(time).isNotNull()).select(*cols, name(time), name(value).cast("double").alias("__v"))
+    known = attach(known, {"__m": F.avg("__v"), "__d": F.stddev_pop("__v")}, keys)
+    x = F.coalesce((F.col("__v") - F.col("__m")) / F.nullif(F.col("__d"), F.lit(0.0)), F.lit(0.0))
+    base = cut_lineage(_prefix_sums(known.withColumn("__x", x), time, "__x", keys, chunks))
+    ends = {"__hi": F.count(F.lit(1)), "__chi": F.max_by("__c", "__i")}
+    open_ = attach(base.drop(time), ends, keys).withColumns({"__lo": F.lit(0).cast("bigint"), "__clo": F.lit(0.0)})
+    open_ = open_.withColumn("__pen", 3.0 * F.ln("__hi") if penalty is None else F.lit(float(penalty)))
+    i, c, lo, hi, clo, chi = (F.col(f"__{n}") for n in ("i", "c", "lo", "hi", "clo", "chi"))
+    gain = (c - clo) * (c - clo) / (i - lo) + (chi - c) * (chi - c) / (hi - i) - (chi - clo) * (chi - clo) / (hi - lo)
     found = None
     for level in itertools.count(1):
-        best = _best_splits(open_, time, [*keys, "__seg"], least).filter(F.col("gain") > F.col("pen"))
+        tried = open_.filter((i - lo >= least) & (hi - i >= least)).withColumn("__gain", gain)
+        best = tried.groupBy(*cols, "__lo").agg(F.max(F.struct("__gain", (-i).alias("back"), "__c", "__pen")).alias("b"))
+        best = best.filter("b.__gain > b.__pen").select(*cols, "__lo", (-F.col("b.back")).alias("__at"), F.col("b.__c").alias("__cat"), F.col("b.__gain").alias("gain"))
         best = cut_lineage(best.withColumn("level", F.lit(level)))
-        found = best.select(*columns) if found is None else found.unionByName(best.select(*columns))
-        if best.isEmpty():
-            return found
-        cuts = best.select(*[name(k) for k in keys], "__seg", F.col("time").alias("__cut"))
-        split = join_keys(open_, cuts, [*keys, "__seg"])
-        right = F.when(name(time) >= F.col("__cut"), F.col("__cut")).otherwise(F.col("__seg"))
-        open_ = cut_lineage(split.withColumn("__seg", right).drop("__cut"))
+        found = best if found is None else found.unionByName(best)
+        splits = best.count()
+        if not splits:
+            break
+        cuts = best.drop("gain", "level")
+        split = join_keys(open_, F.broadcast(cuts) if splits <= BROADCAST_ROWS else cuts, [*keys, "__lo"])
+        right = i > F.col("__at")
+        sides = {"__lo": (right, "__at", "__lo"), "__clo": (right, "__cat", "__clo"), "__hi": (right, "__hi", "__at"), "__chi": (right, "__chi", "__cat")}
+        open_ = split.withColumns({n: F.when(side, F.col(a)).otherwise(F.col(b)) for n, (side, a, b) in sides.items()}).drop("__at", "__cat")
+        if level % STORE_EVERY == 0:
+            open_ = cut_lineage(open_)
+    # The first point after the split carries its time.
+    firsts = found.select(*cols, (F.col("__at") + 1).alias("__i"), "gain", "level")
+    return join_keys(base.drop("__c"), firsts, [*keys, "__i"]).select(*cols, name(time), "gain", "level")
 
 
 def flag_change_points(series: DataFrame, points: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -613,7 +613,16 @@ def changepoint_single(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("k", "time", "at", "gain", "n"), 4, "gain")
 
 
-@query("change_points")
+@query(
+    "change_points",
+    f"WITH RECURSIVE {PANEL}, z AS (SELECT k, d, v, (v - avg(v) OVER p) / stddev_pop(v) OVER p AS x FROM s WINDOW p AS (PARTITION BY k)), "
+    "c AS (SELECT k, d, v, row_number() OVER w AS i, sum(x) OVER w AS c FROM z WINDOW w AS (PARTITION BY k ORDER BY d)), "
+    "seg AS (SELECT k, 0::BIGINT AS lo, count(*) AS hi, 0::DOUBLE AS clo, arg_max(c, i) AS chi FROM c GROUP BY k UNION ALL "
+    "SELECT k, unnest([lo, pos]), unnest([pos, hi]), unnest([clo, mid]), unnest([mid, chi]) FROM (SELECT k, lo, hi, clo, chi, arg_max(i, gain) AS pos, arg_max(c, gain) AS mid, max(gain) AS best FROM ("
+    "SELECT seg.*, i, c, (c - clo) * (c - clo) / (i - lo) + (chi - c) * (chi - c) / (hi - i) - (chi - clo) * (chi - clo) / (hi - lo) AS gain FROM seg JOIN c ON c.k = seg.k AND i - lo >= 2 AND hi - i >= 2) GROUP BY ALL) WHERE best > 5), "
+    "cuts AS (SELECT DISTINCT k, lo FROM seg WHERE lo > 0) "
+    "SELECT c.k, d, v, CAST(lo IS NOT NULL AS INTEGER) AS is_change_point FROM c LEFT JOIN cuts ON c.k = cuts.k AND c.i = cuts.lo + 1",
+)
 def change_points(spark: SparkSession, folder: str) -> DataFrame:
     series = panel(spark, folder)
     return anomaly.flag_change_points(series, anomaly.change_points(series, "d", "v", ["k"], penalty=5.0), "d", ["k"])
