@@ -178,17 +178,17 @@ def _standardised(series: DataFrame, value: str, keys: Sequence[str]) -> DataFra
     return rows.withColumns({"__x": F.coalesce(x, F.lit(0.0)), "__sigma2": F.lit(1.0)}).drop("__m", "__v")
 
 
-def _prefix_sums(rows: DataFrame, time: str, value: str, keys: Sequence[str], chunks: int | None) -> DataFrame:
-    """``keys..., time, __i, __c``: position (from 1) and running sum; chunk totals give each chunk its start, rows add the rest."""
+def _prefix_sums(rows: DataFrame, time: str, value: str, keys: Sequence[str], carried: str, chunks: int | None) -> DataFrame:
+    """``keys..., time, carried, __i, __c``: position (from 1) and running sum; chunk totals give each chunk its start, rows add the rest."""
     cols = [name(k) for k in keys]
     part = time_chunks(rows, time, chunks)
     totals = part.groupBy(*cols, "__chunk").agg(F.sum(name(value)).alias("__s"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*cols).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*cols, "__chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("__s", "__n")])
     frame = ordered([*keys, "__chunk"], time).rowsBetween(Window.unboundedPreceding, 0)
-    part = part.select(*cols, name(time), "__chunk", F.sum(name(value)).over(frame).alias("__s"), F.count(F.lit(1)).over(frame).alias("__n"))
+    part = part.select(*cols, name(time), carried, "__chunk", F.sum(name(value)).over(frame).alias("__s"), F.count(F.lit(1)).over(frame).alias("__n"))
     placed = join_keys(part, starts, [*keys, "__chunk"])
-    return placed.select(*cols, name(time), (F.col("__n0") + F.col("__n")).alias("__i"), (F.col("__s0") + F.col("__s")).alias("__c"))
+    return placed.select(*cols, name(time), carried, (F.col("__n0") + F.col("__n")).alias("__i"), (F.col("__s0") + F.col("__s")).alias("__c"))
 
 
 # Levels of the search between two stored copies of the open rows.
@@ -208,11 +208,12 @@ def change_points(
     """
     cols = [name(k) for k in keys]
     known = series.filter(name(value).isNotNull() & name(time).isNotNull()).select(*cols, name(time), name(value).cast("double").alias("__v"))
-    known = attach(known, {"__m": F.avg("__v"), "__d": F.stddev_pop("__v")}, keys)
+    known = cut_lineage(known)
+    known = attach(known, {"__m": F.avg("__v"), "__d": F.stddev_pop("__v"), "__hi": F.count(F.lit(1))}, keys)
     x = F.coalesce((F.col("__v") - F.col("__m")) / F.nullif(F.col("__d"), F.lit(0.0)), F.lit(0.0))
-    base = cut_lineage(_prefix_sums(known.withColumn("__x", x), time, "__x", keys, chunks))
-    ends = {"__hi": F.count(F.lit(1)), "__chi": F.max_by("__c", "__i")}
-    open_ = attach(base.drop(time), ends, keys).withColumns({"__lo": F.lit(0).cast("bigint"), "__clo": F.lit(0.0)})
+    base = cut_lineage(_prefix_sums(known.withColumn("__x", x), time, "__x", keys, "__hi", chunks))
+    # Standardised values add up to zero.
+    open_ = base.drop(time).withColumns({"__lo": F.lit(0).cast("bigint"), "__clo": F.lit(0.0), "__chi": F.lit(0.0)})
     open_ = open_.withColumn("__pen", 3.0 * F.ln("__hi") if penalty is None else F.lit(float(penalty)))
     i, c, lo, hi, clo, chi = (F.col(f"__{n}") for n in ("i", "c", "lo", "hi", "clo", "chi"))
     gain = (c - clo) * (c - clo) / (i - lo) + (chi - c) * (chi - c) / (hi - i) - (chi - clo) * (chi - clo) / (hi - lo)
@@ -235,7 +236,7 @@ def change_points(
             open_ = cut_lineage(open_)
     # The first point after the split carries its time.
     firsts = found.select(*cols, (F.col("__at") + 1).alias("__i"), "gain", "level")
-    return join_keys(base.drop("__c"), firsts, [*keys, "__i"]).select(*cols, name(time), "gain", "level")
+    return join_keys(base.drop("__c", "__hi"), firsts, [*keys, "__i"]).select(*cols, name(time), "gain", "level")
 
 
 def flag_change_points(series: DataFrame, points: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
