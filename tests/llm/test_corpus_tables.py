@@ -186,6 +186,13 @@ def test_lines_odd(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_copies_of_one_line_go_and_many_lines_take_no_square(spark):
+    many = "\n".join(f"line {i % 40_000}" for i in range(80_000))
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(["only line", " only line", many])], DOCS)
+    got = {r.doc_id: (r.l_text, r.l_removed, r.l_runs) for r in line_dedup.dedup_lines(docs, least_lines=1).collect()}
+    assert got == {0: ("only line", 0, 0), 1: ("", 1, 1), 2: ("\n".join(f"line {i}" for i in range(40_000)), 40_000, 1)}
+
+
 def test_single_long_lines_go(spark):
     long, short = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(49))
     texts = [long, f"a\n{long}\nb", f" {long} ", f"{short}\nc\n{long}\n{long}\nd", short, f"{short}\ne"]

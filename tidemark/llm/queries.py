@@ -90,13 +90,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
                row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS place
         FROM lines WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
     ),
-    pairs AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY place) AS s2 FROM full_lines),
-    later AS (
-        SELECT doc_id, place FROM (
-            SELECT *, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, place) AS n FROM pairs WHERE s2 IS NOT NULL
-        ) WHERE n > 1
+    gone AS (
+        SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY s ORDER BY doc_id, place) AS n FROM full_lines) WHERE n > 1
     ),
-    gone AS (SELECT doc_id, place FROM later UNION SELECT doc_id, place + 1 FROM later),
     marked AS (SELECT g.doc_id, f.ln, g.place, g.place - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.place) AS island
                FROM gone g JOIN full_lines f ON g.doc_id = f.doc_id AND g.place = f.place),
     kept AS (
@@ -108,7 +104,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read(spark, folder, "documents", "doc_id", "text"), least_lines=2)
+    out = line_dedup.dedup_lines(read(spark, folder, "documents", "doc_id", "text"), least_lines=1)
     return out.select(
         "doc_id", F.col("l_lines").alias("n_lines"), F.col("l_removed").alias("n_removed"), F.col("l_runs").alias("n_runs"),
         F.sha2("l_text", 256).alias("kept_sha256"),
