@@ -320,6 +320,10 @@ def test_csv_with_bad_rows_and_encoding(spark, tmp_path):
     assert rows[0]["name"] == "Müller" and rows[0][files.CORRUPT] is None
     assert rows[1]["id"] is None and rows[1][files.CORRUPT] == "x,bad"
     assert dict(files.read_csv(spark, str(path), encoding="ISO-8859-1").dtypes)["id"] == "string"
+    kept = files.read_csv(spark, str(path), schema="id int, name string", encoding="ISO-8859-1", keep_bad=True).cache()
+    assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in rows]
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, str(path), schema="id int, name string", encoding="ISO-8859-1").collect()
 
 
 def test_store_by_period_prunes(spark, tmp_path):

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.calendar import period_start
 from tidemark.functions.scalars import name
@@ -17,14 +17,21 @@ CORRUPT = "_corrupt_record"
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, schema: StructType | str | None = None, encoding: str = "UTF-8", multiline: bool = False
+    spark: SparkSession, path: str, *, schema: StructType | str | None = None, encoding: str = "UTF-8", multiline: bool = False, keep_bad: bool = False
 ) -> DataFrame:
-    """CSV with a header row. Types are inferred unless given; give them to save a pass over big files."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    reader = reader.option("multiLine", multiline)
+    """CSV with a header row. Types are inferred unless given; give them to save a pass over big files.
+
+    A row that does not fit a given schema is an error where it is read. With ``keep_bad``, or if the schema has the column
+    ``_corrupt_record``, it is kept instead: its text stands in that column and fields that could not be read are null.
+    """
+    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multiline)
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+        return reader.option("mode", "PERMISSIVE").option("inferSchema", True).csv(path)
+    typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if keep_bad and CORRUPT not in typed.names:
+        typed = StructType([*typed.fields, StructField(CORRUPT, StringType())])
+    mode = "PERMISSIVE" if CORRUPT in typed.names else "FAILFAST"
+    return reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).schema(typed).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
