@@ -70,7 +70,7 @@ def projected_scan(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem", ["l_shipdate", "l_extendedprice"]).filter("l_extendedprice > 50000")
 
 
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @query(
