@@ -369,6 +369,13 @@ def test_nearest_rows_against_all_pairs(spark):
     assert alone == 0
 
 
+def test_nearest_rows_read_no_frame_to_the_end(spark):
+    one = spark.range(30).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("t"), "id")
+    found = joins.nearest_rows(one, one.filter("id % 7 = 3"), "t", "t", ["k"], chunks=3)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert sorted((r["id"], r["nearest_id"]) for r in found.collect()) == [(i, min((3, 10, 17, 24), key=lambda h: (abs(h - i), h))) for i in range(30)]
+
+
 def test_correlations_of_four_hundred_columns(spark):
     rng = np.random.default_rng(50)
     x = rng.normal(size=(300, 400)) + 1e6

@@ -31,12 +31,12 @@ def time_chunks(df: DataFrame, time: str, chunks: int | None = None) -> DataFram
     """Add ``__chunk``: time ranges with about equally many rows.
 
     The cuts come from a sample of a few hundred rows per chunk; they only balance the work, results
-    do not depend on them. Their number follows the row count unless given.
+    do not depend on them. Their number follows the row count and is at least ``chunks``.
     """
     micros = F.unix_micros(name(time).cast("timestamp")).cast("double")
     rows = df.filter(name(time).isNotNull()).withColumn("__us", micros)
     n = rows.count()
-    chunks = chunks or max(1, math.ceil(n / CHUNK_ROWS))
+    chunks = max(chunks or 1, math.ceil(n / CHUNK_ROWS))
     cuts: list[float] = []
     if chunks > 1:
         share = 200 * chunks / max(n, 1)

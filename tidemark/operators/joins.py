@@ -80,15 +80,17 @@ def nearest_rows(
     ends = placed.filter("hit is not null").groupBy(*ids, "__chunk").agg(F.max_by("here", "us").alias("last"), F.min_by("here", "us").alias("first"))
     spots = placed.select(*ids, "__chunk").distinct().join(ends.withColumnsRenamed({i: f"r_{i}" for i in [*ids, "__chunk"]}), [
         *[F.col(i).eqNullSafe(F.col(f"r_{i}")) for i in ids], F.col("__chunk") == F.col("r___chunk")], "left")
-    order = Window.partitionBy(*ids).orderBy("__chunk")
+    # What comes after is the last one seen in descending order: a frame that only grows is carried from row to row,
+    # while one that reaches to the end would be read anew for every row.
+    key, cell = Window.partitionBy(*ids), Window.partitionBy(*ids, "__chunk")
     handed = spots.select(
-        *ids, "__chunk", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"),
-        F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("from_after"),
+        *ids, "__chunk", F.last("last", True).over(key.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"),
+        F.last("first", True).over(key.orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("from_after"),
     )
-    inside = Window.partitionBy(*ids, "__chunk").orderBy("us", F.col("hit").isNull())
+    late = F.col("hit").isNull()
     met = placed.withColumns({
-        "before": F.last("here", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("here", True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+        "before": F.last("here", True).over(cell.orderBy("us", late).rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.last("here", True).over(cell.orderBy(F.desc("us"), late.desc()).rowsBetween(Window.unboundedPreceding, 0)),
     }).filter("row is not null")
     met = join_keys(met, handed, [*ids, "__chunk"], "left")
     met = met.withColumns({"before": F.coalesce("before", "from_before"), "after": F.coalesce("after", "from_after")})
