@@ -6,9 +6,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, learn, sampling
+from tidemark.operators import attribution, boosting, learn, sampling
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +128,35 @@ def test_exact_split_for_a_line(spark):
     df = spark.range(100).select("id", (F.col("id") * 2.0 + 1).alias("y"))
     out = learn.quality(learn.linear_fit(sampling.hash_split(df, "id"), "y", "id"), "y")
     assert all(r["r2"] == pytest.approx(1.0) for r in out.collect())
+
+
+def test_same_trees_as_sparks_learner(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 400), "b": rng.integers(0, 30, 400) / 7, "g": rng.choice(["u", "v", "w"], 400), "y": rng.normal(size=400)})
+    pdf["y"] += pdf.a * (pdf.g == "v") - pdf.b
+    # Level u is the first and has no feature, nor has a null.
+    pdf.loc[:20, "g"] = None
+    rows = spark.createDataFrame(pdf.where(pdf.notna(), None), "a long, b double, g string, y double")
+    got = learn.fit_boosted(rows, "y", ["a", "b"], ["g"], trees=6, depth=3, rows=1.0, columns=1.0)
+    flags = rows.withColumns({f"g_{v}": F.coalesce((F.col("g") == v).cast("int"), F.lit(0)) for v in "wv"})
+    learner = GBTRegressor(labelCol="y", maxIter=6, maxDepth=3, stepSize=0.1)
+    want = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "g_w", "g_v"], outputCol="features"), learner]).fit(flags)
+    one, two = ([r["prediction"] for r in m.transform(d).select("prediction").collect()] for m, d in ((got, rows), (want, flags)))
+    assert one == pytest.approx(two, abs=1e-9)
+    assert got.stages[-1].featureImportances.toArray() == pytest.approx(want.stages[-1].featureImportances.toArray(), abs=1e-9)
+    assert got.stages[-1].treeWeights == want.stages[-1].treeWeights
+
+
+def test_tasks_of_a_fit_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(300).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    tasks, boost = [], boosting.boost
+    monkeypatch.setattr(boosting, "boost", lambda state, *rest: tasks.append(state.getNumPartitions()) or boost(state, *rest))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        learn.fit_boosted(rows, "y", ["x"], trees=2, depth=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks == [1]
+    with pytest.raises(Exception, match="must not be null"):
+        learn.fit_boosted(rows.withColumn("x", F.when(F.col("x") > 3, F.col("x"))), "y", ["x"], trees=1)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -13,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import finite, name
+from tidemark.operators import boosting
 from tidemark.operators.attribution import long_attributions
 from tidemark.operators.clean import fit_one_hot
-from tidemark.operators.common import require, tasks_for
-from tidemark.session import cut_lineage, ensure_checkpoint_dir
+from tidemark.operators.common import require
+from tidemark.session import cut_lineage
 
 # Name parts of calendar and of lag features.
 TIME_PARTS = ["month", "day", "week", "year", "is_"]
@@ -42,21 +42,17 @@ def fit_boosted(
     trees: int = 100, depth: int = 5, rate: float = 0.1, rows: float = 0.8, columns: float = 0.8, seed: int = 42,
 ) -> PipelineModel:
     """One distributed fit over all rows; text columns are one-hot encoded without their first level."""
-    ensure_checkpoint_dir(train.sparkSession)
-    # Boosting reads its input once per tree level and pairs it with the running errors by position, so
-    # the rows are written once and every pass sees the same rows in the same order.
-    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]).repartition(tasks_for(train)))
+    # The fit reads its rows several times to find levels and cuts; they are written once.
+    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]))
     stages, encoded = fit_one_hot(base, texts) if texts else ([], [])
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
-        featureSubsetStrategy=str(columns), seed=seed, checkpointInterval=10,
+        featureSubsetStrategy=str(columns), seed=seed,
     )
     assembler = VectorAssembler(inputCols=[*numbers, *encoded], outputCol="features")
-    ready = PipelineModel([*stages, assembler])
-    prepared = ready.transform(base).select("features", name(target)).persist(StorageLevel.MEMORY_AND_DISK)
-    model = learner.fit(prepared)
-    prepared.unpersist()
-    return PipelineModel([*ready.stages, model])
+    # The features are the slots of the assembled vector: of each text all levels but the first, which is the last label.
+    levels = {c: labels[:-1] for c, labels in zip(texts, stages[0].labelsArray, strict=True) if len(labels) > 1} if texts else {}
+    return PipelineModel([*stages, assembler, boosting.fit_trees(base, target, numbers, levels, learner)])
 
 
 def feature_names(scored: DataFrame, features: str = "features") -> list[str]:
