@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution, boosting, learn, sampling
+from tidemark.session import stored_columns
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +161,38 @@ def test_tasks_of_a_fit_follow_the_rows(spark, monkeypatch):
     assert tasks == [1]
     with pytest.raises(Exception, match="must not be null"):
         learn.fit_boosted(rows.withColumn("x", F.when(F.col("x") > 3, F.col("x"))), "y", ["x"], trees=1)
+
+
+def test_one_child_of_two_is_counted(spark, monkeypatch):
+    """The sums of the child that is not counted are what is left of its parent, also where columns are counted together."""
+    rng = np.random.default_rng(8)
+    widths, n = [50, 11, 9, 3, 150], 5000
+    codes, y = np.stack([rng.integers(0, w, n) for w in widths]).astype("uint8"), rng.normal(size=n)
+    assert sorted(c for g in boosting.column_groups(widths) for c in g) == [0, 1, 2, 3, 4] and len(boosting.column_groups(widths)) < 5
+    nodes = [boosting.Node(np.zeros(3), column=0, code=30, left=1), boosting.Node(np.zeros(3)), boosting.Node(np.zeros(3))]
+
+    def sums(nodes, counted):
+        found = next(boosting._count([((0, 0), codes, y)], nodes, counted, widths, 0.8, (1, 2), 2.0))
+        return boosting._by_node(found, len(counted), widths)
+
+    whole, both, one = sums([boosting.Node(np.zeros(3))], [0]), sums(nodes, [1, 2]), sums(nodes, [2])
+    got = boosting.with_siblings([2], one, {1: whole[:, 0]}, [1, 2])
+    assert np.allclose(got, both, atol=1e-9) and (got[0] == both[0]).all() and not got[:, got[0] == 0].any()
+    drawn = np.random.default_rng([1, 2, 0, 0]).random(n, np.float32) < 0.8
+    for c, h in enumerate(np.split(both, np.cumsum(widths)[:-1], axis=2)):
+        for k, side in enumerate((codes[0] <= 30, codes[0] > 30)):
+            here = drawn & side
+            assert np.allclose(h[1, k], np.bincount(codes[c][here], 2 * y[here], widths[c]))
+
+    counts, count = [], boosting.with_siblings
+    monkeypatch.setattr(boosting, "with_siblings", lambda counted, *rest: counts.append((len(counted), len(rest[2]))) or count(counted, *rest))
+    rows = spark.range(400).select((F.col("id") % 19).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    learn.fit_boosted(rows, "y", ["x"], trees=2, depth=3)
+    assert all(c == max(1, o // 2) for c, o in counts) and max(o for _, o in counts) > 1
+
+
+def test_stored_columns_keep_rows_and_types(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, 0.5, None)], "`a.b` int, `c d` double, g string")
+    back = stored_columns(df)
+    assert back.schema == df.schema and sorted(map(tuple, back.collect())) == [(1, None, "a"), (2, 0.5, None)]
+    assert stored_columns(df.limit(0)).count() == 0

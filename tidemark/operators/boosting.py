@@ -2,7 +2,8 @@
 
 Values are cut into bins, texts into their levels; a row is one small code per column and its residual, in blocks
 that each task holds as arrays. One pass a level adds up counts, sums and squares per code; the driver sees these sums only,
-whose size is that of the model. A text column costs one code however many levels it has, though each level is a
+whose size is that of the model. Of two children only the one of fewer rows is counted, the other is what is left of its parent,
+and columns of few codes are counted together. A text column costs one code however many levels it has, though each level is a
 0/1 feature of its own. The result is an ordinary model of ``pyspark.ml``.
 """
 
@@ -14,11 +15,12 @@ import os
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import RDD, StorageLevel, __version__
+from pyspark import RDD, StorageLevel, TaskContext, __version__
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import name
 from tidemark.session import ensure_checkpoint_dir
 
-# Rows of a block, rows that are worth a task of their own, most rows of a task, trees between two checkpoints.
-BLOCK_ROWS, LEAST_ROWS, MOST_ROWS, KEEP_EVERY = 1 << 17, 20_000, 1_000_000, 20
+# Rows of a block, rows that are worth a task of their own, most rows of a task (some 200 MB, read block by block), trees between two checkpoints.
+BLOCK_ROWS, LEAST_ROWS, MOST_ROWS, KEEP_EVERY = 1 << 15, 20_000, 10_000_000, 20
+# Columns are counted together while their codes make at most so many combinations.
+GROUP_CODES = 1 << 11
 NODES = (
     "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, "
     "leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
@@ -83,8 +87,8 @@ def bin_cuts(rows: DataFrame, numbers: Sequence[str], bins: int) -> list[np.ndar
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], cuts: Sequence[np.ndarray], levels: Sequence[Sequence[str]], kind: str) -> Iterator[pa.RecordBatch]:
-    """Rows as blocks of codes, column by column, and labels. The first column is the label, numbers come before texts."""
-    known = [pa.array(v, pa.string()) for v in levels]
+    """Rows as numbered blocks of codes, column by column, and labels. The first column is the label, numbers come before texts."""
+    known, task, made = [pa.array(v, pa.string()) for v in levels], TaskContext.get().partitionId(), count()
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
@@ -94,10 +98,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], cuts: Sequence[np.ndarray], level
         for i, v in enumerate(known, 1 + len(cuts)):
             place = pc.fill_null(pc.index_in(t.column(i), value_set=v), len(v))
             codes.append(place.to_numpy().astype(kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([np.concatenate(codes).tobytes() if codes else b""], pa.binary()), pa.array([t.column(0).to_numpy().tobytes()], pa.binary())],
-            ["codes", "labels"],
-        )
+        columns = [pa.array([x]) for x in (task, next(made), np.concatenate(codes).tobytes(), t.column(0).to_numpy().tobytes())]
+        return pa.RecordBatch.from_arrays(columns, ["task", "number", "codes", "labels"])
 
     held, n = [], 0
     for b in batches:
@@ -110,10 +112,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], cuts: Sequence[np.ndarray], level
         yield block(held)
 
 
-def _opened(part: int, rows: Iterable, kind: str) -> Iterator[tuple]:
-    for i, r in enumerate(rows):
-        y = np.frombuffer(r["labels"])
-        yield (part, i), np.frombuffer(r["codes"], kind).reshape(-1, len(y)), y
+def _opened(r, kind: str) -> tuple:
+    y = np.frombuffer(r["labels"])
+    return (r["task"], r["number"]), np.frombuffer(r["codes"], kind).reshape(-1, len(y)), y
+
+
+def column_groups(widths: Sequence[int]) -> list[list[int]]:
+    """Columns that are counted together, so that the codes of each group make few combinations."""
+    groups: list[list[int]] = []
+    for c in sorted(range(len(widths)), key=lambda c: -widths[c]):
+        fits = (g for g in groups if math.prod(widths[i] for i in [*g, c]) <= GROUP_CODES)
+        found = next(fits, None)
+        if found is None:
+            groups.append([c])
+        else:
+            found.append(c)
+    return groups
 
 
 def place_rows(codes: np.ndarray, nodes: Sequence[Node], n: int) -> np.ndarray:
@@ -127,26 +141,57 @@ def place_rows(codes: np.ndarray, nodes: Sequence[Node], n: int) -> np.ndarray:
     return at
 
 
-def _count(blocks: Iterable, nodes: Sequence[Node], open_: Sequence[int], widths: Sequence[int], share: float, seed: Sequence[int], factor: float) -> Iterator[np.ndarray]:
-    """(count, sum, squares) per open node and code, columns one after the other, of the drawn rows of a task."""
-    starts = np.cumsum([0, *[w * len(open_) for w in widths]])
-    out = np.zeros((3, starts[-1]))
-    place = np.full(len(nodes), len(open_), np.int64)
-    place[list(open_)] = np.arange(len(open_))
+def _count(blocks: Iterable, nodes: Sequence[Node], counted: Sequence[int], widths: Sequence[int], share: float, seed: Sequence[int], factor: float) -> Iterator[np.ndarray]:
+    """(count, sum, squares) per counted node and code, columns one after the other, of the drawn rows of a task."""
+    groups = column_groups(widths)
+    held = [np.zeros((3, len(counted) * math.prod(widths[c] for c in g))) for g in groups]
+    place = np.full(len(nodes), len(counted), np.int64)
+    place[list(counted)] = np.arange(len(counted))
     for number, codes, rest in blocks:
-        node = place[place_rows(codes, nodes, len(rest))]
-        drawn = node < len(open_)
-        if share < 1:
-            drawn &= np.random.default_rng([*seed, *number]).random(len(rest), np.float32) < share
-        rows = np.flatnonzero(drawn)
-        node, y = node[rows], rest[rows] * factor
+        drawn = np.random.default_rng([*seed, *number]).random(len(rest), np.float32) < share if share < 1 else np.ones(len(rest), bool)
+        if len(nodes) > 1:
+            node = place[place_rows(codes, nodes, len(rest))]
+            rows = np.flatnonzero(drawn & (node < len(counted)))
+            node = node[rows]
+        else:
+            rows = np.flatnonzero(drawn)
+            node = None
+        y = rest[rows] * factor
         squares = y * y
-        for c, w, a, b in zip(codes, widths, starts[:-1], starts[1:], strict=True):
-            cell = node * w + c[rows]
-            out[0, a:b] += np.bincount(cell, minlength=b - a)
-            out[1, a:b] += np.bincount(cell, y, b - a)
-            out[2, a:b] += np.bincount(cell, squares, b - a)
-    yield out
+        for group, out in zip(groups, held, strict=True):
+            cell, size = codes[group[0]], widths[group[0]]
+            for c in group[1:]:
+                cell = cell * np.uint16(widths[c]) + codes[c]
+                size *= widths[c]
+            cell = cell[rows].astype(np.int64)
+            if node is not None:
+                cell += node * size
+            for sums, weight in zip(out, (None, y, squares), strict=True):
+                sums += np.bincount(cell, weight, len(sums))
+    by_column: list = [None] * len(widths)
+    for group, out in zip(groups, held, strict=True):
+        cube = out.reshape(3, len(counted), *[widths[c] for c in group])
+        for i, c in enumerate(group):
+            by_column[c] = cube.sum(axis=tuple(2 + j for j in range(len(group)) if j != i)).reshape(3, -1)
+    yield np.concatenate(by_column, axis=1)
+
+
+def _by_node(sums: np.ndarray, counted: int, widths: Sequence[int]) -> np.ndarray:
+    """Sums per (node, code of any column) from those of `_count`, where each column has all its nodes side by side."""
+    ends = np.cumsum([w * counted for w in widths])[:-1]
+    return np.concatenate([h.reshape(3, counted, w) for h, w in zip(np.split(sums, ends, axis=1), widths, strict=True)], axis=2)
+
+
+def with_siblings(counted: Sequence[int], sums: np.ndarray, parents: dict[int, np.ndarray], open_: Sequence[int]) -> np.ndarray:
+    """The sums of all open nodes; ``parents`` holds, by the place of the left child, those of nodes of which one child was counted."""
+    known = {place: sums[:, k] for k, place in enumerate(counted)}
+    for place in open_:
+        if place not in known:
+            left = place if place in parents else place - 1
+            rest = parents[left] - known[2 * left + 1 - place]
+            # No row is left where none is counted; what rounding leaves there would decide between equal splits.
+            known[place] = np.where(rest[0] > 0, rest, 0.0)
+    return np.stack([known[p] for p in open_], axis=1)
 
 
 def _subtract(block: tuple, nodes: Sequence[Node], steps: np.ndarray) -> tuple:
@@ -167,10 +212,8 @@ def all_splits(cuts: Sequence[np.ndarray], levels: Sequence[Sequence[str]]) -> S
 
 def split_nodes(nodes: list[Node], open_: Sequence[int], sums: np.ndarray, splits: Splits, columns: float, rng: np.random.Generator) -> list[int]:
     """Give each open node its best split (least squares) over a draw of the features; the places of the new children."""
-    left, at = [], 0
-    for i, w in enumerate(splits.widths):
-        h = sums[:, at : at + w * len(open_)].reshape(3, len(open_), w)
-        at += w * len(open_)
+    left, ends = [], np.cumsum(splits.widths)[:-1]
+    for i, h in enumerate(np.split(sums, ends, axis=2)):
         if i == 0:
             totals = h.sum(axis=2)
         left.append(np.cumsum(h, axis=2)[:, :, :-1] if i < splits.numbers else totals[:, :, None] - h[:, :, :-1])
@@ -205,16 +248,18 @@ def boost(state: RDD, splits: Splits, trees: int, depth: int, rate: float, rows:
     rng, out, older = np.random.default_rng(seed), [], None
     for t in range(trees):
         factor, weight = (1.0, 1.0) if t == 0 else (2.0, rate)
-        nodes, open_ = [Node(np.zeros(3))], [0]
+        nodes, open_, counted, parents = [Node(np.zeros(3))], [0], [0], {}
         for _ in range(depth):
             if not open_:
                 break
-            count = partial(_count, nodes=nodes, open_=open_, widths=splits.widths, share=rows, seed=(seed, t), factor=factor)
-            sums = state.mapPartitions(count).reduce(np.add)
+            sums = state.mapPartitions(partial(_count, nodes=nodes, counted=counted, widths=splits.widths, share=rows, seed=(seed, t), factor=factor)).reduce(np.add)
             if older is not None:
                 older.unpersist()
                 older = None
-            open_ = split_nodes(nodes, open_, sums, splits, columns, rng)
+            sums = with_siblings(counted, _by_node(sums, len(counted), splits.widths), parents, open_)
+            before, open_ = open_, split_nodes(nodes, open_, sums, splits, columns, rng)
+            parents = {nodes[p].left: sums[:, k] for k, p in enumerate(before) if nodes[p].left >= 0}
+            counted = [min(p, p + 1, key=lambda i: nodes[i].stats[0]) for p in parents]
         out.append(nodes)
         if t + 1 < trees:
             older, state = state, state.map(partial(_subtract, nodes=nodes, steps=weight * np.array([n.mean for n in nodes])))
@@ -275,8 +320,9 @@ def fit_trees(rows: DataFrame, target: str, numbers: Sequence[str], levels: dict
     tasks = max(math.ceil(n / MOST_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS)))
     kind = "uint8" if max(splits.widths) <= 1 << 8 else "uint16"
     packed = partial(_blocks, cuts=cuts, levels=list(levels.values()), kind=kind)
-    blocks = rows.repartition(tasks).mapInArrow(packed, "codes binary, labels binary")
-    state = blocks.rdd.mapPartitionsWithIndex(partial(_opened, kind=kind)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Rows become blocks where they lie, and blocks are dealt evenly; the draws go by the number a block has before that.
+    blocks = rows.coalesce(tasks).mapInArrow(packed, "task long, number long, codes binary, labels binary")
+    state = blocks.repartition(tasks).rdd.map(partial(_opened, kind=kind)).persist(StorageLevel.MEMORY_AND_DISK)
     state.checkpoint()
     state.count()
     trees = boost(

@@ -16,7 +16,7 @@ from tidemark.operators import boosting
 from tidemark.operators.attribution import long_attributions
 from tidemark.operators.clean import fit_one_hot
 from tidemark.operators.common import require
-from tidemark.session import cut_lineage
+from tidemark.session import stored_columns
 
 # Name parts of calendar and of lag features.
 TIME_PARTS = ["month", "day", "week", "year", "is_"]
@@ -42,8 +42,8 @@ def fit_boosted(
     trees: int = 100, depth: int = 5, rate: float = 0.1, rows: float = 0.8, columns: float = 0.8, seed: int = 42,
 ) -> PipelineModel:
     """One distributed fit over all rows; text columns are one-hot encoded without their first level."""
-    # The fit reads its rows several times to find levels and cuts; they are written once.
-    base = cut_lineage(train.select(*[name(c) for c in (target, *numbers, *texts)]))
+    # The fit reads its rows several times to find levels and cuts, a few columns at a time; they are written once, by column.
+    base = stored_columns(train.select(*[name(c) for c in (target, *numbers, *texts)]))
     stages, encoded = fit_one_hot(base, texts) if texts else ([], [])
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
