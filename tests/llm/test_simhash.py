@@ -182,3 +182,22 @@ def test_one_row_per_group_not_per_id(spark):
     rows = [(1, "alpha beta gamma"), (1, "quite another text here"), (None, "first without id"), (None, "second of them all"), (None, "first without id"), (2, "first  WITHOUT id")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted([tuple(r) for r in kept], key=str) == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Pairs of all similarities and of sizes on both sides of a power of two; unlike ones are ruled out before a set moves."""
+    rng = np.random.default_rng(12)
+    sets = {0: [], 1: []}
+    for i, n in enumerate([3, 60, 64, 70, 120, 130, 250, 260, 700], 1):
+        base = rng.integers(-(1 << 62), 1 << 62, n)
+        for k, changed in enumerate((0, n // 20, n // 9, n // 5, n)):
+            sets[10 * i + k] = sorted({*base[changed:].tolist(), *rng.integers(-(1 << 62), 1 << 62, changed - changed // 4).tolist()})
+    table = spark.createDataFrame(list(sets.items()), "node bigint, shingles array<bigint>").cache()
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a bigint, b bigint").cache()
+    drawn = simhash.sketches(table).cache()
+    alike = lambda x, y: 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})
+    want = {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    assert {tuple(r) for r in simhash.similar_pairs(pairs, table, drawn, 80).collect()} == want and len(want) > 20
+    met = drawn.toDF("a", "n", "x").join(pairs, "a").join(drawn.toDF("b", "m", "y"), "b")
+    left = {(r.a, r.b) for r in met.filter(simhash.sketches_allow(80)).select("a", "b").collect() if r.a >= 20 and r.b // 10 == r.a // 10}
+    assert want >= {p for p in left if p[1] % 10 < 4 and p in want} and not any(p[1] % 10 == 4 for p in left)

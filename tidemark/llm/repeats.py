@@ -193,11 +193,11 @@ def short_keys(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) ^ (keys & np.uint64(0xFFFF)).astype(np.uint32)
 
 
-def _pack_bytes(array: np.ndarray) -> bytes:
+def pack_bytes(array: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(array).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(blobs: pd.Series, sizes: pd.Series, kind: type) -> np.ndarray:
+def unpack(blobs: pd.Series, sizes: pd.Series, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.concatenate([np.frombuffer(pa.decompress(b, n * width, codec="zstd", asbytes=True), kind) for b, n in zip(blobs, sizes, strict=True)])
 
@@ -247,7 +247,7 @@ class Finder:
         """Rows for the exchange; keys are sorted by part already."""
         part = parts_of(part_key, self.parts)
         for a, b in stretches(part):
-            blobs = [_pack_bytes(c[a:b]) for c in columns]
+            blobs = [pack_bytes(c[a:b]) for c in columns]
             yield (kind, int(part[a]), bucket, int(b - a), *blobs, *[None] * (3 - len(blobs)))
 
     def _info(self, keys: Keys, rows: np.ndarray | None = None) -> np.ndarray:
@@ -373,16 +373,16 @@ def answer(earlier: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for kind, frame in every.groupby("kind"):
             frame = frame.sort_values("bucket")
             if kind == ANCHORS:
-                out += split(kind, frame, twice(_unpack(frame["a"], frame["n"], np.uint32)))
+                out += split(kind, frame, twice(unpack(frame["a"], frame["n"], np.uint32)))
             elif kind == MIXED:
-                key, low, gap = _unpack(frame["a"], frame["n"], np.uint32), _unpack(frame["b"], frame["n"], np.uint64), _unpack(frame["c"], frame["n"], np.uint64)
+                key, low, gap = unpack(frame["a"], frame["n"], np.uint32), unpack(frame["b"], frame["n"], np.uint64), unpack(frame["c"], frame["n"], np.uint64)
                 keys = distinct(np.zeros(len(key), np.int8), key)
                 least, most = np.full(len(keys.first), NOTHING), np.zeros(len(keys.first), np.uint64)
                 np.minimum.at(least, keys.of_row, low)
                 np.maximum.at(most, keys.of_row, low ^ gap)
                 out += split(kind, frame, (least != most)[keys.of_row])
             else:
-                k1, k2, info = _unpack(frame["a"], frame["n"], np.uint64), _unpack(frame["b"], frame["n"], np.uint32), _unpack(frame["c"], frame["n"], np.int64)
+                k1, k2, info = unpack(frame["a"], frame["n"], np.uint64), unpack(frame["b"], frame["n"], np.uint32), unpack(frame["c"], frame["n"], np.int64)
                 if earlier:
                     keys = distinct(info, k1, k2)
                     out += split(kind, frame, info > info[keys.first][keys.of_row])

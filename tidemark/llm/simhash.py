@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, cut_lineage, local_roots, named, ragged_ranges, row_batches
+from tidemark.llm.repeats import pack_bytes, parts_of, short_keys, stretches, unpack
+from tidemark.llm.shared import components, cut_lineage, local_roots, mix64, named, ragged_ranges, row_batches
 from tidemark.llm.texts import SLICE_BYTES
 
 # A bucket of more fingerprints is dealt over tiles, and every two of its tiles meet.
@@ -27,6 +28,8 @@ TILE = 1 << 13
 PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
 # Candidates that a row names first, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
 FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 1_000_000
+# Keys of a part of the exchange that finds sets with a rare shingle in common.
+PART_KEYS = 500_000
 # Sets that meet in a task to find the first links.
 TILE_SETS = 512
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
@@ -324,29 +327,36 @@ def shingle_weights(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, weights: np.ndarray, percent: int) -> DataFrame:
-    """``node, n, key``: the rarest shingles of each set, so many that two sets of the wanted similarity share one of them.
+def prefixes(placed: DataFrame, weights: np.ndarray, percent: int, parts: int) -> DataFrame:
+    """The rarest shingles of each set ``place, shingles``, so many that two sets of the wanted similarity share one of them.
 
     Of two such sets, each holds at least ``percent`` of the other's shingles, so that among the first ``n - ceil(percent n) + 1`` in one
-    order of all shingles there is a common one. A set without shingles has the key of empty sets.
+    order of all shingles there is a common one. A set without shingles has the key of empty sets. A row holds the keys of a batch that
+    go to a part, ``part, n, keys, first, places``: 32 bits a key, and how far the place of its set lies behind the first one.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            if not batch.num_rows:
+                continue
+            lists, places = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             sizes = np.diff(ends)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((flat, weights[_cells(flat)], owner))
             place = np.arange(len(flat)) - np.repeat(ends[:-1], sizes)
-            first = sizes - -(-percent * sizes // 100) + 1
-            take = place < np.repeat(first, sizes)
+            take = place < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)
             empty = np.flatnonzero(sizes == 0)
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = [np.append(node[owner[take]], node[empty]), np.append(sizes[owner[take]], sizes[empty]), np.append(flat[order][take], empty * 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "key"])
+            # Scrambled, since rare shingles are those of some ranges of numbers.
+            keys = mix64(np.append(flat[order][take], empty * 0).view(np.uint64))
+            behind = (places - places.min())[np.append(owner[take], empty)].astype(np.uint32)
+            part = parts_of(keys, parts)
+            by_part = np.argsort(part, kind="stable")
+            short, behind, part = short_keys(keys, parts)[by_part], behind[by_part], part[by_part]
+            rows = [(int(part[x]), y - x, pack_bytes(short[x:y]), int(places.min()), pack_bytes(behind[x:y])) for x, y in stretches(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "n", "keys", "first", "places"])
 
-    return sets.mapInArrow(compute, "node bigint, n bigint, key bigint")
+    return placed.select("place", "shingles").mapInArrow(compute, "part bigint, n bigint, keys binary, first bigint, places binary")
 
 
 def sized(stored: DataFrame) -> DataFrame:
@@ -355,12 +365,28 @@ def sized(stored: DataFrame) -> DataFrame:
 
 
 def sharing(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, n, bucket, part``: two sets of the wanted similarity meet in a bucket of at most two tiles' rows."""
-    # Made twice rather than stored: most of these shingles occur in one set only.
-    placed = prefixes(sets, shingle_weights(sets), percent).withColumn("table", F.lit(0))
-    counts = sized(cut_lineage(placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")))
-    met = placed.join(counts, "key")
-    return tiled(met, counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "node", "n")
+    """``node, n, bucket, part``, stored: two sets of the wanted similarity meet in a bucket of at most two tiles' rows.
+
+    Keys travel once, 32 bits each within their part; keys of different shingles that look alike there only add candidates.
+    Those of one set, which are most, end there.
+    """
+    placed = sets.withColumn("place", F.monotonically_increasing_id())
+    weights = shingle_weights(sets)
+    parts = 1 + int(weights.sum()) * (100 - percent) // 100 // PART_KEYS
+
+    def shared(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, places = unpack(frame["keys"], frame["n"], np.uint32), unpack(frame["places"], frame["n"], np.uint32).astype(np.int64)
+        places += np.repeat(frame["first"].to_numpy(np.int64), frame["n"])
+        order = np.argsort(keys, kind="stable")
+        ends = np.flatnonzero(np.append(keys[order][1:] != keys[order][:-1], True)) + 1
+        rows = np.repeat(np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+        more = rows > 1
+        return pd.DataFrame({"place": places[order][more], "table": frame["part"].iloc[0], "key": keys[order][more].astype(np.int64), "rows": rows[more]})
+
+    met = prefixes(placed, weights, percent, parts).groupBy("part").applyInPandas(shared, "place bigint, table bigint, key bigint, rows bigint")
+    numbers = sized(cut_lineage(placed.select("place", "node", F.size("shingles").cast("long").alias("n"))))
+    spread = cut_lineage(tiled(met.join(numbers, "place"), 1, "node", "n").drop("part"))
+    return spread.withColumn("part", F.pmod("bucket", F.lit(max(1, spread.count() // PART_ROWS))))
 
 
 def next_other(size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,6 +435,7 @@ def similar_groups(
     texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & F.col("id").eqNullSafe(F.col("one_id"))).select("node", "text")
     sets = cut_lineage(sets_of(texts, shingle, seed))
+    drawn = cut_lineage(sketches(sets))
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         bucket, fps, node, size = (frame[c].to_numpy(np.int64) for c in ("bucket", "fp", "node", "n"))
@@ -430,7 +457,7 @@ def similar_groups(
 
     found = bucketed(nodes, radius, "fp", "node", "n").groupBy("part").applyInPandas(near, "a bigint, b bigint")
     links = cut_lineage(first_links(found, sets, percent))
-    dealt, most = cut_lineage(sharing(sets, percent)), FIRST_CANDIDATES
+    dealt, most = sharing(sets, percent), FIRST_CANDIDATES
     roots = cut_lineage(components(links))
     state = dealt.withColumn("after", F.lit(-1).cast("long"))
     while True:
@@ -451,7 +478,7 @@ def similar_groups(
 
         labelled = state.join(sized(roots).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
-        links, roots = join_groups(found.filter("after < 0").select("a", "b"), links, roots, sets, percent)
+        links, roots = join_groups(found.filter("after < 0").select("a", "b"), links, roots, sets, drawn, percent)
         more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
             break
@@ -464,17 +491,55 @@ def similar_groups(
     return slim.join(rooted, "node").select("id", "text_hash", "root")
 
 
-def similar_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common."""
-    pairs = sized(found)
-    # Few pairs go to the sets; only sets that some pair asks for move.
+def sketches(sets: DataFrame) -> DataFrame:
+    """``node, n, sketch``: the size of each set, and whether the shingles that share a cell are odd in number, a bit per cell.
+
+    There are 64 cells or more, a power of two of at least the size; half as many are made of them by xor. A shingle that one of two sets has
+    changes one bit, so the sketches differ in at most as many bits as the sets in shingles.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found = batch.column(1), []
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            for low, high in zip([0, *ends], ends):
+                cells = max(64, 1 << (high - low - 1).bit_length())
+                odd = np.bincount(flat[low:high] & (cells - 1), minlength=cells) & 1
+                found.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            n = np.diff(ends, prepend=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(found)], names=["node", "n", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(compute, "node bigint, n bigint, sketch array<bigint>")
+
+
+def sketches_allow(percent: int) -> Column:
+    """Whether the sketches ``x, y`` of sets of ``n, m`` shingles leave it open that these have the similarity."""
+
+    def half(c: Column) -> Column:
+        words = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+
+    x, y = F.col("x"), F.col("y")
+    x, y = F.when(F.size(x) == 2 * F.size(y), half(x)).otherwise(x), F.when(F.size(y) == 2 * F.size(x), half(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    # Sketches of other sizes are not compared: then the sets are.
+    return (F.size(x) != F.size(y)) | ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
+
+
+def similar_pairs(found: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have at least ``percent`` of their union in common.
+
+    Pairs meet as sketches first, which rules out most; only sets of those left move.
+    """
+    met = drawn.toDF("a", "n", "x").join(sized(found), "a").join(drawn.toDF("b", "m", "y"), "b")
+    pairs = sized(cut_lineage(met.filter(sketches_allow(percent)).select("a", "b")))
     asked = sized(cut_lineage(pairs.select(F.col("b").alias("node")).distinct()))
     both = sets.toDF("a", "x").join(pairs, "a").join(sets.join(asked, "node", "left_semi").toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def join_groups(found: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def join_groups(found: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The links with those among the candidates ``found``, as far as they join groups, and the groups.
 
     Of the candidates between two groups a few are compared first. Most groups that belong together are joined by them, so that their
@@ -492,7 +557,7 @@ def join_groups(found: DataFrame, links: DataFrame, roots: DataFrame, sets: Data
         lot = F.xxhash64("a", "b")
         asked = open_.groupBy("la", "lb", F.pmod(lot, F.lit(few)).alias("place")).agg(F.min(F.struct(lot.alias("lot"), "a", "b")).alias("m"))
         asked = cut_lineage(asked.select("m.a", "m.b"))
-        links = links.union(cut_lineage(similar_pairs(asked, sets, percent)))
+        links = links.union(cut_lineage(similar_pairs(asked, sets, drawn, percent)))
         roots = cut_lineage(components(links))
         open_, few = open_.select("a", "b").join(sized(asked), ["a", "b"], "left_anti"), few * 8
 
