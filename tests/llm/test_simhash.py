@@ -201,3 +201,17 @@ def test_sketches_rule_out_no_similar_pair(spark):
     met = drawn.toDF("a", "n", "x").join(pairs, "a").join(drawn.toDF("b", "m", "y"), "b")
     left = {(r.a, r.b) for r in met.filter(simhash.sketches_allow(80)).select("a", "b").collect() if r.a >= 20 and r.b // 10 == r.a // 10}
     assert want >= {p for p in left if p[1] % 10 < 4 and p in want} and not any(p[1] % 10 == 4 for p in left)
+
+
+def test_groups_are_joined_in_two_comparisons(spark, monkeypatch):
+    """Two groups with many unlike candidates between them and one similar pair: no step per share of the candidates."""
+    rng = np.random.default_rng(3)
+    sets = {n: rng.integers(-(2**62), 2**62, 40) for n in range(48)}
+    sets[47] = np.append(sets[0][:39], 5)
+    table = spark.createDataFrame([(n, sorted(map(int, s))) for n, s in sets.items()], "node bigint, shingles array<bigint>").localCheckpoint()
+    roots = spark.createDataFrame([(n, 24 * (n // 24)) for n in sets], "node bigint, root bigint").localCheckpoint()
+    found = spark.createDataFrame([(a, b) for a in range(24) for b in range(24, 48)], "a bigint, b bigint").localCheckpoint()
+    calls, own = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda *args: calls.append(1) or own(*args))
+    joined = simhash.join_groups(found, roots, table, simhash.sketches(table).localCheckpoint(), 80).collect()
+    assert len({r["root"] for r in joined}) == 1 and len(joined) == 48 and len(calls) <= 2

@@ -26,8 +26,8 @@ from tidemark.llm.texts import SLICE_BYTES
 TILE = 1 << 13
 # Rows of a comparison task; fingerprints expected per bucket by chance; comparisons of a fingerprint with a word at a time.
 PART_ROWS, BUCKET_ROWS, AT_ONCE, BLOCKS_AT_ONCE = 50_000, 1 << 14, 1 << 15, 1024
-# Candidates that a row names first, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
-FIRST_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 1_000_000
+# Candidates that a row names first, and how many times more in each later round, cells in which shingles are counted (512 KB), rows of numbers that may be broadcast.
+FIRST_CANDIDATES, MORE_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 16, 1_000_000
 # Keys of a part of the exchange that finds sets with a rare shingle in common.
 PART_KEYS = 500_000
 # Sets that meet in a task to find the first links.
@@ -456,9 +456,8 @@ def similar_groups(
         return pd.concat(out)
 
     found = bucketed(nodes, radius, "fp", "node", "n").groupBy("part").applyInPandas(near, "a bigint, b bigint")
-    links = cut_lineage(first_links(found, sets, percent))
     dealt, most = sharing(sets, percent), FIRST_CANDIDATES
-    roots = cut_lineage(components(links))
+    roots = sized(components(first_links(found, sets, percent)))
     state = dealt.withColumn("after", F.lit(-1).cast("long"))
     while True:
 
@@ -476,13 +475,13 @@ def similar_groups(
             on = np.flatnonzero(more)
             return pd.concat([pairs, pd.DataFrame({"a": node[on], "b": node[on], "bucket": bucket[on], "after": (final - start)[on]})])
 
-        labelled = state.join(sized(roots).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = state.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
-        links, roots = join_groups(found.filter("after < 0").select("a", "b"), links, roots, sets, drawn, percent)
+        roots = join_groups(found.filter("after < 0").select("a", "b"), roots, sets, drawn, percent)
         more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
             break
-        most *= 8
+        most *= MORE_CANDIDATES
         again = dealt.join(more.select("bucket").distinct(), "bucket", "left_semi").join(more, ["node", "bucket"], "left")
         # Rows that have named all their candidates are only met by others.
         state = again.withColumn("after", F.coalesce("after", F.lit(1 << 40)))
@@ -531,35 +530,37 @@ def similar_pairs(found: DataFrame, sets: DataFrame, drawn: DataFrame, percent:
 
     Pairs meet as sketches first, which rules out most; only sets of those left move.
     """
-    met = drawn.toDF("a", "n", "x").join(sized(found), "a").join(drawn.toDF("b", "m", "y"), "b")
+    met = drawn.toDF("a", "n", "x").join(found, "a").join(drawn.toDF("b", "m", "y"), "b")
     pairs = sized(cut_lineage(met.filter(sketches_allow(percent)).select("a", "b")))
-    asked = sized(cut_lineage(pairs.select(F.col("b").alias("node")).distinct()))
-    both = sets.toDF("a", "x").join(pairs, "a").join(sets.join(asked, "node", "left_semi").toDF("b", "y"), "b")
+    both = sets.toDF("a", "x").join(pairs, "a").join(sets.toDF("b", "y").join(pairs.select("b"), "b", "left_semi"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def join_groups(found: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The links with those among the candidates ``found``, as far as they join groups, and the groups.
+def join_groups(found: DataFrame, roots: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The groups ``node, root`` after all candidates ``found`` were compared, as far as they do not lie within a group.
 
-    Of the candidates between two groups a few are compared first. Most groups that belong together are joined by them, so that their
-    other candidates need not be compared; what is left goes on, eight times as many at a time, until every candidate has been
-    compared or lies within a group.
+    Of the candidates between two groups one is compared first. Most groups that belong together are joined by it, so that their
+    other candidates need not be compared; those that are left then are compared at once. Each of the two steps
+    takes a fixed number of jobs, and earlier links are known by the groups they made.
     """
-    open_, few = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), 1
-    while True:
-        label = sized(roots)
-        open_ = open_.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    open_ = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for first in (True, False):
+        open_ = open_.join(roots.toDF("a", "la"), "a", "left").join(roots.toDF("b", "lb"), "b", "left")
         open_ = open_.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la <> lb")
         open_ = cut_lineage(open_.select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")))
-        if open_.isEmpty():
-            return links, roots
-        lot = F.xxhash64("a", "b")
-        asked = open_.groupBy("la", "lb", F.pmod(lot, F.lit(few)).alias("place")).agg(F.min(F.struct(lot.alias("lot"), "a", "b")).alias("m"))
-        asked = cut_lineage(asked.select("m.a", "m.b"))
-        links = links.union(cut_lineage(similar_pairs(asked, sets, drawn, percent)))
-        roots = cut_lineage(components(links))
-        open_, few = open_.select("a", "b").join(sized(asked), ["a", "b"], "left_anti"), few * 8
+        asked = open_.select("a", "b")
+        if first:
+            lot = F.min(F.struct(F.xxhash64("a", "b").alias("lot"), "a", "b")).alias("m")
+            asked = cut_lineage(open_.groupBy("la", "lb").agg(lot).select("m.a", "m.b"))
+        rows = asked.count()
+        if not rows:
+            break
+        asked = F.broadcast(asked) if rows <= BROADCAST_ROWS else asked
+        links = similar_pairs(asked, sets, drawn, percent)
+        roots = sized(components(links.union(roots.toDF("a", "b"))))
+        open_ = open_.select("a", "b").join(asked, ["a", "b"], "left_anti")
+    return roots
 
 
 def first_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
