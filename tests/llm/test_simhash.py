@@ -215,3 +215,46 @@ def test_groups_are_joined_in_two_comparisons(spark, monkeypatch):
     monkeypatch.setattr(simhash, "similar_pairs", lambda *args: calls.append(1) or own(*args))
     joined = simhash.join_groups(found, roots, table, simhash.sketches(table).localCheckpoint(), 80).collect()
     assert len({r["root"] for r in joined}) == 1 and len(joined) == 48 and len(calls) <= 2
+
+
+def test_unlike_texts_with_rare_shingles_in_common_name_no_candidates(spark, monkeypatch):
+    """Sketches are compared where candidates meet: pairs of unlike texts are not handed on, however many share a passage; near copies are."""
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    passage = words(60)
+    unlike = [" ".join([*words(70), *passage, *words(20)]) for _ in range(60)]
+    base = words(200)
+    # Near copies of sizes on both sides of a power of two, and sets whose sketches are cut to their brief form.
+    near = [" ".join([*base, *words(10 * i)]) for i in range(5)]
+    long = words(3000)
+    texts = [*unlike, *near, " ".join(long), " ".join([*long, *words(500)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BRIEF_BITS", 1 << 11)
+    handed, own = [], simhash.join_groups
+    monkeypatch.setattr(simhash, "join_groups", lambda found, *args: handed.extend(map(tuple, found.collect())) or own(found, *args))
+    found = {r["id"]: r["root"] for r in simhash.similar_groups(docs, radius=0).collect()}
+    sets = [set(simhash.shingle_set(simhash.shingle_digests(t, 5, 42)).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = brute.roots(len(sets), links)
+    assert all((found[i] == found[j]) == (want[i] == want[j]) for i in found for j in found) and len(links) > 5
+    assert len(handed) < 200 and len({n for pair in handed for n in pair}) <= len(near) + 2
+
+
+def test_brief_sketches_rule_out_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BRIEF_BITS", 256)
+    rng = np.random.default_rng(22)
+    sets = {0: []}
+    for i, n in enumerate([3, 60, 64, 70, 130, 260, 700], 1):
+        base = rng.integers(-(1 << 62), 1 << 62, n)
+        for k, changed in enumerate((0, n // 20, n // 9, n // 5, n)):
+            sets[10 * i + k] = sorted({*base[changed:].tolist(), *rng.integers(-(1 << 62), 1 << 62, changed - changed // 4).tolist()})
+    table = spark.createDataFrame(list(sets.items()), "node bigint, shingles array<bigint>")
+    drawn = simhash.briefs(simhash.sketches(table)).toPandas()
+    assert drawn["brief"].str.len().max() == 32
+    node = np.array([*sets, *sets])
+    size = np.array([len(sets[n]) for n in node])
+    allowed = simhash.brief_test(drawn["node"].to_numpy(), drawn["brief"], node, size, 80)
+    a, b = (x.ravel() for x in np.indices((len(node), len(node))))
+    out = allowed(a, b)
+    alike = np.array([5 * len({*sets[x]} & {*sets[y]}) >= 4 * len({*sets[x]} | {*sets[y]}) for x, y in zip(node[a], node[b])])
+    assert out[alike].all() and alike.sum() > 60 and out.sum() < 0.5 * len(out)

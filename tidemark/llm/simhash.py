@@ -8,7 +8,7 @@ fingerprint to 64 others at once in carry-save counters, and words in which all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -32,6 +32,8 @@ FIRST_CANDIDATES, MORE_CANDIDATES, CELL_BITS, BROADCAST_ROWS = 1, 16, 16, 1_000_
 PART_KEYS = 500_000
 # Sets that meet in a task to find the first links.
 TILE_SETS = 512
+# Bits of the sketch that goes with a set into the tasks that name candidates (512 bytes at most), pairs compared there at a time.
+BRIEF_BITS, SKETCHES_AT_ONCE = 1 << 12, 1 << 13
 # 8 counters of 8 bits, one per bit of a byte: up to 255 hashes are added before the counters must be emptied.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 LANE_LIMIT = 255
@@ -389,10 +391,12 @@ def sharing(sets: DataFrame, percent: int) -> DataFrame:
     return spread.withColumn("part", F.pmod("bucket", F.lit(max(1, spread.count() // PART_ROWS))))
 
 
-def next_other(size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def next_other(
+    size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.ndarray, most: int, percent: int, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the next ``most`` rows of its run with another label behind row ``after``, while their sizes allow the similarity.
 
-    Rows of a run are in ascending order of size. Index pairs, and the rows that have more of them.
+    Rows of a run are in ascending order of size. Index pairs, and the rows that have more of them. Pairs that are not ``allowed`` do not count.
     """
     got, more = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -407,6 +411,8 @@ def next_other(size: np.ndarray, label: np.ndarray, after: np.ndarray, runs: np.
         live = 100 * size[row] >= percent * size[other]
         row, other = row[live], other[live]
         hit = label[row] != label[other]
+        if allowed is not None:
+            hit[hit] = allowed(row[hit], other[hit])
         over = hit & (got[row] >= most)
         more[row[over]] = True
         take = hit & ~over
@@ -424,9 +430,9 @@ def similar_groups(
 
     A pair is a link if its sets of word shingles have at least ``percent`` of their union in common; texts of one set are one
     node. Fingerprints within the radius are the first candidates and join most groups. Then all nodes that share one of their rarest
-    shingles are candidates, which no similar pair escapes. In a round every node names its next few candidates per
-    bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates go on
-    behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
+    shingles are candidates, which no similar pair escapes, unless their sketches rule it out where they meet. In a round every node names
+    its next few candidates per bucket that are not in its group yet, these are compared, and groups are joined; nodes with more candidates go
+    on behind the last one, so a group of many near copies is joined without all its pairs, and no candidate is left out.
     """
     slim = cut_lineage(with_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
     nodes = cut_lineage(slim.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("one")))
@@ -436,6 +442,8 @@ def similar_groups(
     texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & F.col("id").eqNullSafe(F.col("one_id"))).select("node", "text")
     sets = cut_lineage(sets_of(texts, shingle, seed))
     drawn = cut_lineage(sketches(sets))
+    # Rows equal in id and text have made a set more than once.
+    brief = cut_lineage(briefs(drawn).dropDuplicates(["node"]))
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         bucket, fps, node, size = (frame[c].to_numpy(np.int64) for c in ("bucket", "fp", "node", "n"))
@@ -461,13 +469,14 @@ def similar_groups(
     state = dealt.withColumn("after", F.lit(-1).cast("long"))
     while True:
 
-        def share(frame: pd.DataFrame) -> pd.DataFrame:
+        def share(frame: pd.DataFrame, drawn_here: pd.DataFrame) -> pd.DataFrame:
             bucket, node, size, label, after = (frame[c].to_numpy(np.int64) for c in ("bucket", "node", "n", "label", "after"))
             order = np.lexsort((node, size, bucket))
             bucket, node, size, label, after = bucket[order], node[order], size[order], label[order], after[order]
             runs = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             start = np.repeat(runs[:-1], np.diff(runs))
-            a, b, more = next_other(size, label, start + after, runs, most, percent)
+            allowed = brief_test(drawn_here["of"].to_numpy(np.int64), drawn_here["brief"], node, size, percent)
+            a, b, more = next_other(size, label, start + after, runs, most, percent, allowed)
             pairs = pd.DataFrame({"a": node[a], "b": node[b], "bucket": 0, "after": -1}).drop_duplicates()
             # The last candidate of a row that has more is where it goes on.
             final = np.full(len(node), -1, np.int64)
@@ -476,7 +485,9 @@ def similar_groups(
             return pd.concat([pairs, pd.DataFrame({"a": node[on], "b": node[on], "bucket": bucket[on], "after": (final - start)[on]})])
 
         labelled = state.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = cut_lineage(labelled.groupBy("part").applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
+        # A sketch goes once to each part, however many buckets of its node lie there.
+        there = state.select("part", "node").distinct().join(brief, "node").toDF("of", "at", "brief")
+        found = cut_lineage(labelled.groupBy("part").cogroup(there.groupBy("at")).applyInPandas(share, "a bigint, b bigint, bucket bigint, after bigint"))
         roots = join_groups(found.filter("after < 0").select("a", "b"), roots, sets, drawn, percent)
         more = found.filter("after >= 0").select(F.col("a").alias("node"), "bucket", "after")
         if more.isEmpty():
@@ -511,6 +522,53 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(compute, "node bigint, n bigint, sketch array<bigint>")
 
 
+def briefs(drawn: DataFrame) -> DataFrame:
+    """``node, brief``: the sketches, of BRIEF_BITS cells at most."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            kept = [np.bitwise_xor.reduce(flat[low:high].reshape(-1, min(high - low, BRIEF_BITS // 64))).tobytes() for low, high in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["node", "brief"])
+
+    return drawn.select("node", "sketch").mapInArrow(compute, "node bigint, brief binary")
+
+
+def brief_test(names: np.ndarray, brief: pd.Series, node: np.ndarray, size: np.ndarray, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the brief sketches of rows ``a, b`` leave it open that their sets have the similarity; row ``i`` is of ``node[i]``, whose set has ``size[i]`` shingles.
+
+    Sketches of one length are rows of a matrix; each is there in half the length too, for the pairs whose other sketch is shorter.
+    """
+    words = brief.str.len().to_numpy(np.int64) // 8
+    at = pd.Index(names).get_indexer(node)
+    planes, place = {}, {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        full = np.frombuffer(b"".join(brief.iloc[own]), np.uint64).reshape(-1, w)
+        for length, rows in ((w, full), (w // 2, full[:, : w // 2] ^ full[:, w // 2 :])):
+            if length:
+                where = place.setdefault(length, np.full(len(names), -1))
+                where[own] = np.arange(len(own)) + sum(map(len, planes.get(length, [])))
+                planes.setdefault(length, []).append(rows)
+    planes = {length: np.concatenate(rows) for length, rows in planes.items()}
+
+    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = at[a], at[b]
+        least, out = np.minimum(words[x], words[y]), np.ones(len(a), bool)
+        for length in np.unique(least).tolist():
+            i, j = place[length][x], place[length][y]
+            # Sketches of other lengths are not compared here.
+            both = np.flatnonzero((least == length) & (i >= 0) & (j >= 0))
+            for low in range(0, len(both), SKETCHES_AT_ONCE):
+                pair = both[low : low + SKETCHES_AT_ONCE]
+                apart = np.bitwise_count(planes[length][i[pair]] ^ planes[length][j[pair]]).sum(axis=1, dtype=np.int64)
+                out[pair] = (100 + percent) * apart <= (100 - percent) * (size[a[pair]] + size[b[pair]])
+        return out
+
+    return allowed
+
+
 def sketches_allow(percent: int) -> Column:
     """Whether the sketches ``x, y`` of sets of ``n, m`` shingles leave it open that these have the similarity."""
 
