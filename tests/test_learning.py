@@ -196,3 +196,16 @@ def test_stored_columns_keep_rows_and_types(spark):
     back = stored_columns(df)
     assert back.schema == df.schema and sorted(map(tuple, back.collect())) == [(1, None, "a"), (2, 0.5, None)]
     assert stored_columns(df.limit(0)).count() == 0
+
+
+def test_attribution_tasks_follow_rows_and_cores(spark, fitted, monkeypatch):
+    """Each task unpacks all trees, so there are no more of them than cores and rows ask for."""
+    _, model, scored = fitted
+    before, cores = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", 5 * cores + 3)
+    try:
+        assert attribution.attributions(scored, model.stages[-1], ["id"]).rdd.getNumPartitions() == cores
+        monkeypatch.setattr(attribution, "ROWS_PER_TASK", 1 + scored.count() // (3 * cores))
+        assert attribution.attributions(scored, model.stages[-1], ["id"]).rdd.getNumPartitions() > 2 * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

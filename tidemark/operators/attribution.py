@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import name
-from tidemark.operators.common import require, tasks_for
+from tidemark.operators.common import require
 from tidemark.operators.quantiles import quantiles
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 
 # A leaf with more features has no table.
 WIDEST_TABLE = 10
-# Rows whose patterns are looked up at a time.
-AT_ONCE = 8192
+# Rows whose patterns are looked up at a time, most rows of a task.
+AT_ONCE, ROWS_PER_TASK = 8192, 100_000
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,8 @@ def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str
     trees = load_trees(tree_nodes(model))
     base = base_value(trees)
     rows = scored.select(*[name(c) for c in keep], name(prediction), vector_to_array(name(features)).alias("features"))
-    rows = rows.repartition(tasks_for(scored, 100_000))
+    # As many tasks as there are cores, whatever the number of shuffle partitions: each of them unpacks all trees.
+    rows = rows.repartition(max(scored.sparkSession.sparkContext.defaultParallelism, -(-scored.count() // ROWS_PER_TASK)))
     extra = [T.StructField("base", T.DoubleType()), T.StructField("shap", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*rows.schema.fields, *extra])
 
