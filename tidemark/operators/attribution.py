@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 # A leaf with more features has no table.
 WIDEST_TABLE = 10
-# Rows whose patterns are looked up at a time, most rows of a task.
-AT_ONCE, ROWS_PER_TASK = 8192, 100_000
+# Rows that are looked up at a time, most rows of a task, most cells of a table of several leaves.
+AT_ONCE, ROWS_PER_TASK, MOST_CELLS = 10_240, 400_000, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -136,32 +136,113 @@ def leaf_shares(inside: np.ndarray, value: float, shares: Sequence[float]) -> np
     return out
 
 
-def shapley(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
-    """Shapley values of a batch of rows: each leaf's table is made once, rows only look up their pattern."""
+@dataclass(frozen=True)
+class Cells:
+    """Leaves of a tree as one table: ``given[k, cell]`` is what they give to their k-th feature where a row lies in the cell.
+
+    The cell of a row is the sum over the features of ``steps[k]`` at the row's code, which counts the cuts of all trees below its value.
+    """
+
+    features: tuple[int, ...]
+    steps: tuple[np.ndarray, ...]
+    given: np.ndarray
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """All trees as tables over the cells between their cuts; ``rest`` are the leaves that have no table, with their trees."""
+
+    cuts: dict[int, np.ndarray]
+    cells: tuple[Cells, ...]
+    rest: tuple[Tree, ...]
+
+
+def tabulated(trees: Sequence[Tree]) -> Lookup:
+    """Tables of the sums over leaves, none of more than ``MOST_CELLS`` cells: a tree too fine for one is halved along its leaves.
+
+    A tree that splits by categories stays as it is.
+    """
+    whole = [t for t in trees if not any(t.categorical)]
+    cuts: dict[int, np.ndarray] = {}
+    for t in whole:
+        for f, cut in zip(t.features, t.cuts, strict=True):
+            cuts[f] = np.union1d(cuts.get(f, []), cut[0])
+    cells, rest = [], [t for t in trees if any(t.categorical)]
+
+    def add(t: Tree, leaves: Sequence[Leaf]) -> None:
+        own: dict[int, set] = {}
+        for leaf in leaves:
+            for f, splits in zip(leaf.features, leaf.splits, strict=True):
+                own.setdefault(f, set()).update(t.cuts[i][0] for i, _ in splits)
+        size = math.prod(len(c) + 1 for c in own.values())
+        if size > MOST_CELLS and len(leaves) > 1:
+            add(t, leaves[: len(leaves) // 2])
+            add(t, leaves[len(leaves) // 2 :])
+        elif size > MOST_CELLS or any(leaf.table is None for leaf in leaves):
+            rest.append(Tree(t.features, t.cuts, t.categorical, tuple(leaves)))
+        elif own:
+            cells.append(_cells(t, leaves, {f: np.array(sorted(c)) for f, c in own.items()}, cuts))
+
+    for t in whole:
+        add(t, t.leaves)
+    return Lookup(cuts, tuple(cells), tuple(rest))
+
+
+def _cells(t: Tree, leaves: Sequence[Leaf], own: dict[int, np.ndarray], cuts: dict[int, np.ndarray]) -> Cells:
+    features, shape = tuple(own), tuple(len(c) + 1 for c in own.values())
+    place, given = {f: k for k, f in enumerate(features)}, np.zeros((len(features), *shape))
+    for leaf in leaves:
+        pattern = np.zeros([1] * len(shape), np.int64)
+        for bit, (f, splits) in enumerate(zip(leaf.features, leaf.splits, strict=True)):
+            k, part = place[f], np.arange(len(own[f]) + 1)
+            inside = np.logical_and.reduce([(part <= np.searchsorted(own[f], t.cuts[i][0])) == side for i, side in splits])
+            pattern = pattern | (inside.astype(np.int64) << bit).reshape([-1 if j == k else 1 for j in range(len(shape))])
+        for bit, f in enumerate(leaf.features):
+            given[place[f]] += leaf.table[:, bit][pattern]
+    # The step of the last feature is 1; values above all cuts lie in the last part.
+    strides = [math.prod(shape[k + 1 :]) for k in range(len(shape))]
+    parts = [np.append(np.searchsorted(own[f], cuts[f]), len(own[f])) for f in features]
+    return Cells(features, tuple((p * n).astype(np.intp) for p, n in zip(parts, strides, strict=True)), given.reshape(len(features), -1))
+
+
+def _add_by_leaf(columns: np.ndarray, trees: Sequence[Tree], part: np.ndarray) -> None:
+    """Each leaf on its own, by the pattern of the features whose splits a row passes."""
+    for t in trees:
+        left = [np.isin(columns[f], cut) if cat else columns[f] <= cut[0] for f, cut, cat in zip(t.features, t.cuts, t.categorical, strict=True)]
+        sides = {(i, side): (g if side else ~g).view(np.uint8) for i, g in enumerate(left) for side in (True, False)}
+        passed: dict[tuple, np.ndarray] = {}
+        for leaf in t.leaves:
+            inside = []
+            for splits in leaf.splits:
+                if splits not in passed:
+                    passed[splits] = sides[splits[0]] if len(splits) == 1 else np.bitwise_and.reduce([sides[s] for s in splits])
+                inside.append(passed[splits])
+            if leaf.table is None:
+                found = leaf_shares(np.stack(inside, axis=1).astype(float), leaf.value, leaf.shares)
+                for k, f in enumerate(leaf.features):
+                    part[f] += found[:, k]
+            elif inside:
+                pattern = inside[0].astype(np.int64)
+                for k, bit in enumerate(inside[1:], 1):
+                    pattern |= bit.astype(np.int64) << k
+                for k, f in enumerate(leaf.features):
+                    part[f] += leaf.table[:, k].take(pattern)
+
+
+def shapley(x: np.ndarray, trees: Sequence[Tree] | Lookup) -> np.ndarray:
+    """Shapley values of a batch of rows: the tables are made once, rows only look up their cells."""
+    lookup = trees if isinstance(trees, Lookup) else tabulated(trees)
     out = np.zeros((x.shape[1], len(x)))
     for low in range(0, len(x), AT_ONCE):
-        rows = x[low : low + AT_ONCE]
-        columns, part = np.ascontiguousarray(rows.T), out[:, low : low + AT_ONCE]
-        for t in trees:
-            left = [np.isin(columns[f], cut) if cat else columns[f] <= cut[0] for f, cut, cat in zip(t.features, t.cuts, t.categorical, strict=True)]
-            sides = {(i, side): (g if side else ~g).view(np.uint8) for i, g in enumerate(left) for side in (True, False)}
-            passed: dict[tuple, np.ndarray] = {}
-            for leaf in t.leaves:
-                inside = []
-                for splits in leaf.splits:
-                    if splits not in passed:
-                        passed[splits] = sides[splits[0]] if len(splits) == 1 else np.bitwise_and.reduce([sides[s] for s in splits])
-                    inside.append(passed[splits])
-                if leaf.table is None:
-                    found = leaf_shares(np.stack(inside, axis=1).astype(float), leaf.value, leaf.shares)
-                    for k, f in enumerate(leaf.features):
-                        part[f] += found[:, k]
-                elif inside:
-                    pattern = inside[0].astype(np.int64)
-                    for k, bit in enumerate(inside[1:], 1):
-                        pattern |= bit.astype(np.int64) << k
-                    for k, f in enumerate(leaf.features):
-                        part[f] += leaf.table[:, k].take(pattern)
+        columns, part = np.ascontiguousarray(x[low : low + AT_ONCE].T), out[:, low : low + AT_ONCE]
+        codes = {f: np.searchsorted(cuts, columns[f]) for f, cuts in lookup.cuts.items()}
+        for c in lookup.cells:
+            cell = c.steps[0].take(codes[c.features[0]])
+            for f, step in zip(c.features[1:], c.steps[1:], strict=True):
+                cell += step.take(codes[f])
+            for f, given in zip(c.features, c.given, strict=True):
+                part[f] += given.take(cell)
+        _add_by_leaf(columns, lookup.rest, part)
     return out.T
 
 
@@ -180,13 +261,19 @@ def attributions(scored: DataFrame, model, keep: Sequence[str], *, features: str
     extra = [T.StructField("base", T.DoubleType()), T.StructField("shap", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*rows.schema.fields, *extra])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                values = shapley(np.stack(pdf["features"].to_numpy()).astype(float), trees)
-                yield pdf.assign(base=base, shap=list(values))
-
-    return rows.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = None
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                lookup = lookup or tabulated(trees)
+                x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(n, -1)
+                values = shapley(x, lookup)
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(x.shape[1]))
+                shap = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, base)), shap], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
 
 
 def long_attributions(attributed: DataFrame, names: Sequence[str], keep: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
