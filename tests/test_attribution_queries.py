@@ -1,9 +1,15 @@
 """The attribution queries at scale: what is run again by each pass, and the tables that rows are looked up in."""
 
+import shutil
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import attribution
+from tidemark.plans import model_queries
 
 
 def leaf_of(features, splits, shares, value):
@@ -49,3 +55,32 @@ def test_tables_of_cells_give_what_the_leaves_give(monkeypatch, most):
     attribution._add_by_leaf(np.ascontiguousarray(x.T), trees, plain)
     assert np.allclose(attribution.shapley(x, lookup), plain.T, atol=1e-12) and not plain[5].any()
     assert attribution.shapley(x[:0], lookup).shape == (0, 6)
+
+
+def test_test_rows_are_scored_once(spark, folder, monkeypatch):
+    """The ranks of `shap_examples` are read from stored predictions: no split, join or tree is run again by a pass."""
+    seen = []
+    plain = model_queries.rank_examples
+    monkeypatch.setattr(model_queries, "rank_examples", lambda df, *a: seen.append(df) or plain(df, *a))
+    model_queries.shap_examples(spark, folder).count()
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "UDF" not in plan and "Join" not in plan and "l_quantity" not in plan and "prediction" in plan
+
+
+def test_attribution_queries_share_the_stored_rows(spark, folder, monkeypatch):
+    rows, model = model_queries.tested(spark, folder)
+    again, _ = model_queries.tested(spark, folder)
+    assert again is rows
+    # Whatever the store has lost is written anew; the split and the prediction are those of the model on the whole table.
+    for f in rows.inputFiles():
+        shutil.rmtree(Path(unquote(urlparse(f).path)).parent, ignore_errors=True)
+    anew, _ = model_queries.tested(spark, folder)
+    wide, _ = model_queries.fitted(spark, folder)
+    want = model.transform(wide.filter("split = 'test'")).select("line", F.round("prediction", 6).alias("p"))
+    got = anew.select("line", F.round("prediction", 6).alias("p"))
+    assert want.count() == got.count() and want.exceptAll(got).isEmpty()
+    # Neither the join nor the split is run by a query that meets the stored rows.
+    monkeypatch.setattr(model_queries, "wide", None)
+    attributed, names, _, _ = model_queries.attributed_rows(spark, folder)
+    assert attributed.count() == want.count() and len(names) == len(attributed.first()["shap"])
+    assert model_queries.shap_global(spark, folder).count() == len(names)

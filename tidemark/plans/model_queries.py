@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from tidemark.operators.profile import rank_examples
 from tidemark.operators.stats import gram_table, solve_rows, unpack_gram
 from tidemark.plans.registry import panel, query, rounded
 from tidemark.plans.table_queries import scratch
+from tidemark.session import cut_lineage, stored_columns
 from tidemark.sources.files import table, write_csv
 from tidemark.streaming import jobs
 
@@ -104,6 +106,7 @@ NUMBERS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TEXTS = ["l_returnflag", "p_type"]
 TREES = 100
 _fitted: dict[tuple[str, ...], tuple] = {}
+_tested: dict[tuple[str, ...], DataFrame] = {}
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,23 +119,48 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
     return learn.prepare(joined, TARGET, NUMBERS)
 
 
-def _state_of(spark: SparkSession, rows: DataFrame) -> list[str]:
-    """Name, length and time of change of the files that a table is read from."""
+def _files(spark: SparkSession, rows: DataFrame) -> list[tuple]:
+    """Path and file system of the files that a table is read from."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     paths = [jvm.org.apache.hadoop.fs.Path(p) for p in rows.inputFiles()]
-    found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return [(p, p.getFileSystem(conf)) for p in paths]
+
+
+def _state_of(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """Name, length and time of change of the files that a table is read from."""
+    found = [store.getFileStatus(p) for p, store in _files(spark, rows)]
     return sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found)
 
 
+def _key(spark: SparkSession, folder: str) -> tuple[str, ...]:
+    """The session and the state of the files that the wide table is made of, told without a job."""
+    states = [_state_of(spark, table(spark, folder, t)) for t in ("lineitem", "part")]
+    return (spark.sparkContext.applicationId, *states[0], *states[1])
+
+
 def fitted(spark: SparkSession, folder: str):
     """(wide table, model), fitted once per session and state of the files it is fitted on."""
-    rows = wide(spark, folder)
-    key = (spark.sparkContext.applicationId, *_state_of(spark, rows))
+    key = _key(spark, folder)
     if key not in _fitted:
+        rows = wide(spark, folder)
         _fitted[key] = rows, learn.fit_boosted(rows.filter("split = 'train'"), TARGET, NUMBERS, TEXTS, trees=TREES)
     return _fitted[key]
 
 
+def tested(spark: SparkSession, folder: str):
+    """(test rows with prediction, model): line, features' columns and prediction are written once; what is asked of them reads only its columns.
+
+    The split and the join behind the rows, and the trees, are not run again by each pass over them.
+    """
+    rows, model = fitted(spark, folder)
+    key = _key(spark, folder)
+    # Stored rows may have been cleared away since.
+    if key not in _tested or not all(store.exists(p) for p, store in _files(spark, _tested[key])):
+        scored = model.transform(rows.filter("split = 'test'").select("line", *NUMBERS, *TEXTS))
+        _tested[key] = stored_columns(scored.select("line", *NUMBERS, *TEXTS, "prediction"))
+    return _tested[key], model
+
+
 @query("gbt_predict")
 def gbt_predict(spark: SparkSession, folder: str) -> DataFrame:
     rows, model = fitted(spark, folder)
@@ -166,9 +194,14 @@ def gbt_importance_sum(spark: SparkSession, folder: str) -> DataFrame:
     return gbt_importance(spark, folder).agg(F.round(F.sum("importance"), 9).alias("total"))
 
 
+def with_features(rows: DataFrame, model) -> DataFrame:
+    """Scored rows with the vector of their features; the prediction they have stays, the trees are not asked again."""
+    return PipelineModel(model.stages[:-1]).transform(rows)
+
+
 def attributed_rows(spark: SparkSession, folder: str):
-    rows, model = fitted(spark, folder)
-    scored = model.transform(rows.filter("split = 'test'"))
+    rows, model = tested(spark, folder)
+    scored = with_features(rows, model)
     names = learn.feature_names(scored)
     return attribution.attributions(scored, model.stages[-1], ["line"]), names, scored, model
 
@@ -187,13 +220,12 @@ def shap_global(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("shap_examples")
 def shap_examples(spark: SparkSession, folder: str) -> DataFrame:
-    rows, model = fitted(spark, folder)
-    scored = model.transform(rows.filter("split = 'test'"))
-    examples = rank_examples(scored.select("line", "prediction", F.col("line").alias("tie")), "prediction", "tie")
+    rows, model = tested(spark, folder)
+    examples = cut_lineage(rank_examples(rows.select("line", "prediction", F.col("line").alias("tie")), "prediction", "tie"))
     # A handful of lines is shown, and only they are attributed.
-    shown = scored.join(F.broadcast(examples.select("line").distinct()), "line", "left_semi")
+    shown = with_features(rows.join(F.broadcast(examples.select("line").distinct()), "line", "left_semi"), model)
     attributed = attribution.attributions(shown, model.stages[-1], ["line"])
-    return attribution.explain_rows(attribution.long_attributions(attributed, learn.feature_names(scored), ["line"]), examples, ["line"])
+    return attribution.explain_rows(attribution.long_attributions(attributed, learn.feature_names(shown), ["line"]), examples, ["line"])
 
 
 @query("shap_additivity", "SELECT CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS rows, 0::BIGINT AS off FROM lineitem")
